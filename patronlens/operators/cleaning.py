@@ -7,7 +7,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from patronlens.functions.columns import above_zero, is_cancelled, is_missing
+from patronlens.functions.columns import above_zero, not_cancelled, is_missing
 from patronlens.operators.shaping import unpivot
 
 
@@ -19,7 +19,7 @@ def cleaning_rules(lines: DataFrame) -> dict[str, Column]:
     """The rules in the order they apply; each keeps the rows it is true for."""
     return {
         "has_customer": has_customer(lines),
-        "not_cancelled": ~is_cancelled(F.col("InvoiceNo")),
+        "not_cancelled": not_cancelled(F.col("InvoiceNo")),
         "positive_amount": above_zero(F.col("Quantity")) & above_zero(F.col("UnitPrice")),
     }
 
@@ -45,11 +45,9 @@ def cleaning_audit(lines: DataFrame) -> DataFrame:
     counts = [F.count(F.lit(1)).alias("left_0")] + [
         F.count_if(reduce(and_, predicates[: i + 1])).alias(f"left_{i + 1}") for i in range(len(rules))
     ]
-    steps = [
-        (F.lit(i + 1).alias("step"), F.lit(name).alias("rule"),
-         F.col(f"left_{i}").alias("rows_before"), F.col(f"left_{i + 1}").alias("rows_after"))
-        for i, name in enumerate(names)
-    ]
-    return unpivot(lines.agg(*counts), steps).withColumn(
-        "rows_removed", F.col("rows_before") - F.col("rows_after")
+    before, after = (lambda i: F.col(f"left_{i}")), (lambda i: F.col(f"left_{i + 1}"))
+    return unpivot(
+        lines.agg(*counts),
+        ["step", "rule", "rows_before", "rows_after", "rows_removed"],
+        [(F.lit(i + 1), F.lit(name), before(i), after(i), before(i) - after(i)) for i, name in enumerate(names)],
     )

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from patronlens.operators.features import FEATURES
 from patronlens.operators.shaping import dimension
-from patronlens.operators.silhouette import silhouettes
+from patronlens.operators.silhouette import cluster_facts, silhouettes
 
 FIRST_SEED = 42
 RESTARTS = 10
@@ -34,16 +37,14 @@ class Centers:
     def nearest(self) -> Column:
         """Struct of (cost, cluster): squared distance to and id of the nearest center.
 
-        Plain arithmetic on literals; of equally near centers the first one wins.
+        Plain arithmetic on literals, given as SQL text because a sweep holds dozens
+        of centers.  Of equally near centers the first one wins.
         """
-        distances = []
+        structs = []
         for number, point in enumerate(self.points):
-            terms = [(F.col(c) - F.lit(float(x))) * (F.col(c) - F.lit(float(x))) for c, x in zip(FEATURES, point)]
-            total = terms[0]
-            for term in terms[1:]:
-                total = total + term
-            distances.append(F.struct(total.alias("cost"), F.lit(number).alias("cluster")))
-        return F.array_min(F.array(*distances))
+            terms = [f"(`{c}` - {float(x)!r}D) * (`{c}` - {float(x)!r}D)" for c, x in zip(FEATURES, point)]
+            structs.append(f"named_struct('cost', {' + '.join(terms)}, 'cluster', {number})")
+        return F.expr(f"array_min(array({', '.join(structs)}))")
 
     def assign(self, features: DataFrame) -> DataFrame:
         return features.withColumn("Cluster", self.nearest()["cluster"])
@@ -59,8 +60,8 @@ def fit_kmeans(
     restarts: int = RESTARTS,
     seed: int = FIRST_SEED,
     max_iter: int = 300,
-    tol: float = 1e-4,
-    parallelism: int = 4,
+    relative_tol: float = 1e-4,
+    parallelism: int = 8,
 ) -> dict[int, Centers]:
     """The cheapest of ``restarts`` fits for every k.
 
@@ -68,7 +69,11 @@ def fit_kmeans(
     (and on disk where memory is short) for all fits, and a lost block is read again
     from the stage table below.  A few driver threads submit fits side by side so
     that small iterations do not leave the cluster idle.
+
+    ``relative_tol`` bounds the summed squared moves of the centers relative to the
+    mean variance of the features.  MLlib bounds the move of each single center.
     """
+    variance = features.agg(reduce(add, [F.var_pop(c) for c in FEATURES]).alias("sum")).first()["sum"]
     vectors = (
         VectorAssembler(inputCols=FEATURES, outputCol="features")
         .transform(features.select(*FEATURES))
@@ -78,10 +83,12 @@ def fit_kmeans(
 
     def fit(job: tuple[int, int]) -> tuple[int, Centers]:
         k, s = job
+        tol = math.sqrt(relative_tol * variance / len(FEATURES) / k)
         model = KMeans(k=k, seed=s, initMode="k-means||", maxIter=max_iter, tol=tol).fit(vectors)
         return k, Centers([c.tolist() for c in model.clusterCenters()], model.summary.trainingCost)
 
-    jobs = [(k, seed + i) for k in ks for i in range(restarts)]
+    # The largest k take longest, so they go first.
+    jobs = [(k, seed + i) for k in sorted(ks, reverse=True) for i in range(restarts)]
     best: dict[int, Centers] = {}
     try:
         with ThreadPoolExecutor(parallelism) as pool:
@@ -95,15 +102,25 @@ def fit_kmeans(
 
 def measure(features: DataFrame, candidates: Mapping[int, Centers]) -> DataFrame:
     """The sweep table (k, inertia, silhouette): two passes over the rows for all k together."""
-    inertia = features.agg(*[F.sum(c.nearest()["cost"]).alias(f"k_{k}") for k, c in candidates.items()]).first()
-    scores = silhouettes(features, {k: c.nearest()["cluster"] for k, c in candidates.items()})
+    clusterings = {k: centers.nearest()["cluster"] for k, centers in candidates.items()}
+    facts = cluster_facts(features, clusterings)
+    scores = silhouettes(features, clusterings, facts=facts)
     ks = sorted(candidates)
     return dimension(
         features.sparkSession,
         k=ks,
-        inertia=[inertia[f"k_{k}"] for k in ks],
+        inertia=[_inertia(facts[k], candidates[k]) for k in ks],
         silhouette=[scores[k] for k in ks],
-    )
+    ).withColumn("k", F.col("k").cast("int"))
+
+
+def _inertia(facts: Sequence[Row], centers: Centers) -> float:
+    """Squared distances to a center sum to rows * (variance + squared offset of the mean)."""
+    total = 0.0
+    for fact in facts:
+        offsets = [fact[f"mean_{c}"] - x for c, x in zip(FEATURES, centers.points[fact["cluster"]])]
+        total += fact["rows"] * (fact["variance"] + sum(o * o for o in offsets))
+    return total
 
 
 def best_k(sweep: DataFrame) -> DataFrame:

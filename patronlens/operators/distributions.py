@@ -85,19 +85,14 @@ def funnel(rfm: DataFrame, active_days: int = 90) -> DataFrame:
     row = rfm.agg(*[F.count_if(c).alias(f"stage_{i}") for i, c in enumerate(conditions)])
     return unpivot(
         row,
-        [
-            (F.lit(i + 1).alias("stage_order"), F.lit(name).alias("stage"), F.col(f"stage_{i}").alias("customers"))
-            for i, name in enumerate(FUNNEL_STAGES)
-        ],
+        ["stage_order", "stage", "customers"],
+        [(F.lit(i + 1), F.lit(name), F.col(f"stage_{i}")) for i, name in enumerate(FUNNEL_STAGES)],
     )
 
 
 def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(
-        F.inline(
-            F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in columns])
-        )
-    ).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    entries = [(F.lit(c), F.col(c).cast("double")) for c in columns]
+    return unpivot(df, ["measure", "value"], entries).where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
 def _extent(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -63,5 +63,6 @@ def scaling_check(features: DataFrame) -> DataFrame:
     )
     return unpivot(
         row,
-        [(F.lit(c).alias("feature"), F.col(f"mean_{c}").alias("mean"), F.col(f"std_{c}").alias("std")) for c in FEATURES],
+        ["feature", "mean", "std"],
+        [(F.lit(c), F.col(f"mean_{c}"), F.col(f"std_{c}")) for c in FEATURES],
     )

@@ -34,8 +34,7 @@ def schema_listing(df: DataFrame) -> DataFrame:
 
 def missing_counts(df: DataFrame) -> DataFrame:
     counts = [F.count_if(is_missing(F.col(name), kind)).alias(name) for name, kind in df.dtypes]
-    entries = [(F.lit(c).alias("column"), F.col(c).alias("missing")) for c in df.columns]
-    return unpivot(df.agg(*counts), entries)
+    return unpivot(df.agg(*counts), ["column", "missing"], [(F.lit(c), F.col(c)) for c in df.columns])
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -51,16 +50,11 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             "count": F.count(c), "mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c), "max": F.max(c),
         }
         aggregates += [a.alias(f"{c}_{name}") for name, a in statistics.items()]
-        q25, q50, q75 = (F.lit(q).cast("double") for q in quartiles[c])
-        entries.append(
-            (
-                F.lit(c).alias("column"),
-                *[F.col(f"{c}_{name}").alias(name) for name in ("count", "mean", "std", "min")],
-                q25.alias("q25"), q50.alias("q50"), q75.alias("q75"),
-                F.col(f"{c}_max").alias("max"),
-            )
-        )
-    return unpivot(numbers.agg(*aggregates), entries)
+        before = [F.col(f"{c}_{name}") for name in ("count", "mean", "std", "min")]
+        edges = [F.lit(q).cast("double") for q in quartiles[c]]
+        entries.append((F.lit(c), *before, *edges, F.col(f"{c}_max")))
+    names = ["column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"]
+    return unpivot(numbers.agg(*aggregates), names, entries)
 
 
 def business_summary(clean: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from patronlens.operators.shaping import unpivot
 from patronlens.schemas import RFM
 
+_REPORT = ["check", "failed_rows"]
+
 
 def _missing_columns(df: DataFrame, required: list[str]) -> int:
     return len([c for c in required if c not in df.columns])
@@ -21,8 +23,9 @@ def quality_checks(clean: DataFrame, scored: DataFrame, sweep: DataFrame | None
     no_measure = F.lit(_missing_columns(scored, RFM)).cast("long")
     lines = unpivot(
         clean.select(F.lit(1).alias("one")).limit(1).agg(F.count("one").alias("any_rows")),
+        _REPORT,
         [
-            (F.lit("line_columns_present").alias("check"), absent.alias("failed_rows")),
+            (F.lit("line_columns_present"), absent),
             (F.lit("clean_lines_remain"), F.when(F.col("any_rows") > 0, 0).otherwise(1).cast("long")),
         ],
     )
@@ -31,8 +34,9 @@ def quality_checks(clean: DataFrame, scored: DataFrame, sweep: DataFrame | None
             F.count_if(~F.coalesce(F.col("Monetary") > 0, F.lit(False))).alias("not_positive"),
             F.count_if(F.col("RFM_Score").isNull()).alias("no_score"),
         ),
+        _REPORT,
         [
-            (F.lit("rfm_columns_present").alias("check"), no_measure.alias("failed_rows")),
+            (F.lit("rfm_columns_present"), no_measure),
             (F.lit("monetary_positive"), F.col("not_positive")),
             (F.lit("rfm_score_present"), F.col("no_score")),
         ],
@@ -41,12 +45,8 @@ def quality_checks(clean: DataFrame, scored: DataFrame, sweep: DataFrame | None
     if sweep is not None:
         best = unpivot(
             sweep.agg(F.max("silhouette").alias("best")),
-            [
-                (
-                    F.lit("best_silhouette_positive").alias("check"),
-                    F.when(F.col("best") > 0, 0).otherwise(1).cast("long").alias("failed_rows"),
-                )
-            ],
+            _REPORT,
+            [(F.lit("best_silhouette_positive"), F.when(F.col("best") > 0, 0).otherwise(1).cast("long"))],
         )
         checks = checks.unionByName(best)
     return checks

@@ -5,13 +5,14 @@ Shares and ranks are taken over the aggregated rows only, never over customers.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from patronlens.functions.columns import half_even, share
 from patronlens.operators.segments import cluster_means, rank_names, ranked_strategy
 from patronlens.schemas import CUSTOMER, RFM
 
-_ALL = Window.partitionBy()
+def _total(column: str) -> Column:
+    return F.sum(column).over(Window.partitionBy())
 
 
 def cluster_sizes(clustered: DataFrame) -> DataFrame:
@@ -19,10 +20,9 @@ def cluster_sizes(clustered: DataFrame) -> DataFrame:
 
 
 def cluster_shares(clustered: DataFrame) -> DataFrame:
-    total = F.sum("customers").over(_ALL)
     return (
         cluster_sizes(clustered)
-        .withColumn("pct_customers", share(F.col("customers"), total))
+        .withColumn("pct_customers", share(F.col("customers"), _total("customers")))
         .orderBy("Cluster")
     )
 
@@ -44,7 +44,7 @@ def cluster_revenue(clustered: DataFrame) -> DataFrame:
     return (
         clustered.groupBy("Cluster")
         .agg(F.count(F.lit(1)).alias("Count"), F.sum("Monetary").alias("Revenue"))
-        .withColumn("Pct", share(F.col("Revenue"), F.sum("Revenue").over(_ALL)))
+        .withColumn("Pct", share(F.col("Revenue"), _total("Revenue")))
         .orderBy(F.desc("Revenue"), "Cluster")
     )
 
@@ -57,8 +57,8 @@ def segment_summary(named: DataFrame) -> DataFrame:
         half_even(F.sum("Monetary"), 2).alias("Total_Revenue"),
     )
     shares = {
-        "Pct_Customers": half_even(share(F.col("Count"), F.sum("Count").over(_ALL)), 1),
-        "Pct_Revenue": half_even(share(F.col("Total_Revenue"), F.sum("Total_Revenue").over(_ALL)), 1),
+        "Pct_Customers": half_even(share(F.col("Count"), _total("Count")), 1),
+        "Pct_Revenue": half_even(share(F.col("Total_Revenue"), _total("Total_Revenue")), 1),
     }
     return rounded.withColumns(shares).orderBy(F.desc("Pct_Revenue"), "Segment_Name")
 

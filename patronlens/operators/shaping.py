@@ -8,9 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
-def unpivot(row: DataFrame, entries: Sequence[Sequence[Column]]) -> DataFrame:
-    """One output row per entry; every entry lists the same aliased columns."""
-    return row.select(F.inline(F.array(*[F.struct(*entry) for entry in entries])))
+def unpivot(row: DataFrame, names: Sequence[str], entries: Sequence[Sequence[Column]]) -> DataFrame:
+    """One output row per entry for every input row; ``names`` are the output columns."""
+    structs = [F.struct(*[c.alias(n) for c, n in zip(entry, names, strict=True)]) for entry in entries]
+    return row.select(F.inline(F.array(*structs)))
 
 
 def dimension(spark: SparkSession, **columns: list) -> DataFrame:

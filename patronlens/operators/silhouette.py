@@ -16,55 +16,83 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from patronlens.operators.features import FEATURES
+from patronlens.operators.shaping import unpivot
 from patronlens.sources.stages import stage
 
+Facts = Mapping[int, Sequence[Row]]
 
-def silhouettes(
+
+def cluster_facts(
     features: DataFrame, clusterings: Mapping[int, Column], columns: Sequence[str] = tuple(FEATURES)
-) -> dict[int, float]:
-    """Mean squared-distance silhouette of several clusterings of the same rows."""
-    members = features.select(
-        *columns,
-        F.inline(
-            F.array(
-                *[F.struct(F.lit(k).alias("k"), cluster.alias("cluster")) for k, cluster in clusterings.items()]
-            )
-        ),
-    )
-    facts = (
-        members.groupBy("k", "cluster")
+) -> Facts:
+    """Size, mean and variance of every cluster, for several clusterings in one pass."""
+    assigned = features.select(*columns, *[c.alias(f"cluster_{k}") for k, c in clusterings.items()])
+    entries = [(F.lit(k), F.col(f"cluster_{k}"), *map(F.col, columns)) for k in clusterings]
+    rows = (
+        unpivot(assigned, ["k", "cluster", *columns], entries)
+        .groupBy("k", "cluster")
         .agg(
             F.count(F.lit(1)).alias("rows"),
             *[F.avg(c).alias(f"mean_{c}") for c in columns],
             reduce(add, [F.var_pop(c) for c in columns]).alias("variance"),
         )
+        .orderBy("k", "cluster")
         .collect()
     )
-    clusters = defaultdict(list)
-    for row in facts:
-        clusters[row["k"]].append(row)
+    facts = defaultdict(list)
+    for row in rows:
+        facts[row["k"]].append(row)
+    return facts
+
+
+def silhouettes(
+    features: DataFrame,
+    clusterings: Mapping[int, Column],
+    columns: Sequence[str] = tuple(FEATURES),
+    facts: Facts | None = None,
+) -> dict[int, float]:
+    """Mean squared-distance silhouette of several clusterings of the same rows."""
+    facts = cluster_facts(features, clusterings, columns) if facts is None else facts
     for k in clusterings:
-        if len(clusters[k]) < 2:
-            raise ValueError(f"a silhouette needs at least two clusters, clustering {k} has {len(clusters[k])}")
-    row = features.agg(
-        *[F.avg(_row_score(cluster, clusters[k], columns)).alias(f"k_{k}") for k, cluster in clusterings.items()]
-    ).first()
+        if len(facts[k]) < 2:
+            raise ValueError(f"a silhouette needs at least two clusters, clustering {k} has {len(facts[k])}")
+    # Built as SQL text: the same expressions put together from Python objects take
+    # longer to build than to run when there are dozens of clusters.
+    distances = [
+        f"{_mean_distance(fact, columns)} AS distance_{k}_{i}" for k in clusterings for i, fact in enumerate(facts[k])
+    ]
+    sides = [text for k in clusterings for text in (_own(k, facts[k]), _other(k, facts[k]))]
+    row = (
+        features.select(*columns, *[c.alias(f"cluster_{k}") for k, c in clusterings.items()])
+        .selectExpr(*[f"cluster_{k}" for k in clusterings], *distances)
+        .selectExpr(*sides)
+        .agg(*[F.avg(_score(F.col(f"own_{k}"), F.col(f"other_{k}"))).alias(f"k_{k}") for k in clusterings])
+        .first()
+    )
     return {k: row[f"k_{k}"] for k in clusterings}
 
 
-def _row_score(cluster: Column, facts: Sequence, columns: Sequence[str]) -> Column:
-    own, others = F.lit(None).cast("double"), []
-    for fact in facts:
-        offsets = [F.col(c) - F.lit(fact[f"mean_{c}"]) for c in columns]
-        distance = reduce(add, [o * o for o in offsets]) + F.lit(fact["variance"])
-        inside = cluster == F.lit(fact["cluster"])
-        if fact["rows"] > 1:
-            own = F.when(inside, distance * F.lit(fact["rows"] / (fact["rows"] - 1))).otherwise(own)
-        others.append(F.when(~inside, distance))
-    return _score(own, F.least(*others))
+def _mean_distance(fact: Row, columns: Sequence[str]) -> str:
+    squares = [f"(`{c}` - {fact[f'mean_{c}']!r}D) * (`{c}` - {fact[f'mean_{c}']!r}D)" for c in columns]
+    return " + ".join([*squares, f"{fact['variance']!r}D"])
+
+
+def _own(k: int, facts: Sequence[Row]) -> str:
+    """Mean distance to the other members; NULL for an only member."""
+    cases = [
+        f"WHEN {fact['cluster']} THEN distance_{k}_{i} * {fact['rows'] / (fact['rows'] - 1)!r}D"
+        for i, fact in enumerate(facts) if fact["rows"] > 1
+    ]
+    return f"CASE cluster_{k} {' '.join(cases)} END AS own_{k}" if cases else f"CAST(NULL AS DOUBLE) AS own_{k}"
+
+
+def _other(k: int, facts: Sequence[Row]) -> str:
+    """Mean distance to the nearest other cluster."""
+    distances = [f"IF(cluster_{k} <> {fact['cluster']}, distance_{k}_{i}, NULL)" for i, fact in enumerate(facts)]
+    return f"least({', '.join(distances)}) AS other_{k}"
 
 
 def _score(own: Column, other: Column) -> Column:

@@ -42,7 +42,7 @@ def segment_customers(
     choose: str = "business",
     naming: str = "rank",
     restarts: int = RESTARTS,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> Segmentation:
     """Scale, sweep over k (or take the given one), assign and name.
 
