@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, functions as F
 
@@ -19,8 +20,7 @@ def above_zero(column: Column) -> Column:
 
     Spark orders NaN above every number, so a bare ``> 0`` would keep it.
     """
-    number = column.cast("double")
-    return (number > 0) & ~F.isnan(number)
+    return (column > 0) & ~F.isnan(column.cast("double"))
 
 
 def not_cancelled(invoice: Column) -> Column:
@@ -32,6 +32,11 @@ def not_cancelled(invoice: Column) -> Column:
     return text.isNull() | ~F.startswith(text, F.lit("C"))
 
 
+def wall_clock(moment: datetime) -> Column:
+    """A time stamp without zone.  A bare literal would be an instant and shift with the session zone."""
+    return F.lit(moment.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def whole_days(start: Column, end: Column) -> Column:
     """Whole days from start to end, rounded down also when end lies before start.
 

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from patronlens.functions.columns import whole_days
+from patronlens.functions.columns import wall_clock, whole_days
 from patronlens.schemas import CUSTOMER, RFM
 from patronlens.sources.stages import stage
 
@@ -40,6 +40,6 @@ def build_rfm(clean: DataFrame, snapshot: datetime | None = None) -> DataFrame:
     date, for every quantile and for the scores, all of which must see the same sums.
     """
     totals = stage(customer_totals(clean), "customer-totals")
-    at = snapshot_after(totals) if snapshot is None else F.lit(snapshot).cast("timestamp_ntz")
+    at = snapshot_after(totals) if snapshot is None else wall_clock(snapshot)
     recency = whole_days(F.col("LastPurchase"), at).alias("Recency")
     return totals.select(CUSTOMER, recency, *RFM[1:])

@@ -11,7 +11,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patronlens.functions.columns import half_even
+from patronlens.functions.columns import wall_clock
 from patronlens.operators import cleaning, distributions, profiling, reports, segments
 from patronlens.operators.clustering import Centers, best_k, business_k, by_mean_monetary, measure
 from patronlens.operators.features import FEATURES, fit_robust, fit_standard, log_measures, scaling_check
@@ -132,7 +132,7 @@ def union_yearly_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Two sources with the older column names, stacked and renamed."""
     older = {new: old for old, new in LEGACY_NAMES.items()}
     lines = order_lines(spark, folder, SALE_COLUMNS).withColumnsRenamed(older)
-    cut = F.lit(datetime(1998, 1, 1)).cast("timestamp_ntz")
+    cut = wall_clock(datetime(1998, 1, 1))
     both = csv_lines.union_sources(
         [lines.where(F.col("InvoiceDate") < cut), lines.where(F.col("InvoiceDate") >= cut)]
     )
