@@ -14,8 +14,9 @@ The driver sees a few numbers per rank and never a customer row.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from operator import or_
 
@@ -29,125 +30,131 @@ SKETCH_ACCURACY = 10_000
 
 @dataclass
 class Target:
-    """A wanted rank (0-based) among the rows that satisfy ``where``."""
+    """Wanted ranks (0-based) among the rows that satisfy ``where``, of which there are ``rows``."""
 
     where: Column
-    rank: int
+    ranks: Sequence[int]
     rows: int
 
 
-@dataclass
+@dataclass(frozen=True)
 class _Bracket:
+    """Values from low to high (all, where low is None) of one target, and the ranks that lie in them."""
+
+    target: int
+    where: Column
+    ranks: tuple[int, ...]
+    inside: int
+    distinct: int
+    below: int = 0
     low: object = None
     high: object = None
-    below: int = 0
-    inside: int = 0
-    distinct: int = 0
     margin: float = 3.0 / SKETCH_ACCURACY
 
     def holds(self, value: Column) -> Column:
-        if self.low is None:
-            return value.isNotNull()
-        return value.between(F.lit(self.low), F.lit(self.high))
+        inside = value.isNotNull() if self.low is None else value.between(F.lit(self.low), F.lit(self.high))
+        return self.where & inside
+
+    def ends(self) -> list[float]:
+        """Two probabilities around each rank, as far apart as the sketch may err."""
+        positions = [(rank - self.below) / max(self.inside - 1, 1) for rank in self.ranks]
+        return [min(max(p + m, 0.0), 1.0) for p in positions for m in (-self.margin, self.margin)]
 
 
 def order_statistics(
     df: DataFrame, value: str, targets: Sequence[Target], one_task_values: int = ONE_TASK_VALUES
-) -> list:
-    """Exact value at each target's rank, in the order of the targets."""
+) -> list[dict[int, object]]:
+    """For each target, the exact value at each of its ranks."""
     column = F.col(value)
-    brackets = [_Bracket(inside=t.rows, distinct=t.rows) for t in targets]
-
-    def open_targets() -> list[int]:
-        return [
-            i for i, b in enumerate(brackets)
-            if b.distinct > one_task_values and (b.low is None or b.low != b.high)
-        ]
-
-    while pending := open_targets():
-        _narrow(df, column, targets, brackets, pending)
-
-    found = {i: b.low for i, b in enumerate(brackets) if b.low is not None and b.low == b.high}
-    found.update(_rank_inside(df, column, targets, brackets, [i for i in range(len(targets)) if i not in found]))
-    return [found[i] for i in range(len(targets))]
-
-
-def _narrow(
-    df: DataFrame, column: Column, targets: Sequence[Target], brackets: list[_Bracket], pending: list[int]
-) -> None:
-    """Shrink the pending brackets around their ranks: one sketch pass, one counting pass."""
-    sketches = []
-    for i in pending:
-        bracket, target = brackets[i], targets[i]
-        position = (target.rank - bracket.below) / max(bracket.inside - 1, 1)
-        ends = [max(position - bracket.margin, 0.0), min(position + bracket.margin, 1.0)]
-        rows = F.when(target.where & bracket.holds(column), column)
-        sketches.append(F.percentile_approx(rows, ends, SKETCH_ACCURACY).alias(f"ends_{i}"))
-    ends = _scan(df, targets, brackets, column, pending).agg(*sketches).first()
+    brackets = [
+        _Bracket(i, t.where, tuple(sorted(set(t.ranks))), t.rows, t.rows) for i, t in enumerate(targets)
+    ]
+    ready: list[_Bracket] = []
+    while brackets:
+        large = [b for b in brackets if b.distinct > one_task_values]
+        ready += [b for b in brackets if b.distinct <= one_task_values]
+        brackets = _narrow(df, column, large) if large else []
+    found: list[dict[int, object]] = [{} for _ in targets]
+    for bracket, rank, at in _rank_inside(df, column, ready):
+        found[bracket.target][rank] = at
+    return found
+
+
+def _narrow(df: DataFrame, column: Column, brackets: Sequence[_Bracket]) -> list[_Bracket]:
+    """Smaller brackets for the same ranks: one sketch pass, one counting pass."""
+    sketches = [
+        F.percentile_approx(F.when(b.holds(column), column), b.ends(), SKETCH_ACCURACY).alias(f"ends_{i}")
+        for i, b in enumerate(brackets)
+    ]
+    row = _rows_of(df, column, brackets).agg(*sketches).first()
+    # Neighbouring ranks mostly get the same ends and then share a bracket.
+    cuts = defaultdict(list)
+    for i, b in enumerate(brackets):
+        for j, rank in enumerate(b.ranks):
+            low, high = row[f"ends_{i}"][2 * j: 2 * j + 2]
+            cuts[i, low, high].append(rank)
 
     counts = []
-    for i in pending:
-        low, high = (F.lit(v) for v in ends[f"ends_{i}"])
-        where = targets[i].where
+    for n, (i, low, high) in enumerate(cuts):
+        where, inside = brackets[i].where, column.between(F.lit(low), F.lit(high))
         counts += [
-            F.count_if(where & (column < low)).alias(f"below_{i}"),
-            F.count_if(where & column.between(low, high)).alias(f"inside_{i}"),
-            F.approx_count_distinct(F.when(where & column.between(low, high), column)).alias(f"distinct_{i}"),
+            F.count_if(where & (column < F.lit(low))).alias(f"below_{n}"),
+            F.count_if(where & inside).alias(f"inside_{n}"),
+            F.approx_count_distinct(F.when(where & inside, column)).alias(f"distinct_{n}"),
         ]
     row = df.agg(*counts).first()
 
-    for i in pending:
-        bracket, below, inside = brackets[i], row[f"below_{i}"], row[f"inside_{i}"]
-        rank_is_inside = below <= targets[i].rank < below + inside
-        shrinks = bracket.low is None or (ends[f"ends_{i}"][0], ends[f"ends_{i}"][1]) != (bracket.low, bracket.high)
-        if rank_is_inside and shrinks:
-            bracket.low, bracket.high = ends[f"ends_{i}"]
-            bracket.below, bracket.inside = below, inside
-            # The distinct count is itself approximate: leave room for its error.
-            bracket.distinct = min(inside, math.ceil(row[f"distinct_{i}"] * 1.25))
-        elif rank_is_inside:
-            # Nothing left to cut away: the bracket is as small as the sketch makes it.
-            bracket.distinct = 0
-        else:
-            bracket.margin *= 4
-
-
-def _scan(
-    df: DataFrame, targets: Sequence[Target], brackets: list[_Bracket], column: Column, chosen: list[int]
-) -> DataFrame:
-    """Rows that at least one of the chosen targets still needs."""
-    return df.where(reduce(or_, [targets[i].where & brackets[i].holds(column) for i in chosen]))
+    smaller, missed = [], defaultdict(list)
+    for n, ((i, low, high), ranks) in enumerate(cuts.items()):
+        below, inside = row[f"below_{n}"], row[f"inside_{n}"]
+        # The distinct count is approximate too: leave room for its error.
+        distinct = min(inside, math.ceil(row[f"distinct_{n}"] * 1.25))
+        if low == high or (low, high) == (brackets[i].low, brackets[i].high):
+            # A single value, or as small as the sketch can make it: rank what is there.
+            distinct = 0
+        hits = tuple(r for r in ranks if below <= r < below + inside)
+        missed[i] += [r for r in ranks if r not in hits]
+        if hits:
+            smaller.append(
+                replace(brackets[i], ranks=hits, below=below, inside=inside, distinct=distinct, low=low, high=high)
+            )
+    wider = [replace(brackets[i], ranks=tuple(r), margin=brackets[i].margin * 4) for i, r in missed.items() if r]
+    return smaller + wider
+
+
+def _rows_of(df: DataFrame, column: Column, brackets: Sequence[_Bracket]) -> DataFrame:
+    return df.where(reduce(or_, [b.holds(column) for b in brackets]))
 
 
 def _rank_inside(
-    df: DataFrame, column: Column, targets: Sequence[Target], brackets: list[_Bracket], chosen: list[int]
-) -> dict[int, object]:
-    if not chosen:
-        return {}
-    wanted = F.array(
-        *[
-            F.when(
-                targets[i].where & brackets[i].holds(column),
-                F.struct(F.lit(i).alias("target"), F.lit(targets[i].rank - brackets[i].below).alias("rank")),
-            )
-            for i in chosen
-        ]
-    )
+    df: DataFrame, column: Column, brackets: Sequence[_Bracket]
+) -> list[tuple[_Bracket, int, object]]:
+    """Exact values at the ranks of brackets that are small enough to rank."""
+    entries = [
+        F.when(
+            b.holds(column),
+            F.struct(
+                F.lit(i).alias("bracket"),
+                F.array(*[F.lit(r - b.below).cast("long") for r in b.ranks]).alias("ranks"),
+            ),
+        )
+        for i, b in enumerate(brackets)
+    ]
     counted = (
-        _scan(df, targets, brackets, column, chosen)
-        .select(column.alias("value"), F.inline(F.array_compact(wanted)))
-        .groupBy("target", "rank", "value")
+        _rows_of(df, column, brackets)
+        .select(column.alias("value"), F.inline(F.array_compact(F.array(*entries))))
+        .groupBy("bracket", "ranks", "value")
         .count()
     )
     # Each window partition holds the distinct values of one bracket, at most one_task_values.
-    running = Window.partitionBy("target").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    rows = (
-        counted.withColumn("up_to", F.sum("count").over(running))
-        .where((F.col("rank") < F.col("up_to")) & (F.col("rank") >= F.col("up_to") - F.col("count")))
-        .select("target", "value")
-        .collect()
-    )
-    return {r["target"]: r["value"] for r in rows}
+    running = Window.partitionBy("bracket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.withColumn("up_to", F.sum("count").over(running))
+
+    def here(rank: Column) -> Column:
+        return (rank < F.col("up_to")) & (rank >= F.col("up_to") - F.col("count"))
+
+    rows = placed.select("bracket", "value", F.explode(F.filter("ranks", here)).alias("rank")).collect()
+    return [(brackets[r["bracket"]], r["rank"] + brackets[r["bracket"]].below, r["value"]) for r in rows]
 
 
 def exact_quantiles(
@@ -189,9 +196,8 @@ def _narrowed_quantiles(
 ) -> list[float]:
     values = df.select(_number(column).alias("value"))
     positions = [(rows - 1) * p for p in probabilities]
-    ranks = sorted({r for p in positions for r in (math.floor(p), math.ceil(p))})
-    targets = [Target(F.col("value").isNotNull(), r, rows) for r in ranks]
-    at = dict(zip(ranks, order_statistics(values, "value", targets, one_task_values)))
+    ranks = [r for p in positions for r in (math.floor(p), math.ceil(p))]
+    (at,) = order_statistics(values, "value", [Target(F.lit(True), ranks, rows)], one_task_values)
 
     def between(position: float) -> float:
         low, high = math.floor(position), math.ceil(position)

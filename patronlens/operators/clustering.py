@@ -12,11 +12,11 @@ from operator import add
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 from patronlens.operators.features import FEATURES
 from patronlens.operators.shaping import dimension
-from patronlens.operators.silhouette import cluster_facts, silhouettes
+from patronlens.operators.silhouette import cluster_facts, silhouette
 
 FIRST_SEED = 42
 RESTARTS = 10
@@ -34,20 +34,29 @@ class Centers:
     def k(self) -> int:
         return len(self.points)
 
-    def nearest(self) -> Column:
-        """Struct of (cost, cluster): squared distance to and id of the nearest center.
+    def assign(self, features: DataFrame, cost: str | None = None) -> DataFrame:
+        """Adds Cluster, the nearest center, and on request the squared distance to it.
 
-        Plain arithmetic on literals, given as SQL text because a sweep holds dozens
-        of centers.  Of equally near centers the first one wins.
+        Plain arithmetic on literals, so it stays inside generated code: every
+        distance is a column, the cost is the least of them, and the first center
+        at that cost is the cluster.
         """
-        structs = []
-        for number, point in enumerate(self.points):
-            terms = [f"(`{c}` - {float(x)!r}D) * (`{c}` - {float(x)!r}D)" for c, x in zip(FEATURES, point)]
-            structs.append(f"named_struct('cost', {' + '.join(terms)}, 'cluster', {number})")
-        return F.expr(f"array_min(array({', '.join(structs)}))")
-
-    def assign(self, features: DataFrame) -> DataFrame:
-        return features.withColumn("Cluster", self.nearest()["cluster"])
+        numbers = range(self.k)
+        distances = [f"{self._squared_distance(i)} AS __distance_{i}" for i in numbers]
+        least = f"least({', '.join(f'__distance_{i}' for i in numbers)})" if self.k > 1 else "__distance_0"
+        cases = [f"WHEN __distance_{i} = __cost THEN {i}" for i in numbers]
+        assigned = (
+            features.selectExpr("*", *distances)
+            .selectExpr("*", f"{least} AS __cost")
+            .selectExpr("*", f"CASE {' '.join(cases)} END AS Cluster")
+        )
+        return assigned.select(
+            *features.columns, "Cluster", *([F.col("__cost").alias(cost)] if cost else [])
+        )
+
+    def _squared_distance(self, number: int) -> str:
+        point = map(float, self.points[number])
+        return " + ".join(f"(`{c}` - {x!r}D) * (`{c}` - {x!r}D)" for c, x in zip(FEATURES, point))
 
     def reordered(self, order: Sequence[int]) -> Centers:
         return Centers([self.points[i] for i in order], self.cost)
@@ -100,18 +109,23 @@ def fit_kmeans(
     return best
 
 
-def measure(features: DataFrame, candidates: Mapping[int, Centers]) -> DataFrame:
-    """The sweep table (k, inertia, silhouette): two passes over the rows for all k together."""
-    clusterings = {k: centers.nearest()["cluster"] for k, centers in candidates.items()}
-    facts = cluster_facts(features, clusterings)
-    scores = silhouettes(features, clusterings, facts=facts)
-    ks = sorted(candidates)
-    return dimension(
-        features.sparkSession,
-        k=ks,
-        inertia=[_inertia(facts[k], candidates[k]) for k in ks],
-        silhouette=[scores[k] for k in ks],
-    ).withColumn("k", F.col("k").cast("int"))
+def measure(features: DataFrame, candidates: Mapping[int, Centers], parallelism: int = 8) -> DataFrame:
+    """The sweep table (k, inertia, silhouette).
+
+    Two passes per k, several k side by side.  One pass for all k at once would hold
+    so many centers that its generated code grows past what the JVM compiles.
+    """
+
+    def one(k: int) -> tuple[int, float, float]:
+        clustered = candidates[k].assign(features)
+        facts = cluster_facts(clustered)
+        return k, _inertia(facts, candidates[k]), silhouette(clustered, facts=facts)
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        rows = list(pool.map(inheritable_thread_target(features.sparkSession)(one), sorted(candidates)))
+    ks, inertias, scores = zip(*rows)
+    sweep = dimension(features.sparkSession, k=list(ks), inertia=list(inertias), silhouette=list(scores))
+    return sweep.withColumn("k", F.col("k").cast("int"))
 
 
 def _inertia(facts: Sequence[Row], centers: Centers) -> float:

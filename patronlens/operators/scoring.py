@@ -9,9 +9,11 @@ global window: a score compares a row with four known cut points.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from operator import add
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from patronlens.functions.quantiles import ONE_TASK_VALUES, Target, exact_quantiles, order_statistics
@@ -41,10 +43,15 @@ def score_customers(
         raise ValueError(f"labels must name {BINS} bins, got {len(labels)}")
     if recency_order not in ("ascending", "descending") or duplicates not in ("raise", "drop"):
         raise ValueError(f"unknown option: {recency_order!r} / {duplicates!r}")
-    edges = quintile_edges(rfm, ["Recency", "Monetary"], duplicates, one_task_values)
+    # Two independent sets of small jobs: submitted side by side.
+    together = inheritable_thread_target(rfm.sparkSession)
+    with ThreadPoolExecutor(2) as pool:
+        cutting = pool.submit(together(quintile_edges), rfm, ["Recency", "Monetary"], duplicates, one_task_values)
+        ranking = pool.submit(together(frequency_cutoffs), rfm, one_task_values)
+        edges, cutoffs = cutting.result(), ranking.result()
     numbers = {
         "R_Score": bin_of("Recency", edges["Recency"], descending=recency_order == "descending"),
-        "F_Score": frequency_score(frequency_cutoffs(rfm, one_task_values)),
+        "F_Score": frequency_score(cutoffs),
         "M_Score": bin_of("Monetary", edges["Monetary"]),
     }
     scored = rfm.withColumns(numbers)
@@ -116,11 +123,12 @@ def frequency_cutoffs(rfm: DataFrame, one_task_values: int = ONE_TASK_VALUES) ->
     )
     if not rows or rows[0]["total"] < 2:
         raise ValueError("frequency ranks need at least two customers")
-    targets = [
-        Target(F.col("Frequency") == F.lit(r["Frequency"]), r["rank"] - r["before"], r["customers"]) for r in rows
-    ]
+    inside = {}
+    for r in rows:
+        inside.setdefault((r["Frequency"], r["customers"]), []).append(r["rank"] - r["before"])
+    targets = [Target(F.col("Frequency") == F.lit(f), ranks, count) for (f, count), ranks in inside.items()]
     ids = order_statistics(rfm.select("Frequency", CUSTOMER), CUSTOMER, targets, one_task_values)
-    return [(r["Frequency"], i) for r, i in zip(rows, ids)]
+    return [(f, at[rank]) for ((f, _), ranks), at in zip(inside.items(), ids) for rank in ranks]
 
 
 def frequency_score(cutoffs: Sequence[tuple[int, int]]) -> Column:

@@ -1,6 +1,6 @@
 """Mean silhouette of a clustering.
 
-``silhouettes`` uses squared Euclidean distances.  The mean squared distance from a
+``silhouette`` uses squared Euclidean distances.  The mean squared distance from a
 point to a cluster is its squared distance to the cluster mean plus the cluster's
 variance, so the exact score of every row needs two passes and no pairs.
 
@@ -11,68 +11,50 @@ small, and it is meant for tables of up to a few hundred thousand customers.
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from patronlens.operators.features import FEATURES
-from patronlens.operators.shaping import unpivot
 from patronlens.sources.stages import stage
 
-Facts = Mapping[int, Sequence[Row]]
-
 
 def cluster_facts(
-    features: DataFrame, clusterings: Mapping[int, Column], columns: Sequence[str] = tuple(FEATURES)
-) -> Facts:
-    """Size, mean and variance of every cluster, for several clusterings in one pass."""
-    assigned = features.select(*columns, *[c.alias(f"cluster_{k}") for k, c in clusterings.items()])
-    entries = [(F.lit(k), F.col(f"cluster_{k}"), *map(F.col, columns)) for k in clusterings]
-    rows = (
-        unpivot(assigned, ["k", "cluster", *columns], entries)
-        .groupBy("k", "cluster")
+    clustered: DataFrame, columns: Sequence[str] = tuple(FEATURES), cluster: str = "Cluster"
+) -> list[Row]:
+    """Size, mean and variance of every cluster: one row per cluster."""
+    return (
+        clustered.groupBy(F.col(cluster).alias("cluster"))
         .agg(
             F.count(F.lit(1)).alias("rows"),
             *[F.avg(c).alias(f"mean_{c}") for c in columns],
             reduce(add, [F.var_pop(c) for c in columns]).alias("variance"),
         )
-        .orderBy("k", "cluster")
+        .orderBy("cluster")
         .collect()
     )
-    facts = defaultdict(list)
-    for row in rows:
-        facts[row["k"]].append(row)
-    return facts
 
 
-def silhouettes(
-    features: DataFrame,
-    clusterings: Mapping[int, Column],
+def silhouette(
+    clustered: DataFrame,
     columns: Sequence[str] = tuple(FEATURES),
-    facts: Facts | None = None,
-) -> dict[int, float]:
-    """Mean squared-distance silhouette of several clusterings of the same rows."""
-    facts = cluster_facts(features, clusterings, columns) if facts is None else facts
-    for k in clusterings:
-        if len(facts[k]) < 2:
-            raise ValueError(f"a silhouette needs at least two clusters, clustering {k} has {len(facts[k])}")
-    # Built as SQL text: the same expressions put together from Python objects take
-    # longer to build than to run when there are dozens of clusters.
-    distances = [
-        f"{_mean_distance(fact, columns)} AS distance_{k}_{i}" for k in clusterings for i, fact in enumerate(facts[k])
-    ]
-    sides = [text for k in clusterings for text in (_own(k, facts[k]), _other(k, facts[k]))]
-    row = (
-        features.select(*columns, *[c.alias(f"cluster_{k}") for k, c in clusterings.items()])
-        .selectExpr(*[f"cluster_{k}" for k in clusterings], *distances)
-        .selectExpr(*sides)
-        .agg(*[F.avg(_score(F.col(f"own_{k}"), F.col(f"other_{k}"))).alias(f"k_{k}") for k in clusterings])
-        .first()
+    cluster: str = "Cluster",
+    facts: Sequence[Row] | None = None,
+) -> float:
+    """Exact mean silhouette with squared distances; ``facts`` saves the first pass."""
+    facts = cluster_facts(clustered, columns, cluster) if facts is None else facts
+    if len(facts) < 2:
+        raise ValueError(f"a silhouette needs at least two clusters, got {len(facts)}")
+    return (
+        clustered.selectExpr(
+            f"`{cluster}` AS own_cluster", *[f"{_mean_distance(f, columns)} AS distance_{i}" for i, f in enumerate(facts)]
+        )
+        .selectExpr(_own(facts), _other(facts))
+        .agg(F.avg(_score(F.col("own"), F.col("other"))).alias("mean"))
+        .first()["mean"]
     )
-    return {k: row[f"k_{k}"] for k in clusterings}
 
 
 def _mean_distance(fact: Row, columns: Sequence[str]) -> str:
@@ -80,19 +62,19 @@ def _mean_distance(fact: Row, columns: Sequence[str]) -> str:
     return " + ".join([*squares, f"{fact['variance']!r}D"])
 
 
-def _own(k: int, facts: Sequence[Row]) -> str:
+def _own(facts: Sequence[Row]) -> str:
     """Mean distance to the other members; NULL for an only member."""
     cases = [
-        f"WHEN {fact['cluster']} THEN distance_{k}_{i} * {fact['rows'] / (fact['rows'] - 1)!r}D"
-        for i, fact in enumerate(facts) if fact["rows"] > 1
+        f"WHEN {f['cluster']} THEN distance_{i} * {f['rows'] / (f['rows'] - 1)!r}D"
+        for i, f in enumerate(facts) if f["rows"] > 1
     ]
-    return f"CASE cluster_{k} {' '.join(cases)} END AS own_{k}" if cases else f"CAST(NULL AS DOUBLE) AS own_{k}"
+    return f"CASE own_cluster {' '.join(cases)} END AS own" if cases else "CAST(NULL AS DOUBLE) AS own"
 
 
-def _other(k: int, facts: Sequence[Row]) -> str:
+def _other(facts: Sequence[Row]) -> str:
     """Mean distance to the nearest other cluster."""
-    distances = [f"IF(cluster_{k} <> {fact['cluster']}, distance_{k}_{i}, NULL)" for i, fact in enumerate(facts)]
-    return f"least({', '.join(distances)}) AS other_{k}"
+    distances = [f"IF(own_cluster <> {f['cluster']}, distance_{i}, NULL)" for i, f in enumerate(facts)]
+    return f"least({', '.join(distances)}) AS other"
 
 
 def _score(own: Column, other: Column) -> Column:

@@ -19,7 +19,7 @@ from patronlens.operators.projection import fit_components
 from patronlens.operators.quality import quality_checks
 from patronlens.operators.rfm import build_rfm, customer_totals, snapshot_after
 from patronlens.operators.scoring import frequency_cutoffs, frequency_score, score_customers
-from patronlens.operators.silhouette import silhouettes
+from patronlens.operators.silhouette import silhouette
 from patronlens.plans.pipelines import VARIANTS, segment_customers
 from patronlens.schemas import CLEAN_COLUMNS, CUSTOMER, LEGACY_NAMES, LINE_COLUMNS, RFM, SCORES
 from patronlens.sources import csv_lines, exports, stages
@@ -314,13 +314,13 @@ def fixed_center_assignment(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fixed_center_inertia(spark: SparkSession, folder: str) -> DataFrame:
-    return _robust(spark, folder).agg(F.round(F.sum(ROBUST_CENTERS.nearest()["cost"]), 4).alias("inertia"))
+    clustered = ROBUST_CENTERS.assign(_robust(spark, folder), cost="cost")
+    return clustered.agg(F.round(F.sum("cost"), 4).alias("inertia"))
 
 
 def silhouette_squared(spark: SparkSession, folder: str) -> DataFrame:
-    scores = silhouettes(_robust(spark, folder), {ROBUST_CENTERS.k: ROBUST_CENTERS.nearest()["cluster"]})
-    rows = [(k, round(score, 6)) for k, score in scores.items()]
-    return spark.createDataFrame(rows, "k int, silhouette double")
+    score = silhouette(_clustered(spark, folder))
+    return spark.createDataFrame([(ROBUST_CENTERS.k, round(score, 6))], "k int, silhouette double")
 
 
 def k_sweep(spark: SparkSession, folder: str) -> DataFrame:

@@ -52,12 +52,12 @@ def test_missing_values_do_not_count(spark):
 def test_any_rank_of_any_values(spark, values, data):
     rank = data.draw(st.integers(0, len(values) - 1))
     df = spark.createDataFrame([(v,) for v in values], "v bigint")
-    target = Target(F.col("v").isNotNull(), rank, len(values))
-    assert order_statistics(df, "v", [target], one_task_values=3) == [sorted(values)[rank]]
+    target = Target(F.lit(True), [rank], len(values))
+    assert order_statistics(df, "v", [target], one_task_values=3) == [{rank: sorted(values)[rank]}]
 
 
 def test_targets_may_look_at_different_rows(spark):
     df = spark.createDataFrame([(g, i) for g in range(3) for i in range(200)], "g int, v bigint")
-    targets = [Target(F.col("g") == 0, 0, 200), Target(F.col("g") == 2, 150, 200), Target(F.col("g") == 2, 151, 200)]
+    targets = [Target(F.col("g") == 0, [0], 200), Target(F.col("g") == 2, [150, 151, 199], 200)]
     for limit in (10, 1000):
-        assert order_statistics(df, "v", targets, limit) == [0, 150, 151]
+        assert order_statistics(df, "v", targets, limit) == [{0: 0}, {150: 150, 151: 151, 199: 199}]

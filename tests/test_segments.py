@@ -14,7 +14,7 @@ from patronlens.operators.clustering import Centers, best_k, business_k, by_mean
 from patronlens.operators.features import FEATURES, fit_robust, fit_standard, scaling_check
 from patronlens.operators.projection import fit_components
 from patronlens.operators.quality import quality_checks
-from patronlens.operators.silhouette import silhouette_euclidean, silhouettes
+from patronlens.operators.silhouette import silhouette, silhouette_euclidean
 from patronlens.plans.pipelines import VARIANTS, segment_customers
 from patronlens.operators.scoring import score_customers
 
@@ -75,7 +75,7 @@ def test_silhouettes_equal_brute_force_and_mllib(spark):
     points, clusters = blobs()
     clusters[3], clusters[70] = 1, 2
     df = points_frame(spark, points, clusters)
-    found = silhouettes(df, {3: F.col("Cluster")})[3]
+    found = silhouette(df)
     assert found == pytest.approx(brute_silhouette(points, clusters, 1.0), abs=1e-12)
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(df)
     mllib = ClusteringEvaluator(predictionCol="Cluster").evaluate(vectors)
@@ -95,13 +95,13 @@ def test_euclidean_silhouette_equals_brute_force(spark, block_points):
 def test_only_members_score_zero(spark):
     points, clusters = [(0, 0, 0), (1, 0, 0), (9, 0, 0)], [0, 0, 1]
     df = points_frame(spark, points, clusters)
-    assert silhouettes(df, {2: F.col("Cluster")})[2] == pytest.approx(brute_silhouette(points, clusters, 1.0))
+    assert silhouette(df) == pytest.approx(brute_silhouette(points, clusters, 1.0))
 
 
 def test_one_cluster_has_no_silhouette(spark):
     df = points_frame(spark, [(0, 0, 0), (1, 1, 1)], [0, 0])
     with pytest.raises(ValueError, match="two clusters"):
-        silhouettes(df, {1: F.col("Cluster")})
+        silhouette(df)
     with pytest.raises(ValueError, match="two clusters"):
         silhouette_euclidean(df)
 
@@ -124,6 +124,8 @@ def test_equally_near_centers_go_to_the_first(spark):
     df = points_frame(spark, [(0, 0, 0)])
     centers = Centers([(1, 0, 0), (-1, 0, 0)])
     assert centers.assign(df).first()["Cluster"] == 0
+    row = Centers([(3, 4, 0)]).assign(df, cost="cost").first()
+    assert (row["Cluster"], row["cost"]) == (0, 25.0)
 
 
 def sweep_table(spark, scores):
