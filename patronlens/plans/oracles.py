@@ -433,7 +433,8 @@ FROM features""" for c in "RFM")),
     "fixed_center_inertia": _with(CLUSTERED, "SELECT round(sum(cost), 4) AS inertia FROM assigned"),
     "silhouette_squared": _with(CLUSTERED + SILHOUETTE, """
 SELECT CAST(k AS INTEGER) AS k, round(silhouette, 6) AS silhouette FROM widths"""),
-    "k_sweep": _with(SWEEP, "SELECT k, round(inertia, 4) AS inertia, round(silhouette, 6) AS silhouette FROM sweep"),
+    "k_sweep": _with(SWEEP, """
+SELECT k, round(inertia, 4) AS inertia, round(silhouette, 6) AS silhouette, 'squared' AS metric FROM sweep"""),
     "sweep_best_k": _with(SWEEP, "SELECT k FROM sweep ORDER BY silhouette DESC, k LIMIT 1"),
     "sweep_business_k": _with(SWEEP, """
 SELECT max(k) AS k FROM sweep WHERE silhouette >= 0.8 * (SELECT max(silhouette) FROM sweep)"""),

@@ -40,6 +40,7 @@ def segment_customers(
     k: int | None = None,
     ks: Iterable[int] = K_RANGE,
     choose: str = "business",
+    metric: str = "squared",
     naming: str = "rank",
     restarts: int = RESTARTS,
     parallelism: int = 8,
@@ -55,7 +56,7 @@ def segment_customers(
     fits = fit_kmeans(features, [k] if k else list(ks), restarts=restarts, parallelism=parallelism)
     sweep = None
     if k is None:
-        sweep = measure(features, fits)
+        sweep = measure(features, fits, metric=metric)
         chosen = business_k(sweep) if choose == "business" else best_k(sweep)
         k = chosen.first()["k"]
     centers = by_mean_monetary(features, fits[k])

@@ -120,6 +120,18 @@ def test_kmeans_finds_blobs_and_repeats(spark):
     assert best_k(measure(df, fits)).first()["k"] == 3
 
 
+def test_sweep_with_plain_distances(spark):
+    points, _ = blobs(sizes=(20, 15, 10))
+    df = points_frame(spark, points)
+    centers = Centers([(0, 0, 0), (9, 9, 0), (0, 9, 9)])
+    (row,) = measure(df, {3: centers}, metric="euclidean").collect()
+    clusters = [r["Cluster"] for r in centers.assign(df).orderBy("id").collect()]
+    assert row["metric"] == "euclidean"
+    assert row["silhouette"] == pytest.approx(brute_silhouette(points, clusters, 0.5))
+    with pytest.raises(ValueError, match="metric"):
+        measure(df, {3: centers}, metric="cosine")
+
+
 def test_equally_near_centers_go_to_the_first(spark):
     df = points_frame(spark, [(0, 0, 0)])
     centers = Centers([(1, 0, 0), (-1, 0, 0)])
