@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from patronlens.functions.columns import wall_clock, whole_days
 from patronlens.schemas import CUSTOMER, RFM
@@ -25,12 +25,13 @@ def customer_totals(clean: DataFrame) -> DataFrame:
     )
 
 
-def snapshot_after(totals: DataFrame) -> Column:
+def snapshot_after(totals: DataFrame) -> datetime | None:
     """One day after the last purchase of anyone.
 
     Taken from the per-customer table, so the lines are not scanned a second time.
     """
-    return totals.agg((F.max("LastPurchase") + F.expr("INTERVAL 1 DAY")).alias("snapshot")).scalar()
+    last = totals.agg(F.max("LastPurchase").alias("last")).first()["last"]
+    return last + timedelta(days=1) if last else None
 
 
 def build_rfm(clean: DataFrame, snapshot: datetime | None = None) -> DataFrame:
@@ -40,6 +41,8 @@ def build_rfm(clean: DataFrame, snapshot: datetime | None = None) -> DataFrame:
     date, for every quantile and for the scores, all of which must see the same sums.
     """
     totals = stage(customer_totals(clean), "customer-totals")
-    at = snapshot_after(totals) if snapshot is None else wall_clock(snapshot)
-    recency = whole_days(F.col("LastPurchase"), at).alias("Recency")
+    snapshot = snapshot_after(totals) if snapshot is None else snapshot
+    if snapshot is None:
+        raise ValueError("no clean lines with a date: there is nothing to measure recency from")
+    recency = whole_days(F.col("LastPurchase"), wall_clock(snapshot)).alias("Recency")
     return totals.select(CUSTOMER, recency, *RFM[1:])

@@ -17,11 +17,11 @@ from patronlens.operators.clustering import Centers, best_k, business_k, by_mean
 from patronlens.operators.features import FEATURES, fit_robust, fit_standard, log_measures, scaling_check
 from patronlens.operators.projection import fit_components
 from patronlens.operators.quality import quality_checks
-from patronlens.operators.rfm import build_rfm, customer_totals, snapshot_after
+from patronlens.operators.rfm import build_rfm, customer_totals
 from patronlens.operators.scoring import frequency_cutoffs, frequency_score, score_customers
 from patronlens.operators.silhouette import silhouette
 from patronlens.plans.pipelines import VARIANTS, segment_customers
-from patronlens.schemas import CLEAN_COLUMNS, CUSTOMER, LEGACY_NAMES, LINE_COLUMNS, RFM, SCORES
+from patronlens.schemas import CLEAN_COLUMNS, CUSTOMER, LEGACY_NAMES, RFM, SCORES
 from patronlens.sources import csv_lines, exports, stages
 from patronlens.sources.tables import order_lines, purchases, table
 

@@ -43,6 +43,11 @@ def test_missing_invoice_is_not_counted_but_its_money_is(make_lines):
     assert rfm_of(build_rfm(clean_lines(lines)))[1] == (1, 2, 5.0)
 
 
+def test_no_lines_no_snapshot(make_lines):
+    with pytest.raises(ValueError, match="no clean lines"):
+        build_rfm(clean_lines(make_lines([{"UnitPrice": -1.0}])))
+
+
 def test_a_hot_customer_is_spread_over_the_first_shuffle(make_lines):
     totals = customer_totals(clean_lines(make_lines([{}])))
     plan = totals._jdf.queryExecution().executedPlan().toString()
