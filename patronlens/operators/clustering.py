@@ -164,13 +164,7 @@ def business_k(sweep: DataFrame, tolerance: float = 0.8) -> DataFrame:
 
 def by_mean_monetary(features: DataFrame, centers: Centers) -> Centers:
     """The same centers renumbered 0.. by falling mean spend, so ids no longer depend on chance."""
-    ranked = (
-        centers.assign(features)
-        .groupBy("Cluster")
-        .agg(F.avg("Monetary").alias("mean"))
-        .orderBy(F.desc("mean"), "Cluster")
-        .collect()
-    )
-    order = [r["Cluster"] for r in ranked]
+    means = centers.assign(features).groupBy("Cluster").agg(F.avg("Monetary").alias("mean")).collect()
+    order = [r["Cluster"] for r in sorted(means, key=lambda r: (-r["mean"], r["Cluster"]))]
     unused = [i for i in range(centers.k) if i not in order]
     return centers.reordered(order + unused)

@@ -24,17 +24,13 @@ from patronlens.sources.stages import stage
 def cluster_facts(
     clustered: DataFrame, columns: Sequence[str] = tuple(FEATURES), cluster: str = "Cluster"
 ) -> list[Row]:
-    """Size, mean and variance of every cluster: one row per cluster."""
-    return (
-        clustered.groupBy(F.col(cluster).alias("cluster"))
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            *[F.avg(c).alias(f"mean_{c}") for c in columns],
-            reduce(add, [F.var_pop(c) for c in columns]).alias("variance"),
-        )
-        .orderBy("cluster")
-        .collect()
+    """Size, mean and variance of every cluster: one row per cluster, in cluster order."""
+    facts = clustered.groupBy(F.col(cluster).alias("cluster")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.avg(c).alias(f"mean_{c}") for c in columns],
+        reduce(add, [F.var_pop(c) for c in columns]).alias("variance"),
     )
+    return sorted(facts.collect(), key=lambda f: f["cluster"])
 
 
 def silhouette(

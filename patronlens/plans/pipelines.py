@@ -16,7 +16,6 @@ from patronlens.operators.features import Scaling, fit_robust, fit_standard
 from patronlens.operators.rfm import build_rfm
 from patronlens.operators.scoring import score_customers
 from patronlens.operators.segments import cluster_means, name_segments, rank_names, rule_names
-from patronlens.sources.stages import stage
 
 
 @dataclass
@@ -48,11 +47,11 @@ def segment_customers(
     """Scale, sweep over k (or take the given one), assign and name.
 
     The sweep keeps its best fit per k, so the chosen k needs no further fit.
-    Cluster ids follow falling mean spend.
+    Cluster ids follow falling mean spend.  ``scored`` is read many times: hand in a
+    stage table, or expressions over one as ``scored_customers`` returns them.
     """
-    rfm = stage(scored, "scored-customers")
-    scaler = fit_robust(rfm) if scaling == "robust" else fit_standard(rfm)
-    features = scaler.apply(rfm)
+    scaler = fit_robust(scored) if scaling == "robust" else fit_standard(scored)
+    features = scaler.apply(scored)
     fits = fit_kmeans(features, [k] if k else list(ks), restarts=restarts, parallelism=parallelism)
     sweep = None
     if k is None:
