@@ -2,13 +2,14 @@ from __future__ import annotations
 
 import pytest
 
-import __spark_entry__ as entry_point
+from patronlens.plans.catalogue import QUERIES
+from patronlens.plans.oracles import ORACLES
 from conftest import TESTDATA
 from oracle import connect, spark_result, sql_result
 
 FOLDER = TESTDATA / "sf0.001"
-CHECKED = sorted(entry_point.oracle_sql())
-UNCHECKED = sorted(set(entry_point.queries()) - set(CHECKED))
+CHECKED = sorted(ORACLES)
+UNCHECKED = sorted(set(QUERIES) - set(CHECKED))
 
 
 @pytest.fixture(scope="module")
@@ -18,8 +19,8 @@ def duck():
 
 @pytest.mark.parametrize("name", CHECKED)
 def test_matches_sql(spark, duck, name):
-    expected = sql_result(duck, entry_point.oracle_sql()[name])
-    assert spark_result(entry_point.queries()[name](spark, str(FOLDER))) == expected
+    expected = sql_result(duck, ORACLES[name])
+    assert spark_result(QUERIES[name](spark, str(FOLDER))) == expected
 
 
 def test_only_kmeans_has_no_sql():
@@ -27,7 +28,7 @@ def test_only_kmeans_has_no_sql():
 
 
 def test_kmeans_segments(spark):
-    rows = entry_point.queries()["kmeans_segments"](spark, str(FOLDER)).collect()
+    rows = QUERIES["kmeans_segments"](spark, str(FOLDER)).collect()
     assert len(rows) == 150
     assert {r["Cluster"] for r in rows} == {0, 1, 2, 3}
     assert {(r["Cluster"], r["Segment_Name"]) for r in rows} == {
