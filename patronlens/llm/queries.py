@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _SCHEMAS = {
@@ -11,7 +14,16 @@ _SCHEMAS = {
 }
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, if it is not installed."""
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    workers_find_package(spark)
     return spark.read.schema(_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
@@ -39,7 +51,25 @@ def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from patronlens.llm.secret_scan import scan_secrets
+
+    return scan_secrets(_table(spark, folder, "documents"))
+
+
+def quality_verdict(spark: SparkSession, folder: str) -> DataFrame:
+    from patronlens.llm.quality import quality_rules
+
+    ruled = quality_rules(_table(spark, folder, "documents"))
+    return ruled.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "lang", "log10_perplexity", "lower", "upper",
+    )
+
+
 QUERIES = {
+    "op4_secret_guess_cost": secret_scan,
+    "op6_ngram_perplexity": quality_verdict,
     "op8_token_records": token_records,
     "op10_bpe_round_trip": bpe_round_trip,
 }

@@ -14,8 +14,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = 0x5851F42D4C957F2D
@@ -112,26 +113,19 @@ def split_words(texts: Sequence[bytes]) -> Words:
     return Words(data, start, end, np.searchsorted(start, text_start), text_start)
 
 
-def chunks(texts: Sequence[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of at most ``limit`` bytes; a longer text is a range of its own."""
-    begin, held = 0, 0
-    for i, text in enumerate(texts):
-        if i > begin and held + len(text) > limit:
-            yield begin, i
-            begin, held = i, 0
-        held += len(text)
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def text_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a text column; null counts as empty."""
     return [b"" if text is None else text for text in column.cast(pa.binary()).to_pylist()]
 
 
 def row_ranges(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES):
-    """Slices of Arrow batches with about ``limit`` bytes of text each, and that text."""
+    """Slices of Arrow batches with at most ``limit`` bytes of text each (or one row), and that text."""
     for batch in batches:
-        texts = text_bytes(batch.column(batch.schema.get_field_index(column)))
-        for begin, end in chunks(texts, limit):
-            yield batch.slice(begin, end - begin), texts[begin:end]
+        texts = batch.column(batch.schema.get_field_index(column))
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        begin = 0
+        while begin < len(texts):
+            before = sizes[begin - 1] if begin else 0
+            end = max(int(np.searchsorted(sizes, before + limit, "right")), begin + 1)
+            yield batch.slice(begin, end - begin), text_bytes(texts.slice(begin, end - begin))
+            begin = end
