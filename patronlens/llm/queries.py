@@ -67,7 +67,15 @@ def quality_verdict(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def repeated_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    from patronlens.llm.substrings import remove_repeats
+
+    cut = remove_repeats(_table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op7_rabin_karp_windows": repeated_substrings,
     "op4_secret_guess_cost": secret_scan,
     "op6_ngram_perplexity": quality_verdict,
     "op8_token_records": token_records,
