@@ -33,9 +33,9 @@ from patronlens.sources.stages import stage
 
 LEAF = 96
 PART_CHARS = 1 << 20
-# Pieces that a Python worker remembers between chunks (about 200 bytes each).
-REMEMBERED_PIECES = 300_000
-_END = 2**32 - 1
+# Pieces, and words, that a Python worker remembers between chunks (about 200 bytes each).
+REMEMBERED_PIECES = 400_000
+_END = np.uint32(2**32 - 1)
 
 # Latin letters and signs on which this module's own splitting is safe; all else goes
 # through the tokenizer's own normalizer and splitter.
@@ -79,12 +79,15 @@ class Codec:
         model = described["model"]
         merges = [tuple(pair) for pair in model["merges"]]
         self.suffix = model["end_of_word_suffix"] or ""
-        self._ending = models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=model["end_of_word_suffix"])
-        self._open = models.BPE(vocab=model["vocab"], merges=merges)
-        self._spaced = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=model["end_of_word_suffix"]))
+        self._ending = models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=model["end_of_word_suffix"], cache_capacity=0)
+        self._open = models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0)
+        self._spaced = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=model["end_of_word_suffix"], cache_capacity=0))
         self._spaced.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
-        # Ids of pieces, kept between chunks; a line feed stands between words.
-        self._known: dict[str, tuple[int, ...]] = {"\n": (_END,)}
+        # Ids of pieces and of words, kept between chunks; a line feed stands between words.
+        self._known: dict[str, bytes] = {"\n": _END.tobytes()}
+        self._older = self._known
+        self._words: dict[bytes, bytes] = {}
+        self._older_words: dict[bytes, bytes] = {}
         added = {t["content"]: t["id"] for t in described["added_tokens"]}
         self._added = added
         self._added_split = re.compile("|".join(map(re.escape, added)) or r"(?!)")
@@ -148,26 +151,27 @@ class Codec:
         for at in range(0, len(short), 2000):
             group = short[at: at + 2000]
             letters = " ".join(group).encode().decode("latin-1").translate(_LETTERS)
-            ids = self._spaced.encode_batch_fast([letters], add_special_tokens=False)[0].ids
+            ids = np.array(self._spaced.encode_batch_fast([letters], add_special_tokens=False)[0].ids, np.uint32)
             # Only the last token of a piece carries the word end.
             begin = 0
             for piece, end in zip(group, (np.flatnonzero(self._word_end[ids]) + 1).tolist()):
-                self._known[piece] = tuple(ids[begin:end])
+                self._known[piece] = ids[begin:end].tobytes()
                 begin = end
         for piece in pieces:
             if len(piece) > LEAF // 2:
-                self._known[piece] = tuple(self.encode_piece(piece.encode().decode("latin-1").translate(_LETTERS)))
+                ids = self.encode_piece(piece.encode().decode("latin-1").translate(_LETTERS))
+                self._known[piece] = np.array(ids, np.uint32).tobytes()
 
     def _encode_plain(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after another, and how many each word has."""
         pieces = _PIECES_OF_LINES.findall(b"\n".join([*words, b""]).decode().lower())
+        if len(self._known) > REMEMBERED_PIECES // 2:
+            self._older, self._known = self._known, {}
         missing = set(pieces).difference(self._known)
-        if missing:
-            if len(self._known) + len(missing) > REMEMBERED_PIECES:
-                self._known = {"\n": (_END,)}
-                missing = set(pieces) - {"\n"}
-            self._remember_pieces(missing)
-        flat = np.fromiter(chain.from_iterable(map(self._known.__getitem__, pieces)), np.uint32)
+        for piece in missing.intersection(self._older):
+            self._known[piece] = self._older[piece]
+        self._remember_pieces(missing.difference(self._older))
+        flat = np.frombuffer(b"".join(map(self._known.__getitem__, pieces)), np.uint32)
         ends = np.flatnonzero(flat == _END)
         return flat[flat != _END], np.diff(ends, prepend=-1) - 1
 
@@ -178,8 +182,8 @@ class Codec:
             ids.extend((piece,) if isinstance(piece, int) else self.encode_piece(piece))
         return np.array(ids, np.uint32)
 
-    def encode_words(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of words without ASCII white space: all ids, and where each word's begin and how many they are."""
+    def encode_words(self, words: Sequence[bytes]) -> list[bytes]:
+        """Ids of words without ASCII white space, as 32-bit integers."""
         plain, odd = [], []
         for at in range(0, len(words), 500):
             block = words[at: at + 500]
@@ -188,13 +192,16 @@ class Codec:
             else:
                 for i, word in enumerate(block, at):
                     (plain if _plain(word) else odd).append(i)
-        begins, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        flat, own = self._encode_plain([words[i] for i in plain])
-        begins[plain], sizes[plain] = np.cumsum(own) - own, own
-        others = [self._encode_odd(words[i]) for i in odd]
-        own = np.fromiter(map(len, others), np.int64, len(others))
-        begins[odd], sizes[odd] = len(flat) + np.cumsum(own) - own, own
-        return np.concatenate([flat, *others]), begins, sizes
+        out = [b""] * len(words)
+        flat, sizes = self._encode_plain([words[i] for i in plain])
+        data, ends = flat.tobytes(), (4 * np.cumsum(sizes)).tolist()
+        begin = 0
+        for i, end in zip(plain, ends):
+            out[i] = data[begin:end]
+            begin = end
+        for i in odd:
+            out[i] = self._encode_odd(words[i]).tobytes()
+        return out
 
     def encode_texts(self, texts: Sequence[bytes]) -> list[np.ndarray]:
         """Ids of each text, as unsigned 32-bit integers."""
@@ -209,7 +216,23 @@ class Codec:
         kind[order] = np.cumsum(new) - 1
         first, data = order[new], words.data.tobytes()
         distinct = [data[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist())]
-        flat, begins, sizes = self.encode_words(distinct)
+        if len(self._words) > REMEMBERED_PIECES // 2:
+            self._older_words, self._words = self._words, {}
+        encoded = list(map(self._words.get, distinct))
+        unseen = []
+        for i in (i for i, ids in enumerate(encoded) if ids is None):
+            encoded[i] = self._older_words.get(distinct[i])
+            if encoded[i] is None:
+                unseen.append(i)
+            else:
+                self._words[distinct[i]] = encoded[i]
+        for i, ids in zip(unseen, self.encode_words([distinct[i] for i in unseen])):
+            encoded[i] = ids
+            if len(ids) <= 4 * LEAF:
+                self._words[distinct[i]] = ids
+        flat = np.frombuffer(b"".join(encoded), np.uint32)
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+        begins = np.cumsum(sizes) - sizes
         lengths = sizes[kind]
         ends = np.cumsum(lengths)
         shift = begins[kind] - (ends - lengths)
