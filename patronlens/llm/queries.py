@@ -74,7 +74,14 @@ def repeated_substrings(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def near_duplicate_groups(spark: SparkSession, folder: str) -> DataFrame:
+    from patronlens.llm.near_duplicates import near_duplicates
+
+    return near_duplicates(_table(spark, folder, "documents"))
+
+
 QUERIES = {
+    "op9_bottom_k_sketches": near_duplicate_groups,
     "op7_rabin_karp_windows": repeated_substrings,
     "op4_secret_guess_cost": secret_scan,
     "op6_ngram_perplexity": quality_verdict,
