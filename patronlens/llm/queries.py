@@ -80,7 +80,15 @@ def near_duplicate_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
 
+def warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    from patronlens.llm.warc import archive_round_trip
+
+    read = archive_round_trip(_table(spark, folder, "pages"), min_bytes=0)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
+    "op1_warc_boundary_chain": warc_round_trip,
     "op9_bottom_k_sketches": near_duplicate_groups,
     "op7_rabin_karp_windows": repeated_substrings,
     "op4_secret_guess_cost": secret_scan,
@@ -90,4 +98,22 @@ QUERIES = {
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc_boundary_chain": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (
+            SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex,
+                max(page_id) OVER (PARTITION BY html) AS holder
+            FROM p
+        )
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+            translate(
+                array_to_string([lpad(upper(to_base(('0x' || hex[5 * i + 1 : 5 * i + 5])::BIGINT, 32)), 4, '0')
+                    FOR i IN range(8)], ''),
+                '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'
+            ) AS payload_digest,
+            CASE WHEN coalesce(page_id, holder - 1) <> holder THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN coalesce(page_id, holder - 1) <> holder THEN holder END AS refers_to
+        FROM d
+    """,
+}
