@@ -87,7 +87,21 @@ def warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
+    from patronlens.llm.decontamination import contamination
+
+    return contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def surrogate_texts(spark: SparkSession, folder: str) -> DataFrame:
+    from patronlens.llm.surrogates import pseudonymize
+
+    return pseudonymize(_table(spark, folder, "documents"), key="patronlens").select("doc_id", "text", "n_entities")
+
+
 QUERIES = {
+    "op2_pii_surrogates": surrogate_texts,
+    "op3_spaced_seeds": benchmark_passages,
     "op1_warc_boundary_chain": warc_round_trip,
     "op9_bottom_k_sketches": near_duplicate_groups,
     "op7_rabin_karp_windows": repeated_substrings,
