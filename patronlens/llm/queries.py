@@ -99,7 +99,17 @@ def surrogate_texts(spark: SparkSession, folder: str) -> DataFrame:
     return pseudonymize(_table(spark, folder, "documents"), key="patronlens").select("doc_id", "text", "n_entities")
 
 
+def languages(spark: SparkSession, folder: str) -> DataFrame:
+    from patronlens.llm.language import held_out, identify_languages, train, training_sample
+
+    docs = _table(spark, folder, "documents")
+    network = train(training_sample(docs.where(~held_out(F.col("doc_id")))))
+    found = identify_languages(docs, network)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op5_bidirectional_gru": languages,
     "op2_pii_surrogates": surrogate_texts,
     "op3_spaced_seeds": benchmark_passages,
     "op1_warc_boundary_chain": warc_round_trip,

@@ -1,7 +1,7 @@
 """Personal data replaced by surrogates of the same type, by SQL expressions only.
 
-Found are e-mail addresses, IP addresses, payment cards, phone and social security
-numbers, and names behind a title or a known given name.  An entity is known by its type
+Found are e-mail addresses, IP addresses, payment cards (with a valid check digit), phone and
+social security numbers, and names behind a title or a known given name.  An entity is known by its type
 and its canonical form (digits only, lower case), so one person's number in two notations
 gets one surrogate in two notations.
 
@@ -39,7 +39,7 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]++\.)+[A-Za-z]{2,}+",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ip6": r"(?<![:\w])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![:\w])",
-    "card": r"(?<![\d+])[3-6]\d{3}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7}(?!\d)",
+    "card": r"(?<![\d+])[2-6]\d{3}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7}(?!\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}"
     r"|\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\d)",
@@ -219,11 +219,15 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     rows = docs.withColumns({"__id": F.xxhash64(*[F.col(c) for c in names if c == "doc_id"], F.lit(0)), "__hash": F.xxhash64("text")})
     found = F.regexp_extract_all("text", F.lit(_ANY), F.lit(0))
     surfaces = rows.where(F.col("text").rlike(_ANY)).select("__id", "__hash", F.posexplode(found).alias("place", "surface")).distinct()
-    surfaces = stage(surfaces.withColumn("type", _type_of(F.col("surface"))), "surfaces")
+    kind = _type_of(F.col("surface"))
+    digits = _digits(F.col("surface"))
+    # What looks like a card but fails the check digit is some other number and stays.
+    kind = F.when((kind == "card") & (_check_sum(digits) % 10 != 0), F.lit("number")).otherwise(kind)
+    surfaces = stage(surfaces.withColumn("type", kind), "surfaces")
     # Parts: the words of a name, or the whole surface of any other entity.
     whole = F.array(F.struct(F.col("type").alias("kind"), F.col("surface").alias("word")))
     parts = F.when(F.col("type") == "name", _name_parts(F.col("surface"))).otherwise(whole)
-    parts = surfaces.select("__id", "__hash", "place", "surface", "type", F.posexplode(parts).alias("part", "own"))
+    parts = surfaces.where("type != 'number'").select("__id", "__hash", "place", "surface", "type", F.posexplode(parts).alias("part", "own"))
     parts = parts.select("__id", "__hash", "place", "surface", "type", "part", "own.kind", "own.word")
     parts = parts.withColumn("canonical", _canonical(F.col("kind"), F.col("word")))
     known = settle(parts, key)
@@ -235,14 +239,18 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     renamed = F.concat(title, F.array_join(F.transform("words", lambda w: w["shown"]), " "))
     spelled = spelled.withColumn("shown", F.when(F.col("type") == "name", renamed).otherwise(F.col("words")[0]["shown"]))
     bare = F.when(F.col("type") == "name", F.transform("words", lambda w: F.struct(w["word"], w["shown"]))).otherwise(F.array().cast("array<struct<word: string, shown: string>>"))
+    spelled = spelled.select("__id", "__hash", "place", "type", "shown", bare.alias("bare"))
+    numbers = surfaces.where("type = 'number'").select("__id", "__hash", "place", "type", F.col("surface").alias("shown"))
+    spelled = spelled.unionByName(numbers, allowMissingColumns=True)
     per = spelled.groupBy("__id", "__hash").agg(
+        F.count_if(F.col("type") != "number").alias("__count"),
         F.transform(F.array_sort(F.collect_list(F.struct("place", "shown"))), lambda s: s["shown"]).alias("__shown"),
-        F.array_distinct(F.flatten(F.collect_list(bare))).alias("__bare"),
+        F.array_distinct(F.flatten(F.collect_list("bare"))).alias("__bare"),
     )
     joined = rows.join(per, ["__id", "__hash"], "left")
     gaps = F.split("text", _ANY, -1)
     woven = F.array_join(F.flatten(F.zip_with(gaps, F.col("__shown"), lambda gap, one: F.array(gap, F.coalesce(one, F.lit(""))))), "")
     again = F.aggregate("__bare", woven, lambda text, name: F.regexp_replace(text, F.concat(F.lit(r"(?<!\p{L})"), name["word"], F.lit(r"(?!\p{L})")), name["shown"]))
     text = F.when(F.col("__shown").isNull(), F.col("text")).when(F.size("__bare") == 0, woven).otherwise(again)
-    count = F.coalesce(F.size("__shown"), F.lit(0)).cast("long")
+    count = F.coalesce("__count", F.lit(0)).cast("long")
     return joined.withColumn("text", text).withColumn("n_entities", count).select(*names, "n_entities")
