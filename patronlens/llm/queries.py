@@ -22,12 +22,12 @@ def workers_find_package(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
 
 
-def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     workers_find_package(spark)
     return spark.read.schema(_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -36,13 +36,13 @@ def _tokenizer() -> str:
 def token_records(spark: SparkSession, folder: str) -> DataFrame:
     from patronlens.llm.records import token_file_digest
 
-    return token_file_digest(_table(spark, folder, "documents"), _tokenizer(), end_id=2)
+    return token_file_digest(table(spark, folder, "documents"), tokenizer_path(), end_id=2)
 
 
 def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     from patronlens.llm.bpe import encode_documents
 
-    encoded = encode_documents(_table(spark, folder, "documents"), _tokenizer())
+    encoded = encode_documents(table(spark, folder, "documents"), tokenizer_path())
     return encoded.select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
@@ -54,13 +54,13 @@ def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     from patronlens.llm.secret_scan import scan_secrets
 
-    return scan_secrets(_table(spark, folder, "documents"))
+    return scan_secrets(table(spark, folder, "documents"))
 
 
 def quality_verdict(spark: SparkSession, folder: str) -> DataFrame:
     from patronlens.llm.quality import quality_rules
 
-    ruled = quality_rules(_table(spark, folder, "documents"))
+    ruled = quality_rules(table(spark, folder, "documents"))
     return ruled.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "lang", "log10_perplexity", "lower", "upper",
@@ -70,54 +70,54 @@ def quality_verdict(spark: SparkSession, folder: str) -> DataFrame:
 def repeated_substrings(spark: SparkSession, folder: str) -> DataFrame:
     from patronlens.llm.substrings import remove_repeats
 
-    cut = remove_repeats(_table(spark, folder, "documents"))
+    cut = remove_repeats(table(spark, folder, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def near_duplicate_groups(spark: SparkSession, folder: str) -> DataFrame:
     from patronlens.llm.near_duplicates import near_duplicates
 
-    return near_duplicates(_table(spark, folder, "documents"))
+    return near_duplicates(table(spark, folder, "documents"))
 
 
 def warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     from patronlens.llm.warc import archive_round_trip
 
-    read = archive_round_trip(_table(spark, folder, "pages"), min_bytes=0)
+    read = archive_round_trip(table(spark, folder, "pages"), min_bytes=0)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
     from patronlens.llm.decontamination import contamination
 
-    return contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
 def surrogate_texts(spark: SparkSession, folder: str) -> DataFrame:
     from patronlens.llm.surrogates import pseudonymize
 
-    return pseudonymize(_table(spark, folder, "documents"), key="patronlens").select("doc_id", "text", "n_entities")
+    return pseudonymize(table(spark, folder, "documents"), key="patronlens").select("doc_id", "text", "n_entities")
 
 
 def languages(spark: SparkSession, folder: str) -> DataFrame:
     from patronlens.llm.language import held_out, identify_languages, train, training_sample
 
-    docs = _table(spark, folder, "documents")
+    docs = table(spark, folder, "documents")
     network = train(training_sample(docs.where(~held_out(F.col("doc_id")))))
     found = identify_languages(docs, network)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 QUERIES = {
-    "op5_bidirectional_gru": languages,
+    "op1_warc_boundary_chain": warc_round_trip,
     "op2_pii_surrogates": surrogate_texts,
     "op3_spaced_seeds": benchmark_passages,
-    "op1_warc_boundary_chain": warc_round_trip,
-    "op9_bottom_k_sketches": near_duplicate_groups,
-    "op7_rabin_karp_windows": repeated_substrings,
     "op4_secret_guess_cost": secret_scan,
+    "op5_bidirectional_gru": languages,
     "op6_ngram_perplexity": quality_verdict,
+    "op7_rabin_karp_windows": repeated_substrings,
     "op8_token_records": token_records,
+    "op9_bottom_k_sketches": near_duplicate_groups,
     "op10_bpe_round_trip": bpe_round_trip,
 }
 

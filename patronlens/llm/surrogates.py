@@ -215,8 +215,8 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     result; equal ids with different texts are told apart by the text's hash.  In a
     document where a name was found, further mentions of its words alone are replaced too.
     """
-    names = docs.columns
-    rows = docs.withColumns({"__id": F.xxhash64(*[F.col(c) for c in names if c == "doc_id"], F.lit(0)), "__hash": F.xxhash64("text")})
+    names = [c for c in docs.columns if c != "n_entities"]
+    rows = docs.select(*names).withColumns({"__id": F.xxhash64(*[F.col(c) for c in names if c == "doc_id"], F.lit(0)), "__hash": F.xxhash64("text")})
     found = F.regexp_extract_all("text", F.lit(_ANY), F.lit(0))
     surfaces = rows.where(F.col("text").rlike(_ANY)).select("__id", "__hash", F.posexplode(found).alias("place", "surface")).distinct()
     kind = _type_of(F.col("surface"))
