@@ -67,6 +67,7 @@ class Benchmark:
     item: np.ndarray
     place: np.ndarray
     filter: np.ndarray
+    shift: np.uint64
 
     @classmethod
     def of(cls, ids: list, texts: list[bytes]) -> Benchmark:
@@ -78,9 +79,11 @@ class Benchmark:
         item = words.text_of()[at] if len(at) else at
         at, seeds, item = at[enough[item]], seeds[enough[item]], item[enough[item]]
         order = np.argsort(seeds)
-        table = np.zeros(2**_FILTER_BITS, bool)
-        table[seeds >> np.uint64(64 - _FILTER_BITS)] = True
-        return cls(ids, hashes, words.first, seeds[order], item[order], (at - words.first[item])[order], table)
+        # About 64 places for each seed: few windows without a match get past it.
+        bits = min(len(seeds).bit_length() + 6, _FILTER_BITS)
+        table = np.zeros(2**bits, bool)
+        table[seeds >> np.uint64(64 - bits)] = True
+        return cls(ids, hashes, words.first, seeds[order], item[order], (at - words.first[item])[order], table, np.uint64(64 - bits))
 
 
 def _best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
@@ -101,7 +104,7 @@ def matches(texts: list[bytes], block: Benchmark) -> list[list[tuple]]:
     text_of = words.text_of()
     for mask in MASKS:
         at, seeds = _seed_hashes(words, hashes, mask)
-        may = block.filter[seeds >> np.uint64(64 - _FILTER_BITS)]
+        may = block.filter[seeds >> block.shift]
         at, seeds = at[may], seeds[may]
         low, high = np.searchsorted(block.seeds, seeds), np.searchsorted(block.seeds, seeds, "right")
         counts = high - low
