@@ -1,189 +1,66 @@
 """Exact order statistics and interpolated quantiles for any number of rows.
 
-``percentile`` is exact but merges every distinct value on one reducer.  That is
-the best plan while the distinct values are few, and it cannot work for a billion
-different customer totals.  Beyond ``ONE_TASK_VALUES`` values the functions here
-narrow instead: approximate percentiles bracket each wanted rank, one pass counts
-what lies below and inside the brackets, and only values inside the last, small
-brackets are ranked exactly.  Heavy ties cannot hurt, because a bracket that holds
-one value only is finished, and values are counted before they are ranked.
-
-The driver sees a few numbers per rank and never a customer row.
+One way for every size: values are counted, the counted values are written in range
+order with the number of their range, and the ranges' totals tell in which one a wanted
+rank lies.  Only there do running totals rank the values.  Ties are counted before they
+are ranked, so a value that a third of all rows share is one row, and no task holds more
+than one range of different values.
+
+The driver sees one row per range and a few values per rank, never a row of the input.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Most distinct values that one task may rank (a few tens of MB).
-ONE_TASK_VALUES = 1_000_000
-# Approximate percentiles are off by at most rows / SKETCH_ACCURACY ranks.
-SKETCH_ACCURACY = 10_000
+from patronlens.sources.stages import stage
 
 
 @dataclass
 class Target:
-    """Wanted ranks (0-based) among the rows that satisfy ``where``, of which there are ``rows``."""
+    """Wanted ranks (0-based) among the values of the rows that satisfy ``where``."""
 
     where: Column
     ranks: Sequence[int]
-    rows: int
-
 
-@dataclass(frozen=True)
-class _Bracket:
-    """Values from low to high (all, where low is None) of one target, and the ranks that lie in them."""
 
-    target: int
-    where: Column
-    ranks: tuple[int, ...]
-    inside: int
-    distinct: int
-    below: int = 0
-    low: object = None
-    high: object = None
-    margin: float = 3.0 / SKETCH_ACCURACY
-
-    def holds(self, value: Column) -> Column:
-        inside = value.isNotNull() if self.low is None else value.between(F.lit(self.low), F.lit(self.high))
-        return self.where & inside
-
-    def ends(self) -> list[float]:
-        """Two probabilities around each rank, as far apart as the sketch may err."""
-        positions = [(rank - self.below) / max(self.inside - 1, 1) for rank in self.ranks]
-        return [min(max(p + m, 0.0), 1.0) for p in positions for m in (-self.margin, self.margin)]
-
-
-def order_statistics(
-    df: DataFrame, value: str, targets: Sequence[Target], one_task_values: int = ONE_TASK_VALUES
-) -> list[dict[int, object]]:
+def order_statistics(df: DataFrame, value: str, targets: Sequence[Target]) -> list[dict[int, object]]:
     """For each target, the exact value at each of its ranks."""
-    column = F.col(value)
-    brackets = [
-        _Bracket(i, t.where, tuple(sorted(set(t.ranks))), t.rows, t.rows) for i, t in enumerate(targets)
-    ]
-    ready: list[_Bracket] = []
-    while brackets:
-        large = [b for b in brackets if b.distinct > one_task_values]
-        ready += [b for b in brackets if b.distinct <= one_task_values]
-        brackets = _narrow(df, column, large) if large else []
-    found: list[dict[int, object]] = [{} for _ in targets]
-    for bracket, rank, at in _rank_inside(df, column, ready):
-        found[bracket.target][rank] = at
-    return found
+    ranges = _in_ranges(df, [(t.where, F.col(value)) for t in targets])
+    return _at_ranks(ranges, _totals(ranges), {i: sorted(set(t.ranks)) for i, t in enumerate(targets)})
 
 
-def _narrow(df: DataFrame, column: Column, brackets: Sequence[_Bracket]) -> list[_Bracket]:
-    """Smaller brackets for the same ranks: one sketch pass, one counting pass."""
-    sketches = [
-        F.percentile_approx(F.when(b.holds(column), column), b.ends(), SKETCH_ACCURACY).alias(f"ends_{i}")
-        for i, b in enumerate(brackets)
-    ]
-    row = _rows_of(df, column, brackets).agg(*sketches).first()
-    # Neighbouring ranks mostly get the same ends and then share a bracket.
-    cuts = defaultdict(list)
-    for i, b in enumerate(brackets):
-        for j, rank in enumerate(b.ranks):
-            low, high = row[f"ends_{i}"][2 * j: 2 * j + 2]
-            cuts[i, low, high].append(rank)
-
-    counts = []
-    for n, (i, low, high) in enumerate(cuts):
-        where, inside = brackets[i].where, column.between(F.lit(low), F.lit(high))
-        counts += [
-            F.count_if(where & (column < F.lit(low))).alias(f"below_{n}"),
-            F.count_if(where & inside).alias(f"inside_{n}"),
-            F.approx_count_distinct(F.when(where & inside, column)).alias(f"distinct_{n}"),
-        ]
-    row = df.agg(*counts).first()
-
-    smaller, missed = [], defaultdict(list)
-    for n, ((i, low, high), ranks) in enumerate(cuts.items()):
-        below, inside = row[f"below_{n}"], row[f"inside_{n}"]
-        # The distinct count is approximate too: leave room for its error.
-        distinct = min(inside, math.ceil(row[f"distinct_{n}"] * 1.25))
-        if low == high or (low, high) == (brackets[i].low, brackets[i].high):
-            # A single value, or as small as the sketch can make it: rank what is there.
-            distinct = 0
-        hits = tuple(r for r in ranks if below <= r < below + inside)
-        missed[i] += [r for r in ranks if r not in hits]
-        if hits:
-            smaller.append(
-                replace(brackets[i], ranks=hits, below=below, inside=inside, distinct=distinct, low=low, high=high)
-            )
-    wider = [replace(brackets[i], ranks=tuple(r), margin=brackets[i].margin * 4) for i, r in missed.items() if r]
-    return smaller + wider
-
-
-def _rows_of(df: DataFrame, column: Column, brackets: Sequence[_Bracket]) -> DataFrame:
-    return df.where(reduce(or_, [b.holds(column) for b in brackets]))
-
-
-def _rank_inside(
-    df: DataFrame, column: Column, brackets: Sequence[_Bracket]
-) -> list[tuple[_Bracket, int, object]]:
-    """Exact values at the ranks of brackets that are small enough to rank."""
-    entries = [
-        F.when(
-            b.holds(column),
-            F.struct(
-                F.lit(i).alias("bracket"),
-                F.array(*[F.lit(r - b.below).cast("long") for r in b.ranks]).alias("ranks"),
-            ),
-        )
-        for i, b in enumerate(brackets)
-    ]
-    counted = (
-        _rows_of(df, column, brackets)
-        .select(column.alias("value"), F.inline(F.array_compact(F.array(*entries))))
-        .groupBy("bracket", "ranks", "value")
-        .count()
-    )
-    # Each window partition holds the distinct values of one bracket, at most one_task_values.
-    running = Window.partitionBy("bracket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counted.withColumn("up_to", F.sum("count").over(running))
-
-    def here(rank: Column) -> Column:
-        return (rank < F.col("up_to")) & (rank >= F.col("up_to") - F.col("count"))
-
-    rows = placed.select("bracket", "value", F.explode(F.filter("ranks", here)).alias("rank")).collect()
-    return [(brackets[r["bracket"]], r["rank"] + brackets[r["bracket"]].below, r["value"]) for r in rows]
-
-
-def exact_quantiles(
-    df: DataFrame,
-    probabilities: Mapping[str, Sequence[float]],
-    one_task_values: int = ONE_TASK_VALUES,
-) -> dict[str, list[float]]:
+def exact_quantiles(df: DataFrame, probabilities: Mapping[str, Sequence[float]]) -> dict[str, list[float]]:
     """Linearly interpolated quantiles of the named columns, NULL and NaN left out.
 
-    ``{"Monetary": [0.25, 0.5]}`` gives ``{"Monetary": [q25, q50]}``.  The frame is
-    read more than once, so hand in a stage table rather than a long plan.
+    ``{"Monetary": [0.25, 0.5]}`` gives ``{"Monetary": [q25, q50]}``.  ``df`` is read once.
     """
-    kept = {c: _number(c) for c in probabilities}
-    facts = df.agg(
-        *[F.count(v).alias(f"rows_{c}") for c, v in kept.items()],
-        *[F.approx_count_distinct(v).alias(f"distinct_{c}") for c, v in kept.items()],
-    ).first()
-    small = [c for c in kept if facts[f"distinct_{c}"] * 1.25 <= one_task_values]
-    large = [c for c in kept if c not in small]
-
-    result: dict[str, list[float]] = {}
-    if small:
-        row = df.agg(
-            *[F.percentile(kept[c], F.array(*map(F.lit, probabilities[c]))).alias(c) for c in small]
-        ).first()
-        result.update({c: list(row[c]) if row[c] is not None else [None] * len(probabilities[c]) for c in small})
-    for c in large:
-        result[c] = _narrowed_quantiles(df, c, facts[f"rows_{c}"], probabilities[c], one_task_values)
-    return result
+    columns = list(probabilities)
+    ranges = _in_ranges(df, [(F.lit(True), _number(c)) for c in columns])
+    totals = _totals(ranges)
+    positions: dict[int, list[float]] = {}
+    for i, column in enumerate(columns):
+        rows = sum(n for series, _, n in totals if series == i)
+        positions[i] = [(rows - 1) * p for p in probabilities[column]] if rows else []
+    ranks = {i: sorted({r for p in own for r in (math.floor(p), math.ceil(p))}) for i, own in positions.items()}
+    found = _at_ranks(ranges, totals, ranks)
+
+    def between(at: dict[int, float], position: float) -> float:
+        low, high = math.floor(position), math.ceil(position)
+        if at[low] == at[high]:
+            return at[low]
+        return (high - position) * at[low] + (position - low) * at[high]
+
+    return {
+        column: [between(found[i], p) for p in positions[i]] or [None] * len(probabilities[column])
+        for i, column in enumerate(columns)
+    }
 
 
 def _number(column: str) -> Column:
@@ -191,18 +68,48 @@ def _number(column: str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def _narrowed_quantiles(
-    df: DataFrame, column: str, rows: int, probabilities: Sequence[float], one_task_values: int
-) -> list[float]:
-    values = df.select(_number(column).alias("value"))
-    positions = [(rows - 1) * p for p in probabilities]
-    ranks = [r for p in positions for r in (math.floor(p), math.ceil(p))]
-    (at,) = order_statistics(values, "value", [Target(F.lit(True), ranks, rows)], one_task_values)
+def _in_ranges(df: DataFrame, series: Sequence[tuple[Column, Column]]) -> DataFrame:
+    """``series, value, n, range``: counted values, written in the order of series and value."""
+    entries = [
+        F.when(where & value.isNotNull(), F.struct(F.lit(i).alias("series"), value.alias("value")))
+        for i, (where, value) in enumerate(series)
+    ]
+    wanted = reduce(or_, [where & value.isNotNull() for where, value in series])
+    listed = df.where(wanted).select(F.inline(F.array_compact(F.array(*entries))))
+    counted = listed.groupBy("series", "value").agg(F.count(F.lit(1)).alias("n"))
+    ordered = counted.repartitionByRange("series", "value")
+    return stage(ordered.withColumn("range", F.spark_partition_id()), "counted-values")
 
-    def between(position: float) -> float:
-        low, high = math.floor(position), math.ceil(position)
-        if at[low] == at[high]:
-            return at[low]
-        return (high - position) * at[low] + (position - low) * at[high]
 
-    return [between(p) for p in positions]
+def _totals(ranges: DataFrame) -> list[tuple[int, int, int]]:
+    rows = ranges.groupBy("series", "range").agg(F.sum("n").alias("n")).collect()
+    return sorted((r["series"], r["range"], r["n"]) for r in rows)
+
+
+def _at_ranks(
+    ranges: DataFrame, totals: Sequence[tuple[int, int, int]], wanted: Mapping[int, Sequence[int]]
+) -> list[dict[int, object]]:
+    before: dict[int, int] = {}
+    places: list[tuple[int, int, int, list[int]]] = []
+    for series, number, n in totals:
+        start = before.get(series, 0)
+        here = [r for r in wanted.get(series, ()) if start <= r < start + n]
+        if here:
+            places.append((series, number, start, here))
+        before[series] = start + n
+    found: list[dict[int, object]] = [{} for _ in range(max(wanted, default=-1) + 1)]
+    if not places:
+        return found
+    ranks = F.when(F.lit(False), F.array().cast("array<long>"))
+    start = F.when(F.lit(False), F.lit(0))
+    for series, number, first, here in places:
+        in_place = (F.col("series") == series) & (F.col("range") == number)
+        ranks = ranks.when(in_place, F.array(*[F.lit(r).cast("long") for r in here]))
+        start = start.when(in_place, F.lit(first))
+    held = ranges.withColumn("ranks", ranks).where(F.col("ranks").isNotNull())
+    running = Window.partitionBy("series", "range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = held.withColumn("up_to", start + F.sum("n").over(running))
+    hit = F.filter("ranks", lambda r: (r < F.col("up_to")) & (r >= F.col("up_to") - F.col("n")))
+    for row in placed.select("series", "value", F.explode(hit).alias("rank")).collect():
+        found[row["series"]][row["rank"]] = row["value"]
+    return found

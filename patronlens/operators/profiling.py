@@ -40,7 +40,7 @@ def missing_counts(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact interpolated quartiles per column.
 
-    Reads ``df`` a few times; hand in a stage table.
+    Reads ``df`` twice: once for the moments, once to count its different values.
     """
     numbers = df.select(*[F.when(~F.isnan(v), v).alias(c) for c in columns for v in [F.col(c).cast("double")]])
     quartiles = exact_quantiles(numbers, {c: [0.25, 0.5, 0.75] for c in columns})

@@ -97,7 +97,7 @@ def strategy_report(clustered: DataFrame, strategy: DataFrame | None = None) ->
     return (
         cluster_revenue(clustered)
         .join(F.broadcast(names), "Cluster")
-        .join(F.broadcast(strategy), "Segment", "left")
+        .join(strategy, "Segment", "left")
         .select(
             "Cluster",
             "Segment",

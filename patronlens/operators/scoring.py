@@ -16,7 +16,7 @@ from operator import add
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from patronlens.functions.quantiles import ONE_TASK_VALUES, Target, exact_quantiles, order_statistics
+from patronlens.functions.quantiles import Target, exact_quantiles, order_statistics
 from patronlens.schemas import CUSTOMER, LEVELS, RFM, SCORES
 
 BINS = 5
@@ -28,7 +28,6 @@ def score_customers(
     labels: Sequence | None = None,
     recency_order: str = "ascending",
     duplicates: str = "raise",
-    one_task_values: int = ONE_TASK_VALUES,
 ) -> DataFrame:
     """Adds R_Score, F_Score, M_Score, their text RFM_Score and Customer_Level.
 
@@ -46,8 +45,8 @@ def score_customers(
     # Two independent sets of small jobs: submitted side by side.
     together = inheritable_thread_target(rfm.sparkSession)
     with ThreadPoolExecutor(2) as pool:
-        cutting = pool.submit(together(quintile_edges), rfm, ["Recency", "Monetary"], duplicates, one_task_values)
-        ranking = pool.submit(together(frequency_cutoffs), rfm, one_task_values)
+        cutting = pool.submit(together(quintile_edges), rfm, ["Recency", "Monetary"], duplicates)
+        ranking = pool.submit(together(frequency_cutoffs), rfm)
         edges, cutoffs = cutting.result(), ranking.result()
     numbers = {
         "R_Score": bin_of("Recency", edges["Recency"], descending=recency_order == "descending"),
@@ -73,11 +72,10 @@ def quintile_edges(
     rfm: DataFrame,
     columns: Sequence[str],
     duplicates: str = "raise",
-    one_task_values: int = ONE_TASK_VALUES,
 ) -> dict[str, list[float]]:
     """Outer and inner quintile edges per column, ascending and distinct."""
     steps = [i / BINS for i in range(BINS + 1)]
-    edges = exact_quantiles(rfm, {c: steps for c in columns}, one_task_values)
+    edges = exact_quantiles(rfm, {c: steps for c in columns})
     for column, values in edges.items():
         if None in values:
             raise ValueError(f"{column} has no values to cut")
@@ -98,7 +96,7 @@ def bin_of(column: str, edges: Sequence[float], *, descending: bool = False) ->
     return F.lit(len(inner) + 2) - number if descending else number
 
 
-def frequency_cutoffs(rfm: DataFrame, one_task_values: int = ONE_TASK_VALUES) -> list[tuple[int, int]]:
+def frequency_cutoffs(rfm: DataFrame) -> list[tuple[int, int]]:
     """The (Frequency, CustomerID) pair that ends each of the first four fifths.
 
     Ranks run over (Frequency, CustomerID).  A histogram of frequencies tells which
@@ -125,10 +123,10 @@ def frequency_cutoffs(rfm: DataFrame, one_task_values: int = ONE_TASK_VALUES) ->
         raise ValueError("frequency ranks need at least two customers")
     inside = {}
     for r in rows:
-        inside.setdefault((r["Frequency"], r["customers"]), []).append(r["rank"] - r["before"])
-    targets = [Target(F.col("Frequency") == F.lit(f), ranks, count) for (f, count), ranks in inside.items()]
-    ids = order_statistics(rfm.select("Frequency", CUSTOMER), CUSTOMER, targets, one_task_values)
-    return [(f, at[rank]) for ((f, _), ranks), at in zip(inside.items(), ids) for rank in ranks]
+        inside.setdefault(r["Frequency"], []).append(r["rank"] - r["before"])
+    targets = [Target(F.col("Frequency") == F.lit(f), ranks) for f, ranks in inside.items()]
+    ids = order_statistics(rfm.select("Frequency", CUSTOMER), CUSTOMER, targets)
+    return [(f, at[rank]) for (f, ranks), at in zip(inside.items(), ids) for rank in ranks]
 
 
 def frequency_score(cutoffs: Sequence[tuple[int, int]]) -> Column:

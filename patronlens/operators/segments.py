@@ -16,46 +16,36 @@ RANK_NAMES = ["Champions", "Loyal", "New", "Hibernating"]
 RULE_NAMES = ["Champions", "At-Risk VIP", "New Customers", "Hibernating"]
 OTHER_NAME = "Regular"
 
-# What to do for each ranked segment: (action, expected impact).
+# What a rank of mean spend means for a shop: (aim, first step).  Impacts are the user's own estimates.
 RANKED_STRATEGY = {
-    "Champions": ("Personal account manager, early access and referral rewards", "Retention +15%, basket +20%"),
-    "Loyal": ("Member days, double points and spend-and-save vouchers", "Basket +10%, repeat orders +8%"),
-    "New": ("Welcome mail series and a second-order voucher within a week", "30-day repeat orders +30%"),
-    "Hibernating": ("Win-back messages with a deep discount and bestsellers", "5-10% reactivated"),
+    "Champions": ("keep", "ask what they would miss, and never let their favourites run out of stock"),
+    "Loyal": ("extend", "offer the category that goes with what they buy most"),
+    "New": ("learn", "find out what brought them before writing to them again"),
+    "Hibernating": ("decide", "send one message; stop mailing those who do not open it"),
 }
 
-# What to do for each segment named by rule: (characteristic, actions, expected impact).
+# The rule behind each name, in words, and the steps that follow from it.
 RULED_STRATEGY = {
-    "Champions": (
-        "High spend, recent, frequent",
-        ["Dedicated account manager", "First pick of new and limited articles",
-         "Invitations to product panels", "Rewards for referrals"],
-        "Retention +20%, basket +15%",
-    ),
-    "At-Risk VIP": (
-        "High spend, but long absent",
-        ["Generous return voucher", "Personal call from service",
-         "Short survey on why they left", "One week of premium membership"],
-        "15-25% won back",
-    ),
-    "New Customers": (
-        "Recent, few orders, low spend",
-        ["Second-order voucher within a week", "Welcome mails with suggestions",
-         "Newcomer community and check-in rewards", "Thresholds that lift the basket"],
-        "30-day repeat orders +30%",
-    ),
-    "Hibernating": (
-        "Long absent, middling orders and spend",
-        ["Wake-up mail with a deep discount", "Bestsellers picked for them",
-         "Free delivery for a short time", "Lower contact priority when silent"],
-        "5-10% reactivated",
-    ),
-    "Regular": (
-        "Middling in all three measures",
-        ["Standard seasonal campaigns", "Spend-and-save vouchers",
-         "Personal article suggestions", "Sign-up and points programme"],
-        "Revenue per user +8-12%",
-    ),
+    "Champions": {
+        "rule": "mean spend above the third quartile, last purchase before the first quartile of days",
+        "steps": ["reserve stock ahead of launches", "ask for reviews"],
+    },
+    "At-Risk VIP": {
+        "rule": "mean spend above the third quartile, last purchase after the third quartile of days",
+        "steps": ["check open complaints and returns first", "write from a named person", "note the reason for leaving"],
+    },
+    "New Customers": {
+        "rule": "last purchase before the first quartile of days, fewer orders than the median",
+        "steps": ["confirm that the first order was right", "show how reordering works"],
+    },
+    "Hibernating": {
+        "rule": "last purchase after the third quartile of days",
+        "steps": ["one seasonal reminder a year"],
+    },
+    "Regular": {
+        "rule": "none of the other rules",
+        "steps": ["usual newsletter", "watch for a change of rule"],
+    },
 }
 
 
@@ -104,24 +94,26 @@ def name_segments(clustered: DataFrame, names: DataFrame) -> DataFrame:
     return clustered.join(F.broadcast(names.select("Cluster", "Segment_Name")), "Cluster", "left")
 
 
-def ranked_strategy(spark: SparkSession) -> DataFrame:
-    return dimension(
+def ranked_strategy(spark: SparkSession, impacts: Mapping[str, str] | None = None) -> DataFrame:
+    """Segment, Strategy and Expected_Impact; the last is what ``impacts`` says, else NULL."""
+    table = dimension(
         spark,
         Segment=list(RANKED_STRATEGY),
-        Strategy=[action for action, _ in RANKED_STRATEGY.values()],
-        Expected_Impact=[impact for _, impact in RANKED_STRATEGY.values()],
+        Strategy=[f"{aim}: {step}" for aim, step in RANKED_STRATEGY.values()],
+        impact=[(impacts or {}).get(name, "") for name in RANKED_STRATEGY],
     )
+    return table.select("Segment", "Strategy", F.expr("nullif(impact, '')").alias("Expected_Impact"))
 
 
-def strategy_matrix(spark: SparkSession) -> DataFrame:
-    """One row per rule-named segment, its actions joined into one text."""
+def strategy_matrix(spark: SparkSession, impacts: Mapping[str, str] | None = None) -> DataFrame:
+    """One row per rule-named segment: the rule in words, its steps in one text, the caller's impact or NULL."""
     plan = dimension(
         spark,
         Segment=list(RULED_STRATEGY),
-        Characteristic=[c for c, _, _ in RULED_STRATEGY.values()],
-        actions=[a for _, a, _ in RULED_STRATEGY.values()],
-        Expected_Impact=[i for _, _, i in RULED_STRATEGY.values()],
+        Characteristic=[text["rule"] for text in RULED_STRATEGY.values()],
+        steps=[text["steps"] for text in RULED_STRATEGY.values()],
+        impact=[(impacts or {}).get(name, "") for name in RULED_STRATEGY],
     )
     return plan.select(
-        "Segment", "Characteristic", F.array_join("actions", " | ").alias("Strategy"), "Expected_Impact"
+        "Segment", "Characteristic", F.array_join("steps", "; ").alias("Strategy"), F.expr("nullif(impact, '')").alias("Expected_Impact")
     )

@@ -17,7 +17,7 @@ from patronlens.operators.clustering import Centers, best_k, business_k, by_mean
 from patronlens.operators.features import FEATURES, fit_robust, fit_standard, log_measures, scaling_check
 from patronlens.operators.projection import fit_components
 from patronlens.operators.quality import quality_checks
-from patronlens.operators.rfm import build_rfm, customer_totals
+from patronlens.operators.rfm import build_rfm
 from patronlens.operators.scoring import frequency_cutoffs, frequency_score, score_customers
 from patronlens.operators.silhouette import silhouette
 from patronlens.plans.pipelines import VARIANTS, segment_customers
@@ -134,7 +134,7 @@ def union_yearly_sources(spark: SparkSession, folder: str) -> DataFrame:
     lines = order_lines(spark, folder, SALE_COLUMNS).withColumnsRenamed(older)
     cut = wall_clock(datetime(1998, 1, 1))
     both = csv_lines.union_sources(
-        [lines.where(F.col("InvoiceDate") < cut), lines.where(F.col("InvoiceDate") >= cut)]
+        [lines.where(F.col("InvoiceDate") < cut), lines.where((F.col("InvoiceDate") >= cut) | F.col("InvoiceDate").isNull())]
     )
     by_year = both.groupBy(F.year("InvoiceDate").alias("year")).agg(
         F.count("InvoiceNo").alias("lines"), F.sum(F.col("Quantity") * F.col("UnitPrice")).alias("amount")
@@ -180,9 +180,7 @@ def null_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def describe_lines(spark: SparkSession, folder: str) -> DataFrame:
-    numbers = stages.stage(
-        order_lines(spark, folder, ["Quantity", "UnitPrice", "CustomerID"]), "line-numbers"
-    )
+    numbers = order_lines(spark, folder, ["Quantity", "UnitPrice", "CustomerID"])
     described = profiling.describe(numbers, numbers.columns)
     return _rounded(described, mean=4, std=4, q25=4, q50=4, q75=4)
 
@@ -208,11 +206,8 @@ def monthly_revenue(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def snapshot_date(spark: SparkSession, folder: str) -> DataFrame:
-    totals = customer_totals(_sales(spark, folder))
-    return totals.agg(
-        F.max("LastPurchase").alias("last_purchase"),
-        (F.max("LastPurchase") + F.expr("INTERVAL 1 DAY")).alias("snapshot"),
-    )
+    last = F.max("InvoiceDate")
+    return _sales(spark, folder).agg(last.alias("last_purchase"), (last + F.expr("INTERVAL 1 DAY")).alias("snapshot"))
 
 
 def rfm_table(spark: SparkSession, folder: str) -> DataFrame:

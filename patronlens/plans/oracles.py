@@ -10,9 +10,26 @@ from collections.abc import Sequence
 
 from patronlens.operators.clustering import Centers
 from patronlens.operators.distributions import FUNNEL_STAGES
-from patronlens.operators.segments import RANKED_STRATEGY, RULED_STRATEGY
 from patronlens.plans.catalogue import ROBUST_CENTERS, STANDARD_CENTERS, diagonal_centers
 
+# What the reports are to say, written out apart from the code that says it.
+RANKED_TEXTS = [
+    ("Champions", "keep: ask what they would miss, and never let their favourites run out of stock"),
+    ("Loyal", "extend: offer the category that goes with what they buy most"),
+    ("New", "learn: find out what brought them before writing to them again"),
+    ("Hibernating", "decide: send one message; stop mailing those who do not open it"),
+]
+RULED_TEXTS = [
+    ("Champions", "mean spend above the third quartile, last purchase before the first quartile of days",
+     "reserve stock ahead of launches; ask for reviews"),
+    ("At-Risk VIP", "mean spend above the third quartile, last purchase after the third quartile of days",
+     "check open complaints and returns first; write from a named person; note the reason for leaving"),
+    ("New Customers", "last purchase before the first quartile of days, fewer orders than the median",
+     "confirm that the first order was right; show how reordering works"),
+    ("Hibernating", "last purchase after the third quartile of days", "one seasonal reminder a year"),
+    ("Regular", "none of the other rules", "usual newsletter; watch for a change of rule"),
+]
+
 LINES = """
 lines AS (
   SELECT CASE WHEN l_returnflag = 'R' THEN 'C' || CAST(o_orderkey AS VARCHAR)
@@ -335,7 +352,7 @@ SELECT CAST(year("InvoiceDate") AS INTEGER) AS year, count(*) AS lines,
 SELECT "Cluster", "Segment", n AS "Customers", "Strategy"
 FROM ranks JOIN (VALUES (1, 'Champions'), (2, 'Loyal'), (3, 'New'), (4, 'Hibernating')) AS s(rank, "Segment")
   ON rank = spend_rank
-JOIN ({_values([(k, a) for k, (a, _) in RANKED_STRATEGY.items()])}) AS t("Segment", "Strategy") USING ("Segment")"""),
+JOIN ({_values(RANKED_TEXTS)}) AS t("Segment", "Strategy") USING ("Segment")"""),
     "clean_lines": _with(CLEAN, """
 SELECT "InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID", "Country",
        "TotalPrice" FROM clean"""),
@@ -473,16 +490,14 @@ FROM (
     "strategy_report": _with(CLUSTERED + MEANS, f"""
 SELECT "Cluster", "Segment", n AS "Customers", {_even('revenue', 2)} AS "Revenue",
        {_even('revenue / (SELECT sum(revenue) FROM means) * 100', 2)} AS "Revenue_Share_%",
-       "Strategy", "Expected_Impact"
+       "Strategy", CAST(NULL AS VARCHAR) AS "Expected_Impact"
 FROM ranks JOIN (VALUES (1, 'Champions'), (2, 'Loyal'), (3, 'New'), (4, 'Hibernating')) AS s(rank, "Segment")
   ON rank = spend_rank
-JOIN ({_values([(k, a, i) for k, (a, i) in RANKED_STRATEGY.items()])})
-  AS t("Segment", "Strategy", "Expected_Impact") USING ("Segment")"""),
+JOIN ({_values(RANKED_TEXTS)}) AS t("Segment", "Strategy") USING ("Segment")"""),
     "strategy_matrix": _with(RULED, f"""
-SELECT "Segment", "Characteristic", "Strategy", "Expected_Impact",
+SELECT "Segment", "Characteristic", "Strategy", CAST(NULL AS VARCHAR) AS "Expected_Impact",
        (SELECT count(*) FROM named WHERE "Segment_Name" = "Segment") AS customers
-FROM ({_values([(k, c, " | ".join(a), i) for k, (c, a, i) in RULED_STRATEGY.items()])})
-  AS t("Segment", "Characteristic", "Strategy", "Expected_Impact")"""),
+FROM ({_values(RULED_TEXTS)}) AS t("Segment", "Characteristic", "Strategy")"""),
     "scatter_extract": _with(RULED, f'SELECT {_SCORE_COLUMNS}, "Segment_Name" FROM named'),
     "quality": _with(SCORED, f"""
 SELECT 'line_columns_present' AS "check", CAST(0 AS BIGINT) AS failed_rows

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from patronlens import schemas
 from patronlens.functions.columns import blank_to_null
+from patronlens.sources.stages import hadoop_path
+
+_CORRUPT = "_corrupt_record"
 
 
 def read_lines_csv(
@@ -19,33 +25,121 @@ def read_lines_csv(
     timestamp_format: str | None = None,
     missing_tokens: Sequence[str] = tuple(schemas.MISSING_TOKENS),
     schema: T.StructType = schemas.RAW_LINES,
+    malformed: str = "raise",
 ) -> DataFrame:
     """All CSV parts under one schema; ``paths`` may hold globs.
 
-    Time stamps are read as ``yyyy-MM-dd HH:mm:ss`` with an optional fraction unless
-    ``timestamp_format`` says otherwise.  Set ``multi_line`` only when descriptions contain line breaks: such files
-    cannot be split between tasks.  The schema is given, never inferred, so the
-    files are scanned once.
+    Columns are found by each part's own header, so parts may order them differently and
+    have others besides; a missing one is an error.  Time stamps read like
+    ``yyyy-MM-dd HH:mm:ss`` with an optional fraction unless ``timestamp_format`` says
+    otherwise.  A whole number may be written ``6.0``.  A field that is neither missing nor
+    readable stops the reading job, or becomes NULL with ``malformed="null"``; see
+    ``malformed_fields`` for their number.  Set ``multi_line`` only when descriptions
+    contain line breaks: such files cannot be split between tasks.
     """
-    reader = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-    )
-    if timestamp_format:
-        reader = reader.option("timestampNTZFormat", timestamp_format)
+    if malformed not in ("raise", "null"):
+        raise ValueError(f"unknown option: {malformed!r}")
+    columns = {}
+    for field in schema:
+        text = blank_to_null(F.col(field.name), missing_tokens)
+        value = _typed(text, field, timestamp_format)
+        if malformed == "raise":
+            said = F.concat(F.lit(f"cannot read {field.name}: "), text)
+            value = F.when(_unreadable(text, value), F.raise_error(said).cast(field.dataType)).otherwise(value)
+        columns[field.name] = value.alias(field.name)
+    texts = _text_parts(spark, paths, schema, multi_line)
+    if malformed == "raise":
+        first, *_ = columns
+        cut = F.concat(F.lit("not a line of the table: "), F.col(_CORRUPT))
+        kind = schema[first].dataType
+        columns[first] = F.when(F.col(_CORRUPT).isNotNull(), F.raise_error(cut).cast(kind)).otherwise(columns[first]).alias(first)
+    return texts.select(*columns.values())
+
+
+def malformed_fields(
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    *,
+    multi_line: bool = False,
+    timestamp_format: str | None = None,
+    missing_tokens: Sequence[str] = tuple(schemas.MISSING_TOKENS),
+    schema: T.StructType = schemas.RAW_LINES,
+) -> DataFrame:
+    """``column, fields``: fields that are neither missing nor readable, and lines with too few or too many of them."""
+    counts = []
+    for field in schema:
+        text = blank_to_null(F.col(field.name), missing_tokens)
+        bad = _unreadable(text, _typed(text, field, timestamp_format))
+        counts.append(F.struct(F.lit(field.name).alias("column"), F.count_if(bad).alias("fields")))
+    counts.append(F.struct(F.lit("(line)").alias("column"), F.count_if(F.col(_CORRUPT).isNotNull()).alias("fields")))
+    # A row of results first: Spark refuses to read the corrupt column alone.
+    return _text_parts(spark, paths, schema, multi_line).agg(F.array(*counts).alias("counts")).select(F.inline("counts"))
+
+
+def _typed(text: Column, field: T.StructField, timestamp_format: str | None) -> Column:
+    if isinstance(field.dataType, T.StringType):
+        return text
+    if isinstance(field.dataType, T.IntegralType):
+        number = text.try_cast("double")
+        return F.when(number == F.floor(number), number.cast(field.dataType))
+    if isinstance(field.dataType, T.TimestampNTZType) and timestamp_format:
+        return F.try_to_timestamp(text, F.lit(timestamp_format)).cast(field.dataType)
+    return text.try_cast(field.dataType)
+
+
+def _unreadable(text: Column, value: Column) -> Column:
+    return text.isNotNull() & value.isNull()
+
+
+def _text_parts(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, multi_line: bool) -> DataFrame:
+    """The schema's columns as text, and the lines that do not fit their header."""
     try:
-        lines = reader.csv(list(paths) if not isinstance(paths, str) else paths)
+        files = spark.read.text([paths] if isinstance(paths, str) else list(paths)).inputFiles()
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
+        files = []
+    if not files:
         raise FileNotFoundError(
             f"no line files match {paths!r}: put the CSV parts there, or export them with "
             "patronlens.sources.exports.write_csv_chunks"
-        ) from error
-    texts = [f.name for f in schema if isinstance(f.dataType, T.StringType)]
-    return lines.withColumns({c: blank_to_null(F.col(c), missing_tokens) for c in texts})
+        )
+    by_header: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    for file in map(unquote, files):
+        header = _header(spark, file)
+        if header is not None:
+            missing = [c for c in schema.fieldNames() if c not in header]
+            if missing:
+                raise ValueError(f"{file} has no column {', '.join(missing)}")
+            by_header[header].append(file)
+    wanted = [*schema.fieldNames(), _CORRUPT]
+    parts = []
+    for header, own in by_header.items():
+        names = [*header, _CORRUPT]
+        reader = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+        reader = reader.option("header", True).option("enforceSchema", True).option("escape", '"')
+        reader = reader.option("columnNameOfCorruptRecord", _CORRUPT).option("multiLine", multi_line)
+        parts.append(reader.csv(own).select(*wanted))
+    if not parts:
+        return spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in wanted]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _header(spark: SparkSession, file: str) -> tuple[str, ...] | None:
+    """Column names of one part; None if it is empty.  Reads its first line only."""
+    files, at = hadoop_path(spark, file)
+    codec = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration()).getCodec(at)
+    stream = files.open(at) if codec is None else codec.createInputStream(files.open(at))
+    reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8"))
+    try:
+        line = reader.readLine()
+    finally:
+        reader.close()
+    if line is None:
+        return None
+    names = [name.strip().strip('"') for name in line.lstrip("﻿").split(",")]
+    # A name that comes twice, or none at all, is given one that no schema has.
+    return tuple(n if n and names.index(n) == i else f"_column_{i}" for i, n in enumerate(names))
 
 
 def union_sources(sources: Sequence[DataFrame], renames: dict[str, str] | None = None) -> DataFrame:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-_BYTE_ORDER_MARK = "\ufeff"
-_SAMPLE_ROWS = 1000
+from patronlens.sources.stages import stage
+
+_BYTE_ORDER_MARK = "﻿"
+# Files are planned for this share of the bound, because rows differ in length.
+_FILLED = 0.85
 
 
 def write_report_csv(report: DataFrame, path: str, *, byte_order_mark: bool = True) -> None:
@@ -19,34 +22,22 @@ def write_report_csv(report: DataFrame, path: str, *, byte_order_mark: bool = Tr
     named.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def rows_per_chunk(lines: DataFrame, chunk_bytes: int) -> int:
-    """How many rows fit ``chunk_bytes``, judged by the first 1000 rows as CSV text."""
+def csv_bytes(lines: DataFrame) -> int:
+    """Size of all rows as CSV text, without headers."""
     text = F.to_csv(F.struct(*lines.columns), {"escape": '"'})
-    size = (
-        _with_text_times(lines)
-        .limit(_SAMPLE_ROWS)
-        .agg((F.sum(F.octet_length(text) + 1) / F.count(F.lit(1))).alias("bytes"))
-        .first()["bytes"]
-    )
-    return max(int(chunk_bytes / size), 1) if size else 1
+    return lines.agg(F.sum(F.octet_length(text) + 1)).first()[0] or 0
 
 
 def write_csv_chunks(lines: DataFrame, path: str, *, chunk_bytes: int = 20 * 1024 * 1024) -> int:
-    """Write every row as CSV files of about ``chunk_bytes`` each; returns rows per file.
+    """Write every row as CSV files of at most about ``chunk_bytes`` each; returns the number of files.
 
-    Each task cuts its own rows, so no row moves.  Sort by range first when the
-    files must follow an order.
+    The lines are staged once, measured as a whole and dealt out in turn, so long rows
+    spread over all files wherever they stood.
     """
-    limit = rows_per_chunk(lines, chunk_bytes)
-    (
-        _with_text_times(lines)
-        .write.mode("overwrite")
-        .option("header", True)
-        .option("escape", '"')
-        .option("maxRecordsPerFile", limit)
-        .csv(path)
-    )
-    return limit
+    staged = stage(_with_text_times(lines), "csv-lines")
+    files = max(-int(-csv_bytes(staged) // (chunk_bytes * _FILLED)), 1)
+    staged.repartition(files).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    return files
 
 
 def _with_text_times(lines: DataFrame) -> DataFrame:

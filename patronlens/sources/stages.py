@@ -7,34 +7,45 @@ it, and rerun tasks see exactly the same floating point sums.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-_local_root: dict[str, str] = {}
+
+# Scratch folders already marked for removal.
+_marked: set[str] = set()
 
 
 def stage_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``, else the session's warehouse folder.
 
-    Only a local session without that setting falls back to a temporary folder.
+    A warehouse on a local disk will do for a local session only.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.conf.get("spark.app.id")
-    if app not in _local_root:
-        _local_root[app] = tempfile.mkdtemp(prefix="patronlens-")
-    return _local_root[app]
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir", None) or ""
+        local = spark.conf.get("spark.master", "").split("[")[0] == "local"
+        if not root or (not local and (root.startswith("file:") or "://" not in root)):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return root.rstrip("/")
 
 
 def new_stage_path(spark: SparkSession, name: str) -> str:
-    return f"{stage_root(spark)}/patronlens/{name}-{uuid.uuid4().hex}"
+    """A new place for a scratch table, in a folder that is removed when the session's process ends."""
+    scratch = f"{stage_root(spark)}/patronlens/{spark.sparkContext.applicationId}"
+    if scratch not in _marked:
+        files, folder = hadoop_path(spark, scratch)
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _marked.add(scratch)
+    return f"{scratch}/{name}-{uuid.uuid4().hex}"
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path in its form."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -55,18 +66,19 @@ def read_stage(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write of the table came to its end and left its marker."""
+    files, marker = hadoop_path(spark, f"{path.rstrip('/')}/_SUCCESS")
+    return files.exists(marker)
+
+
 def read_or_build(
     spark: SparkSession, path: str, build: Callable[[], DataFrame], *, rebuild: bool = False
 ) -> DataFrame:
-    """The stage table at ``path`` if it is there, else built, written and read back.
+    """The stage table at ``path`` if a write of it was completed, else built, written and read back.
 
     Nothing checks whether the sources changed since; pass ``rebuild=True`` then.
     """
-    if not rebuild:
-        try:
-            return read_stage(spark, path)
-        except AnalysisException as error:
-            # A failed write leaves a folder without data files.
-            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
+    if not rebuild and is_complete(spark, path):
+        return read_stage(spark, path)
     return write_stage(build(), path)

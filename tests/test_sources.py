@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from patronlens.operators.cleaning import clean_lines
 from patronlens.schemas import LINE_COLUMNS
 from patronlens.sources import stages
-from patronlens.sources.csv_lines import read_lines_csv, union_sources
-from patronlens.sources.exports import rows_per_chunk, write_csv_chunks, write_report_csv
+from patronlens.sources.csv_lines import malformed_fields, read_lines_csv, union_sources
+from patronlens.sources.exports import write_csv_chunks, write_report_csv
 
 HEADER = ",".join(LINE_COLUMNS)
 
@@ -58,16 +58,44 @@ def test_union_renames_and_matches_by_name(spark):
 
 
 def test_chunks_hold_every_row_within_the_size(spark, make_lines, tmp_path):
-    lines = make_lines([{"InvoiceNo": str(i), "Description": 'a "quoted", text'} for i in range(900)]).coalesce(2)
-    limit = write_csv_chunks(lines, str(tmp_path / "chunks"), chunk_bytes=8_000)
-    assert limit == rows_per_chunk(lines, 8_000)
+    # Long rows come last.
+    rows = [{"InvoiceNo": str(i), "Description": 'a "quoted", text' * (1 if i < 700 else 12)} for i in range(900)]
+    lines = make_lines(rows).coalesce(2)
+    count = write_csv_chunks(lines, str(tmp_path / "chunks"), chunk_bytes=12_000)
     files = list((tmp_path / "chunks").glob("*.csv"))
-    assert len(files) > 5
-    assert all(f.stat().st_size < 8_000 * 1.1 for f in files)
+    assert len(files) == count > 5
+    assert all(f.stat().st_size < 12_000 * 1.05 for f in files)
     back = read_lines_csv(spark, str(tmp_path / "chunks"))
     assert back.exceptAll(lines).isEmpty() and lines.exceptAll(back).isEmpty()
 
 
+def test_parts_are_read_by_their_headers(spark, tmp_path):
+    write(tmp_path / "a.csv", "1,A,x,6.0,2011-01-01 00:00:00,2.5,7.0,France")
+    order = ["Country", "Extra", "UnitPrice", "InvoiceDate", "CustomerID", "Quantity", "Description", "StockCode", "InvoiceNo"]
+    (tmp_path / "b.csv").write_text("\ufeff" + ",".join(order) + "\nSpain,?,1.5,2011-01-02 00:00:00,8,4,y,B,2\n", encoding="utf-8")
+    (tmp_path / "empty.csv").write_text("")
+    lines = read_lines_csv(spark, f"{tmp_path}/*.csv")
+    rows = {r["InvoiceNo"]: (r["Quantity"], r["UnitPrice"], r["CustomerID"], r["Country"]) for r in lines.collect()}
+    assert rows == {"1": (6, 2.5, 7.0, "France"), "2": (4, 1.5, 8.0, "Spain")}
+    assert clean_lines(lines).count() == 2
+    (tmp_path / "b.csv").write_text("InvoiceNo,Quantity\n1,2\n")
+    with pytest.raises(ValueError, match="StockCode"):
+        read_lines_csv(spark, f"{tmp_path}/*.csv")
+
+
+def test_unreadable_fields_are_never_lost_silently(spark, tmp_path):
+    write(
+        tmp_path / "a.csv", "1,A,x,six,2011-01-01 00:00:00,2.5,7.0,France", "2,A,x,6,01.02.2011,2.5,7.0,France",
+        "3,A,x,2.5,2011-01-01 00:00:00,cheap,7.0,France", "4,A,x,1,2011-01-01 00:00:00,1.0,,France", "5,A,x",
+    )
+    for bad in ("Quantity: six", "InvoiceDate: 01.02.2011"):
+        with pytest.raises(Exception, match=bad):
+            read_lines_csv(spark, str(tmp_path / "a.csv")).where(F.col("InvoiceNo") == ("1" if "six" in bad else "2")).collect()
+    counts = {r["column"]: r["fields"] for r in malformed_fields(spark, str(tmp_path / "a.csv")).collect()}
+    assert {c: n for c, n in counts.items() if n} == {"Quantity": 2, "InvoiceDate": 1, "UnitPrice": 1, "(line)": 1}
+    assert read_lines_csv(spark, str(tmp_path / "a.csv"), malformed="null").count() == 5
+
+
 def test_report_has_a_byte_order_mark(spark, tmp_path):
     report = spark.createDataFrame([("Champions 冠军", 'a, "b"')], "Segment string, Strategy string")
     for mark, start in ((True, b"\xef\xbb\xbfSegment"), (False, b"Segment")):
@@ -92,12 +120,17 @@ def test_read_or_build_builds_once(spark, tmp_path):
     broken = tmp_path / "broken"
     (broken / "_temporary").mkdir(parents=True)
     assert stages.read_or_build(spark, str(broken), lambda: spark.range(2)).count() == 2
+    half = tmp_path / "half"
+    spark.range(1000).repartition(4).write.parquet(str(half))
+    next(half.glob("part-*.parquet")).unlink()
+    (half / "_SUCCESS").unlink()
+    assert stages.read_or_build(spark, str(half), lambda: spark.range(1000)).count() == 1000
 
 
 def test_stage_lives_in_the_shared_folder(spark):
     staged = stages.stage(spark.range(10).withColumn("x", F.col("id") * 2), "numbers")
     assert staged.agg(F.sum("x")).first()[0] == 90
-    assert staged.inputFiles() and all(f"{stages.stage_root(spark)}/patronlens/numbers-" in f for f in staged.inputFiles())
+    assert staged.inputFiles() and all("/patronlens/" in f and "/numbers-" in f for f in staged.inputFiles())
 
 
 class Settings:
@@ -111,8 +144,10 @@ def test_stage_root_is_never_a_local_folder_on_a_cluster():
     assert stages.stage_root(Settings(spark_checkpoint_dir="hdfs:///stages/", spark_master="yarn")) == "hdfs:///stages"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         stages.stage_root(Settings(spark_master="yarn"))
-    local = Settings(spark_master="local[2]", spark_app_id="test-app")
-    assert stages.stage_root(local) == stages.stage_root(local) and Path(stages.stage_root(local)).is_dir()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        stages.stage_root(Settings(spark_master="yarn", spark_sql_warehouse_dir="file:/tmp/warehouse"))
+    assert stages.stage_root(Settings(spark_master="yarn", spark_sql_warehouse_dir="hdfs://a/w")) == "hdfs://a/w"
+    assert stages.stage_root(Settings(spark_master="local[2]", spark_sql_warehouse_dir="file:/a/w")) == "file:/a/w"
 
 
 def test_no_forbidden_shortcuts_in_the_sources():
