@@ -34,7 +34,7 @@ from patronlens.sources.stages import stage
 LEAF = 96
 PART_CHARS = 1 << 20
 # Pieces, and words, that a Python worker remembers between chunks (about 200 bytes each).
-REMEMBERED_PIECES = 400_000
+REMEMBERED_PIECES = 180_000
 _END = np.uint32(2**32 - 1)
 
 # Latin letters and signs on which this module's own splitting is safe; all else goes
