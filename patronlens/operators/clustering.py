@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Row, functions as F
 
 from patronlens.operators.features import FEATURES
 from patronlens.operators.shaping import dimension
-from patronlens.operators.silhouette import cluster_facts, silhouette, silhouette_euclidean
+from patronlens.operators.silhouette import cluster_facts, silhouette
 
 FIRST_SEED = 42
 RESTARTS = 10
@@ -110,12 +110,9 @@ def fit_kmeans(
 
 
 def measure(
-    features: DataFrame, candidates: Mapping[int, Centers], *, metric: str = "squared", parallelism: int = 8
+    features: DataFrame, candidates: Mapping[int, Centers], *, parallelism: int = 8
 ) -> DataFrame:
-    """The sweep table (k, inertia, silhouette, metric).
-
-    ``metric="euclidean"`` scores with plain distances; its work grows with the
-    square of the customers.
+    """The sweep table (k, inertia, silhouette, metric); the metric says that distances are squared.
 
     Two passes per k, several k side by side.  One pass for all k at once would hold
     so many centers that its generated code grows past what the JVM compiles.
@@ -124,17 +121,13 @@ def measure(
     def one(k: int) -> tuple[int, float, float]:
         clustered = candidates[k].assign(features)
         facts = cluster_facts(clustered)
-        score = silhouette(clustered, facts=facts) if metric == "squared" else silhouette_euclidean(clustered)
-        return k, _inertia(facts, candidates[k]), score
-
-    if metric not in ("squared", "euclidean"):
-        raise ValueError(f"metric must be 'squared' or 'euclidean', got {metric!r}")
+        return k, _inertia(facts, candidates[k]), silhouette(clustered, facts=facts)
 
     with ThreadPoolExecutor(parallelism) as pool:
         rows = list(pool.map(inheritable_thread_target(features.sparkSession)(one), sorted(candidates)))
     ks, inertias, scores = zip(*rows)
     sweep = dimension(features.sparkSession, k=list(ks), inertia=list(inertias), silhouette=list(scores))
-    return sweep.withColumn("k", F.col("k").cast("int")).withColumn("metric", F.lit(metric))
+    return sweep.withColumn("k", F.col("k").cast("int")).withColumn("metric", F.lit("squared"))
 
 
 def _inertia(facts: Sequence[Row], centers: Centers) -> float:
@@ -168,3 +161,35 @@ def by_mean_monetary(features: DataFrame, centers: Centers) -> Centers:
     order = [r["Cluster"] for r in sorted(means, key=lambda r: (-r["mean"], r["Cluster"]))]
     unused = [i for i in range(centers.k) if i not in order]
     return centers.reordered(order + unused)
+
+
+def fit_checks(features: DataFrame, fits: Mapping[int, Centers], rivals: Mapping[int, Centers]) -> DataFrame:
+    """What any good fit satisfies, one row per k: all numbers but ``customers`` are 0 if it does.
+
+    ``empty_clusters``: centers without customers; ``not_nearest``: customers nearer to
+    another center than their own; ``off_mean``: centers away from their members' mean;
+    ``dearer_than_rival``: whether the rival centers cost less; ``rising``: whether a
+    smaller k costs less.
+    """
+    rows, cost_before = [], math.inf
+    for k in sorted(fits):
+        centers = fits[k]
+        clustered = centers.assign(features, cost="own_cost")
+        facts = cluster_facts(clustered)
+        distances = [centers._squared_distance(i) for i in range(k)]
+        nearer = reduce(or_, [F.expr(d) < F.col("own_cost") * (1 - 1e-12) for d in distances])
+        offsets = [
+            max(abs(fact[f"mean_{c}"] - x) for c, x in zip(FEATURES, centers.points[fact["cluster"]])) for fact in facts
+        ]
+        cost = _inertia(facts, centers)
+        rival = _inertia(cluster_facts(rivals[k].assign(features)), rivals[k])
+        rows.append(
+            (
+                k, sum(f["rows"] for f in facts), k - len(facts), clustered.where(nearer).count(),
+                sum(o > 1e-3 for o in offsets), int(cost > rival), int(cost > cost_before),
+            )
+        )
+        cost_before = cost
+    names = ["k", "customers", "empty_clusters", "not_nearest", "off_mean", "dearer_than_rival", "rising"]
+    table = dimension(features.sparkSession, **{n: list(v) for n, v in zip(names, zip(*rows))})
+    return table.withColumn("k", F.col("k").cast("int"))

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -90,62 +95,70 @@ def funnel(rfm: DataFrame, active_days: int = 90) -> DataFrame:
     )
 
 
-def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    entries = [(F.lit(c), F.col(c).cast("double")) for c in columns]
-    return unpivot(df, ["measure", "value"], entries).where(F.col("value").isNotNull() & ~F.isnan("value"))
+@dataclass(frozen=True)
+class _Extent:
+    low: float
+    high: float
+    deviation: float | None
+    rows: int
 
+    def edge(self, number: int, steps: int) -> float:
+        """The number-th of ``steps`` + 1 evenly spaced points from low to high."""
+        return self.high if number == steps else number * ((self.high - self.low) / steps) + self.low
 
-def _extent(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Low, high, deviation and row count per measure; a zero range is widened by half on both sides."""
-    facts = _long(df, columns).groupBy("measure").agg(
-        F.min("value").alias("least"),
-        F.max("value").alias("most"),
-        F.stddev_samp("value").alias("deviation"),
-        F.count("value").alias("rows"),
-    )
-    flat = F.col("least") == F.col("most")
-    return facts.select(
-        "measure",
-        F.when(flat, F.col("least") - 0.5).otherwise(F.col("least")).alias("low"),
-        F.when(flat, F.col("most") + 0.5).otherwise(F.col("most")).alias("high"),
-        "deviation",
-        "rows",
-    )
 
+def _value(column: str) -> Column:
+    value = F.col(column).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
+def _extents(df: DataFrame, columns: Sequence[str]) -> dict[str, _Extent]:
+    """Range, deviation and count of each column that has values, in one aggregate; a zero range is widened by half on both sides."""
+    row = df.agg(
+        *[
+            statistic(_value(c)).alias(f"{c}_{name}")
+            for c in columns
+            for name, statistic in (("low", F.min), ("high", F.max), ("deviation", F.stddev_samp), ("rows", F.count))
+        ]
+    ).first()
+    extents = {}
+    for c in columns:
+        low, high, deviation, rows = (row[f"{c}_{name}"] for name in ("low", "high", "deviation", "rows"))
+        if rows:
+            widened = 0.5 if low == high else 0.0
+            extents[c] = _Extent(low - widened, high + widened, deviation, rows)
+    return extents
+
+
+def _bin(value: Column, extent: _Extent, bins: int) -> Column:
+    """The bin guessed by division, checked against its edges, so a value on an edge lands where a comparison puts it."""
+    low, high = F.lit(extent.low), F.lit(extent.high)
+    width = (high - low) / float(bins)
+    guess = F.least(F.floor((value - low) / width), F.lit(bins - 1)).cast("int")
+
+    def edge(number: Column) -> Column:
+        return F.when(number == bins, high).otherwise(number * width + low)
 
-def _edge(number: Column, steps: int) -> Column:
-    """The number-th of ``steps`` + 1 evenly spaced points from low to high."""
-    inside = number * ((F.col("high") - F.col("low")) / float(steps)) + F.col("low")
-    return F.when(number == steps, F.col("high")).otherwise(inside)
+    return F.when(value < edge(guess), guess - 1).when((value >= edge(guess + 1)) & (guess < bins - 1), guess + 1).otherwise(guess)
 
 
 def histogram(df: DataFrame, columns: Sequence[str] = tuple(RFM), bins: int = 50) -> DataFrame:
     """Equal-width bins per measure, empty ones included; the last bin is closed on the right.
 
-    The bin guessed by division is checked against its edges, so a value on an edge
-    lands where a comparison with the edges puts it.
+    Two passes: one aggregate for the extents, and one that counts the bins of all measures on the map side.
     """
-    extent = _extent(df, columns)
-    values = _long(df, columns).join(F.broadcast(extent), "measure")
-    width = (F.col("high") - F.col("low")) / float(bins)
-    guess = F.least(F.floor((F.col("value") - F.col("low")) / width), F.lit(bins - 1)).cast("int")
-    checked = (
-        F.when(F.col("value") < _edge(F.col("guess"), bins), F.col("guess") - 1)
-        .when((F.col("value") >= _edge(F.col("guess") + 1, bins)) & (F.col("guess") < bins - 1), F.col("guess") + 1)
-        .otherwise(F.col("guess"))
-    )
-    counts = (
-        values.withColumn("guess", guess)
-        .groupBy("measure", checked.alias("bin"))
-        .agg(F.count(F.lit(1)).alias("counted"))
-    )
-    grid = extent.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).select(
-        "measure",
-        "bin",
-        _edge(F.col("bin"), bins).alias("bin_start"),
-        _edge(F.col("bin") + 1, bins).alias("bin_end"),
-    )
-    return grid.join(counts, ["measure", "bin"], "left").select(
+    extents = _extents(df, columns)
+    entries = [
+        F.when(_value(c).isNotNull(), F.struct(F.lit(c).alias("measure"), _bin(_value(c), e, bins).alias("bin")))
+        for c, e in extents.items()
+    ]
+    listed = df.select(F.inline(F.array_compact(F.array(*entries)))) if entries else df.select(
+        F.lit("").alias("measure"), F.lit(0).alias("bin")
+    ).limit(0)
+    counts = listed.groupBy("measure", "bin").agg(F.count(F.lit(1)).alias("counted"))
+    grid = [(c, b, e.edge(b, bins), e.edge(b + 1, bins)) for c, e in extents.items() for b in range(bins)]
+    table = df.sparkSession.createDataFrame(grid, "measure string, bin int, bin_start double, bin_end double")
+    return table.join(counts, ["measure", "bin"], "left").select(
         "measure", "bin", "bin_start", "bin_end", F.coalesce("counted", F.lit(0)).alias("customers")
     )
 
@@ -155,29 +168,44 @@ def density_curve(
 ) -> DataFrame:
     """Gaussian kernel density per measure on an even grid between its extremes.
 
-    Bandwidth is Scott's: sample deviation times rows ** -1/5.  ``count_scale`` is
-    the height that matches a histogram of ``bins`` bins.  Equal values are counted
-    first, as days and invoice counts repeat a lot; the grid terms are then summed
-    inside each task, so only a few hundred sums per measure leave it.
+    Bandwidth is Scott's: sample deviation times rows ** -1/5.  ``count_scale`` is the
+    height that matches a histogram of ``bins`` bins.  Equal values are counted first, as
+    days and invoice counts repeat a lot.  A task adds its values' kernels to one array of
+    ``points`` sums for each measure and hands only these on.  A measure with fewer than
+    two different values has no density.
     """
-    extent = _extent(df, columns)
-    counted = _long(df, columns).groupBy("measure", "value").agg(F.count(F.lit(1)).alias("times"))
-    values = counted.join(F.broadcast(extent), "measure")
-    bandwidth = F.col("deviation") * F.pow(F.col("rows").cast("double"), F.lit(-0.2))
-    at = _edge(F.col("point"), points - 1)
-    terms = values.withColumn("bandwidth", bandwidth).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
-    )
-    offset = (at - F.col("value")) / F.col("bandwidth")
-    kernel = F.col("times") * F.exp(offset * offset * F.lit(-0.5)) / (F.col("bandwidth") * F.sqrt(F.lit(2.0) * F.pi()))
-    return (
-        terms.groupBy("measure", "point", "low", "high", "rows")
-        .agg(F.sum(kernel).alias("total"))
-        .select(
-            "measure",
-            "point",
-            at.alias("x"),
-            (F.col("total") / F.col("rows")).alias("density"),
-            (F.col("total") * (F.col("high") - F.col("low")) / float(bins)).alias("count_scale"),
-        )
+    extents = {c: e for c, e in _extents(df, columns).items() if e.deviation}
+    entries = [
+        F.when(_value(c).isNotNull(), F.struct(F.lit(c).alias("measure"), _value(c).alias("value"))) for c in extents
+    ]
+    shape = "measure string, point int, total double"
+    if not entries:
+        return df.sparkSession.createDataFrame([], "measure string, point int, x double, density double, count_scale double")
+    counted = df.select(F.inline(F.array_compact(F.array(*entries)))).groupBy("measure", "value").agg(F.count(F.lit(1)).alias("times"))
+    grids = {c: np.array([e.edge(i, points - 1) for i in range(points)]) for c, e in extents.items()}
+    widths = {c: e.deviation * float(e.rows) ** -0.2 for c, e in extents.items()}
+
+    def add_kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {c: np.zeros(points) for c in grids}
+        for batch in batches:
+            names = np.array(batch.column(0).to_pylist(), object)
+            values, times = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for c, grid in grids.items():
+                own = np.flatnonzero(names == c)
+                for at in range(0, len(own), 2000):
+                    part = own[at: at + 2000]
+                    offset = (grid[None, :] - values[part, None]) / widths[c]
+                    sums[c] += times[part] @ np.exp(-0.5 * offset * offset)
+        for c, total in sums.items():
+            if total.any():
+                scaled = total / (widths[c] * math.sqrt(2 * math.pi))
+                yield pa.RecordBatch.from_arrays([pa.array([c] * points), pa.array(range(points), pa.int32()), pa.array(scaled)], ["measure", "point", "total"])
+
+    totals = counted.mapInArrow(add_kernels, shape).groupBy("measure", "point").agg(F.sum("total").alias("total"))
+    facts = [(c, i, float(grids[c][i]), e.rows, (e.high - e.low) / bins) for c, e in extents.items() for i in range(points)]
+    table = df.sparkSession.createDataFrame(facts, "measure string, point int, x double, rows long, width double")
+    return table.join(totals, ["measure", "point"], "left").select(
+        "measure", "point", "x",
+        (F.coalesce("total", F.lit(0.0)) / F.col("rows")).alias("density"),
+        (F.coalesce("total", F.lit(0.0)) * F.col("width")).alias("count_scale"),
     )

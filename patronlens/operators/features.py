@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -37,7 +39,12 @@ def log_measures(rfm: DataFrame) -> DataFrame:
 
 
 def fit_robust(rfm: DataFrame, *, log: bool = True) -> Scaling:
-    """Median and interquartile range, exact; a zero range divides by 1."""
+    """Median and interquartile range, exact; a zero range divides by 1.
+
+    A measure of -1 or less has no logarithm: a snapshot before the last purchase gives such a Recency.
+    """
+    if log and not rfm.where(reduce(or_, [F.col(c) <= -1 for c in RFM])).isEmpty():
+        raise ValueError("a measure is -1 or less; is the snapshot date before the last purchase?")
     quartiles = exact_quantiles(log_measures(rfm) if log else rfm, {c: [0.25, 0.5, 0.75] for c in RFM})
     return Scaling(
         center=[quartiles[c][1] for c in RFM],

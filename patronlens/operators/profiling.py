@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from patronlens.functions.columns import is_missing, month_of
 from patronlens.functions.quantiles import exact_quantiles
-from patronlens.operators.shaping import dimension, unpivot
+from patronlens.operators.shaping import unpivot
 
 
 def preview(df: DataFrame, key: Sequence[str], rows: int = 5) -> DataFrame:
@@ -26,10 +26,10 @@ def shape_and_range(lines: DataFrame) -> DataFrame:
 
 
 def schema_listing(df: DataFrame) -> DataFrame:
-    names, types = zip(*df.dtypes)
-    return dimension(
-        df.sparkSession, position=list(range(1, len(names) + 1)), column=list(names), type=list(types)
-    )
+    """Position, name, type and number of non-null values of every column, from one pass."""
+    counts = [F.count(F.col(name)).alias(name) for name in df.columns]
+    entries = [(F.lit(i), F.lit(name), F.lit(kind), F.col(name)) for i, (name, kind) in enumerate(df.dtypes, 1)]
+    return unpivot(df.agg(*counts), ["position", "column", "type", "non_null"], entries)
 
 
 def missing_counts(df: DataFrame) -> DataFrame:

@@ -1,12 +1,8 @@
-"""Mean silhouette of a clustering.
+"""Mean silhouette of a clustering, with squared Euclidean distances.
 
-``silhouette`` uses squared Euclidean distances.  The mean squared distance from a
-point to a cluster is its squared distance to the cluster mean plus the cluster's
-variance, so the exact score of every row needs two passes and no pairs.
-
-``silhouette_euclidean`` uses plain distances, for which no such identity exists: its
-work grows with the square of the distinct points.  It is exact and keeps every task
-small, and it is meant for tables of tens of thousands of customers.
+The mean squared distance from a point to a cluster is its squared distance to the
+cluster mean plus the cluster's variance, so the exact score of every row needs two
+passes and no pairs.  Plain distances have no such identity and are not offered.
 """
 
 from __future__ import annotations
@@ -18,7 +14,6 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from patronlens.operators.features import FEATURES
-from patronlens.sources.stages import stage
 
 
 def cluster_facts(
@@ -76,51 +71,3 @@ def _other(facts: Sequence[Row]) -> str:
 def _score(own: Column, other: Column) -> Column:
     """(other - own) / max of both; the only member of a cluster scores 0."""
     return F.coalesce((other - own) / F.nullif(F.greatest(own, other), F.lit(0.0)), F.lit(0.0))
-
-
-def silhouette_euclidean(
-    clustered: DataFrame,
-    columns: Sequence[str] = tuple(FEATURES),
-    cluster: str = "Cluster",
-    block_points: int = 512,
-) -> float:
-    """Exact mean silhouette with plain Euclidean distances.
-
-    Equal points are counted once.  The distinct points are dealt by hash into blocks
-    of about ``block_points``; every point meets every block once and adds up its
-    distances there, so no pair is ever a row and no task holds more than a block.
-    """
-    keys = [*columns, cluster]
-    points = stage(clustered.groupBy(*keys).agg(F.count(F.lit(1)).alias("weight")), "distinct-points")
-    sizes = {r[cluster]: r["rows"] for r in points.groupBy(cluster).agg(F.sum("weight").alias("rows")).collect()}
-    if len(sizes) < 2:
-        raise ValueError(f"a silhouette needs at least two clusters, got {len(sizes)}")
-    blocks = -(-points.count() // block_points)
-
-    member = F.struct(*[F.col(c).alias(c) for c in columns], "weight")
-    packed = (
-        points.withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
-        .groupBy("block", F.col(cluster).alias("facing"))
-        .agg(F.collect_list(member).alias("members"))
-    )
-
-    def add_distance(total: Column, m: Column) -> Column:
-        return total + m["weight"] * F.sqrt(reduce(add, [(F.col(c) - m[c]) * (F.col(c) - m[c]) for c in columns]))
-
-    sums = (
-        points.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        # Rows are small and the work per row is not: one partition per block, whatever its bytes.
-        .repartition(blocks, "block")
-        .join(packed, "block")
-        .select(*keys, "weight", "facing", F.aggregate("members", F.lit(0.0), add_distance).alias("distance"))
-        .groupBy(*keys, "weight", "facing")
-        .agg(F.sum("distance").alias("distance"))
-    )
-    rows = F.create_map(*[F.lit(v) for pair in sizes.items() for v in pair])[F.col("facing")]
-    inside = F.col("facing") == F.col(cluster)
-    per_point = sums.groupBy(*keys, "weight").agg(
-        F.max(F.when(inside & (rows > 1), F.col("distance") / (rows - 1))).alias("own"),
-        F.min(F.when(~inside, F.col("distance") / rows)).alias("other"),
-    )
-    score = _score(F.col("own"), F.col("other"))
-    return per_point.agg((F.sum(score * F.col("weight")) / F.sum("weight")).alias("mean")).first()["mean"]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from patronlens.functions.columns import wall_clock
 from patronlens.operators import cleaning, distributions, profiling, reports, segments
-from patronlens.operators.clustering import Centers, best_k, business_k, by_mean_monetary, measure
+from patronlens.operators.clustering import Centers, best_k, business_k, by_mean_monetary, fit_checks, fit_kmeans, measure
 from patronlens.operators.features import FEATURES, fit_robust, fit_standard, log_measures, scaling_check
 from patronlens.operators.projection import fit_components
 from patronlens.operators.quality import quality_checks
@@ -172,7 +172,7 @@ def shape_and_range(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def schema_listing(spark: SparkSession, folder: str) -> DataFrame:
-    return profiling.schema_listing(spark.read.parquet(f"{folder}/orders.parquet"))
+    return profiling.schema_listing(_lines(spark, folder))
 
 
 def null_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -436,6 +436,24 @@ def kmeans_sweep(spark: SparkSession, folder: str) -> DataFrame:
     return segment_customers(_scored(spark, folder), **VARIANTS["cli"]).sweep
 
 
+def _fit_checks(features: DataFrame, ks: range | list[int]) -> DataFrame:
+    # Fits that ran to their fixed point, so that centers are means.
+    fits = fit_kmeans(features, ks, relative_tol=0.0)
+    return fit_checks(features, fits, {k: diagonal_centers(k) for k in ks})
+
+
+def kmeans_checks_cli(spark: SparkSession, folder: str) -> DataFrame:
+    return _fit_checks(_robust(spark, folder), range(2, 11))
+
+
+def kmeans_checks_notebook(spark: SparkSession, folder: str) -> DataFrame:
+    return _fit_checks(_standard(spark, folder), range(2, 11))
+
+
+def kmeans_checks_verify(spark: SparkSession, folder: str) -> DataFrame:
+    return _fit_checks(_standard(spark, folder), range(2, 8))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in [
@@ -452,7 +470,8 @@ QUERIES: dict[str, Query] = {
         cluster_sizes, cluster_shares, cluster_profile, cluster_revenue, ranked_segments,
         rule_segments, segment_summary, radar_by_cluster, radar_by_segment, strategy_report,
         strategy_matrix, scatter_extract, quality, kmeans_segments, kmeans_sweep,
+        kmeans_checks_cli, kmeans_checks_notebook, kmeans_checks_verify,
     ]
 }
-QUERIES["notebook_segments"] = _summary_of("notebook")
+QUERIES["notebook_segments"] = _summary_of("notebook", ks=None)
 QUERIES["verify_segments"] = _summary_of("verify")

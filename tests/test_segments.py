@@ -10,11 +10,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from patronlens.operators import distributions, reports, segments
-from patronlens.operators.clustering import Centers, best_k, business_k, by_mean_monetary, fit_kmeans, measure
+from patronlens.operators.clustering import Centers, best_k, business_k, by_mean_monetary, fit_checks, fit_kmeans, measure
 from patronlens.operators.features import FEATURES, fit_robust, fit_standard, scaling_check
 from patronlens.operators.projection import fit_components
 from patronlens.operators.quality import quality_checks
-from patronlens.operators.silhouette import silhouette, silhouette_euclidean
+from patronlens.operators.silhouette import silhouette
 from patronlens.plans.pipelines import VARIANTS, segment_customers
 from patronlens.operators.scoring import score_customers
 
@@ -82,16 +82,6 @@ def test_silhouettes_equal_brute_force_and_mllib(spark):
     assert found == pytest.approx(mllib, abs=1e-9)
 
 
-@pytest.mark.parametrize("block_points", [7, 4096])
-def test_euclidean_silhouette_equals_brute_force(spark, block_points):
-    points, clusters = blobs(sizes=(30, 20, 10))
-    # Equal points, and a cluster with an only member.
-    points += [points[0]] * 5 + [np.array([50.0, 0.0, 0.0])]
-    clusters += [0] * 5 + [3]
-    found = silhouette_euclidean(points_frame(spark, points, clusters), block_points=block_points)
-    assert found == pytest.approx(brute_silhouette(points, clusters, 0.5), abs=1e-12)
-
-
 def test_only_members_score_zero(spark):
     points, clusters = [(0, 0, 0), (1, 0, 0), (9, 0, 0)], [0, 0, 1]
     df = points_frame(spark, points, clusters)
@@ -102,8 +92,6 @@ def test_one_cluster_has_no_silhouette(spark):
     df = points_frame(spark, [(0, 0, 0), (1, 1, 1)], [0, 0])
     with pytest.raises(ValueError, match="two clusters"):
         silhouette(df)
-    with pytest.raises(ValueError, match="two clusters"):
-        silhouette_euclidean(df)
 
 
 def test_kmeans_finds_blobs_and_repeats(spark):
@@ -120,16 +108,21 @@ def test_kmeans_finds_blobs_and_repeats(spark):
     assert best_k(measure(df, fits)).first()["k"] == 3
 
 
-def test_sweep_with_plain_distances(spark):
-    points, _ = blobs(sizes=(20, 15, 10))
+def test_checks_of_a_fit_and_of_a_bad_one(spark):
+    points, _ = blobs()
     df = points_frame(spark, points)
-    centers = Centers([(0, 0, 0), (9, 9, 0), (0, 9, 9)])
-    (row,) = measure(df, {3: centers}, metric="euclidean").collect()
-    clusters = [r["Cluster"] for r in centers.assign(df).orderBy("id").collect()]
-    assert row["metric"] == "euclidean"
-    assert row["silhouette"] == pytest.approx(brute_silhouette(points, clusters, 0.5))
-    with pytest.raises(ValueError, match="metric"):
-        measure(df, {3: centers}, metric="cosine")
+    fits = fit_kmeans(df, [2, 3], restarts=3, relative_tol=0.0)
+    rivals = {k: Centers([(float(i), 1.0, 0.0) for i in range(k)]) for k in fits}
+    for row in fit_checks(df, fits, rivals).collect():
+        assert row["customers"] == len(points) and sum(row[2:]) == 0
+    bad = Centers([*fits[2].points, (1e6, 1e6, 1e6)])
+    row = {r["k"]: r for r in fit_checks(df, {3: bad}, {3: fits[3]}).collect()}[3]
+    assert row["empty_clusters"] == 1 and row["dearer_than_rival"] == 1
+
+
+def test_logarithm_of_a_late_purchase_is_a_clear_error(make_rfm):
+    with pytest.raises(ValueError, match="snapshot"):
+        fit_robust(make_rfm([(1, -1, 1, 5.0), (2, 3, 2, 6.0)]))
 
 
 def test_equally_near_centers_go_to_the_first(spark):
