@@ -140,4 +140,52 @@ ORACLES: dict[str, str] = {
             CASE WHEN coalesce(page_id, holder - 1) <> holder THEN holder END AS refers_to
         FROM d
     """,
+    "op7_rabin_karp_windows": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ),
+        w AS (
+            SELECT doc_id, s, words[s : s + 12] AS win
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS s FROM d)
+        ),
+        repeated AS (
+            SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY win) AS least FROM w) WHERE least < doc_id
+        ),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS j FROM repeated),
+        per AS (SELECT doc_id, count(*) AS n, list(j) AS js FROM gone GROUP BY doc_id)
+        SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+            sha256(array_to_string(
+                CASE WHEN n IS NULL THEN words
+                ELSE [words[i] FOR i IN range(1, len(words) + 1) IF NOT list_contains(js, i)] END, ' ')) AS kept_sha256
+        FROM d LEFT JOIN per ON per.doc_id = d.doc_id
+    """,
+    "op9_bottom_k_sketches": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS words
+            FROM documents
+        ),
+        s AS (
+            SELECT DISTINCT doc_id, words[k : k + 4] AS shingle
+            FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS k FROM d WHERE len(words) > 0)
+        ),
+        n AS (SELECT d.doc_id, count(shingle) AS size FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id),
+        common AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_
+            FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+        ),
+        links AS (
+            SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+            WHERE 100 * both_ >= 75 * (x.size + y.size - both_)
+        ),
+        reach(node, seen) AS (
+            SELECT doc_id, doc_id FROM n
+            UNION
+            SELECT node, b FROM reach JOIN links ON a = seen
+        ),
+        least AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+        SELECT doc_id, size::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM n JOIN least ON node = doc_id
+    """,
 }
