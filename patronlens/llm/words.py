@@ -17,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 2_000_000
+# Words are hashed in blocks of so many bytes, to stay in the processor's cache.
+BLOCK_BYTES = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = 0x5851F42D4C957F2D
@@ -44,13 +46,12 @@ _kept_powers: list[np.ndarray] = []
 
 
 def _position_powers(count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse; kept for the usual chunk size."""
+    """Powers of the hash base and of its inverse; kept for the usual block."""
     inverse = pow(_BASE, -1, 2**64)
-    if count > CHUNK_BYTES + CHUNK_BYTES // 4:
+    if count > 2 * BLOCK_BYTES:
         return powers(count, _BASE), powers(count, inverse)
     if not _kept_powers:
-        most = CHUNK_BYTES + CHUNK_BYTES // 4
-        _kept_powers.extend((powers(most, _BASE), powers(most, inverse)))
+        _kept_powers.extend((powers(2 * BLOCK_BYTES, _BASE), powers(2 * BLOCK_BYTES, inverse)))
     return _kept_powers[0], _kept_powers[1]
 
 
@@ -78,16 +79,23 @@ class Words:
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word: a polynomial over random values of its bytes, mixed.
 
-        All bytes are weighted by their place in the chunk; a word's sum is then moved
+        The bytes of a block are weighted by their place in it; a word's sum is then moved
         back by the inverse weight of its first byte.
         """
-        if not len(self):
-            return np.zeros(0, np.uint64)
-        up, down = _position_powers(len(self.data))
-        value = _BYTE_VALUES[self.data]
-        value *= up[: len(value)]
-        sums = np.add.reduceat(value, self.start) * down[self.start]
-        return mixed(sums + (self.end - self.start).astype(np.uint64))
+        out = np.empty(len(self), np.uint64)
+        first = 0
+        while first < len(self):
+            begin = self.start[first]
+            last = max(int(np.searchsorted(self.start, begin + BLOCK_BYTES)), first + 1)
+            end = self.start[last] if last < len(self) else len(self.data)
+            up, down = _position_powers(int(end - begin))
+            value = _BYTE_VALUES[self.data[begin:end]]
+            value *= up[: end - begin]
+            places = self.start[first:last] - begin
+            sums = np.add.reduceat(value, places) * down[places]
+            out[first:last] = mixed(sums + (self.end[first:last] - self.start[first:last]).astype(np.uint64))
+            first = last
+        return out
 
     def windows(self, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Rolling hashes of every ``size`` words in a row of one text: number of the first word, hash."""
@@ -129,3 +137,6 @@ def row_ranges(batches: Iterator[pa.RecordBatch], column: str = "text", limit: i
             end = max(int(np.searchsorted(sizes, before + limit, "right")), begin + 1)
             yield batch.slice(begin, end - begin), text_bytes(texts.slice(begin, end - begin))
             begin = end
+        # What Arrow keeps of a batch for later goes back at once.
+        del batch, texts
+        pa.default_memory_pool().release_unused()
