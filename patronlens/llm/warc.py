@@ -56,7 +56,8 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         .where("copies > 1 and holder is not null")
         .drop("copies")
     )
-    marked = rows.join(holders, ["payload_digest", "payload_bytes"], "left")
+    # Written first, so that the planner knows how few they are and moves no payloads if they fit a broadcast.
+    marked = rows.join(stage(holders, "copied-payloads"), ["payload_digest", "payload_bytes"], "left")
     revisit = F.coalesce(F.col("holder") != F.coalesce("page_id", F.col("holder") - 1), F.lit(False))
     return marked.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn(
         "refers_to", F.when(revisit, F.col("holder"))

@@ -42,9 +42,10 @@ class BruteModel:
         self.cut, self.total = {}, {}
         for size, counts in self.counts.items():
             n = Counter(counts.values())
-            share = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0
             for i in (1, 2, 3):
-                value = i - (i + 1) * share * n[i + 1] / n[i] if n[i] else 0.5 * i
+                value = 0.5 * i
+                if n[i] and n[1] + n[2]:
+                    value = i - (i + 1) * n[1] / (n[1] + 2 * n[2]) * n[i + 1] / n[i]
                 self.cut[size, i] = min(max(value, 0), i)
             self.total[size] = defaultdict(list)
             for gram, c in counts.items():
@@ -58,9 +59,9 @@ class BruteModel:
         if not seen:
             return self.p(gram[1:])
         cut = lambda c: self.cut[size, min(c, 3)]
-        rest = max(sum(map(cut, seen)) / sum(seen), 1e-12)
-        c = self.counts[size][gram]
-        return (c - cut(c) if c else 0) / sum(seen) + rest * self.p(gram[1:])
+        own = lambda c: (c - cut(c)) / sum(seen) if c >= (2 if size > 2 else 1) else 0
+        rest = max(1 - sum(map(own, seen)), 1e-12)
+        return own(self.counts[size][gram]) + rest * self.p(gram[1:])
 
 
 def test_perplexity_model_as_brute_force(make_docs):
