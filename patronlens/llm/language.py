@@ -23,7 +23,7 @@ from patronlens.llm.words import row_ranges
 
 SEGMENT = 96
 HIDDEN = 8
-TRAIN_DOCUMENTS = 1500
+TRAIN_DOCUMENTS = 1000
 EPOCHS = 8
 BATCH = 128
 RATE = 0.02
@@ -244,11 +244,9 @@ def training_sample(docs: DataFrame, limit: int = TRAIN_DOCUMENTS) -> list[tuple
     begin = F.pmod(F.xxhash64("text", F.lit(7)), room) + 1
     segment = F.substring(data, begin.cast("int"), F.lit(SEGMENT))
     drawn = letters.select("lang", F.xxhash64("doc_id", "text").alias("draw"), segment.alias("segment"))
-    # Each task keeps its own smallest draws first, so a frequent language does not meet in one task whole.
-    near = Window.partitionBy("lang", "part").orderBy("draw", "segment")
-    far = Window.partitionBy("lang").orderBy("draw", "segment")
-    few = drawn.withColumn("part", F.pmod(F.xxhash64("draw"), F.lit(64))).withColumn("n", F.row_number().over(near)).where(F.col("n") <= limit)
-    few = few.withColumn("n", F.row_number().over(far)).where(F.col("n") <= limit)
+    # Up to a thousand rows a group, Spark keeps each task's own smallest draws before it moves any.
+    smallest = Window.partitionBy("lang").orderBy("draw", "segment")
+    few = drawn.withColumn("n", F.row_number().over(smallest)).where(F.col("n") <= limit)
     return [(bytes(r["segment"]), r["lang"]) for r in few.select("segment", "lang").orderBy("lang", "draw").collect()]
 
 
