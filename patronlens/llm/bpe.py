@@ -40,6 +40,7 @@ _END = np.uint32(2**32 - 1)
 # Latin letters and signs on which this module's own splitting is safe; all else goes
 # through the tokenizer's own normalizer and splitter.
 _PLAIN_LINES = regex.compile(r"[\n\x21-\x7e¡-¬®-įı-ſ]+")
+_SPACES = re.compile(r"[ \t-\r]+")
 _PIECES_OF_LINES = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
@@ -244,7 +245,8 @@ class Codec:
 
     def encode_part(self, text: str, joined_before: bool, joined_after: bool) -> Part:
         """A part of a text; ``joined_*`` says that the cut there fell inside a piece."""
-        pieces = [p for word in text.split() for p in self._pieces(word)]
+        # Not split(): that also parts at, and drops, U+001C to U+001F, which have tokens.
+        pieces = [p for word in _SPACES.split(text) for p in self._pieces(word)]
         sizes, ids = [], []
         for i, piece in enumerate(pieces):
             ends = not (joined_after and i == len(pieces) - 1)

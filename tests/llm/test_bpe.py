@@ -53,6 +53,15 @@ def test_documents_and_parts(spark, make_docs, library):
     assert encode_documents(make_docs([]), PATH).collect() == []
 
 
+def test_separators_in_long_texts(spark, make_docs, library):
+    odd = "ab\x1ccd \x1d\x1d ef\x1e\n\x1fgh\x0bij\x85kl\xa0\u2028mn "
+    rows = [(1, "ab\x1ccd"), (2, odd * 40), (3, "\x1c" * 300), (4, "word " * 30 + odd + "x\x1cy" * 60)]
+    for size in (1 << 20, 200, 64, 5):
+        got = {r["doc_id"]: bytes(r["ids"]) for r in encode_documents(make_docs(rows), PATH, part_chars=size).collect()}
+        for key, text in rows:
+            assert got[key] == np.array(library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes(), (key, size)
+
+
 def test_query_round_trip(spark, sample_texts, library):
     got = {r["doc_id"]: r for r in QUERIES["op10_bpe_round_trip"](spark, "/root/testdata/sf0.001").collect()}
     for key, text in sample_texts:
