@@ -6,9 +6,11 @@ sketch is the ``K`` smallest hashes of a set.  The steps:
 1.  Documents with equal sets form a class; only the smallest id of each goes on.
 2.  Inverted lists of the retained values.  Two sets with the wanted similarity share at
     least ``SHARED`` of the ``K`` smallest values of their union (fewer with a probability
-    below 1e-7 a pair; for sets of up to ``K`` shingles the bound is exact).  So it is
-    enough to look a sketch up under its ``K - SHARED + 1`` rarest values, which keeps
-    values of common passages out unless they make up much of a document.
+    below 1e-7 a pair).  So it is enough to look a sketch up under its
+    ``K - SHARED + 1`` rarest values, which keeps values of common passages out unless
+    they make up much of a document.  For a set of up to ``K`` shingles the bound is exact:
+    three quarters of it, less the values that the largest possible partner has beyond its
+    sketch.
 3.  Within a list, the similarity that the union of two sketches shows filters pairs.
     What leaves a list is a spanning forest of its passing pairs, so the output is no
     larger than the list.  Lists longer than ``BLOCK`` are compared block by block.
@@ -217,7 +219,10 @@ def _look_ups(reps: DataFrame) -> DataFrame:
     found = every.join(held, "value").groupBy("rep", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("held", "value"))).alias("found"))
     # Values that no other sketch has are the rarest of all: they take the first places.
     kept = F.least(F.lit(K), F.col("n_shingles"))
-    needed = F.when(F.col("n_shingles") <= K, F.ceil(F.col("n_shingles") * PERCENT / 100)).otherwise(F.lit(SHARED))
+    # Of a set that a sketch holds whole, the largest partner's sketch may lack what goes beyond ``K`` there.
+    partner = F.floor(F.col("n_shingles") * 100 / PERCENT)
+    shown = F.least(F.ceil(F.col("n_shingles") * PERCENT / 100), F.col("n_shingles") - F.greatest(partner - K, F.lit(0)))
+    needed = F.when(F.col("n_shingles") <= K, shown).otherwise(F.lit(SHARED))
     first = (kept - needed + 1) - (kept - F.size("found"))
     wanted = F.slice("found", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))
     return found.select("rep", F.explode(wanted).alias("found")).select("rep", F.col("found.value").alias("value"), F.col("found.held").alias("held"))

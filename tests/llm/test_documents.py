@@ -109,6 +109,22 @@ def test_near_duplicates_as_brute_force(make_docs):
     assert near_duplicates(make_docs([])).collect() == []
 
 
+def test_small_sets_against_larger_than_a_sketch(make_docs):
+    rng, rows = random.Random(10), []
+    for small, large in ((31, 41), (32, 42), (31, 40), (32, 41), (30, 40), (30, 38), (25, 33)):
+        for _ in range(40):
+            words = prose(rng, large + 4, 10**9).split()
+            rows += [(len(rows), " ".join(words[:small + 4])), (len(rows) + 1, " ".join(words))]
+    for small, large in ((31, 39), (32, 40)):
+        for _ in range(40):  # the small set's last shingle is its own
+            words = prose(rng, large + 4, 10**9).split()
+            rows += [(len(rows), " ".join([*words[:small + 3], "own"])), (len(rows) + 1, " ".join(words))]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(make_docs(rows)).collect()}
+    for i in range(0, len(rows), 2):
+        one, other = shingles(rows[i][1]), shingles(rows[i + 1][1])
+        assert got[i] == i and got[i + 1] == (i if 100 * len(one & other) >= 75 * len(one | other) else i + 1), (len(one), len(other))
+
+
 def test_groups_larger_than_a_block(make_docs, monkeypatch):
     from patronlens.llm import near_duplicates as module
 
