@@ -3,7 +3,8 @@
 A seed is a fixed mask over consecutive tokens: positions under a 0 are ignored, so a hit
 survives substituted tokens there.  Every document window under every mask is hashed and
 joined with the benchmark's hashes.  A hit puts a document and an item on a diagonal;
-along it the longest stretch with few substitutions decides.
+along it the longest stretch with few substitutions decides.  Items too short for a seed
+are found by the hash of all their tokens.
 
 The benchmark is the small side.  It travels to the tasks in blocks of at most
 ``BLOCK_TOKENS`` tokens, so any benchmark fits; the documents are read once per block and
@@ -28,18 +29,21 @@ LEAST_EQUAL = 13
 LEAST_SHARE = 0.75
 # ... and every substitution in it is paid for by so many equal tokens.
 SUBSTITUTION_COST = 3
-# Items of fewer tokens say too little to be looked for.
+# Items of fewer tokens are too short for seeds: they are looked for whole, without substitutions.
 LEAST_ITEM_TOKENS = 9
 BLOCK_TOKENS = 2_000_000
 _FILTER_BITS = 24
 
 _TO_SPACE = bytes(b if chr(b).isalnum() or b >= 0x80 else 0x20 for b in range(128)) + bytes(range(128, 256))
 _MARKS = re.compile("[ -¿ -⁯　-〿]+")
+# Full-width punctuation, and the letters of scripts that put no space between words.
+_WIDE_MARKS = "\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65"
+_UNSPACED = re.compile(f"[{_WIDE_MARKS}]|([\u0e00-\u0eff\u0f00-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua9e0-\ua9ff\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff])")
 
 
 def tokens(texts: list[bytes]) -> Words:
-    """Lower-case runs of letters and digits."""
-    plain = [t.lower() if t.isascii() else _MARKS.sub(" ", t.decode().lower()).encode() for t in texts]
+    """Lower-case runs of letters and digits; in scripts without spaces every letter is a token."""
+    plain = [t.lower() if t.isascii() else _UNSPACED.sub(r" \1 ", _MARKS.sub(" ", t.decode().lower())).encode() for t in texts]
     return split_words([t.translate(_TO_SPACE) for t in plain])
 
 
@@ -58,7 +62,10 @@ def _seed_hashes(words: Words, hashes: np.ndarray, mask: str) -> tuple[np.ndarra
 
 @dataclass
 class Benchmark:
-    """One block of items: their tokens, and for all masks their sorted seeds with item and place."""
+    """One block of items: their tokens, and for all masks their sorted seeds with item and place.
+
+    ``short`` has the items too short for seeds, by their number of tokens: sorted hashes of whole items, and the items.
+    """
 
     ids: list
     hashes: np.ndarray
@@ -68,12 +75,20 @@ class Benchmark:
     place: np.ndarray
     filter: np.ndarray
     shift: np.uint64
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, ids: list, texts: list[bytes]) -> Benchmark:
         words = tokens(texts)
         hashes = words.hashes()
         enough = words.counts >= LEAST_ITEM_TOKENS
+        short = {}
+        for size in np.unique(words.counts[(words.counts > 0) & ~enough]).tolist():
+            own = np.flatnonzero(words.counts == size)
+            starts, whole = words.windows(hashes, size)
+            whole = whole[np.searchsorted(starts, words.first[own])]
+            order = np.argsort(whole)
+            short[size] = (whole[order], own[order])
         found = [_seed_hashes(words, hashes, mask) for mask in MASKS]
         at, seeds = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
         item = words.text_of()[at] if len(at) else at
@@ -83,7 +98,7 @@ class Benchmark:
         bits = min(len(seeds).bit_length() + 6, _FILTER_BITS)
         table = np.zeros(2**bits, bool)
         table[seeds >> np.uint64(64 - bits)] = True
-        return cls(ids, hashes, words.first, seeds[order], item[order], (at - words.first[item])[order], table, np.uint64(64 - bits))
+        return cls(ids, hashes, words.first, seeds[order], item[order], (at - words.first[item])[order], table, np.uint64(64 - bits), short)
 
 
 def _best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
@@ -113,6 +128,16 @@ def matches(texts: list[bytes], block: Benchmark) -> list[list[tuple]]:
             at = np.repeat(at, counts)
             # A diagonal: the document token that lies under the item's first one.
             hits.append(np.stack([text_of[at], block.item[entry], at - block.place[entry]], 1))
+    for size, (whole, items) in block.short.items():
+        at, windows = words.windows(hashes, size)
+        low, high = np.searchsorted(whole, windows), np.searchsorted(whole, windows, "right")
+        counts = high - low
+        if counts.sum():
+            entry = np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            at = np.repeat(at, counts)
+            # An item's first copy in a text is enough.
+            _, first = np.unique(np.stack([text_of[at], items[entry]], 1), axis=0, return_index=True)
+            hits.append(np.stack([text_of[at], items[entry], at], 1)[first])
     if not hits:
         return out
     best: dict[tuple[int, int], tuple] = {}
@@ -130,8 +155,9 @@ def matches(texts: list[bytes], block: Benchmark) -> list[list[tuple]]:
 def _blocks(benchmark: DataFrame, limit: int) -> Iterator[Benchmark]:
     """The items in blocks of about ``limit`` tokens, dealt by hash."""
     rows = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    count = max(-(-chars // (limit * 3)), 1)
+    # A word and its space, or a letter of a script without spaces, seldom has fewer than three bytes.
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = max(-(-size // (limit * 3)), 1)
     for number in range(count):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == number).collect()
         if own:

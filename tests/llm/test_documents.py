@@ -168,6 +168,23 @@ def test_passages_with_substitutions(spark, make_docs):
     assert contamination(make_docs([]), benchmark).collect() == []
 
 
+def test_short_items_and_scripts_without_spaces(spark, make_docs):
+    rng = random.Random(12)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    thai, kana, long_han = "ภาษาไทยไม่มีช่องว่าง", "すべてのひとはうまれながらにして", han(40)
+    items = [(1, "Seven words make this one short item"), (2, "unique-answer"), (3, thai), (4, kana), (5, long_han), (6, "漢字"), (7, "?!"), (8, None)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    changed = long_han[:20] + "甲" + long_han[21:]
+    rows = [
+        (1, "a b seven words, make this ONE short item. c"), (2, "the unique answer"), (3, "ก" + thai + "ข"), (4, "かな" + kana), (5, han(30) + changed + han(9)),
+        (6, "x漢字y"), (7, long_han[:20] + "，" + long_han[20:]), (10, "seven words make this one item short"), (11, "answer unique"), (12, han(300)), (13, "字漢"), (14, "?!"), (15, None),
+    ]
+    for block in (2_000_000, 20):
+        found = {r["doc_id"]: r["items"] for r in contamination(make_docs(rows), benchmark, block_tokens=block).collect()}
+        assert found == {1: "1", 2: "2", 3: "3", 4: "4", 5: "5", 6: "6", 7: "5"} | {i: "" for i in range(10, 16)}
+    assert {r["doc_id"] for r in decontaminate(make_docs(rows), benchmark).collect()} == set(range(10, 16))
+
+
 def test_passages_of_the_test_data(spark, sample_texts):
     import duckdb
 
