@@ -63,7 +63,7 @@ def quality_verdict(spark: SparkSession, folder: str) -> DataFrame:
     ruled = quality_rules(table(spark, folder, "documents"))
     return ruled.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "lang", "log10_perplexity", "lower", "upper",
+        "lang", "log10_perplexity", "lower", "upper", "log10_word_rarity", "usual_rarity", "rarity_width",
     )
 
 

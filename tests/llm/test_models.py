@@ -110,6 +110,23 @@ def test_quality_verdicts(make_docs):
     assert len(nameless) == 30 and {r["lang"] for r in nameless} == {"und"}
 
 
+def test_junk_of_true_words_is_rejected(spark, make_docs):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(150))) for i in range(200)]
+    marked = " ".join(rng.choice(words) + rng.choice(["###", "$$$", "%%%", "&&&"]) for _ in range(150))
+    rows += [(500, rows[7][1].upper()), (501, marked), (502, rows[8][1]), (503, rows[8][1])]
+    got = {r["doc_id"]: r for r in quality_rules(make_docs(rows)).collect()}
+    assert all(not got[i]["base_failed"] and not got[i]["kept"] for i in (500, 501))
+    assert all(got[i]["kept"] for i in [*range(200), 502, 503])
+    # The rarity by its definition: equal texts count once, a text's own words do not count for it.
+    texts = {t for _, t in rows}
+    held = Counter(w for t in texts for w in set(t.split()))
+    for i, t in rows:
+        expected = sum(-math.log10((held[w] - 1 + 0.5) / len(texts)) for w in t.split()) / 150
+        assert got[i]["log10_word_rarity"] == pytest.approx(expected, abs=1e-9)
+
+
 # Language
 
 
