@@ -4,8 +4,7 @@ import pytest
 
 from patronlens.plans.catalogue import QUERIES
 from patronlens.plans.oracles import ORACLES
-from conftest import TESTDATA
-from oracle import connect, spark_result, sql_result
+from oracle import TESTDATA, connect, spark_result, sql_result
 
 FOLDER = TESTDATA / "sf0.001"
 CHECKED = sorted(ORACLES)

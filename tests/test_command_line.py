@@ -5,7 +5,7 @@ import csv
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import TESTDATA
+from oracle import TESTDATA
 from patronlens.__main__ import main
 from patronlens.sources.exports import write_csv_chunks
 from patronlens.sources.tables import order_lines
