@@ -11,6 +11,7 @@ _SCHEMAS = {
     "documents": "doc_id long, text string, lang string, source string, n_chars long",
     "pages": "page_id long, url string, html string",
     "benchmark": "item_id long, text string",
+    "conversations": "conv_id long, turn long, role string, text string",
 }
 
 
@@ -108,6 +109,26 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def rendezvous_shards(spark: SparkSession, folder: str) -> DataFrame:
+    from patronlens.llm.sharding import shard_table
+
+    return shard_table(table(spark, folder, "documents"), [1.0] * 24, more=[1.0])
+
+
+#: Checksums by half bytes: what CRC-32 (reflected polynomial EDB88320) does to each of the 16.
+_HALF_BYTES = """[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384,
+    4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]"""
+
+
+def _crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text's UTF-8 bytes."""
+    return f"""xor(4294967295::BIGINT, list_reduce(
+        list_transform(
+            regexp_extract_all(regexp_replace(hex({text}), '(.)(.)', '\\2\\1', 'g'), '.'),
+            lambda p: ('0x' || p)::BIGINT),
+        lambda c, x: xor(c >> 4, list_extract({_HALF_BYTES}, (xor(c, x) & 15) + 1)), 4294967295::BIGINT))"""
+
+
 QUERIES = {
     "op1_warc_boundary_chain": warc_round_trip,
     "op2_pii_surrogates": surrogate_texts,
@@ -119,6 +140,7 @@ QUERIES = {
     "op8_token_records": token_records,
     "op9_bottom_k_sketches": near_duplicate_groups,
     "op10_bpe_round_trip": bpe_round_trip,
+    "op13_rendezvous_shards": rendezvous_shards,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -140,6 +162,27 @@ ORACLES: dict[str, str] = {
             CASE WHEN coalesce(page_id, holder - 1) <> holder THEN holder END AS refers_to
         FROM d
     """,
+    "op13_rendezvous_shards": f"""
+        WITH d AS (
+            SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, {_crc32_sql("coalesce(text, '')")} AS text_crc32
+            FROM documents
+        ),
+        draws AS (
+            SELECT DISTINCT doc_id, s, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || s), 1, 13))::BIGINT AS u
+            FROM (SELECT DISTINCT doc_id FROM d), range(25) r(s)
+        ),
+        best AS (
+            SELECT doc_id, arg_max(s, u * 32 - s) FILTER (s < 24) AS shard, arg_max(s, u * 32 - s) AS grown_shard
+            FROM draws GROUP BY doc_id
+        )
+        SELECT d.doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
+            row_number() OVER (
+                PARTITION BY shard
+                ORDER BY md5(coalesce(d.doc_id::VARCHAR, '') || ':' || size || ':' || text_crc32), d.doc_id, size, text_crc32
+            ) - 1 AS slot,
+            grown_shard::INTEGER AS grown_shard
+        FROM d JOIN best ON best.doc_id IS NOT DISTINCT FROM d.doc_id
+    """,
     "op7_rabin_karp_windows": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
