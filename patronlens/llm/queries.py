@@ -109,6 +109,12 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def spelling_groups(spark: SparkSession, folder: str) -> DataFrame:
+    from patronlens.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, folder, "documents"))
+
+
 def rendezvous_shards(spark: SparkSession, folder: str) -> DataFrame:
     from patronlens.llm.sharding import shard_table
 
@@ -140,6 +146,7 @@ QUERIES = {
     "op8_token_records": token_records,
     "op9_bottom_k_sketches": near_duplicate_groups,
     "op10_bpe_round_trip": bpe_round_trip,
+    "op11_gram_spelling": spelling_groups,
     "op13_rendezvous_shards": rendezvous_shards,
 }
 
@@ -162,6 +169,51 @@ ORACLES: dict[str, str] = {
             CASE WHEN coalesce(page_id, holder - 1) <> holder THEN holder END AS refers_to
         FROM d
     """,
+    "op11_gram_spelling": f"""
+        WITH RECURSIVE runs AS (
+            SELECT doc_id, run, count(*) AS times FROM (
+                SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')),
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+                FROM documents)
+            GROUP BY ALL HAVING length(run) >= 5
+        ),
+        hashed AS (SELECT *, {_crc32_sql("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM runs),
+        words AS (
+            SELECT word, sum(times)::BIGINT AS n FROM (
+                SELECT times, CASE WHEN h % 97 = 0
+                    THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+                FROM hashed)
+            GROUP BY word HAVING length(word) >= 5 AND sum(times) >= 3
+        ),
+        cuts AS (
+            SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest
+            FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+        ),
+        near AS (
+            SELECT a.word, a.n, b.word AS near, b.n AS near_n
+            FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION
+            SELECT a.word, a.n, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+            UNION
+            SELECT b.word, b.n, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word
+        ),
+        best AS (
+            SELECT word, n, count(*) AS n_near, max(near_n) AS most FROM near GROUP BY word, n
+        ),
+        forms AS (
+            SELECT b.word, n_near, CASE WHEN most >= 2 * b.n THEN min(near.near) END AS form,
+                CASE WHEN most >= 2 * b.n THEN most END AS form_n
+            FROM best b JOIN near ON near.word = b.word AND near_n = most GROUP BY b.word, b.n, n_near, most
+        ),
+        chain(word, root) AS (
+            SELECT word, word FROM words
+            UNION ALL
+            SELECT chain.word, form FROM chain JOIN forms ON forms.word = chain.root WHERE form IS NOT NULL
+        ),
+        ends AS (SELECT chain.word, root FROM chain LEFT JOIN forms ON forms.word = chain.root WHERE form IS NULL)
+        SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, form, form_n, root
+        FROM words w LEFT JOIN forms ON forms.word = w.word JOIN ends ON ends.word = w.word
+    """,
     "op13_rendezvous_shards": f"""
         WITH d AS (
             SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, {_crc32_sql("coalesce(text, '')")} AS text_crc32
