@@ -115,6 +115,12 @@ def spelling_groups(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_variants(table(spark, folder, "documents"))
 
 
+def prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    from patronlens.llm.prefix_trie import conversation_trie
+
+    return conversation_trie(table(spark, folder, "conversations"))
+
+
 def rendezvous_shards(spark: SparkSession, folder: str) -> DataFrame:
     from patronlens.llm.sharding import shard_table
 
@@ -147,6 +153,7 @@ QUERIES = {
     "op9_bottom_k_sketches": near_duplicate_groups,
     "op10_bpe_round_trip": bpe_round_trip,
     "op11_gram_spelling": spelling_groups,
+    "op12_double_array_trie": prefix_trie,
     "op13_rendezvous_shards": rendezvous_shards,
 }
 
@@ -214,6 +221,37 @@ ORACLES: dict[str, str] = {
         SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, form, form_n, root
         FROM words w LEFT JOIN forms ON forms.word = w.word JOIN ends ON ends.word = w.word
     """,
+    "op12_double_array_trie": f"""
+        WITH turns AS (
+            SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) ORDER BY turn NULLS FIRST,
+                sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS own
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+        ),
+        shares AS (SELECT *, {_crc32_sql("conv_id::VARCHAR")} % 9 AS h FROM turns),
+        rebuilt AS (
+            SELECT s.conv_id, list_concat(coalesce(t.own, [])[1 : h], s.own[h + 1 :]) AS seq
+            FROM shares s LEFT JOIN turns t ON t.conv_id = s.conv_id - s.conv_id % 5
+        ),
+        members AS (SELECT conv_id, seq, len(seq) AS length, unnest(range(len(seq) + 1)) AS depth FROM rebuilt),
+        nodes AS (
+            SELECT depth, seq[1 : depth] AS prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+                sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (length = depth), '')) AS ends_sha256
+            FROM members GROUP BY 1, 2
+        ),
+        kids AS (
+            SELECT n.*, count(k.conv_id) AS n_children
+            FROM nodes n LEFT JOIN nodes k ON k.depth = n.depth + 1 AND k.prefix[1 : n.depth] = n.prefix GROUP BY ALL
+        ),
+        sums AS (
+            SELECT up, prefix[1 : up] AS prefix, count(*) FILTER (n_children = 0) AS n_leaves,
+                sum(CASE WHEN depth > 0 THEN (n_convs - 1) * strlen(prefix[depth].text) ELSE 0 END) AS saved_tokens
+            FROM (SELECT *, unnest(range(depth + 1)) AS up FROM kids) GROUP BY 1, 2
+        )
+        SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves,
+            saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+        FROM kids n JOIN sums ON up = n.depth AND sums.prefix = n.prefix
+        LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[1 : n.depth - 1]
+    """,
     "op13_rendezvous_shards": f"""
         WITH d AS (
             SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, {_crc32_sql("coalesce(text, '')")} AS text_crc32

@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,18 @@ FORM_FACTOR = 2
 # One run in so many, by checksum, loses one code point.
 LOSS_MODULUS = 97
 TILE_WORDS = 2048
+TASK_TILES = 64
 PART_BYTES = 1 << 22
 FLUSH_WORDS = 400_000
 # Rows of a product at a time; with tiles of 4,096 words it takes 8 MB.
 PRODUCT_ROWS = 512
 
-# A letter is one byte below 128, or C3 and 80 to BF.
-_RUN = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf]){%d,}" % LEAST_LETTERS)
+_RUN = re.compile("[a-z\u00c0-\u00ff]{%d,}" % LEAST_LETTERS)
+# Letters by code point, numbered: a to z, then U+00C0 to U+00FF.
+_LETTERS = 26 + 64
+_PLACE = np.zeros(256, np.intp)
+_PLACE[ord("a"): ord("z") + 1] = np.arange(26)
+_PLACE[0xC0:] = np.arange(26, _LETTERS)
 _NOT_IN_RUN = re.compile(rb"[^a-zA-Z\x80-\xff]")
 
 
@@ -65,16 +71,16 @@ def letter_runs(text: bytes, doc: bytes, counts: Counter) -> None:
     """
     seed = zlib.crc32(doc + b":")
     for part in _parts(text):
-        runs = _RUN.findall(part.lower())
+        # The lower case of bytes is that of A-Z alone.
+        runs = _RUN.findall(part.lower().decode())
         counts.update(runs)
-        changed = {run: h for run in set(runs) if not (h := zlib.crc32(run, seed)) % LOSS_MODULUS}
+        changed = {run: h for run in set(runs) if not (h := zlib.crc32(run.encode(), seed)) % LOSS_MODULUS}
         if changed:
             for run, times in Counter(r for r in runs if r in changed).items():
-                letters = run.decode()
-                at = changed[run] % len(letters)
+                at = changed[run] % len(run)
                 counts[run] -= times
-                if len(letters) > LEAST_LETTERS:
-                    counts[(letters[:at] + letters[at + 1:]).encode()] += times
+                if len(run) > LEAST_LETTERS:
+                    counts[run[:at] + run[at + 1:]] += times
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -87,7 +93,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             words = {w: n for w, n in counts.items() if n}
             counts.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array(list(words), pa.binary()).cast(pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"]
+                [pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"]
             )
 
         for batch, texts in row_ranges(batches):
@@ -126,7 +132,7 @@ def near_words(words: DataFrame, *, tile_words: int = TILE_WORDS) -> DataFrame:
     so that blocks stay small; the result does not depend on it.
     """
     words = stage(words, "words")
-    classes = max(len(str(words.count())), 2)
+    classes = max(len(str(words.count())) - 1, 2)
     words = words.withColumn("block", _block(classes))
     sizes = words.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / tile_words).cast("int").alias("tiles"))
     tile = F.pmod(F.xxhash64("word"), F.col("tiles")).cast("int")
@@ -146,43 +152,49 @@ def near_words(words: DataFrame, *, tile_words: int = TILE_WORDS) -> DataFrame:
         "block", F.explode(F.sequence(F.when(inside, F.col("left_tile")).otherwise(0), F.col("tiles") - 1)).alias("tile"),
         (inside & (F.col("left_tile") == F.col("tile"))).alias("same"), "left_words", "left_counts",
     )
-    # A row is a pair of tiles from here on; its words are bounded by the tile's size.
-    return left.join(tiles, ["block", "tile"]).select(
-        "same", "left_words", "left_counts", "words", "counts"
-    ).mapInArrow(_compare, "word string, n long, near string, near_n long")
+    # A row is a pair of tiles from here on; its words are bounded by the tile's size.  Tasks are few tiles each,
+    # however small these are: it is the products that take time.
+    tasks = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), tiles.count() // TASK_TILES)
+    pairs = left.repartition(tasks, "block", "tile").join(tiles.repartition(tasks, "block", "tile"), ["block", "tile"])
+    return pairs.select("same", "left_words", "left_counts", "words", "counts").mapInArrow(
+        _compare, "word string, n long, near string, near_n long"
+    )
 
 
-def _letters(words: pa.Array) -> np.ndarray:
-    """Equally long words as rows of letter codes."""
-    return np.frombuffer(b"".join(words.to_pylist()), np.uint8).reshape(len(words), -1)
+@dataclass
+class _Tile:
+    """Equally long words as rows of letter codes, and how often each holds each letter."""
 
+    letters: np.ndarray
+    counts: np.ndarray
 
-def _gram_pairs(a: np.ndarray, b: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``a`` and ``b`` (``same``: the first before the second) whose letter counts differ by at most 2 squared."""
-    codes = np.unique(np.concatenate([a.ravel(), b.ravel()]))
-    place = np.zeros(256, np.intp)
-    place[codes] = np.arange(len(codes))
+    @classmethod
+    def of(cls, words: pa.Array) -> _Tile:
+        ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset: words.offset + len(words) + 1]
+        letters = np.frombuffer(words.buffers()[2], np.uint8)[ends[0]: ends[-1]].reshape(len(words), -1)
+        places = np.arange(len(words))[:, None] * _LETTERS + _PLACE[letters]
+        counts = np.bincount(places.ravel(), minlength=len(words) * _LETTERS).reshape(-1, _LETTERS)
+        return cls(letters, counts.astype(np.float32))
 
-    def counted(rows):
-        out = np.zeros((len(rows), len(codes)), np.float32)
-        for column in place[rows].T:
-            out[np.arange(len(rows)), column] += 1
-        return out
 
-    x, y = counted(a), counted(b)
+def _gram_pairs(x: np.ndarray, y: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``x`` and ``y`` (``same``: the first before the second) that are at most 2 apart, squared."""
+    used = x.any(0) | y.any(0)
+    x, y = x[:, used], y[:, used]
     # Squared distance <= 2 where x.y - |y|^2 / 2 >= |x|^2 / 2 - 1; all values are small multiples of a half, so exact.
-    y_half = (y * y).sum(1) / 2
-    found = []
+    x_half, y_half, across = (x * x).sum(1) / 2 - 1, (y * y).sum(1) / 2, np.ascontiguousarray(y.T)
+    found_i, found_j = [], []
     for begin in range(0, len(x), PRODUCT_ROWS):
-        rows = x[begin: begin + PRODUCT_ROWS]
-        product = rows @ y.T
+        product = x[begin: begin + PRODUCT_ROWS] @ across
         product -= y_half
-        at = np.flatnonzero(product >= ((rows * rows).sum(1) / 2 - 1)[:, None])
-        i, j = at // len(y) + begin, at % len(y)
+        at = np.flatnonzero(product >= x_half[begin: begin + PRODUCT_ROWS, None])
+        i, j = np.divmod(at, len(y))
+        i += begin
         if same:
             i, j = i[i < j], j[i < j]
-        found.append((i, j))
-    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+        found_i.append(i)
+        found_j.append(j)
+    return np.concatenate(found_i), np.concatenate(found_j)
 
 
 def _one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -198,17 +210,22 @@ def _one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _compare(batches):
     for batch in batches:
+        same = batch.column(0).to_pylist()
+        before, right = None, None
         for row in range(len(batch)):
-            same, left, left_n, right, right_n = (batch.column(c)[row] for c in range(5))
-            a, b = _letters(left.values), _letters(right.values)
-            i, j = _gram_pairs(a, b, same.as_py())
-            edited = _one_edit(a[i], b[j])
+            left_words, left_n, right_words, right_n = (batch.column(c)[row].values for c in range(1, 5))
+            left = _Tile.of(left_words)
+            # The pairs of one tile come one after another.
+            if before is None or not right_words.equals(before):
+                before, right = right_words, _Tile.of(right_words)
+            i, j = _gram_pairs(left.counts, right.counts, same[row])
+            edited = _one_edit(left.letters[i], right.letters[j])
             i, j = pa.array(i[edited]), pa.array(j[edited])
             if not len(i):
                 continue
-            sides = [(left.values.take(i), left_n.values.take(i)), (right.values.take(j), right_n.values.take(j))]
+            sides = [(_text(left_words.take(i)), left_n.take(i)), (_text(right_words.take(j)), right_n.take(j))]
             for (word, n), (near, near_n) in (sides, sides[::-1]):
-                yield pa.RecordBatch.from_arrays([_text(word), n, _text(near), near_n], ["word", "n", "near", "near_n"])
+                yield pa.RecordBatch.from_arrays([word, n, near, near_n], ["word", "n", "near", "near_n"])
 
 
 def _text(words: pa.Array) -> pa.Array:
