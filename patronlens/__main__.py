@@ -116,6 +116,7 @@ def main(arguments: list[str] | None = None) -> int:
     parser.add_argument("--output", required=True, help="folder for stage tables and reports")
     parser.add_argument("--variant", choices=list(VARIANTS), default="cli")
     parser.add_argument("--k", type=int, help="number of clusters instead of the variant's own choice")
+    parser.add_argument("--silhouette", choices=["squared", "plain"], default="squared", help="distances of the sweep's silhouettes")
     parser.add_argument("--restarts", type=int, default=10, help="k-means fits per k")
     parser.add_argument("--rebuild", action="store_true", help="clean the lines again even if a clean table exists")
     parser.add_argument("--snapshot", type=datetime.fromisoformat, help="date that recency counts from")
@@ -126,7 +127,7 @@ def main(arguments: list[str] | None = None) -> int:
     parser.add_argument("--malformed", choices=["raise", "null"], default="raise", help="what unreadable fields do")
     options = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("patronlens").getOrCreate()
-    settings = {"restarts": options.restarts} | ({"k": options.k} if options.k else {})
+    settings = {"restarts": options.restarts, "metric": options.silhouette} | ({"k": options.k} if options.k else {})
     try:
         good = run(
             spark, options.lines, options.output, options.variant, rebuild=options.rebuild, snapshot=options.snapshot,

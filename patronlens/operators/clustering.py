@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Row, functions as F
 
 from patronlens.operators.features import FEATURES
 from patronlens.operators.shaping import dimension
-from patronlens.operators.silhouette import cluster_facts, silhouette
+from patronlens.operators.silhouette import cluster_facts, plain_silhouette, silhouette
 
 FIRST_SEED = 42
 RESTARTS = 10
@@ -110,9 +110,11 @@ def fit_kmeans(
 
 
 def measure(
-    features: DataFrame, candidates: Mapping[int, Centers], *, parallelism: int = 8
+    features: DataFrame, candidates: Mapping[int, Centers], *, metric: str = "squared", parallelism: int = 8
 ) -> DataFrame:
-    """The sweep table (k, inertia, silhouette, metric); the metric says that distances are squared.
+    """The sweep table (k, inertia, silhouette, metric); the metric of the silhouettes is squared or plain.
+
+    Plain ones are the middle of an interval (see ``plain_silhouette``).
 
     Two passes per k, several k side by side.  One pass for all k at once would hold
     so many centers that its generated code grows past what the JVM compiles.
@@ -121,13 +123,17 @@ def measure(
     def one(k: int) -> tuple[int, float, float]:
         clustered = candidates[k].assign(features)
         facts = cluster_facts(clustered)
-        return k, _inertia(facts, candidates[k]), silhouette(clustered, facts=facts)
+        score = silhouette(clustered, facts=facts) if metric == "squared" else plain_silhouette(clustered).score
+        return k, _inertia(facts, candidates[k]), score
+
+    if metric not in ("squared", "plain"):
+        raise ValueError(f"no silhouette metric {metric!r}")
 
     with ThreadPoolExecutor(parallelism) as pool:
         rows = list(pool.map(inheritable_thread_target(features.sparkSession)(one), sorted(candidates)))
     ks, inertias, scores = zip(*rows)
     sweep = dimension(features.sparkSession, k=list(ks), inertia=list(inertias), silhouette=list(scores))
-    return sweep.withColumn("k", F.col("k").cast("int")).withColumn("metric", F.lit("squared"))
+    return sweep.withColumn("k", F.col("k").cast("int")).withColumn("metric", F.lit(metric))
 
 
 def _inertia(facts: Sequence[Row], centers: Centers) -> float:

@@ -1,20 +1,36 @@
-"""Mean silhouette of a clustering, with squared Euclidean distances.
+"""Mean silhouette of a clustering, with squared or with plain Euclidean distances.
 
 The mean squared distance from a point to a cluster is its squared distance to the
 cluster mean plus the cluster's variance, so the exact score of every row needs two
-passes and no pairs.  Plain distances have no such identity and are not offered.
+passes and no pairs.
+
+Plain distances have no such identity, and all pairs of rows are out of the question.  Spark
+counts the rows of every cell of a grid and cluster, with their mean and variance.  The
+mean distance from a point to a cell's rows is at least its distance D to their mean (distance
+is convex) and at most sqrt(D^2 + variance) (the mean of squares bounds the square of the mean).
+So every row's score lies between two numbers that cost one pass over the cells, and so does
+the mean score.  The grid is made finer until these are close.  A cell of equal rows is
+exact.  The number of cells is bounded by the grid, not by the rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from patronlens.operators.features import FEATURES
 
+TOLERANCE = 0.005
+# Bins a feature, from coarse to fine; each divides the last, so that all edges come from one pass.
+BINS = (16, 32, 64)
+_BLOCK = 1 << 21
+
 
 def cluster_facts(
     clustered: DataFrame, columns: Sequence[str] = tuple(FEATURES), cluster: str = "Cluster"
@@ -71,3 +87,119 @@ def _other(facts: Sequence[Row]) -> str:
 def _score(own: Column, other: Column) -> Column:
     """(other - own) / max of both; the only member of a cluster scores 0."""
     return F.coalesce((other - own) / F.nullif(F.greatest(own, other), F.lit(0.0)), F.lit(0.0))
+
+
+# -- plain distances -------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Bounded:
+    """A mean silhouette that certainly lies between ``low`` and ``high``, from a grid of ``bins`` a feature."""
+
+    low: float
+    high: float
+    bins: int
+
+    @property
+    def score(self) -> float:
+        return (self.low + self.high) / 2
+
+
+def plain_silhouette(
+    clustered: DataFrame,
+    columns: Sequence[str] = tuple(FEATURES),
+    cluster: str = "Cluster",
+    *,
+    tolerance: float = TOLERANCE,
+    bins: Sequence[int] = BINS,
+) -> Bounded:
+    """Mean silhouette with plain distances, as an interval.
+
+    The grid is refined until the interval is at most ``tolerance`` wide or the last entry of ``bins``
+    is reached; the result says how wide it is then.  Executors get at most
+    bins^columns cells a cluster, whatever the number of rows; every row is compared with the
+    cells once for each grid.
+    """
+    finest = bins[-1] // 2
+    if any(b < 2 or b % 2 or finest % (b // 2) for b in bins):
+        raise ValueError("numbers of bins must be even and divide the last")
+    rows = clustered.select(F.col(cluster).alias("cluster"), *columns)
+    spread = rows.agg(
+        *[F.percentile_approx(c, [i / finest for i in range(finest + 1)], 10 * finest).alias(c) for c in columns],
+        *[F.struct(F.min(c).alias("least"), F.max(c).alias("most")).alias(f"ends {c}") for c in columns],
+    ).first()
+    if spread[columns[0]] is None:
+        raise ValueError("a silhouette needs at least two clusters, got 0")
+
+    def edges(column: str, number: int) -> list[float]:
+        """Half of them part the rows, half the range, so that neither the middle nor the tails stay coarse."""
+        step, (least, most) = finest // number, spread[f"ends {column}"]
+        return sorted({*spread[column][step:-1:step], *(least + (most - least) * i / number for i in range(1, number))})
+
+    found = None
+    for number in bins:
+        cells = _cells(rows, columns, {c: edges(c, number // 2) for c in columns})
+        found = _bounded(rows, columns, cells, number)
+        if found.high - found.low <= tolerance:
+            break
+    return found
+
+
+def _cells(rows: DataFrame, columns: Sequence[str], edges: dict[str, list[float]]) -> list[Row]:
+    """Rows, means and variance of every occupied cell and cluster."""
+    bins = [reduce(add, [F.when(F.col(c) > e, 1).otherwise(0) for e in edges[c]], F.lit(0)).alias(f"bin_{c}") for c in columns]
+    table = rows.groupBy("cluster", *bins).agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.avg(c).alias(f"mean_{c}") for c in columns],
+        reduce(add, [F.var_pop(c) for c in columns]).alias("variance"),
+    )
+    return sorted(table.collect(), key=lambda r: r["cluster"])
+
+
+def _bounded(rows: DataFrame, columns: Sequence[str], cells: list[Row], bins: int) -> Bounded:
+    clusters = sorted({c["cluster"] for c in cells})
+    if len(clusters) < 2:
+        raise ValueError(f"a silhouette needs at least two clusters, got {len(clusters)}")
+    means = np.array([[c[f"mean_{name}"] for name in columns] for c in cells])
+    variance = np.array([c["variance"] for c in cells])
+    weights = np.zeros((len(cells), len(clusters)))
+    for i, c in enumerate(cells):
+        weights[i, clusters.index(c["cluster"])] = c["rows"]
+    sizes = weights.sum(0)
+    means, variance, weights = (x.astype(np.float64) for x in (means, variance, weights))
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.searchsorted(clusters, batch.column(0).to_numpy())
+            points = np.column_stack([batch.column(1 + i).to_numpy().astype(np.float64) for i in range(len(columns))])
+            low = high = 0.0
+            block = max(_BLOCK // len(means), 1)
+            for begin in range(0, len(points), block):
+                one, other = _scores(points[begin: begin + block], own[begin: begin + block], means, variance, weights, sizes)
+                low, high = low + one, high + other
+            yield pa.RecordBatch.from_pydict({"rows": [len(points)], "low": [low], "high": [high]})
+
+    sums = rows.mapInArrow(bounds, "rows long, low double, high double").agg(F.sum("rows"), F.sum("low"), F.sum("high")).first()
+    return Bounded(sums[1] / sums[0], sums[2] / sums[0], bins)
+
+
+def _scores(points, own, means, variance, weights, sizes) -> tuple[float, float]:
+    """Sums of the least and the greatest score of each point."""
+    squared = sum((points[:, i, None] - means[:, i]) ** 2 for i in range(points.shape[1]))
+    near = np.sqrt(squared) @ weights
+    squared += variance
+    far = np.sqrt(squared) @ weights
+    at = np.arange(len(points))
+    alone = sizes[own] == 1
+    with np.errstate(divide="ignore", invalid="ignore"):
+        own_near, own_far = (d[at, own] / (sizes[own] - 1) for d in (near, far))
+    near, far = near / sizes, far / sizes
+    near[at, own] = far[at, own] = np.inf
+    other_near, other_far = near.min(1), far.min(1)
+
+    def score(a, b):
+        top = np.maximum(a, b)
+        return np.where(alone | (top == 0), 0.0, (b - a) / np.where(top == 0, 1.0, top))
+
+    # The score falls with the distance to the own cluster and rises with that to the nearest other.
+    return float(score(own_far, other_near)[~alone].sum()), float(score(own_near, other_far)[~alone].sum())

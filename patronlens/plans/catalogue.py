@@ -19,7 +19,7 @@ from patronlens.operators.projection import fit_components
 from patronlens.operators.quality import quality_checks
 from patronlens.operators.rfm import build_rfm
 from patronlens.operators.scoring import frequency_cutoffs, frequency_score, score_customers
-from patronlens.operators.silhouette import silhouette
+from patronlens.operators.silhouette import plain_silhouette, silhouette
 from patronlens.plans.pipelines import VARIANTS, segment_customers
 from patronlens.schemas import CLEAN_COLUMNS, CUSTOMER, LEGACY_NAMES, RFM, SCORES
 from patronlens.sources import csv_lines, exports, stages
@@ -318,6 +318,20 @@ def silhouette_squared(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(ROBUST_CENTERS.k, round(score, 6))], "k int, silhouette double")
 
 
+def silhouette_plain(spark: SparkSession, folder: str) -> DataFrame:
+    """Two digits of the interval's middle, for it is not the exact score."""
+    score = plain_silhouette(stages.stage(_clustered(spark, folder), "clustered"))
+    return spark.createDataFrame([(ROBUST_CENTERS.k, round(score.score, 2))], "k int, silhouette double")
+
+
+def plain_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    """The k that plain distances choose, by both rules."""
+    features = stages.stage(_robust(spark, folder), "features")
+    sweep = measure(features, {k: diagonal_centers(k) for k in range(2, 11)}, metric="plain")
+    best, business = best_k(sweep).select(F.col("k").alias("best_k")), business_k(sweep).select(F.col("k").alias("business_k"))
+    return best.join(business).select("best_k", "business_k")
+
+
 def k_sweep(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(_sweep(spark, folder), inertia=4, silhouette=6)
 
@@ -465,7 +479,7 @@ QUERIES: dict[str, Query] = {
         level_distribution, level_counts, level_shares, level_profile, quantile_thresholds,
         funnel, rfm_histograms, rfm_density,
         log_features, robust_features, standard_features, standard_check,
-        fixed_center_assignment, fixed_center_inertia, silhouette_squared, k_sweep,
+        fixed_center_assignment, fixed_center_inertia, silhouette_squared, silhouette_plain, k_sweep, plain_sweep,
         sweep_best_k, sweep_business_k, canonical_clusters, pca_projection, pca_variance,
         cluster_sizes, cluster_shares, cluster_profile, cluster_revenue, ranked_segments,
         rule_segments, segment_summary, radar_by_cluster, radar_by_segment, strategy_report,

@@ -186,6 +186,9 @@ widths AS (
   SELECT k, avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)) AS silhouette FROM sides GROUP BY k
 )"""
 
+# The same with plain distances.
+PLAIN = SILHOUETTE.replace("sum((", "sum(sqrt((").replace("** 2) AS total", "** 2)) AS total")
+
 SWEEP = _assigned(ROBUST, SWEEP_CENTERS) + SILHOUETTE + """,
 sweep AS (
   SELECT CAST(k AS INTEGER) AS k, inertia, silhouette
@@ -451,6 +454,12 @@ FROM features""" for c in "RFM")),
     "fixed_center_inertia": _with(CLUSTERED, "SELECT round(sum(cost), 4) AS inertia FROM assigned"),
     "silhouette_squared": _with(CLUSTERED + SILHOUETTE, """
 SELECT CAST(k AS INTEGER) AS k, round(silhouette, 6) AS silhouette FROM widths"""),
+    "silhouette_plain": _with(CLUSTERED + PLAIN, """
+SELECT CAST(k AS INTEGER) AS k, round(silhouette, 2) AS silhouette FROM widths"""),
+    "plain_sweep": _with(_assigned(ROBUST, SWEEP_CENTERS) + PLAIN, """
+SELECT CAST(arg_max(k, silhouette) AS INTEGER) AS best_k,
+       CAST((SELECT max(k) FROM widths WHERE silhouette >= 0.8 * (SELECT max(silhouette) FROM widths)) AS INTEGER) AS business_k
+FROM widths"""),
     "k_sweep": _with(SWEEP, """
 SELECT k, round(inertia, 4) AS inertia, round(silhouette, 6) AS silhouette, 'squared' AS metric FROM sweep"""),
     "sweep_best_k": _with(SWEEP, "SELECT k FROM sweep ORDER BY silhouette DESC, k LIMIT 1"),

@@ -40,6 +40,7 @@ def segment_customers(
     ks: Iterable[int] | None = None,
     choose: str = "business",
     naming: str = "rank",
+    metric: str = "squared",
     restarts: int = RESTARTS,
     parallelism: int = 8,
 ) -> Segmentation:
@@ -47,6 +48,7 @@ def segment_customers(
 
     The sweep keeps its best fit per k, so the chosen k needs no further fit.  With a
     given ``k`` the sweep over ``ks`` is made beside it where ``ks`` is given too.
+    ``metric`` says whether silhouettes take squared or plain distances.
     Cluster ids follow falling mean spend.  ``scored`` is read many times: hand in a
     stage table, or expressions over one as ``scored_customers`` returns them.
     """
@@ -54,7 +56,7 @@ def segment_customers(
     features = scaler.apply(scored)
     swept = list(ks) if ks is not None else [] if k else list(K_RANGE)
     fits = fit_kmeans(features, sorted({*swept, *([k] if k else [])}), restarts=restarts, parallelism=parallelism)
-    sweep = measure(features, {n: fits[n] for n in swept}) if swept else None
+    sweep = measure(features, {n: fits[n] for n in swept}, metric=metric) if swept else None
     if k is None:
         chosen = business_k(sweep) if choose == "business" else best_k(sweep)
         k = chosen.first()["k"]

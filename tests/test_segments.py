@@ -14,7 +14,7 @@ from patronlens.operators.clustering import Centers, best_k, business_k, by_mean
 from patronlens.operators.features import FEATURES, fit_robust, fit_standard, scaling_check
 from patronlens.operators.projection import fit_components
 from patronlens.operators.quality import quality_checks
-from patronlens.operators.silhouette import silhouette
+from patronlens.operators.silhouette import plain_silhouette, silhouette
 from patronlens.plans.pipelines import VARIANTS, segment_customers
 from patronlens.operators.scoring import score_customers
 
@@ -88,6 +88,45 @@ def test_only_members_score_zero(spark):
     assert silhouette(df) == pytest.approx(brute_silhouette(points, clusters, 1.0))
 
 
+def test_plain_silhouette_lies_in_its_bounds(spark):
+    points, clusters = blobs(sizes=(300, 200, 100))
+    clusters[3], clusters[310] = 1, 2
+    # A heavy tail, repeated points and a cluster of one.
+    points += [(20.0 * 1.3**i, 0.0, float(i)) for i in range(20)] + [(1.0, 1.0, 1.0)] * 60 + [(50.0, 50.0, 50.0)]
+    clusters += [0] * 20 + [1] * 60 + [3]
+    df = points_frame(spark, points, clusters)
+    exact = brute_silhouette(points, clusters, 0.5)
+    widths = []
+    for bins in ((2,), (4,), (16,), (64,)):
+        found = plain_silhouette(df, bins=bins)
+        assert found.low - 1e-9 <= exact <= found.high + 1e-9
+        widths.append(found.high - found.low)
+    assert widths == sorted(widths, reverse=True) and widths[-1] < 0.01 < widths[0]
+    assert plain_silhouette(df, tolerance=0.03, bins=(4, 8, 16, 64)).bins < 64
+    assert plain_silhouette(df, tolerance=0.0, bins=(4, 8)).bins == 8
+
+
+def test_plain_silhouette_of_few_points_is_exact(spark):
+    points, clusters = [(0, 0, 0), (1, 0, 0), (9, 0, 0), (9, 1, 0)], [0, 0, 1, 1]
+    found = plain_silhouette(points_frame(spark, points, clusters))
+    assert found.low == pytest.approx(found.high) == pytest.approx(brute_silhouette(points, clusters, 0.5))
+    with pytest.raises(ValueError, match="two clusters"):
+        plain_silhouette(points_frame(spark, points, [0] * 4))
+    with pytest.raises(ValueError, match="two clusters"):
+        plain_silhouette(points_frame(spark, points, clusters).where("false"))
+
+
+def test_plain_sweep_chooses_k(spark):
+    points, clusters = blobs()
+    df = points_frame(spark, points)
+    fits = fit_kmeans(df, [2, 3, 4], restarts=3)
+    sweep = measure(df, fits, metric="plain")
+    assert {r["metric"] for r in sweep.collect()} == {"plain"}
+    assert best_k(sweep).first()["k"] == 3
+    with pytest.raises(ValueError, match="metric"):
+        measure(df, fits, metric="cosine")
+
+
 def test_one_cluster_has_no_silhouette(spark):
     df = points_frame(spark, [(0, 0, 0), (1, 1, 1)], [0, 0])
     with pytest.raises(ValueError, match="two clusters"):
