@@ -25,6 +25,25 @@ def customer_totals(clean: DataFrame) -> DataFrame:
     )
 
 
+def invoice_totals(clean: DataFrame, *by: str) -> DataFrame:
+    """Last purchase and spend per customer and invoice, for each value of the columns ``by``.
+
+    Totals of different parts of the lines can be stacked: ``merged_totals`` makes one of them.
+    """
+    return clean.where(F.col(CUSTOMER).isNotNull()).groupBy(*by, CUSTOMER, "InvoiceNo").agg(
+        F.max("InvoiceDate").alias("LastPurchase"), F.sum("TotalPrice").alias("Monetary")
+    )
+
+
+def merged_totals(invoices: DataFrame) -> DataFrame:
+    """The totals of ``customer_totals`` from stacked ``invoice_totals``; an invoice may stand in several parts."""
+    return invoices.groupBy(CUSTOMER).agg(
+        F.max("LastPurchase").alias("LastPurchase"),
+        F.count_distinct("InvoiceNo").alias("Frequency"),
+        F.sum("Monetary").alias("Monetary"),
+    )
+
+
 def snapshot_after(totals: DataFrame) -> datetime | None:
     """One day after the last purchase of anyone.
 
@@ -40,7 +59,12 @@ def build_rfm(clean: DataFrame, snapshot: datetime | None = None) -> DataFrame:
     The per-customer totals become a stage table: they are read for the snapshot
     date, for every quantile and for the scores, all of which must see the same sums.
     """
-    totals = stage(customer_totals(clean), "customer-totals")
+    return rfm_of_totals(customer_totals(clean), snapshot)
+
+
+def rfm_of_totals(totals: DataFrame, snapshot: datetime | None = None) -> DataFrame:
+    """The same from totals per customer."""
+    totals = stage(totals, "customer-totals")
     snapshot = snapshot_after(totals) if snapshot is None else snapshot
     if snapshot is None:
         raise ValueError("no clean lines with a date: there is nothing to measure recency from")

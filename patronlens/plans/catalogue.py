@@ -20,6 +20,7 @@ from patronlens.operators.quality import quality_checks
 from patronlens.operators.rfm import build_rfm
 from patronlens.operators.scoring import frequency_cutoffs, frequency_score, score_customers
 from patronlens.operators.silhouette import plain_silhouette, silhouette
+from patronlens.plans import pipelines
 from patronlens.plans.pipelines import VARIANTS, segment_customers
 from patronlens.schemas import CLEAN_COLUMNS, CUSTOMER, LEGACY_NAMES, RFM, SCORES
 from patronlens.sources import csv_lines, exports, stages
@@ -120,6 +121,45 @@ def csv_chunks_by_country(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(by_country, revenue=2)
 
 
+def ordered_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines in chunks by date and invoice, read back: all there, none out of order, no file over the bound."""
+    path, order, bound = stages.new_stage_path(spark, "ordered-chunks"), ["InvoiceDate", "InvoiceNo"], 256 * 1024
+    lines = order_lines(spark, folder).withColumns(
+        {"Quantity": F.col("Quantity").cast("long"), "CustomerID": F.col("CustomerID").cast("double")}
+    )
+    exports.write_ordered_chunks(lines, path, order, chunk_bytes=bound)
+    key = F.struct("InvoiceDate", "InvoiceNo")
+    back = csv_lines.read_lines_csv(spark, path, source_column="file")
+    number = F.regexp_extract("file", r"chunk=(\d+)", 1).cast("long").alias("chunk")
+    chunks = back.groupBy(number).agg(F.count(F.lit(1)).alias("rows"), F.min(key).alias("first"), F.max(key).alias("last"))
+    chunks = stages.stage(chunks, "chunks")
+    before = chunks.select((F.col("chunk") + 1).alias("chunk"), F.col("last").alias("earlier"))
+    early = F.count_if(F.col("first") < F.col("earlier")).alias("out_of_order")
+    sums = chunks.join(before, "chunk", "left").agg(F.sum("rows").alias("lines"), early, F.lit(0).alias("over_bound"))
+    sizes = spark.read.format("binaryFile").load(f"{path}/chunk=*").select(F.col("_metadata.file_size").alias("bytes"))
+    sizes = sizes.agg(F.lit(0).alias("lines"), F.lit(0).alias("out_of_order"), F.count_if(F.col("bytes") > bound).alias("over_bound"))
+    return sums.unionByName(sizes).agg(*[F.sum(c).alias(c) for c in sums.columns])
+
+
+def followed_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """The customer table of three CSV parts, of which one is written anew and one added after the first reading."""
+    lines, path = order_lines(spark, folder), stages.new_stage_path(spark, "followed")
+    lines = lines.withColumns({"Quantity": F.col("Quantity").cast("long"), "CustomerID": F.col("CustomerID").cast("double")})
+    part = F.pmod(F.crc32("InvoiceNo"), F.lit(3))
+    half = F.pmod(F.crc32("StockCode"), F.lit(2)) == 0
+
+    def write(number: int, rows: DataFrame) -> None:
+        exports.write_csv_chunks(rows, f"{path}/lines/part{number}", chunk_bytes=1 << 30)
+
+    write(0, lines.where(part == 0))
+    write(1, lines.where((part == 1) & half))
+    pipelines.followed_rfm(spark, f"{path}/lines/*", f"{path}/totals")
+    write(1, lines.where(part == 1))
+    write(2, lines.where(part == 2))
+    rfm, _ = pipelines.followed_rfm(spark, f"{path}/lines/*", f"{path}/totals")
+    return _money(rfm)
+
+
 def stage_monthly_revenue(spark: SparkSession, folder: str) -> DataFrame:
     """Build the clean table, then take it from its stage and report on it."""
     path = stages.new_stage_path(spark, "clean-lines")
@@ -328,8 +368,7 @@ def plain_sweep(spark: SparkSession, folder: str) -> DataFrame:
     """The k that plain distances choose, by both rules."""
     features = stages.stage(_robust(spark, folder), "features")
     sweep = measure(features, {k: diagonal_centers(k) for k in range(2, 11)}, metric="plain")
-    best, business = best_k(sweep).select(F.col("k").alias("best_k")), business_k(sweep).select(F.col("k").alias("business_k"))
-    return best.join(business).select("best_k", "business_k")
+    return best_k(sweep).select(F.col("k").alias("best_k"), business_k(sweep).select("k").scalar().alias("business_k"))
 
 
 def k_sweep(spark: SparkSession, folder: str) -> DataFrame:
@@ -471,7 +510,7 @@ def kmeans_checks_verify(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in [
-        csv_chunks_by_country, stage_monthly_revenue, union_yearly_sources, strategy_csv,
+        csv_chunks_by_country, ordered_chunks, followed_parts, stage_monthly_revenue, union_yearly_sources, strategy_csv,
         clean_lines, clean_audit, head_preview, shape_and_range, schema_listing, null_counts,
         describe_lines, describe_rfm, kpis, top_countries, monthly_revenue,
         snapshot_date, rfm_table, rfm_given_snapshot, rfm_events, rfm_scores,

@@ -371,6 +371,9 @@ SELECT step, rule, rows_before, rows_after, rows_before - rows_after AS rows_rem
          (SELECT count(*) FROM lines WHERE "CustomerID" IS NOT NULL AND "InvoiceNo" NOT LIKE 'C%'),
          (SELECT count(*) FROM lines WHERE "CustomerID" IS NOT NULL AND "InvoiceNo" NOT LIKE 'C%'
              AND "Quantity" > 0 AND "UnitPrice" > 0))"""),
+    "ordered_chunks": _with(LINES, """
+SELECT count(*) AS lines, CAST(0 AS BIGINT) AS out_of_order, CAST(0 AS BIGINT) AS over_bound FROM lines"""),
+    "followed_parts": _with(RFM, f"SELECT {_SCORE_COLUMNS} FROM rfm"),
     "head_preview": _with(CLEAN, """
 SELECT "InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID", "Country",
        "TotalPrice" FROM clean ORDER BY ALL LIMIT 10"""),

@@ -6,16 +6,20 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from patronlens.operators.cleaning import clean_lines
 
 from patronlens.operators.clustering import (
     K_RANGE, RESTARTS, Centers, best_k, business_k, by_mean_monetary, fit_kmeans, measure,
 )
 from patronlens.operators.distributions import quantile_thresholds
 from patronlens.operators.features import Scaling, fit_robust, fit_standard
-from patronlens.operators.rfm import build_rfm
+from patronlens.operators.rfm import build_rfm, invoice_totals, merged_totals, rfm_of_totals
 from patronlens.operators.scoring import score_customers
 from patronlens.operators.segments import cluster_means, name_segments, rank_names, rule_names
+from patronlens.sources.csv_lines import read_lines_csv
+from patronlens.sources.parts import SOURCE, Refreshed, refresh
 
 
 @dataclass
@@ -32,6 +36,23 @@ def scored_customers(clean: DataFrame, snapshot: datetime | None = None, **scori
     return score_customers(build_rfm(clean, snapshot), **scoring)
 
 
+def followed_rfm(
+    spark: SparkSession, lines_path: str, path: str, *, snapshot: datetime | None = None, **reading
+) -> tuple[DataFrame, Refreshed]:
+    """The customer table of CSV parts that come and change, and what became of the parts.
+
+    The table at ``path`` keeps totals per part, customer and invoice.  Parts that were added or
+    changed are read and cleaned, the others are not opened; ``reading`` goes to the CSV reader.
+    """
+
+    def build(files: list[str]) -> DataFrame:
+        lines = read_lines_csv(spark, files, source_column=SOURCE, **reading)
+        return invoice_totals(clean_lines(lines), SOURCE)
+
+    parts = refresh(spark, path, lines_path, build, settings={"version": 1, **reading})
+    return rfm_of_totals(merged_totals(parts.rows), snapshot), parts
+
+
 def segment_customers(
     scored: DataFrame,
     *,

@@ -15,6 +15,7 @@ from patronlens.functions.columns import blank_to_null
 from patronlens.sources.stages import hadoop_path
 
 _CORRUPT = "_corrupt_record"
+_SOURCE = "_source_file"
 
 
 def read_lines_csv(
@@ -26,9 +27,12 @@ def read_lines_csv(
     missing_tokens: Sequence[str] = tuple(schemas.MISSING_TOKENS),
     schema: T.StructType = schemas.RAW_LINES,
     malformed: str = "raise",
+    source_column: str | None = None,
 ) -> DataFrame:
     """All CSV parts under one schema; ``paths`` may hold globs.
 
+    ``source_column`` adds the file that a line came from, under this name.
+
     Columns are found by each part's own header, so parts may order them differently and
     have others besides; a missing one is an error.  Time stamps read like
     ``yyyy-MM-dd HH:mm:ss`` with an optional fraction unless ``timestamp_format`` says
@@ -48,6 +52,8 @@ def read_lines_csv(
             value = F.when(_unreadable(text, value), F.raise_error(said).cast(field.dataType)).otherwise(value)
         columns[field.name] = value.alias(field.name)
     texts = _text_parts(spark, paths, schema, multi_line)
+    if source_column:
+        columns[source_column] = F.col(_SOURCE).alias(source_column)
     if malformed == "raise":
         first, *_ = columns
         cut = F.concat(F.lit("not a line of the table: "), F.col(_CORRUPT))
@@ -112,14 +118,14 @@ def _text_parts(spark: SparkSession, paths: str | Sequence[str], schema: T.Struc
             if missing:
                 raise ValueError(f"{file} has no column {', '.join(missing)}")
             by_header[header].append(file)
-    wanted = [*schema.fieldNames(), _CORRUPT]
+    wanted = [*schema.fieldNames(), _CORRUPT, _SOURCE]
     parts = []
     for header, own in by_header.items():
         names = [*header, _CORRUPT]
         reader = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
         reader = reader.option("header", True).option("enforceSchema", True).option("escape", '"')
         reader = reader.option("columnNameOfCorruptRecord", _CORRUPT).option("multiLine", multi_line)
-        parts.append(reader.csv(own).select(*wanted))
+        parts.append(reader.csv(own).withColumn(_SOURCE, F.col("_metadata.file_path")).select(*wanted))
     if not parts:
         return spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in wanted]))
     return reduce(DataFrame.unionByName, parts)

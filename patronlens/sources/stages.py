@@ -8,13 +8,16 @@ it, and rerun tasks see exactly the same floating point sums.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 # Scratch folders already marked for removal.
 _marked: set[str] = set()
+# Paths of the stage tables made in each open scope, outermost first.
+_scopes: ContextVar[tuple[list[tuple[SparkSession, str]], ...]] = ContextVar("scopes", default=())
 
 
 def stage_root(spark: SparkSession) -> str:
@@ -42,6 +45,36 @@ def new_stage_path(spark: SparkSession, name: str) -> str:
     return f"{scratch}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def released() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Stage tables made inside are removed at the end, but for those written with the function this yields.
+
+        with released() as keep:
+            counts = stage(count(rows), "counts")
+            result = keep(join(counts, rows), "result")   # written before the counts go
+
+    What is kept belongs to the scope around this one.  Nothing that is read later may depend
+    on a removed table: hand out kept tables only.
+    """
+    outer, own = _scopes.get(), []
+    token = _scopes.set((*outer, own))
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        inside = _scopes.set(outer)
+        try:
+            return stage(df, name)
+        finally:
+            _scopes.reset(inside)
+
+    try:
+        yield keep
+    finally:
+        _scopes.reset(token)
+        for spark, path in own:
+            files, at = hadoop_path(spark, path)
+            files.delete(at, True)
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """The Hadoop file system of a path, and the path in its form."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -52,6 +85,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new stage table and continue from the written copy."""
     spark = df.sparkSession
     path = new_stage_path(spark, name)
+    if scopes := _scopes.get():
+        scopes[-1].append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -77,7 +112,8 @@ def read_or_build(
 ) -> DataFrame:
     """The stage table at ``path`` if a write of it was completed, else built, written and read back.
 
-    Nothing checks whether the sources changed since; pass ``rebuild=True`` then.
+    Nothing checks whether the sources changed since: pass ``rebuild=True`` then, or let
+    ``parts.refresh`` follow the source files.
     """
     if not rebuild and is_complete(spark, path):
         return read_stage(spark, path)

@@ -10,7 +10,10 @@ from patronlens.operators.cleaning import clean_lines
 from patronlens.schemas import LINE_COLUMNS
 from patronlens.sources import stages
 from patronlens.sources.csv_lines import malformed_fields, read_lines_csv, union_sources
-from patronlens.sources.exports import write_csv_chunks, write_report_csv
+from patronlens.plans.pipelines import followed_rfm
+from patronlens.functions.running import running_totals
+from patronlens.sources import parts
+from patronlens.sources.exports import write_csv_chunks, write_ordered_chunks, write_report_csv
 
 HEADER = ",".join(LINE_COLUMNS)
 
@@ -69,6 +72,101 @@ def test_chunks_hold_every_row_within_the_size(spark, make_lines, tmp_path):
     assert back.exceptAll(lines).isEmpty() and lines.exceptAll(back).isEmpty()
 
 
+def test_ordered_chunks_are_contiguous_and_bounded(spark, make_lines, tmp_path):
+    rows = [
+        {"InvoiceNo": f"{i:05d}", "Description": "long text, quoted" * (30 if i % 97 == 0 else i % 5)} for i in range(1500)
+    ] + [{"InvoiceNo": "00700", "Description": f"tie {i}"} for i in range(200)] + [{"InvoiceNo": None}] * 3
+    lines = make_lines(rows).repartition(7)
+    bound = 4_000
+    count = write_ordered_chunks(lines, str(tmp_path / "out"), ["InvoiceNo", "Description"], chunk_bytes=bound)
+    folders = sorted((tmp_path / "out").glob("chunk=*"))
+    assert len(folders) == count > 20
+    assert [f.name for f in folders] == [f"chunk={i:08d}" for i in range(count)]
+    last = ("", "")
+    for folder in folders:
+        (file,) = folder.glob("*.csv")
+        assert file.stat().st_size <= bound
+        own = [(r["InvoiceNo"] or "", r["Description"]) for r in read_lines_csv(spark, str(file)).collect()]
+        assert own == sorted(own, key=lambda r: (r[0], r[1] or "")) and (last[0], last[1] or "") <= (own[0][0], own[0][1] or "")
+        last = own[-1]
+    back = read_lines_csv(spark, str(tmp_path / "out"))
+    blank = lines.withColumn("Description", F.expr("nullif(Description, '')"))
+    assert back.count() == len(rows) and back.exceptAll(blank).isEmpty()
+    with pytest.raises(ValueError, match="do not fit"):
+        write_ordered_chunks(lines, str(tmp_path / "small"), ["InvoiceNo"], chunk_bytes=300)
+    assert write_ordered_chunks(lines.where("false"), str(tmp_path / "none"), ["InvoiceNo"]) == 0
+
+
+def test_running_totals_of_hot_and_missing_groups(spark):
+    pairs = [(1, i, i % 7) for i in range(5000)] + [(None, i, 1) for i in range(50)] + [(i, 0, 2) for i in range(2, 300)]
+    rows = spark.createDataFrame(pairs, "g int, o int, v int").repartition(9)
+    found = {(r["g"], r["o"]): r["t"] for r in running_totals(rows, ["g", "o"], F.col("v"), "t", within=["g"]).collect()}
+    sums: dict = {}
+    for g, o, v in sorted(pairs, key=lambda r: (r[0] or 0, r[1])):
+        assert found[g, o] == sums.get(g, 0)
+        sums[g] = sums.get(g, 0) + v
+    total = 0
+    whole = {(r["g"], r["o"]): r["t"] for r in running_totals(rows, ["g", "o"], F.col("v"), "t").collect()}
+    for g, o, v in sorted(pairs, key=lambda r: (r[0] or 0, r[1])):
+        assert whole[g, o] == total
+        total += v
+    assert running_totals(rows.where("false"), ["g"], F.col("v"), "t").collect() == []
+
+
+def line(invoice, customer, price="2.0"):
+    return f"{invoice},A,x,1,2011-01-01 00:00:00,{price},{customer},France"
+
+
+def test_only_new_and_changed_parts_are_read(spark, tmp_path, monkeypatch):
+    from patronlens.plans import pipelines
+
+    folder, read = tmp_path / "parts", []
+    folder.mkdir()
+    reader = pipelines.read_lines_csv
+    monkeypatch.setattr(pipelines, "read_lines_csv", lambda s, files, **o: (read.append(sorted(Path(f).name for f in files)), reader(s, files, **o))[1])
+
+    def follow(**reading):
+        read.clear()
+        rfm, found = followed_rfm(spark, f"{folder}/*.csv", str(tmp_path / "totals"), **reading)
+        rows = sorted((r["CustomerID"], r["Frequency"], r["Monetary"]) for r in rfm.collect())
+        whole = pipelines.build_rfm(clean_lines(reader(spark, f"{folder}/*.csv")))
+        assert rows == sorted((r["CustomerID"], r["Frequency"], r["Monetary"]) for r in whole.collect())
+        return [f for files in read for f in files], (found.added, found.changed, found.removed, found.unchanged)
+
+    write(folder / "a 1.csv", line(1, 7), line(2, 7), line(3, 8))
+    write(folder / "b.csv", line(1, 7), line(4, 9))
+    assert follow() == (["a 1.csv", "b.csv"], (2, 0, 0, 0))
+    assert follow() == ([], (0, 0, 0, 2))
+    write(folder / "c.csv", line(5, 9))
+    assert follow() == (["c.csv"], (1, 0, 0, 2))
+    write(folder / "b.csv", line(1, 7), line(4, 9, "3.5"), line(6, 10))
+    assert follow() == (["b.csv"], (0, 1, 0, 2))
+    (folder / "c.csv").unlink()
+    assert follow() == ([], (0, 0, 1, 2))
+    assert follow(missing_tokens=("", "NA")) == (["a 1.csv", "b.csv"], (0, 2, 0, 0))
+    # A refresh that broke off before its manifest was complete changes nothing.
+    newest = max((tmp_path / "totals").glob("manifest-*"))
+    (newest / "_SUCCESS").rename(newest / "_GONE")
+    assert parts.read_parts(spark, str(tmp_path / "totals")).count() > 0
+    with pytest.raises(FileNotFoundError):
+        parts.read_parts(spark, str(tmp_path / "nothing"))
+
+
+def test_stages_of_a_scope_are_removed(spark):
+    with stages.released() as keep:
+        first = stages.stage(spark.range(5), "first")
+        with stages.released() as keep_inner:
+            inner = stages.stage(first.selectExpr("id * 2 AS id"), "inner")
+            second = keep_inner(inner.selectExpr("id + 1 AS id"), "second")
+        kept = keep(second.where("id > 1"), "kept")
+        files = [f for df in (first, inner, second) for f in df.inputFiles()]
+        gone, there = files[len(first.inputFiles()): len(first.inputFiles()) + len(inner.inputFiles())], first.inputFiles() + second.inputFiles()
+        assert not any(Path(f.removeprefix("file://")).exists() for f in gone)
+        assert all(Path(f.removeprefix("file://")).exists() for f in there)
+    assert not any(Path(f.removeprefix("file://")).exists() for f in files)
+    assert sorted(r["id"] for r in kept.collect()) == [3, 5, 7, 9]
+
+
 def test_parts_are_read_by_their_headers(spark, tmp_path):
     write(tmp_path / "a.csv", "1,A,x,6.0,2011-01-01 00:00:00,2.5,7.0,France")
     order = ["Country", "Extra", "UnitPrice", "InvoiceDate", "CustomerID", "Quantity", "Description", "StockCode", "InvoiceNo"]
