@@ -1,53 +1,48 @@
-"""Quality rules: counts on each text, and for each language bands of byte n-gram perplexity and of word rarity.
-
-The language model is a modified Kneser-Ney model over byte 4-grams.  Spark counts the
-n-grams of all documents, the lower orders count distinct continuations, and discounts
-come from the counts of counts, all for each language apart.  Probabilities and back-off
-weights are kept as sorted arrays of 64-bit n-gram hashes with their values.  What the
-executors hold is bounded: beyond ``MAX_ENTRIES`` n-grams the rarest of the highest
-orders are left to back-off, and the back-off weights take their mass.
-
-Texts are read as lower-case bytes, digits as 0 and white space as one space.
-
-The rarity of a text is the mean, over its words as they are written, of
-``-log10((t + 1/2) / T)``, where t of the T different texts of its language hold the word
-besides the text itself.  The word model is never collected: tasks note each chunk of
-documents as its distinct words and the documents' places in them, Spark sums the counts
-of each (language, word) and sends them back to the chunks.
+"""Quality rules: counts on each text, and for each language a band of n-gram perplexity.
+
+The language models are modified Kneser-Ney models over the last 1, 2, 3 and 4 bytes; a
+text's perplexity is the geometric mean of its perplexities under the four.  The long ones know how a
+text goes on, the short ones how usual its bytes are.  Spark counts the n-grams of all
+documents, lower orders count distinct continuations, and discounts come from the counts of
+counts, all for each language apart.  An n-gram that was seen once is the reading text's own, so
+nothing that is looked up knows of it: it has its part in counts and discounts only.
+
+Values are kept as sorted arrays of 64-bit n-gram hashes.  A model may be larger than an executor
+should hold: it is then parted by the byte before the predicted one into slices of at most
+``SLICE_ENTRIES`` n-grams (or one such byte), and the texts are read once for each slice.  No n-gram is left
+out at any size, and no more than a slice is ever on the driver.
+
+Texts are read as bytes, digits as 0 and white space as one space.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from patronlens.llm.substrings import _pack, _unpack
 from patronlens.llm.words import Words, mixed, row_ranges, split_words
 from patronlens.sources.stages import stage
 
 ORDER = 4
-MAX_ENTRIES = 4_000_000
-SLICE = 1 << 17
-LEAST_COUNT = 2
+SLICE_ENTRIES = 4_000_000
+BLOCK = 1 << 17
 LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
 REPEAT_WINDOW = 8
 # Bands: so many (scaled) median deviations around the language's median.
-BAND_DEVIATIONS = 8.0
-RARITY_DEVIATIONS = 5.0
-# Fewer different texts have no spread of their own: BAND_LEAST bounds their perplexity, nothing their rarity.
-LEAST_TEXTS = 20
-BAND_LEAST = 0.301  # half or double the median perplexity
+BAND_DEVIATIONS = 6.0
+# Below the median the band reaches to half of it at least: copies of a text lower its perplexity, and say nothing against it.
+BAND_BELOW = 0.301
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 _READ = np.arange(256, dtype=np.uint8)
-_READ[65:91] += 32
 _READ[48:58] = 48
 _READ[9:14] = 32
 _READ[0] = 1
@@ -177,56 +172,58 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(grams: DataFrame, max_entries: int = MAX_ENTRIES) -> list[DataFrame]:
-    """Stage tables ``lang, gram, p, rest`` of a modified Kneser-Ney model, for 1 to ``ORDER`` bytes.
+def kneser_ney(grams: DataFrame) -> list[DataFrame]:
+    """Stage tables ``lang, gram, n, value, shorter, rest, shorter_rest`` for 1 to ``ORDER`` bytes.
 
-    ``rest`` is the mass that the n-gram's history leaves to back-off.  Counts and
-    discounts take all n-grams, but the model leaves those of 3 and 4 bytes that were seen
-    once to back-off: else a document of noise would be judged by its own n-grams.
+    With P_k the model over k bytes, ``value`` is the sum of log10 P_1 to log10 P_k of the n-gram's
+    last byte, ``rest`` the mass that its history leaves to back-off in P_k.  ``shorter`` is the log10
+    probability, and ``shorter_rest`` that mass, where the n-gram is a lower order of a longer model.
     """
-    tables = {ORDER: stage(grams, "grams")}
+    raw, continued = {ORDER: grams}, {}
     for size in range(ORDER - 1, 0, -1):
-        suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * size) - 1))
-        counted = tables[size + 1].groupBy("lang", suffix.alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-        tables[size] = stage(counted, "grams")
-    alike = Window.partitionBy("lang", "history")
+        suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * size) - 1)).alias("gram")
+        raw[size] = stage(raw[size + 1].groupBy("lang", suffix).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_before")), "grams")
+        continued[size] = raw[size].select("lang", "gram", F.col("n_before").alias("n"))
     out: list[DataFrame] = []
     for size in range(1, ORDER + 1):
-        table = tables[size]
-        ones, twos, threes, fours = (F.count_if(F.col("n") == i) for i in (1, 2, 3, 4))
-        share = ones / F.nullif(ones + 2 * twos, F.lit(0))
-
-        def discount(i: int, upper: Column, below: Column) -> Column:
-            value = F.lit(float(i)) - (i + 1) * share * upper / F.when(below > 0, below)
-            return F.greatest(F.lit(0.0), F.least(F.lit(float(i)), F.coalesce(value, F.lit(0.5 * i))))
-
-        discounts = table.groupBy("lang").agg(
-            discount(1, twos, ones).alias("d1"), discount(2, threes, twos).alias("d2"), discount(3, fours, threes).alias("d3")
-        )
-        cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        seen = table.join(discounts, "lang").withColumn("history", F.shiftrightunsigned("gram", 8))
-        # At most 256 n-grams share a history.
-        least = max(LEAST_COUNT, _least_count(table, max_entries)) if size > 2 else 1
-        own = F.when(F.col("n") >= least, (F.col("n") - cut) / F.sum("n").over(alike)).otherwise(F.lit(0.0))
-        seen = seen.withColumn("own", own).withColumn("kept", F.col("n") >= least)
-        seen = seen.withColumn("rest", F.greatest(F.lit(1e-12), F.lit(1.0) - F.sum("own").over(alike)))
+        table = _discounted(raw[size], size)
+        if size < ORDER:
+            lower = _discounted(continued[size], size).select("lang", "gram", F.col("own").alias("lower_own"), F.col("rest").alias("shorter_rest"))
+            table = table.join(lower, ["lang", "gram"])
+        else:
+            table = table.withColumns({"lower_own": F.lit(0.0), "shorter_rest": F.lit(1.0)})
         if size == 1:
-            whole = seen.select("lang", "gram", (F.col("own") + F.col("rest") / 256).alias("p"), "rest", "kept")
+            below, before = F.lit(1.0 / 256), F.lit(0.0)
         else:
-            below = out[-1].select("lang", F.col("gram").alias("shorter"), F.col("p").alias("p_below"))
-            shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * (size - 1)) - 1))
-            whole = seen.withColumn("shorter", shorter).join(below, ["lang", "shorter"])
-            p = F.col("own") + F.col("rest") * F.col("p_below")
-            whole = whole.select("lang", "gram", p.alias("p"), "rest", "kept")
-        out.append(stage(whole, f"order-{size}"))
-    return [table.where("kept").drop("kept") for table in out]
-
-
-def _least_count(table: DataFrame, max_entries: int) -> int:
-    """The smallest count such that no more than ``max_entries`` n-grams have it or a larger one."""
-    steps = 24
-    row = table.agg(*[F.count_if(F.col("n") >= 2**i).alias(str(i)) for i in range(steps)]).first()
-    return next((2**i for i in range(steps) if row[str(i)] <= max_entries), 2**steps)
+            suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * (size - 1)) - 1))
+            shorter = out[-1].select("lang", F.col("gram").alias("suffix"), F.col("value").alias("before"), F.col("shorter").alias("below"))
+            table = table.withColumn("suffix", suffix).join(shorter, ["lang", "suffix"])
+            below, before = F.pow(F.lit(10.0), "below"), F.col("before")
+        out.append(stage(table.select(
+            "lang", "gram", "n", (before + F.log10(F.col("own") + F.col("rest") * below)).alias("value"),
+            F.log10(F.col("lower_own") + F.col("shorter_rest") * below).alias("shorter"), "rest", "shorter_rest",
+        ), f"order-{size}"))
+    return out
+
+
+def _discounted(table: DataFrame, size: int) -> DataFrame:
+    """``lang, gram, n`` with the discounted share ``own`` of each n-gram in its history, and the history's ``rest``."""
+    ones, twos, threes, fours = (F.count_if(F.col("n") == i) for i in (1, 2, 3, 4))
+    share = ones / F.nullif(ones + 2 * twos, F.lit(0))
+
+    def discount(i: int, upper: Column, below: Column) -> Column:
+        value = F.lit(float(i)) - (i + 1) * share * upper / F.when(below > 0, below)
+        return F.greatest(F.lit(0.0), F.least(F.lit(float(i)), F.coalesce(value, F.lit(0.5 * i))))
+
+    discounts = table.groupBy("lang").agg(
+        discount(1, twos, ones).alias("d1"), discount(2, threes, twos).alias("d2"), discount(3, fours, threes).alias("d3")
+    )
+    cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    # At most 256 n-grams share a history.
+    alike = Window.partitionBy("lang", F.shiftrightunsigned("gram", 8))
+    seen = table.join(discounts, "lang").withColumn("own", (F.col("n") - cut) / F.sum("n").over(alike))
+    rest = F.greatest(F.lit(1e-12), F.lit(1.0) - F.sum("own").over(alike))
+    return seen.withColumn("rest", rest).select("lang", "gram", "n", "own", "rest")
 
 
 @dataclass
@@ -270,74 +267,97 @@ class HashArray:
         return found, np.where(found, self.values[place], np.float32(0))
 
 
-Model = dict[str, dict[int, tuple[HashArray, HashArray]]]
+# By language and size: value, value as a lower order, and the rests of histories in both places.
+Model = dict[str, dict[int, tuple[HashArray, HashArray, HashArray, HashArray]]]
 
 
-def collect_model(orders: list[DataFrame]) -> Model:
-    """The model as hash arrays: by language and size, probabilities and back-off weights."""
+def slices(orders: list[DataFrame], entries: int = SLICE_ENTRIES) -> tuple[int, dict[str, np.ndarray]]:
+    """Number of slices, and for each language the slice of every byte before the predicted one.
+
+    The driver sees at most 256 sizes a language.
+    """
+    before = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(255)).alias("byte")
+    sizes = orders[1].select("lang", before, F.lit(1).alias("n"))
+    for table in orders[2:]:
+        sizes = sizes.unionByName(table.select("lang", before, F.lit(1).alias("n")))
+    number, filled, where = 0, 0, {}
+    for row in sorted(sizes.groupBy("lang", "byte").agg(F.sum("n").alias("n")).collect()):
+        if filled and filled + row["n"] > entries:
+            number, filled = number + 1, 0
+        filled += row["n"]
+        where.setdefault(row["lang"], np.zeros(256, np.int64))[row["byte"]] = number
+    return number + 1, where
+
+
+def collect_model(orders: list[DataFrame], number: int = 0, where: dict[str, np.ndarray] | None = None) -> Model:
+    """One slice of the model as hash arrays; the whole model without ``where``."""
     arrays: Model = {}
+    nothing = HashArray.of(np.zeros(0, np.int64), np.zeros(0))
     for size, table in enumerate(orders, 1):
-        frame = table.toArrow().to_pandas()
-        for lang, rows in frame.groupby("lang"):
-            grams = rows["gram"].to_numpy()
-            histories, first = np.unique(grams >> 8, return_index=True)
+        if where is not None and size > 1:
+            spark = table.sparkSession
+            own = [(lang, int(byte)) for lang, of in where.items() for byte in np.flatnonzero(of == number)]
+            chosen = spark.createDataFrame(own, "lang string, byte long")
+            byte = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(255))
+            table = table.withColumn("byte", byte).join(F.broadcast(chosen), ["lang", "byte"], "left_semi")
+        frame = table.select("lang", "gram", "n", "value", "shorter", F.log10("rest").alias("rest"), F.log10("shorter_rest").alias("shorter_rest"))
+        for lang, rows in frame.toArrow().to_pandas().groupby("lang"):
+            histories, first = np.unique(rows["gram"].to_numpy() >> 8, return_index=True)
+            # Seen once: the reading text's own.
+            others = rows[rows["n"] > 1]
+            grams = others["gram"].to_numpy()
             arrays.setdefault(lang, {})[size] = (
-                HashArray.of(grams, np.log10(rows["p"].to_numpy())),
-                HashArray.of(histories, np.log10(rows["rest"].to_numpy()[first])),
+                HashArray.of(grams, others["value"].to_numpy()), HashArray.of(grams, others["shorter"].to_numpy()),
+                HashArray.of(histories, rows["rest"].to_numpy()[first]), HashArray.of(histories, rows["shorter_rest"].to_numpy()[first]),
             )
-    nothing = HashArray.of(np.zeros(0, np.int64), np.zeros(0))
     for own in arrays.values():
         for size in range(1, ORDER + 1):
-            own.setdefault(size, (nothing, nothing))
+            own.setdefault(size, (nothing,) * 4)
     return arrays
 
 
-def log10_probabilities(model: dict[int, tuple[HashArray, HashArray]], codes: np.ndarray) -> np.ndarray:
-    """log10 P(last byte | the bytes before it) at every code; in slices that fit the processor's cache."""
-    if len(codes) > SLICE:
-        return np.concatenate([log10_probabilities(model, codes[at: at + SLICE]) for at in range(0, len(codes), SLICE)])
+def log10_probabilities(model: dict[int, tuple[HashArray, ...]], codes: np.ndarray) -> np.ndarray:
+    """For every code the sum of log10 P_k(last byte | the k - 1 before it) over k = 1 to ORDER.
+
+    A code that is missing down to size k takes ``value`` there, and for each of the longer models the
+    ``shorter`` value there and the rests on its way down.
+    """
+    if len(codes) > BLOCK:
+        return np.concatenate([log10_probabilities(model, codes[at: at + BLOCK]) for at in range(0, len(codes), BLOCK)])
     result = np.zeros(len(codes), np.float32)
-    open_, size = np.arange(len(codes)), ORDER
-    while len(open_):
+    open_ = np.arange(len(codes))
+    for size in range(ORDER, 0, -1):
+        longer = np.float32(ORDER - size)
+        grams, lower, rests, lower_rests = model[size]
         own = codes[open_] & np.uint32((1 << 8 * size) - 1)
-        grams, histories = model[size]
         found, value = grams.find(own)
-        result[open_[found]] += value[found]
+        at = open_[found]
+        result[at] += value[found]
+        if longer and len(at):
+            result[at] += longer * lower.find(own[found])[1]
         open_, own = open_[~found], own[~found]
-        if len(open_):
-            result[open_] += histories.find(own >> np.uint32(8))[1]
-            if size == 1:
-                result[open_] -= np.float32(np.log10(256.0))
-                break
-        size -= 1
+        if not len(open_):
+            return result
+        result[open_] += rests.find(own >> np.uint32(8))[1]
+        if longer:
+            result[open_] += longer * lower_rests.find(own >> np.uint32(8))[1]
+    result[open_] -= np.float32(ORDER * np.log10(256.0))
     return result
 
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_ENTRIES = "chunk long, lang string, word long, place int, held int"
-
-
-def _noted_words(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Sorted distinct words of a chunk as hashes; for each text the places of its words there, and how often each stands in it."""
-    words = split_words(texts)
-    distinct, kind = np.unique(words.hashes().view(np.int64), return_inverse=True)
-    pairs, counts = np.unique(words.text_of() * max(len(distinct), 1) + kind, return_counts=True)
-    cuts = np.searchsorted(pairs, np.arange(1, len(texts)) * max(len(distinct), 1))
-    places = (pairs % max(len(distinct), 1)).astype(np.uint32)
-    return distinct, np.split(places, cuts), np.split(counts.astype(np.uint32), cuts)
 
 
-def score_documents(docs: DataFrame, model: Model, *, key: str = "doc_id") -> DataFrame:
-    """Counts, number of bytes read and mean log10 probability of every text, with its words noted.
+def score_documents(docs: DataFrame, model: Model, *, key: str = "doc_id", number: int = 0, where: dict | None = None) -> DataFrame:
+    """``key, lang, mark`` (a hash of the text), counts, number of bytes read and their summed log10 probabilities.
 
-    ``chunk, place`` name a row; the row with place -1 has the chunk's distinct words.
+    With ``where``, only the bytes of slice ``number`` are looked up.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model, where))
     kind = docs.schema[key].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        draws = np.random.default_rng()
+        arrays, slice_of = shared.value
         for rows, texts in row_ranges(batches):
             for lang, own in _by_language(rows, texts):
                 read = [texts[i] for i in own]
@@ -345,128 +365,81 @@ def score_documents(docs: DataFrame, model: Model, *, key: str = "doc_id") -> Da
                 size, total = np.zeros(len(read), np.int64), np.zeros(len(read))
                 codes, starts = _grams(read)
                 if len(codes):
-                    sums = np.concatenate([[0.0], np.cumsum(log10_probabilities(shared.value[lang], codes), dtype=np.float64)])
+                    here = np.ones(len(codes), bool)
+                    if slice_of is not None:
+                        here = slice_of.get(lang, np.zeros(256, np.int64))[codes >> np.uint32(8) & np.uint32(255)] == number
+                    scores = np.zeros(len(codes))
+                    scores[here] = log10_probabilities(arrays.get(lang) or _nothing(), codes[here])
+                    sums = np.concatenate([[0.0], np.cumsum(scores)])
                     total = sums[starts[1:]] - sums[starts[:-1]]
                     size = np.diff(starts)
-                mean = np.where(size > 0, -total / np.maximum(size, 1), 0.0)
-                distinct, places, often = _noted_words(read)
                 taken = rows.take(pa.array(own))
-                chunk = int(draws.integers(2**63))
-                noted = [_pack(p, c) for p, c in zip(places, often)]
-                columns = {
-                    "key": pa.concat_arrays([taken.column("key"), pa.nulls(1, taken.column("key").type)]),
-                    "lang": pa.array([lang] * (len(own) + 1), pa.string()),
-                    **{n: pa.array(np.append(counts[n], 0).astype(np.int64)) for n in _COUNTS},
-                    "n_read": pa.array(np.append(size, 0)),
-                    "log10_perplexity": pa.array(np.append(mean, 0.0)),
-                    "mark": pa.concat_arrays([taken.column("mark"), pa.nulls(1, pa.int64())]),
-                    "chunk": pa.array([chunk] * (len(own) + 1), pa.int64()),
-                    "place": pa.array([*range(len(own)), -1], pa.int64()),
-                    "n_noted": pa.array([*map(len, places), len(distinct)], pa.int64()),
-                    "noted": pa.array([*noted, _pack(np.diff(distinct, prepend=np.int64(0)))], pa.binary()),
-                }
-                yield pa.RecordBatch.from_pydict(columns)
-
-    shape = f"key {kind}, lang string, {', '.join(f'{n} long' for n in _COUNTS)}, n_read long, log10_perplexity double, mark long, chunk long, place long, n_noted long, noted binary"
+                yield pa.RecordBatch.from_pydict({
+                    "key": taken.column("key"), "lang": taken.column("lang"), "mark": taken.column("mark"),
+                    **{n: pa.array(counts[n].astype(np.int64)) for n in _COUNTS}, "n_read": pa.array(size), "total": pa.array(total),
+                })
+
+    shape = f"key {kind}, lang string, mark long, {', '.join(f'{n} long' for n in _COUNTS)}, n_read long, total double"
     rows = docs.select(F.col(key).alias("key"), _lang(docs).alias("lang"), F.col("text").alias("text"), F.xxhash64("text").alias("mark"))
     return rows.mapInArrow(score, shape)
 
 
-def _chunk_words(chunk: pa.Table) -> np.ndarray:
-    own = chunk.filter(pc.less(chunk["place"], 0)).to_pylist()[0]
-    return np.cumsum(_unpack(own["noted"], own["n_noted"], np.int64)[0])
+def _nothing() -> dict[int, tuple[HashArray, ...]]:
+    return {size: (HashArray.of(np.zeros(0, np.int64), np.zeros(0)),) * 4 for size in range(1, ORDER + 1)}
 
 
-def with_rarity(scored: DataFrame) -> DataFrame:
-    """The documents of a staged ``score_documents`` with ``log10_word_rarity``, null for a text without words.
-
-    Equal texts count once.  The work is that of the distinct words of each chunk.
-    """
-    texts = scored.where("n_noted > 0 and place >= 0").groupBy("lang", "mark").agg(F.min(F.struct("chunk", "place")).alias("first"))
-    firsts = texts.select("lang", "first.chunk", "first.place")
-
-    def count(chunk: pa.Table, first: pa.Table) -> pa.Table:
-        words = _chunk_words(chunk)
-        held = np.zeros(len(words), np.int32)
-        chosen = chunk.filter(pc.is_in(chunk["place"], value_set=first["place"].combine_chunks()))
-        for n, noted in zip(chosen["n_noted"].to_pylist(), chosen["noted"].to_pylist()):
-            held[_unpack(noted, n, np.uint32, np.uint32)[0]] += 1
-        names = [pa.array([chunk["chunk"][0].as_py()] * len(words), pa.int64()), pa.array([chunk["lang"][0].as_py()] * len(words), pa.string())]
-        return pa.table([*names, pa.array(words), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(held)], names=["chunk", "lang", "word", "place", "held"])
-
-    noted = scored.select("chunk", "lang", "place", "n_noted", "noted").groupBy("chunk")
-    entries = noted.cogroup(firsts.select("chunk", "place").groupBy("chunk")).applyInArrow(count, _ENTRIES)
-    # A word has one entry a chunk, so even the commonest brings few rows together.  Words of one text need no answer.
-    held = entries.withColumn("held", F.sum("held").over(Window.partitionBy("lang", "word")))
-    answers = held.where("held > 1").select("chunk", F.col("place").alias("at"), "held")
-    names = [n for n in scored.columns if n not in ("mark", "chunk", "place", "n_noted", "noted")]
-
-    def finish(chunk: pa.Table, answer: pa.Table) -> pa.Table:
-        own = chunk.filter(pc.less(chunk["place"], 0))
-        others = np.full(own["n_noted"][0].as_py(), np.log10(0.5))
-        others[answer["at"].to_numpy()] = np.log10(answer["held"].to_numpy() - 0.5)
-        rows = chunk.filter(pc.greater_equal(chunk["place"], 0))
-        means = []
-        for n, noted in zip(rows["n_noted"].to_pylist(), rows["noted"].to_pylist()):
-            places, often = _unpack(noted, n, np.uint32, np.uint32)
-            means.append(float((others[places] * often).sum() / often.sum()) if n else None)
-        return rows.select(names).append_column("held", pa.array(means, pa.float64()))
-
-    shape = ", ".join(f"{n} {scored.schema[n].dataType.simpleString()}" for n in names)
-    finished = scored.drop("mark").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, f"{shape}, held double")
-    totals = firsts.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"))
-    return finished.join(totals, "lang", "left").withColumn("log10_word_rarity", F.log10("texts") - F.col("held")).drop("held", "texts")
+def perplexities(docs: DataFrame, orders: list[DataFrame], *, key: str = "doc_id", entries: int = SLICE_ENTRIES) -> DataFrame:
+    """``key, lang``, counts, ``n_read`` and ``log10_perplexity`` of every row of ``docs``; one reading of the texts for each slice."""
+    count, where = slices(orders, entries)
+    if count == 1:
+        scored = score_documents(docs, collect_model(orders), key=key)
+    else:
+        parts = [stage(score_documents(docs, collect_model(orders, i, where), key=key, number=i, where=where), "slice") for i in range(count)]
+        row = ["key", "lang", "mark"]
+        # Rows alike in all of these have one sum in each slice.
+        sums = None
+        for part in parts:
+            own = part.groupBy(*row).agg(F.max("total").alias("total"))
+            sums = own if sums is None else sums.unionByName(own)
+        sums = sums.groupBy(*row).agg(F.sum("total").alias("total")).select(*[F.col(c).alias(f"of_{c}") for c in row], "total")
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in row])
+        scored = parts[0].drop("total").join(sums, same)
+    mean = -F.col("total") / (ORDER * F.greatest("n_read", F.lit(1)))
+    return scored.select("key", "lang", *_COUNTS, "n_read", mean.alias("log10_perplexity"))
 
 
 def _lang(docs: DataFrame) -> Column:
     return F.coalesce(F.col("lang"), F.lit("und")) if "lang" in docs.columns else F.lit("und")
 
 
-def quality_rules(docs: DataFrame, *, key: str = "doc_id", max_entries: int = MAX_ENTRIES) -> DataFrame:
-    """One row per row of ``docs`` (key, text, lang): counts, perplexity, ``base_failed`` and ``kept``.
+def quality_rules(docs: DataFrame, *, key: str = "doc_id", entries: int = SLICE_ENTRIES) -> DataFrame:
+    """One row per row of ``docs`` (key, text, lang): counts, perplexity, its band, ``base_failed`` and ``kept``.
 
     A null text has no words and fails the base rules.  A null language counts as one
     language of its own.  Bands come from each language's median and median deviation
     over the *different* values of texts that pass the base rules, so that copies have no
-    weight.  Short texts, whose perplexity and rarity vary more, have wider bands.
+    weight.  Texts shorter than usual, whose perplexity varies more, have wider bands.  Rows
+    alike have equal results; a language all of whose texts have one perplexity keeps that one.
     """
     read = docs.select(_lang(docs).alias("lang"), F.col("text").alias("text"))
-    model = collect_model(kneser_ney(count_grams(read), max_entries))
+    orders = kneser_ney(stage(count_grams(read), "grams"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    noted = stage(score_documents(docs, model, key=key), "noted")
-    scored = stage(with_rarity(noted).withColumnRenamed("key", key).withColumn("base_failed", failed), "quality")
-    good = scored.where(~F.col("base_failed"))
-    slack = F.lit(2.0) / F.sqrt(F.greatest(F.col("n_read"), F.lit(1)))
-    inside = F.col("log10_perplexity").between(F.col("lower") - slack, F.col("upper") + slack)
-    wider = F.sqrt(F.greatest(F.lit(1.0), F.col("usual_words") / F.col("n_words")))
-    usual = F.abs(F.col("log10_word_rarity") - F.col("usual_rarity")) <= F.col("rarity_width") * wider
-    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True)) & F.coalesce(usual, F.lit(True))
-    return scored.join(perplexity_bands(good), "lang", "left").join(rarity_bands(good), "lang", "left").withColumn("kept", kept)
-
-
-def _spread(scored: DataFrame, value: str) -> DataFrame:
-    """``lang, texts, median, mad``: number, median and median deviation of each language's different values."""
-    different = scored.select("lang", F.round(value, 6).alias("x")).where("x is not null").distinct()
-    middle = different.groupBy("lang").agg(F.percentile_approx("x", 0.5, 10_000).alias("median"), F.count(F.lit(1)).alias("texts"))
-    deviation = F.percentile_approx(F.abs(F.col("x") - F.col("median")), 0.5, 10_000)
-    return different.join(middle, "lang").groupBy("lang", "median", "texts").agg(deviation.alias("mad"))
+    scored = perplexities(docs, orders, key=key, entries=entries).withColumnRenamed("key", key).withColumn("base_failed", failed)
+    scored = stage(scored, "quality")
+    bands = perplexity_bands(scored.where(~F.col("base_failed")))
+    wider = F.sqrt(F.greatest(F.lit(1.0), F.col("usual_words") / F.greatest(F.col("n_words"), F.lit(1))))
+    banded = scored.join(bands, "lang", "left").withColumns(
+        {"lower": F.col("median") - F.greatest(F.lit(BAND_BELOW), F.col("width")) * wider, "upper": F.col("median") + F.col("width") * wider}
+    )
+    inside = F.round("log10_perplexity", 6).between(F.round("lower", 6), F.round("upper", 6))
+    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
+    return banded.withColumn("kept", kept).drop("median", "width", "usual_words")
 
 
 def perplexity_bands(scored: DataFrame) -> DataFrame:
-    """``lang, lower, upper``: bounds of log10 perplexity for each language.
-
-    Below the median the band reaches ``BAND_LEAST`` at least: a text's copies and near
-    copies lower its perplexity, and say nothing against it.
-    """
-    own = F.lit(BAND_DEVIATIONS * 1.4826) * F.col("mad")
-    least = F.greatest(F.lit(BAND_LEAST), own)
-    above = F.when(F.col("texts") < LEAST_TEXTS, least).otherwise(own)
-    return _spread(scored, "log10_perplexity").select("lang", (F.col("median") - least).alias("lower"), (F.col("median") + above).alias("upper"))
-
-
-def rarity_bands(scored: DataFrame) -> DataFrame:
-    """``lang, usual_rarity, rarity_width, usual_words``: the rarity's median and the half width of its band at ``usual_words`` words."""
-    usual = scored.groupBy("lang").agg(F.percentile_approx("n_words", 0.5, 10_000).alias("usual_words"))
-    spread = _spread(scored, "log10_word_rarity").where(F.col("texts") >= LEAST_TEXTS)
-    width = (F.lit(RARITY_DEVIATIONS * 1.4826) * F.col("mad")).alias("rarity_width")
-    return spread.select("lang", F.col("median").alias("usual_rarity"), width).join(usual, "lang")
+    """``lang, median, width, usual_words``: the middle of log10 perplexity and the half width of its band at ``usual_words`` words."""
+    different = scored.select("lang", F.round("log10_perplexity", 6).alias("x")).distinct()
+    middle = different.groupBy("lang").agg(F.percentile_approx("x", 0.5, 10_000).alias("median"))
+    deviation = F.percentile_approx(F.abs(F.col("x") - F.col("median")), 0.5, 10_000)
+    spread = different.join(middle, "lang").groupBy("lang", "median").agg((F.lit(BAND_DEVIATIONS * 1.4826) * deviation).alias("width"))
+    return spread.join(scored.groupBy("lang").agg(F.percentile_approx("n_words", 0.5, 10_000).alias("usual_words")), "lang")

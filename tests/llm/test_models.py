@@ -10,7 +10,9 @@ import pytest
 
 import corpus_pipeline
 from patronlens.llm.language import Network, held_out, identify_languages, train, training_sample
-from patronlens.llm.quality import HashArray, collect_model, count_grams, kneser_ney, log10_probabilities, quality_rules
+from patronlens.llm.quality import (
+    HashArray, collect_model, count_grams, kneser_ney, log10_probabilities, perplexities, quality_rules, slices,
+)
 from patronlens.llm.queries import QUERIES, table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -22,7 +24,7 @@ FOLDER = "/root/testdata/sf0.001"
 def read(text):
     out, space = bytearray(), False
     for b in text.encode():
-        b = b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else 32 if 9 <= b <= 13 else 1 if b == 0 else b
+        b = 48 if 48 <= b <= 57 else 32 if 9 <= b <= 13 else 1 if b == 0 else b
         if not (b == 32 and space):
             out.append(b)
         space = b == 32
@@ -30,60 +32,95 @@ def read(text):
 
 
 class BruteModel:
-    """Modified Kneser-Ney over byte 4-grams, from its definition."""
+    """Modified Kneser-Ney over the last 1 to 4 bytes, from its definition; n-grams seen once are not looked up."""
 
     def __init__(self, texts):
-        self.counts = {4: Counter()}
+        self.raw = {4: Counter()}
         for text in texts:
             data = b"\0\0\0" + read(text)
-            self.counts[4].update(data[i - 3:i + 1] for i in range(3, len(data)))
+            self.raw[4].update(data[i - 3:i + 1] for i in range(3, len(data)))
+        lower = {}
         for size in (3, 2, 1):
-            self.counts[size] = Counter(g[1:] for g in self.counts[size + 1])
-        self.cut, self.total = {}, {}
-        for size, counts in self.counts.items():
-            n = Counter(counts.values())
-            for i in (1, 2, 3):
-                value = 0.5 * i
-                if n[i] and n[1] + n[2]:
-                    value = i - (i + 1) * n[1] / (n[1] + 2 * n[2]) * n[i + 1] / n[i]
-                self.cut[size, i] = min(max(value, 0), i)
-            self.total[size] = defaultdict(list)
-            for gram, c in counts.items():
-                self.total[size][gram[:-1]].append(c)
-
-    def p(self, gram):
-        size = len(gram)
-        if size == 0:
+            self.raw[size], lower[size] = Counter(), Counter(g[1:] for g in self.raw[size + 1])
+            for g, n in self.raw[size + 1].items():
+                self.raw[size][g[1:]] += n
+        self.tops = {size: self.shares(self.raw[size]) for size in self.raw}
+        self.lower = {size: self.shares(lower[size]) for size in lower}
+
+    @staticmethod
+    def shares(counts):
+        """Own share of each n-gram, and the rest of each history."""
+        n, cut = Counter(counts.values()), {}
+        for i in (1, 2, 3):
+            value = 0.5 * i
+            if n[i] and n[1] + n[2]:
+                value = i - (i + 1) * n[1] / (n[1] + 2 * n[2]) * n[i + 1] / n[i]
+            cut[i] = min(max(value, 0), i)
+        total = defaultdict(int)
+        for g, c in counts.items():
+            total[g[:-1]] += c
+        own = {g: (c - cut[min(c, 3)]) / total[g[:-1]] for g, c in counts.items()}
+        rest = defaultdict(lambda: 1.0, {h: 1.0 for h in total})
+        for g, share in own.items():
+            rest[g[:-1]] -= share
+        return own, defaultdict(lambda: 1.0, {h: max(r, 1e-12) for h, r in rest.items()})
+
+    def whole(self, g):
+        if not g:
             return 1 / 256
-        seen = self.total[size].get(gram[:-1])
-        if not seen:
-            return self.p(gram[1:])
-        cut = lambda c: self.cut[size, min(c, 3)]
-        own = lambda c: (c - cut(c)) / sum(seen) if c >= (2 if size > 2 else 1) else 0
-        rest = max(1 - sum(map(own, seen)), 1e-12)
-        return own(self.counts[size][gram]) + rest * self.p(gram[1:])
+        own, rest = self.lower[len(g)]
+        return own[g] + rest[g[:-1]] * self.whole(g[1:])
 
+    def looked_up(self, g, kind):
+        if not g:
+            return 1 / 256
+        own, rest = kind[len(g)]
+        if self.raw[len(g)][g] > 1:
+            return own[g] + rest[g[:-1]] * self.whole(g[1:])
+        return rest[g[:-1]] * self.looked_up(g[1:], self.lower)
 
-def test_perplexity_model_as_brute_force(make_docs):
+    def value(self, g):
+        return sum(math.log10(self.looked_up(g[4 - size:], self.tops)) for size in (1, 2, 3, 4))
+
+
+def some_texts():
     rng = random.Random(2)
-    texts = ["".join(rng.choice("abcdé 01\n\tXyZ") for _ in range(rng.randrange(80))) for _ in range(60)] + ["", "a", "\0b"]
+    return ["".join(rng.choice("abcdé 01\n\tXyZ") for _ in range(rng.randrange(80))) for _ in range(60)] + ["", "a", "\0b"]
+
+
+def test_perplexity_model_as_brute_force(make_docs):
+    texts = some_texts()
     docs = make_docs(list(enumerate(texts)))
     model = collect_model(kneser_ney(count_grams(docs.select("lang", "text"))))["en"]
     brute = BruteModel(texts)
     for text in [*texts[:20], "never séen zzz Q"]:
         data = b"\0\0\0" + read(text)
         codes = np.array([int.from_bytes(data[i - 3:i + 1], "big") for i in range(3, len(data))], np.uint32)
-        expected = [math.log10(brute.p(data[i - 3:i + 1])) for i in range(3, len(data))]
-        assert log10_probabilities(model, codes) == pytest.approx(expected, abs=1e-4)
+        expected = [brute.value(data[i - 3:i + 1]) for i in range(3, len(data))]
+        assert log10_probabilities(model, codes) == pytest.approx(expected, abs=5e-4)
+
 
+def test_models_in_slices_give_the_same_perplexities(spark, make_docs):
+    texts = some_texts()
+    docs = make_docs([*enumerate(texts), (3, texts[3]), (3, texts[3]), (None, texts[4]), (99, None)])
+    docs = docs.unionByName(make_docs([(200, "ab cd ab"), (201, None)], lang=None)).unionByName(make_docs([(202, "zz")], lang="xx"))
+    read_ = docs.selectExpr("coalesce(lang, 'und') AS lang", "text")
+    orders = kneser_ney(count_grams(read_))
+    count, where = slices(orders, 40)
+    assert count > 5 and set(where) == {"en", "und", "xx"}
+    whole = sorted(map(repr, perplexities(docs, orders).collect()))
+    sliced = sorted(map(repr, (r for r in perplexities(docs, orders, entries=40).collect())))
+    assert len(whole) == len(sliced) == len(texts) + 7
 
-def test_pruned_model_still_sums_to_one(make_docs):
-    rng = random.Random(3)
-    docs = make_docs([(i, "".join(rng.choice("abcd ") for _ in range(200))) for i in range(10)])
-    model = collect_model(kneser_ney(count_grams(docs.select("lang", "text")), 60))["en"]
-    for history in (b"abc", b" a ", b"zzz"):
-        codes = np.array([int.from_bytes(history + bytes([b]), "big") for b in range(256)], np.uint32)
-        assert (10.0 ** log10_probabilities(model, codes)).sum() == pytest.approx(1, abs=0.02)
+    def values(rows):
+        return sorted((repr(r["key"]), r["lang"], r["n_read"], round(r["log10_perplexity"], 4)) for r in rows)
+
+    assert values(perplexities(docs, orders).collect()) == values(perplexities(docs, orders, entries=40).collect())
+    brute = BruteModel(texts + [texts[3]] * 2 + [texts[4]])
+    for r in perplexities(docs, orders, entries=40).where("key between 0 and 40").collect():
+        data = b"\0\0\0" + read(texts[r["key"]])
+        total = sum(brute.value(data[i - 3:i + 1]) for i in range(3, len(data)))
+        assert r["log10_perplexity"] == pytest.approx(-total / 4 / max(len(data) - 3, 1), abs=1e-3)
 
 
 def test_hash_arrays():
@@ -119,12 +156,20 @@ def test_junk_of_true_words_is_rejected(spark, make_docs):
     got = {r["doc_id"]: r for r in quality_rules(make_docs(rows)).collect()}
     assert all(not got[i]["base_failed"] and not got[i]["kept"] for i in (500, 501))
     assert all(got[i]["kept"] for i in [*range(200), 502, 503])
-    # The rarity by its definition: equal texts count once, a text's own words do not count for it.
-    texts = {t for _, t in rows}
-    held = Counter(w for t in texts for w in set(t.split()))
+    # The verdict by its definition.
+    brute = BruteModel([t for _, t in rows])
+    value = {}
+    for i, t in rows:
+        data = b"\0\0\0" + read(t)
+        value[i] = -sum(brute.value(data[j - 3:j + 1]) for j in range(3, len(data))) / 4 / (len(data) - 3)
+        assert got[i]["log10_perplexity"] == pytest.approx(value[i], abs=1e-3)
+    different = sorted({round(got[i]["log10_perplexity"], 6) for i in got})
+    middle = different[(len(different) - 1) // 2]
+    spread = sorted(abs(v - middle) for v in different)[(len(different) - 1) // 2]
     for i, t in rows:
-        expected = sum(-math.log10((held[w] - 1 + 0.5) / len(texts)) for w in t.split()) / 150
-        assert got[i]["log10_word_rarity"] == pytest.approx(expected, abs=1e-9)
+        wide = 6 * 1.4826 * spread * math.sqrt(max(1, 150 / len(t.split())))
+        off = got[i]["log10_perplexity"] - middle
+        assert got[i]["kept"] == (-max(wide, 0.301 * wide / (6 * 1.4826 * spread)) - 1e-6 <= off <= wide + 1e-6)
 
 
 # Language
@@ -214,4 +259,4 @@ def test_pipeline_stages_with_odd_rows(make_docs, spark):
 
 
 def test_every_operator_has_its_query():
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
