@@ -221,7 +221,8 @@ def _discounted(table: DataFrame, size: int) -> DataFrame:
     cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
     # At most 256 n-grams share a history.
     alike = Window.partitionBy("lang", F.shiftrightunsigned("gram", 8))
-    seen = table.join(discounts, "lang").withColumn("own", (F.col("n") - cut) / F.sum("n").over(alike))
+    # One row a language.
+    seen = table.join(F.broadcast(discounts), "lang").withColumn("own", (F.col("n") - cut) / F.sum("n").over(alike))
     rest = F.greatest(F.lit(1e-12), F.lit(1.0) - F.sum("own").over(alike))
     return seen.withColumn("rest", rest).select("lang", "gram", "n", "own", "rest")
 
