@@ -28,12 +28,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from patronlens.llm.bpe import codec
 from patronlens.llm.words import row_ranges
-from patronlens.sources.stages import new_stage_path, stage
+from patronlens.sources.stages import new_stage_path
 
 _HEAD = struct.Struct("<QI")
 _KEY = struct.Struct("<Bq")
 _FOOT = struct.Struct("<I")
+# Bytes around a payload, and of the document id in it.
+_AROUND, _KEY_BYTES = _HEAD.size + _FOOT.size + 1, _KEY.size
 _MASK = 0xA282EAD8
+# Bytes of text for one file: its records take about half as many.
+FILE_TEXT_BYTES = 256_000_000
+# Records that a reader hands on at a time.
+RECORDS = 2_000
 
 
 def masked_crc(data: bytes) -> int:
@@ -63,11 +69,18 @@ def read_frame(data: bytes | memoryview, offset: int, width: int) -> tuple[int |
 
 
 def write_records(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, width: int = 2) -> None:
-    """Encode ``docs`` (doc_id, text) and write their records in ascending order of doc_id."""
+    """Encode ``docs`` (doc_id, text) and write their records in ascending order of doc_id.
+
+    A null text has no tokens of its own.  Rows of one doc_id are records of their own, in the order of their
+    texts' hashes.  An empty table writes no records.  Files grow in number with the bytes of
+    text, so that none becomes too large to be read whole (Spark's limit is 2 GB).
+    """
     if width not in (2, 4):
         raise ValueError("token ids take 2 or 4 bytes")
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    rows = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
+    held = docs.agg(F.sum(F.octet_length("text")).alias("held")).first()["held"] or 0
+    files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // FILE_TEXT_BYTES))
+    rows = docs.select("doc_id", "text").repartitionByRange(files, *order).sortWithinPartitions(*order)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer)
@@ -88,18 +101,32 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(number.alias("file"), "path", "content")
 
 
+def _head(data: bytes, offset: int) -> tuple[int | None, int]:
+    """Document id and payload length of the record at ``offset``; the payload's checksum is left to its reader."""
+    length, check = _HEAD.unpack_from(data, offset)
+    if check != masked_crc(data[offset: offset + 8]) or offset + _AROUND + length > len(data):
+        raise ValueError(f"no record at offset {offset}")
+    known, doc_id = _KEY.unpack_from(data, offset + _HEAD.size)
+    return doc_id if known else None, length
+
+
 def write_index(spark: SparkSession, path: str, index_path: str, *, width: int = 2) -> DataFrame:
-    """Walk the files from length to length and write doc_id, file, offset, length and token count."""
-    shape = "file long, path string, number long, offset long, length long, doc_id long, n_tokens long"
+    """Walk the files from head to head and write ``file, path, number, offset, length, before, doc_id, n_tokens``.
+
+    ``before`` counts the token ids of the file's earlier records.  Only heads are read and checked here.
+    """
+    shape = "file long, path string, number long, offset long, length long, before long, doc_id long, n_tokens long"
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for files in frames:
             for number, name, content in files.itertuples(index=False):
-                rows, offset = [], 0
+                rows, offset, before = [], 0, 0
                 while offset < len(content):
-                    doc_id, ids, after = read_frame(content, offset, width)
-                    rows.append((number, name, len(rows), offset, after - offset, doc_id, len(ids)))
-                    offset = after
+                    doc_id, length = _head(content, offset)
+                    size = _AROUND + length
+                    tokens = (length - _KEY_BYTES) // width
+                    rows.append((number, name, len(rows), offset, size, before, doc_id, tokens))
+                    offset, before = offset + size, before + tokens
                 out = pd.DataFrame(rows, columns=[c.split()[0] for c in shape.split(", ")])
                 yield out.astype({"doc_id": "Int64"})
 
@@ -108,53 +135,55 @@ def write_index(spark: SparkSession, path: str, index_path: str, *, width: int =
 
 
 def read_records(spark: SparkSession, path: str, index: DataFrame, *, width: int = 2) -> DataFrame:
-    """The records that ``index`` (or any part of it) names: its columns file, number, doc_id and ``ids``.
+    """The records that ``index`` (or any part of it) names: file, number, before, doc_id and ``ids`` (4 bytes each).
 
     A file's wanted offsets travel to the file, never its bytes to them; a file is one
-    task's worth of data.
+    task's worth of data.  Every record's checksums are tested.
     """
-    wanted = index.groupBy("file").agg(F.collect_list(F.struct("offset", "number")).alias("wanted"))
-    shape = "file long, number long, doc_id long, ids binary"
-
-    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in batches:
-            for number, content, at in zip(files["file"], files["content"], files["wanted"]):
-                rows = []
-                for entry in at:
-                    doc_id, ids, _ = read_frame(content, entry["offset"], width)
-                    rows.append((number, entry["number"], doc_id, ids.astype("<u4").tobytes()))
-                yield pd.DataFrame(rows, columns=["file", "number", "doc_id", "ids"]).astype({"doc_id": "Int64"})
-
-    return _files(spark, path).select("file", "content").join(wanted, "file").mapInPandas(take, shape)
+    entry = F.struct("offset", "number", "before")
+    wanted = index.groupBy("file").agg(F.collect_list(entry).alias("w")).select("file", "w.offset", "w.number", "w.before")
+    shape = "file long, number long, before long, doc_id long, ids binary"
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                file, content = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                offsets, numbers, befores = (batch.column(c)[row].values for c in (2, 3, 4))
+                places = offsets.to_pylist()
+                for begin in range(0, len(places), RECORDS):
+                    read = [read_frame(content, at, width) for at in places[begin: begin + RECORDS]]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([file] * len(read), pa.int64()), numbers.slice(begin, RECORDS), befores.slice(begin, RECORDS),
+                            pa.array([r[0] for r in read], pa.int64()),
+                            pa.array([r[1].astype("<u4").tobytes() for r in read], pa.binary()),
+                        ],
+                        ["file", "number", "before", "doc_id", "ids"],
+                    )
+
+    files = _files(spark, path).select("file", "content").join(wanted, "file")
+    return files.select("file", "content", "offset", "number", "before").mapInArrow(take, shape)
 
 
 def token_file_digest(docs: DataFrame, tokenizer: str, *, end_id: int = 2) -> DataFrame:
-    """Write all documents, index the files, read them back; one row per document.
+    """Write all documents, index the files, read every record back by the index; one row per document.
 
-    ``start`` counts the token ids of all documents before it, over all files.
+    ``start`` counts the token ids of all documents before it, over all files.  See ``write_records``
+    for nulls, repeated rows and empty tables.
     """
     spark = docs.sparkSession
     path = new_stage_path(spark, "records")
     write_records(docs, f"{path}/data", tokenizer, end_id=end_id)
     index = write_index(spark, f"{path}/data", f"{path}/index")
-    shape = "file long, number long, doc_id long, before long, n_tokens long, ids_crc32 long"
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in batches:
-            for number, content in zip(files["file"], files["content"]):
-                rows, offset, before = [], 0, 0
-                while offset < len(content):
-                    doc_id, ids, offset = read_frame(content, offset, 2)
-                    rows.append((number, len(rows), doc_id, before, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                    before += len(ids)
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in shape.split(", ")]).astype({"doc_id": "Int64"})
-
-    read = _files(spark, f"{path}/data").select("file", "content").mapInPandas(check, shape)
     # One row per file, so running totals over them are short.
     totals = index.groupBy("file").agg(F.sum("n_tokens").alias("held")).collect()
     bases, base = [], 0
     for row in sorted(totals, key=lambda r: r["file"]):
         bases.append((row["file"], base))
         base += row["held"]
-    starts = spark.createDataFrame(bases, "file long, base long")
-    return read.join(starts, "file").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    starts = F.broadcast(spark.createDataFrame(bases, "file long, base long"))
+    read = read_records(spark, f"{path}/data", index)
+    return read.join(starts, "file").select(
+        "doc_id", (F.col("base") + F.col("before")).alias("start"), F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )

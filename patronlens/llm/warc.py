@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from patronlens.functions.running import running_totals
 from patronlens.sources.stages import new_stage_path, stage
 
 _MAGIC = "WARC/1.1\r\n"
@@ -166,10 +167,12 @@ def reachable(links: DataFrame) -> DataFrame:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """All records of the archives below ``path``: page_id, url, record_type, refers_to, payload_bytes, payload_digest.
 
-    Raises if a file has bytes that its chain of records does not account for, or a
-    payload that does not have its record's digest.
+    Raises if a file has bytes that its chain of records does not account for, if a record of the chain
+    cannot be read back, or if a payload does not have its record's digest.  Archives without records,
+    or no archives' bytes at all, give no rows.
     """
-    seen = _parsed(_pieces(spark, path).withColumn("bytes", F.octet_length("body").cast("long")))
+    pieces = _pieces(spark, path).withColumns({"bytes": F.octet_length("body").cast("long"), "piece": F.md5(F.col("body").cast("binary"))})
+    seen = _parsed(pieces)
     seen = stage(seen, "candidates")
     # Every byte of a file is in one piece, so lengths before a piece give its offset.
     within = Window.partitionBy("file", "split").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -193,8 +196,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     whole = records.where("successor = end")
     cut = records.where("successor != end")
-    if not cut.isEmpty():
-        whole = whole.unionByName(_reassembled(spark, path, placed, cut).select(whole.columns), allowMissingColumns=False)
+    n_cut = cut.count()
+    if n_cut:
+        again = stage(_reassembled(spark, path, placed, cut).select(whole.columns), "reassembled")
+        if again.count() != n_cut:
+            raise ValueError(f"{again.count()} of {n_cut} records with version lines in their payloads were put together again")
+        whole = whole.unionByName(again)
     digest = F.coalesce("own_digest", "told_digest")
     if not whole.where("own_digest is not null and told_digest != '' and own_digest != told_digest").isEmpty():
         raise ValueError("a payload does not have the digest of its record")
@@ -205,26 +212,36 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _reassembled(spark: SparkSession, path: str, placed: DataFrame, cut: DataFrame) -> DataFrame:
-    """Records whose payload holds version lines, put together from their pieces and parsed again."""
-    wanted = cut.select("file", F.col("offset").alias("record"), F.lit(1).alias("start"))
-    every = placed.where("offset >= 0").select("file", "split", "place", "offset", "bytes")
-    # Only the files concerned; a running value, so a file's rows stream through the window.
-    concerned = every.join(wanted.select("file").distinct(), "file", "left_semi")
-    marks = concerned.join(wanted.select("file", F.col("record").alias("offset"), "record"), ["file", "offset"], "left")
-    before = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    owned = marks.withColumn("record", F.last("record", ignorenulls=True).over(before)).where("record is not null")
-    limits = cut.select("file", F.col("offset").alias("record"), "successor")
-    owned = owned.join(limits, ["file", "record"]).where("offset < successor").select("file", "split", "place", "offset", "record")
-    bodies = _pieces(spark, path).join(owned, ["file", "split", "place"])
+    """Records whose payload holds version lines, put together from their pieces and parsed again.
+
+    The archives are read a second time for these pieces.  A piece is known by its file and
+    bytes (their MD5), not by where Spark's splits put it, so the second reading may be split in
+    another way; equal pieces of a file are interchangeable.
+    """
+    starts = cut.select("file", "offset", F.col("offset").alias("record"), "successor")
+    every = placed.where("offset >= 0").select("file", "offset", "piece")
+    concerned = every.join(starts.select("file").distinct(), "file", "left_semi")
+    marks = concerned.join(starts.select("file", "offset", F.lit(1).alias("begins")), ["file", "offset"], "left")
+    begins = F.coalesce("begins", F.lit(0))
+    # The number of records begun so far tells a piece's record, if that has not ended.
+    numbered = running_totals(marks, ["file", "offset"], begins, "number", within=["file"]).withColumn("number", F.col("number") + begins)
+    records = numbered.where("begins = 1").select("file", "number", F.col("offset").alias("record"))
+    owned = numbered.join(records, ["file", "number"]).join(starts.select("file", "record", "successor"), ["file", "record"])
+    owned = stage(owned.where("offset < successor").select("file", "record", "offset", "piece"), "owned")
+    bodies = _pieces(spark, path).select("file", "body", F.md5(F.col("body").cast("binary")).alias("piece"))
+    bodies = bodies.join(owned.select("file", "piece").distinct(), ["file", "piece"], "left_semi").dropDuplicates(["file", "piece"])
     parts = F.transform(F.array_sort(F.collect_list(F.struct("offset", "body"))), lambda part: part["body"])
-    joined = bodies.groupBy("file", "record").agg(F.array_join(parts, _MAGIC).alias("body"))
+    joined = owned.join(bodies, ["file", "piece"]).groupBy("file", "record").agg(F.array_join(parts, _MAGIC).alias("body"))
     joined = joined.withColumnRenamed("record", "offset").withColumn("bytes", F.octet_length("body").cast("long"))
-    kept = cut.select("file", "offset", "split", "place", "base", "end", "successor")
+    kept = cut.select("file", "offset", "split", "place", "piece", "base", "end", "successor")
     return _parsed(joined).join(kept, ["file", "offset"])
 
 
 def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write ``pages`` as archives below the checkpoint folder and read them back."""
+    """Write ``pages`` as archives below the checkpoint folder and read them back.
+
+    A null html is an empty payload; equal rows are records of their own.
+    """
     spark = pages.sparkSession
     path = new_stage_path(spark, "warc")
     write_warc(mark_revisits(pages, min_bytes), path)

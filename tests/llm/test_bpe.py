@@ -93,6 +93,36 @@ def test_record_files_with_ties_nulls_and_empty_texts(spark, make_docs, tmp_path
     assert token_file_digest(make_docs([]), PATH).collect() == []
 
 
+def test_files_grow_in_number_with_the_text(spark, make_docs, tmp_path, monkeypatch):
+    from patronlens.llm import records
+
+    monkeypatch.setattr(records, "FILE_TEXT_BYTES", 300)
+    docs = make_docs([(i, f"text number {i} " * 3) for i in range(200)])
+    write_records(docs, f"{tmp_path}/data", PATH)
+    index = write_index(spark, f"{tmp_path}/data", f"{tmp_path}/index")
+    assert index.select("file").distinct().count() > 20
+    # Any order of reading gives the same records, each by its place in the index.
+    back = read_records(spark, f"{tmp_path}/data", index.where("number % 2 = 1"))
+    found = {r["doc_id"]: r for r in back.join(index.select("file", "number", "n_tokens"), ["file", "number"]).collect()}
+    assert len(found) == index.where("number % 2 = 1").count()
+    assert all(len(r["ids"]) == 4 * r["n_tokens"] for r in found.values())
+    starts = [tuple(r) for r in token_file_digest(docs, PATH).orderBy("start").select("doc_id", "start", "n_tokens").collect()]
+    assert [d for d, _, _ in starts] == list(range(200))
+    assert all(s + n == t for (_, s, n), (_, t, _) in zip(starts, starts[1:]))
+
+
+def test_damaged_files_are_not_read(spark, make_docs, tmp_path):
+    write_records(make_docs([(1, "one two three four five")]), f"{tmp_path}/data", PATH)
+    index = write_index(spark, f"{tmp_path}/data", f"{tmp_path}/index")
+    (file,) = [f for f in (tmp_path / "data").glob("part-*") if f.stat().st_size]
+    data = bytearray(file.read_bytes())
+    data[30] ^= 1
+    file.with_name(f".{file.name}.crc").unlink()
+    file.write_bytes(data)
+    with pytest.raises(Exception, match="damaged"):
+        read_records(spark, f"{tmp_path}/data", index).collect()
+
+
 def test_damage_is_seen():
     data = bytearray(frame(9, np.arange(5), 2))
     assert read_frame(bytes(data), 0, 2)[0] == 9

@@ -69,3 +69,27 @@ def test_archives_split_between_tasks(spark, make_pages, tmp_path):
 
 def test_no_pages(make_pages):
     assert archive_round_trip(make_pages([])).collect() == []
+
+
+def test_second_reading_may_be_packed_otherwise(spark, make_pages, tmp_path, monkeypatch):
+    from patronlens.llm import warc
+
+    rows = [(i, f"http://s/{i}", (FALSE_RECORD if i % 3 else "z") * (1 + i % 7)) for i in range(200)]
+    write_warc(mark_revisits(make_pages(rows)).repartition(4), f"{tmp_path}/w")
+    names = ("spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes", "spark.sql.files.minPartitionNum")
+    pieces, readings = warc._pieces, []
+
+    def packed_otherwise(session, path):
+        readings.append(path)
+        for name, value in zip(names, ("0", "100000", "1") if len(readings) > 1 else ("4194304", "4096", "8"), strict=True):
+            session.conf.set(name, value)
+        return pieces(session, path)
+
+    before = [spark.conf.get(n, None) for n in names]
+    monkeypatch.setattr(warc, "_pieces", packed_otherwise)
+    try:
+        assert told(read_warc(spark, f"{tmp_path}/w")) == expected(rows)
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    assert len(readings) == 2
