@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from patronlens.sources.stages import stage
+from patronlens.sources.stages import released, stage
 
 ROWS_PER_TASK = 250_000
 
@@ -16,8 +16,13 @@ def components(links: DataFrame) -> DataFrame:
     then to its smaller ones, until each component is a star around its smallest node.
     The number of rounds grows with the logarithm of the longest path.  Each round is
     written to a stage table, so no lineage builds up and no link reaches the driver.
-    Rounds run in as many tasks as their rows call for.
+    Rounds run in as many tasks as their rows call for; their tables go when the result is written.
     """
+    with released() as keep:
+        return keep(_components(links), "components")
+
+
+def _components(links: DataFrame) -> DataFrame:
     edges = stage(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
     while True:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from patronlens.llm.words import Words, mixed, row_ranges, split_words
-from patronlens.sources.stages import stage
+from patronlens.sources.stages import released, stage
 
 ORDER = 4
 SLICE_ENTRIES = 4_000_000
@@ -423,10 +423,12 @@ def quality_rules(docs: DataFrame, *, key: str = "doc_id", entries: int = SLICE_
     alike have equal results; a language all of whose texts have one perplexity keeps that one.
     """
     read = docs.select(_lang(docs).alias("lang"), F.col("text").alias("text"))
-    orders = kneser_ney(stage(count_grams(read), "grams"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    scored = perplexities(docs, orders, key=key, entries=entries).withColumnRenamed("key", key).withColumn("base_failed", failed)
-    scored = stage(scored, "quality")
+    # The model's tables go once all texts are scored.
+    with released() as keep:
+        orders = kneser_ney(stage(count_grams(read), "grams"))
+        scored = perplexities(docs, orders, key=key, entries=entries).withColumnRenamed("key", key).withColumn("base_failed", failed)
+        scored = keep(scored, "quality")
     bands = perplexity_bands(scored.where(~F.col("base_failed")))
     wider = F.sqrt(F.greatest(F.lit(1.0), F.col("usual_words") / F.greatest(F.col("n_words"), F.lit(1))))
     banded = scored.join(bands, "lang", "left").withColumns(

@@ -258,5 +258,16 @@ def test_pipeline_stages_with_odd_rows(make_docs, spark):
         assert stage(spark, make_docs([]), FOLDER).count() == 0
 
 
+def test_texts_that_share_an_id_are_documents_of_their_own(spark, make_docs):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefghij") + rng.choice("klmnop") for _ in range(40)) for _ in range(4)]
+    rows = [(3, texts[0]), (3, texts[1]), (3, texts[1]), (4, texts[1]), (5, texts[2]), (5, texts[2]), (9, texts[0]), (9, texts[3]), (3, None)]
+    out = corpus_pipeline.near_dedup(spark, make_docs(rows), FOLDER).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in out) == sorted([(3, texts[0]), (3, texts[1]), (5, texts[2]), (9, texts[3]), (3, "")]) or sorted(
+        (r["doc_id"], r["text"] or "") for r in out
+    ) == sorted([(3, texts[0]), (4, texts[1]), (5, texts[2]), (9, texts[3]), (3, "")])
+    assert Counter(r["text"] for r in out) == Counter([*texts, None])
+
+
 def test_every_operator_has_its_query():
     assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
