@@ -429,9 +429,10 @@ def quality_rules(docs: DataFrame, *, key: str = "doc_id", entries: int = SLICE_
         orders = kneser_ney(stage(count_grams(read), "grams"))
         scored = perplexities(docs, orders, key=key, entries=entries).withColumnRenamed("key", key).withColumn("base_failed", failed)
         scored = keep(scored, "quality")
+    # One row a language.
     bands = perplexity_bands(scored.where(~F.col("base_failed")))
     wider = F.sqrt(F.greatest(F.lit(1.0), F.col("usual_words") / F.greatest(F.col("n_words"), F.lit(1))))
-    banded = scored.join(bands, "lang", "left").withColumns(
+    banded = scored.join(F.broadcast(bands), "lang", "left").withColumns(
         {"lower": F.col("median") - F.greatest(F.lit(BAND_BELOW), F.col("width")) * wider, "upper": F.col("median") + F.col("width") * wider}
     )
     inside = F.round("log10_perplexity", 6).between(F.round("lower", 6), F.round("upper", 6))
@@ -444,5 +445,5 @@ def perplexity_bands(scored: DataFrame) -> DataFrame:
     different = scored.select("lang", F.round("log10_perplexity", 6).alias("x")).distinct()
     middle = different.groupBy("lang").agg(F.percentile_approx("x", 0.5, 10_000).alias("median"))
     deviation = F.percentile_approx(F.abs(F.col("x") - F.col("median")), 0.5, 10_000)
-    spread = different.join(middle, "lang").groupBy("lang", "median").agg((F.lit(BAND_DEVIATIONS * 1.4826) * deviation).alias("width"))
+    spread = different.join(F.broadcast(middle), "lang").groupBy("lang", "median").agg((F.lit(BAND_DEVIATIONS * 1.4826) * deviation).alias("width"))
     return spread.join(scored.groupBy("lang").agg(F.percentile_approx("n_words", 0.5, 10_000).alias("usual_words")), "lang")
