@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from operator import add, or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Row, functions as F
 
 from patronlens.operators.features import FEATURES
@@ -20,6 +20,8 @@ from patronlens.operators.silhouette import cluster_facts, plain_silhouette, sil
 
 FIRST_SEED = 42
 RESTARTS = 10
+#: Rows among which first centers are drawn.
+SEEDING_ROWS = 4000
 K_RANGE = range(2, 11)
 
 
@@ -70,45 +72,123 @@ def fit_kmeans(
     seed: int = FIRST_SEED,
     max_iter: int = 300,
     relative_tol: float = 1e-4,
-    parallelism: int = 8,
+    seeding_rows: int = SEEDING_ROWS,
 ) -> dict[int, Centers]:
     """The cheapest of ``restarts`` fits for every k.
 
-    MLlib fits each model over the distributed rows; the features are kept in memory
-    (and on disk where memory is short) for all fits, and a lost block is read again
-    from the stage table below.  A few driver threads submit fits side by side so
-    that small iterations do not leave the cluster idle.
+    All fits advance together: an iteration is one aggregate over the rows, in which a task adds
+    up its rows for every center of every open fit and hands on these sums only.  A fit leaves
+    when the squared moves of its centers sum to at most ``relative_tol`` times the mean variance
+    of the features; what a sum differs by when tasks end in another order counts as no move.
+    The features are kept in memory (on disk where memory is short); a lost block is read again
+    from the stage table below.
 
-    ``relative_tol`` bounds the summed squared moves of the centers relative to the
-    mean variance of the features.  MLlib bounds the move of each single center.
+    First centers are drawn with chances proportional to squared distances from those drawn before,
+    among the ``seeding_rows`` different rows with the smallest hashes, and moved to rest among these.
+    Only they reach the driver.
     """
-    variance = features.agg(reduce(add, [F.var_pop(c) for c in FEATURES]).alias("sum")).first()["sum"]
-    vectors = (
-        VectorAssembler(inputCols=FEATURES, outputCol="features")
-        .transform(features.select(*FEATURES))
-        .select("features")
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-
-    def fit(job: tuple[int, int]) -> tuple[int, Centers]:
-        k, s = job
-        tol = math.sqrt(relative_tol * variance / len(FEATURES) / k)
-        model = KMeans(k=k, seed=s, initMode="k-means||", maxIter=max_iter, tol=tol).fit(vectors)
-        return k, Centers([c.tolist() for c in model.clusterCenters()], model.summary.trainingCost)
-
-    # The largest k take longest, so they go first.
-    jobs = [(k, seed + i) for k in sorted(ks, reverse=True) for i in range(restarts)]
-    best: dict[int, Centers] = {}
+    ks = sorted(set(ks))
+    rows = features.select(*[F.col(c).cast("double").alias(c) for c in FEATURES]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        with ThreadPoolExecutor(parallelism) as pool:
-            for k, centers in pool.map(inheritable_thread_target(features.sparkSession)(fit), jobs):
-                if k not in best or centers.cost < best[k].cost:
-                    best[k] = centers
+        row = rows.agg(reduce(add, [F.var_pop(c) for c in FEATURES]).alias("variance"), F.count(F.lit(1)).alias("rows")).first()
+        if not row["rows"]:
+            raise ValueError("no rows to fit centers to")
+        bound = max(relative_tol, 1e-20) * row["variance"] / len(FEATURES)
+        sample = _seeding_sample(rows, seeding_rows)
+        fits = {(k, seed + i): _first_centers(sample, k, seed + i) for k in ks for i in range(restarts)}
+        costs = {}
+        open_fits = list(fits)
+        for _ in range(max_iter):
+            found = _lloyd_sums(rows, [fits[f] for f in open_fits])
+            still = []
+            for number, name in enumerate(open_fits):
+                counts, sums, costs[name] = found[number]
+                held = counts > 0
+                moved = fits[name].copy()
+                moved[held] = sums[held] / counts[held, None]
+                if float(((moved - fits[name]) ** 2).sum()) > bound:
+                    still.append(name)
+                fits[name] = moved
+            open_fits = still
+            if not open_fits:
+                break
     finally:
-        vectors.unpersist()
+        rows.unpersist()
+    best: dict[int, Centers] = {}
+    for (k, start), points in fits.items():
+        cost = costs[k, start]
+        if k not in best or cost < best[k].cost:
+            best[k] = Centers(points.tolist(), cost)
     return best
 
 
+def _seeding_sample(rows: DataFrame, size: int) -> np.ndarray:
+    """Different rows with the smallest hashes, at most ``size``: the same ones for any partitioning."""
+    smallest = rows.withColumn("draw", F.xxhash64(*FEATURES)).distinct().orderBy("draw", *FEATURES).limit(size)
+    return np.array([[r[c] for c in FEATURES] for r in smallest.collect()], float)
+
+
+def _first_centers(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    draw = np.random.default_rng([seed, k])
+    points = [sample[draw.integers(len(sample))]]
+    distance = ((sample - points[0]) ** 2).sum(1)
+    while len(points) < k:
+        total = distance.sum()
+        points.append(sample[draw.choice(len(sample), p=distance / total) if total else draw.integers(len(sample))])
+        distance = np.minimum(distance, ((sample - points[-1]) ** 2).sum(1))
+    return _settled(sample, np.array(points))
+
+
+def _settled(sample: np.ndarray, points: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Centers moved to their members' means within the sample, so that few readings of all rows are left."""
+    squares = (sample * sample).sum(1)
+    for _ in range(rounds):
+        distances = squares[:, None] - 2.0 * (sample @ points.T) + (points * points).sum(1)
+        own = distances.argmin(1)
+        counts = np.bincount(own, minlength=len(points))
+        held = counts > 0
+        moved = points.copy()
+        for c in range(sample.shape[1]):
+            moved[held, c] = np.bincount(own, sample[:, c], minlength=len(points))[held] / counts[held]
+        if np.array_equal(moved, points):
+            break
+        points = moved
+    return points
+
+
+def _lloyd_sums(rows: DataFrame, fits: Sequence[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """For each fit: rows and sums of its centers' members, and its cost.  One row a center leaves a task."""
+    starts = np.cumsum([0, *map(len, fits)])
+    points = np.concatenate(fits)
+    width = len(FEATURES)
+    names = ["place", "n", *FEATURES, "cost"]
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((len(points), width + 2))
+        for batch in batches:
+            whole = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(width)], 1)
+            for at in range(0, len(whole), 4096):
+                part = whole[at: at + 4096]
+                distances = sum((part[:, c, None] - points[None, :, c]) ** 2 for c in range(width))
+                for begin, end in zip(starts[:-1], starts[1:]):
+                    own = distances[:, begin:end].argmin(1)
+                    least = distances[np.arange(len(part)), begin + own]
+                    totals[begin:end, 0] += np.bincount(own, minlength=end - begin)
+                    for c in range(width):
+                        totals[begin:end, 1 + c] += np.bincount(own, part[:, c], minlength=end - begin)
+                    totals[begin:end, -1] += np.bincount(own, least, minlength=end - begin)
+        held = np.flatnonzero(totals[:, 0])
+        columns = [pa.array(held, pa.int32()), *(pa.array(totals[held, i]) for i in range(width + 2))]
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+    shape = "place int, " + ", ".join(f"`{name}` double" for name in names[1:])
+    summed = rows.mapInArrow(add_up, shape).groupBy("place").agg(*[F.sum(name).alias(name) for name in names[1:]])
+    totals = np.zeros((len(points), width + 2))
+    for row in summed.collect():
+        totals[row["place"]] = [row[name] for name in names[1:]]
+    return [(totals[a:b, 0], totals[a:b, 1: 1 + width], float(totals[a:b, -1].sum())) for a, b in zip(starts[:-1], starts[1:])]
+
+
 def measure(
     features: DataFrame, candidates: Mapping[int, Centers], *, metric: str = "squared", parallelism: int = 8
 ) -> DataFrame:

@@ -114,3 +114,28 @@ def strategy_report(clustered: DataFrame, strategy: DataFrame | None = None) ->
 def scatter_points(named: DataFrame) -> DataFrame:
     """What a three-dimensional scatter plot of customers draws."""
     return named.select(CUSTOMER, *RFM, "Segment_Name")
+
+
+def scatter_sample(named: DataFrame, per_segment: int = 500, seed: int = 42) -> DataFrame:
+    """At most ``per_segment`` customers of every segment: those with the smallest keyed hashes.
+
+    The draw is the MD5 of ``<seed>:<CustomerID>``, so partitioning does not matter; equal draws go by
+    the id's text.  Counts of the draws' first four digits, added up on the map side, tell which draws
+    can be among the smallest; only these rows are shuffled and ranked, for any ``per_segment``.  A
+    missing segment is a segment of its own.  A customer without an id is not drawn.
+    """
+    drawn = scatter_points(named).where(F.col(CUSTOMER).isNotNull()).withColumns({
+        "__id": F.col(CUSTOMER).cast("string"),
+        "__draw": F.md5(F.concat(F.lit(f"{seed}:"), F.col(CUSTOMER).cast("string"))),
+    }).withColumn("__head", F.substring("__draw", 1, 4))
+    heads = drawn.groupBy("Segment_Name", "__head").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("Segment_Name").orderBy("__head")) - F.col("n")
+    reach = (
+        heads.withColumn("before", before).where(F.col("before") < per_segment)
+        .groupBy("Segment_Name").agg(F.max("__head").alias("__reach")).withColumnRenamed("Segment_Name", "__segment")
+    )
+    near = drawn.join(reach, F.col("Segment_Name").eqNullSafe(F.col("__segment"))).where(F.col("__head") <= F.col("__reach"))
+    order = Window.partitionBy("Segment_Name").orderBy("__draw", "__id")
+    return near.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= per_segment).select(
+        CUSTOMER, *RFM, "Segment_Name"
+    )

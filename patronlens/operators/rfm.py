@@ -10,6 +10,9 @@ from patronlens.functions.columns import wall_clock, whole_days
 from patronlens.schemas import CUSTOMER, RFM
 from patronlens.sources.stages import stage
 
+#: Logarithm of the registers of an invoice sketch.
+SKETCH_PRECISION = 12
+
 
 def customer_totals(clean: DataFrame) -> DataFrame:
     """Last purchase, distinct invoices and spend per customer.
@@ -44,6 +47,37 @@ def merged_totals(invoices: DataFrame) -> DataFrame:
     )
 
 
+def monthly_sketches(clean: DataFrame, *, precision: int = SKETCH_PRECISION) -> DataFrame:
+    """Per customer and month: last purchase, spend and a sketch of the invoice numbers.
+
+    Sketches of any months merge, so an invoice that stands in two of them counts once.
+    ``precision`` is the logarithm of a sketch's registers: the standard error of a count is about
+    1.04 / sqrt(2 ** precision), 1.6 % for 12; counts up to a few hundred come out exact in practice.
+    """
+    month = F.date_format("InvoiceDate", "yyyy-MM").alias("Month")
+    return clean.where(F.col(CUSTOMER).isNotNull()).groupBy(CUSTOMER, month).agg(
+        F.max("InvoiceDate").alias("LastPurchase"),
+        F.hll_sketch_agg("InvoiceNo", precision).alias("Invoices"),
+        F.sum("TotalPrice").alias("Monetary"),
+    )
+
+
+def totals_of_months(sketches: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
+    """The totals of ``customer_totals`` over the months from ``first`` to ``last``, with Frequency estimated.
+
+    Give the result to ``rfm_of_totals``.  Lines without a date belong to no month and are left out of bounded periods.
+    """
+    if first is not None:
+        sketches = sketches.where(F.col("Month") >= first)
+    if last is not None:
+        sketches = sketches.where(F.col("Month") <= last)
+    return sketches.groupBy(CUSTOMER).agg(
+        F.max("LastPurchase").alias("LastPurchase"),
+        F.hll_sketch_estimate(F.hll_union_agg("Invoices")).alias("Frequency"),
+        F.sum("Monetary").alias("Monetary"),
+    )
+
+
 def snapshot_after(totals: DataFrame) -> datetime | None:
     """One day after the last purchase of anyone.
 

@@ -17,7 +17,7 @@ from patronlens.operators.clustering import Centers, best_k, business_k, by_mean
 from patronlens.operators.features import FEATURES, fit_robust, fit_standard, log_measures, scaling_check
 from patronlens.operators.projection import fit_components
 from patronlens.operators.quality import quality_checks
-from patronlens.operators.rfm import build_rfm
+from patronlens.operators.rfm import build_rfm, monthly_sketches, rfm_of_totals, totals_of_months
 from patronlens.operators.scoring import frequency_cutoffs, frequency_score, score_customers
 from patronlens.operators.silhouette import plain_silhouette, silhouette
 from patronlens.plans import pipelines
@@ -258,6 +258,12 @@ def rfm_given_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     return _money(build_rfm(_sales(spark, folder), SNAPSHOT))
 
 
+def rfm_by_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """Invoices counted by monthly sketches; so small counts are exact."""
+    months = stages.stage(monthly_sketches(_sales(spark, folder)), "monthly-sketches")
+    return _money(rfm_of_totals(totals_of_months(months)))
+
+
 def rfm_events(spark: SparkSession, folder: str) -> DataFrame:
     return _money(build_rfm(purchases(spark, folder)))
 
@@ -461,6 +467,10 @@ def scatter_extract(spark: SparkSession, folder: str) -> DataFrame:
     return _money(reports.scatter_points(_ruled(spark, folder)))
 
 
+def scatter_sample(spark: SparkSession, folder: str) -> DataFrame:
+    return _money(reports.scatter_sample(_ruled(spark, folder)))
+
+
 def quality(spark: SparkSession, folder: str) -> DataFrame:
     clean = _sales(spark, folder)
     rfm = build_rfm(clean)
@@ -513,7 +523,7 @@ QUERIES: dict[str, Query] = {
         csv_chunks_by_country, ordered_chunks, followed_parts, stage_monthly_revenue, union_yearly_sources, strategy_csv,
         clean_lines, clean_audit, head_preview, shape_and_range, schema_listing, null_counts,
         describe_lines, describe_rfm, kpis, top_countries, monthly_revenue,
-        snapshot_date, rfm_table, rfm_given_snapshot, rfm_events, rfm_scores,
+        snapshot_date, rfm_table, rfm_given_snapshot, rfm_by_sketches, rfm_events, rfm_scores,
         rfm_scores_recent_high, rfm_scores_labelled, rfm_scores_events, frequency_scores,
         level_distribution, level_counts, level_shares, level_profile, quantile_thresholds,
         funnel, rfm_histograms, rfm_density,
@@ -522,7 +532,7 @@ QUERIES: dict[str, Query] = {
         sweep_best_k, sweep_business_k, canonical_clusters, pca_projection, pca_variance,
         cluster_sizes, cluster_shares, cluster_profile, cluster_revenue, ranked_segments,
         rule_segments, segment_summary, radar_by_cluster, radar_by_segment, strategy_report,
-        strategy_matrix, scatter_extract, quality, kmeans_segments, kmeans_sweep,
+        strategy_matrix, scatter_extract, scatter_sample, quality, kmeans_segments, kmeans_sweep,
         kmeans_checks_cli, kmeans_checks_notebook, kmeans_checks_verify,
     ]
 }

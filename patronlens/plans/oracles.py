@@ -406,6 +406,7 @@ SELECT strftime("InvoiceDate", '%Y-%m') AS month, round(sum("TotalPrice"), 2) AS
     "snapshot_date": _with(CLEAN, """
 SELECT max("InvoiceDate") AS last_purchase, max("InvoiceDate") + INTERVAL 1 DAY AS snapshot FROM clean"""),
     "rfm_table": _with(RFM, f"SELECT {_SCORE_COLUMNS} FROM rfm"),
+    "rfm_by_sketches": _with(RFM, f"SELECT {_SCORE_COLUMNS} FROM rfm"),
     "rfm_given_snapshot": _with(CLEAN, """
 SELECT "CustomerID",
        CAST((epoch_us(TIMESTAMP '2002-01-01 12:00:00') - epoch_us(max("InvoiceDate"))) // 86400000000 AS BIGINT)
@@ -520,6 +521,9 @@ FROM range(2, {end}) AS ks(k)""")
         for variant, end in (("cli", 11), ("notebook", 11), ("verify", 8))
     },
     "scatter_extract": _with(RULED, f'SELECT {_SCORE_COLUMNS}, "Segment_Name" FROM named'),
+    "scatter_sample": _with(RULED, f"""
+SELECT {_SCORE_COLUMNS}, "Segment_Name" FROM named
+QUALIFY row_number() OVER (PARTITION BY "Segment_Name" ORDER BY md5('42:' || "CustomerID"), CAST("CustomerID" AS VARCHAR)) <= 500"""),
     "quality": _with(SCORED, f"""
 SELECT 'line_columns_present' AS "check", CAST(0 AS BIGINT) AS failed_rows
 UNION ALL SELECT 'clean_lines_remain', CAST((SELECT count(*) FROM clean) = 0 AS BIGINT)

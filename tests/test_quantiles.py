@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from patronlens.functions import quantiles
 from patronlens.functions.quantiles import Target, exact_quantiles, order_statistics
 
 STEPS = [0.0, 0.2, 0.25, 0.4, 0.5, 0.6, 0.75, 0.8, 1.0]
@@ -63,9 +65,26 @@ def test_targets_may_look_at_different_rows(spark):
 
 
 def test_one_way_for_every_size():
-    from pathlib import Path
-
-    from patronlens.functions import quantiles
-
     source = Path(quantiles.__file__).read_text()
     assert "percentile(" not in source and "percentile_approx" not in source
+
+
+def test_ranks_beyond_a_sketch_are_exact(spark):
+    """More values than a sketch holds, a third of them equal, in many tasks; and values next to a hot one."""
+    df = spark.range(0, 120_000, 1, 23).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0.5)).otherwise(F.col("id") * 7919 % 120_011 / 120_011).alias("v"),
+        F.when(F.col("id") % 2 == 0, F.lit(1.0)).otherwise(F.lit(2.0)).alias("w x"),
+    )
+    table = df.toPandas()
+    found = exact_quantiles(df, {"v": STEPS, "w x": STEPS})
+    for column in ("v", "w x"):
+        assert found[column] == pytest.approx(list(np.quantile(table[column], STEPS)), rel=1e-13)
+    plan_source = Path(quantiles.__file__).read_text()
+    assert "repartitionByRange" not in plan_source.split("def _narrowed")[1].split("def _sketch_quantiles")[0]
+
+
+def test_a_wrong_sketch_only_costs_another_reading(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "SKETCH_ERROR", 0.0)
+    monkeypatch.setattr(quantiles, "SKETCH_SIZE", 8)
+    values = [float(i * 37 % 1009) for i in range(1009)]
+    assert exact_quantiles(frame(spark, values), {"v": STEPS})["v"] == pytest.approx(list(np.quantile(values, STEPS)), rel=1e-13)

@@ -157,3 +157,22 @@ def test_scoring_never_gathers_customers_in_one_task(make_rfm, tmp_path, spark):
     scored = score_customers(spark.read.parquet(str(tmp_path / "rfm")))
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan and "Python" not in plan
+
+
+def test_sketched_frequencies_stay_within_their_error(spark):
+    from patronlens.operators.rfm import monthly_sketches, totals_of_months
+
+    # Customer 1 has 20,000 invoices, each in two months; customer 2 has three.
+    lines = spark.range(40_000).selectExpr(
+        "1L AS CustomerID", "concat('i', id % 20000) AS InvoiceNo", "1.0D AS TotalPrice",
+        "CAST(IF(id < 20000, '2011-01-05', '2011-02-05') AS TIMESTAMP_NTZ) AS InvoiceDate",
+    ).unionByName(spark.range(3).selectExpr(
+        "2L AS CustomerID", "concat('j', id) AS InvoiceNo", "2.0D AS TotalPrice", "TIMESTAMP_NTZ'2011-02-01' AS InvoiceDate"
+    ))
+    months = monthly_sketches(lines)
+    found = {r["CustomerID"]: r for r in totals_of_months(months).collect()}
+    assert abs(found[1]["Frequency"] - 20_000) < 4 * 0.0163 * 20_000
+    assert found[2]["Frequency"] == 3 and found[1]["Monetary"] == 40_000
+    only = totals_of_months(months, last="2011-01").collect()
+    assert [r["CustomerID"] for r in only] == [1] and only[0]["Monetary"] == 20_000
+    assert totals_of_months(monthly_sketches(lines.limit(0))).count() == 0

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 
@@ -342,3 +343,33 @@ def test_variants_name_every_customer(make_rfm, variant):
     assert result.customers.count() == 80
     means = {r["Cluster"]: r["m"] for r in result.customers.groupBy("Cluster").agg(F.avg("Monetary").alias("m")).collect()}
     assert [means[c] for c in sorted(means)] == sorted(means.values(), reverse=True)
+
+
+def test_density_equals_the_sum_of_kernels(spark):
+    """A heavy tail, ties and far values: within the stated bound of the direct sum, without Python in the plan."""
+    draw = np.random.default_rng(3)
+    values = np.concatenate([draw.lognormal(3, 1.5, 4000), np.full(2000, 20.0), [50_000.0, -3000.0]])
+    curve = distributions.density_curve(spark.createDataFrame([(float(v),) for v in values], "v double"), ["v"])
+    width = values.std(ddof=1) * len(values) ** -0.2
+    for row in curve.collect():
+        kernels = np.exp(-0.5 * ((row["x"] - values) / width) ** 2)
+        assert abs(row["density"] * len(values) * width * math.sqrt(2 * math.pi) - kernels.sum()) < 2e-12 * len(values)
+    assert "InArrow" not in curve._jdf.queryExecution().toString()
+
+
+def test_scatter_sample_is_the_same_for_any_partitioning(spark):
+    named = spark.range(3000).select(
+        F.col("id").alias("CustomerID"), F.lit(1).alias("Recency"), F.lit(1).alias("Frequency"), F.lit(1.0).alias("Monetary"),
+        F.when(F.col("id") < 2500, "hot").when(F.col("id") < 2995, "cold").when(F.col("id") < 2998, "rare").alias("Segment_Name"),
+    )
+    for size in (1, 7, 1200):
+        samples = [
+            sorted((r["Segment_Name"] or "", r["CustomerID"]) for r in reports.scatter_sample(n, size).collect())
+            for n in (named.coalesce(1), named.repartition(13, "CustomerID"))
+        ]
+        assert samples[0] == samples[1]
+        expected = []
+        for segment, ids in (("hot", range(2500)), ("cold", range(2500, 2995)), ("rare", range(2995, 2998)), ("", range(2998, 3000))):
+            expected += [(segment, i) for i in sorted(ids, key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())[:size]]
+        assert samples[0] == sorted(expected)
+    assert reports.scatter_sample(named.limit(0)).count() == 0
