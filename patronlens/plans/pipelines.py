@@ -77,7 +77,7 @@ def segment_customers(
     features = scaler.apply(scored)
     swept = list(ks) if ks is not None else [] if k else list(K_RANGE)
     fits = fit_kmeans(features, sorted({*swept, *([k] if k else [])}), restarts=restarts)
-    sweep = measure(features, {n: fits[n] for n in swept}, metric=metric) if swept else None
+    sweep = measure(features, {n: fits[n] for n in swept}, metric=metric, parallelism=parallelism) if swept else None
     if k is None:
         chosen = business_k(sweep) if choose == "business" else best_k(sweep)
         k = chosen.first()["k"]
