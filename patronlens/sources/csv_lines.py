@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Sequence
 from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from patronlens import schemas
 from patronlens.functions.columns import blank_to_null
-from patronlens.sources.stages import hadoop_path
+from patronlens.sources.stages import stage
 
 _CORRUPT = "_corrupt_record"
 _SOURCE = "_source_file"
@@ -39,7 +38,8 @@ def read_lines_csv(
     otherwise.  A whole number may be written ``6.0``.  A field that is neither missing nor
     readable stops the reading job, or becomes NULL with ``malformed="null"``; see
     ``malformed_fields`` for their number.  Set ``multi_line`` only when descriptions
-    contain line breaks: such files cannot be split between tasks.
+    contain line breaks: such files are split between tasks too, but their lines are staged
+    and shuffled once to find where records begin.  Line breaks inside fields become line feeds.
     """
     if malformed not in ("raise", "null"):
         raise ValueError(f"unknown option: {malformed!r}")
@@ -100,50 +100,131 @@ def _unreadable(text: Column, value: Column) -> Column:
 def _text_parts(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, multi_line: bool) -> DataFrame:
     """The schema's columns as text, and the lines that do not fit their header."""
     try:
-        files = spark.read.text([paths] if isinstance(paths, str) else list(paths)).inputFiles()
+        texts = spark.read.text([paths] if isinstance(paths, str) else list(paths))
+        found = bool(texts.inputFiles())
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        files = []
-    if not files:
+        found = False
+    if not found:
         raise FileNotFoundError(
             f"no line files match {paths!r}: put the CSV parts there, or export them with "
             "patronlens.sources.exports.write_csv_chunks"
         )
-    by_header: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for file in map(unquote, files):
-        header = _header(spark, file)
-        if header is not None:
-            missing = [c for c in schema.fieldNames() if c not in header]
-            if missing:
-                raise ValueError(f"{file} has no column {', '.join(missing)}")
-            by_header[header].append(file)
+    lines = texts.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"), "value",
+    )
+    if multi_line:
+        lines = stage(lines, "csv-lines")
+    headers = _headers(lines, schema)
+    for row in headers.where(F.col("header").isNull()).limit(1).collect():
+        names = _names(_first_line(spark, unquote(row["file"])))
+        missing = [c for c in schema.fieldNames() if c not in names]
+        raise ValueError(f"{row['file']} has no column {', '.join(missing)}")
+    by_header = headers.groupBy("header").agg(F.collect_list("file").alias("files")).collect()
     wanted = [*schema.fieldNames(), _CORRUPT, _SOURCE]
+    records = _records(lines) if multi_line else None
     parts = []
-    for header, own in by_header.items():
-        names = [*header, _CORRUPT]
-        reader = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
-        reader = reader.option("header", True).option("enforceSchema", True).option("escape", '"')
-        reader = reader.option("columnNameOfCorruptRecord", _CORRUPT).option("multiLine", multi_line)
-        parts.append(reader.csv(own).withColumn(_SOURCE, F.col("_metadata.file_path")).select(*wanted))
+    for header, own in by_header:
+        shape = T.StructType([T.StructField(n, T.StringType()) for n in [*_names(header), _CORRUPT]])
+        options = {"escape": '"', "columnNameOfCorruptRecord": _CORRUPT}
+        if multi_line:
+            ours = records if len(by_header) == 1 else records.join(headers.where(F.col("header") == header), "file", "left_semi")
+            row = F.from_csv("value", F.lit(shape.toDDL()), options)
+            part = ours.select(row.alias("row"), F.col("file").alias(_SOURCE)).select("row.*", _SOURCE)
+        else:
+            reader = spark.read.schema(shape).options(header=True, enforceSchema=True, **options)
+            part = reader.csv([unquote(f) for f in own]).withColumn(_SOURCE, F.col("_metadata.file_path"))
+        parts.append(part.select(*wanted))
     if not parts:
         return spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in wanted]))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _header(spark: SparkSession, file: str) -> tuple[str, ...] | None:
-    """Column names of one part; None if it is empty.  Reads its first line only."""
-    files, at = hadoop_path(spark, file)
-    codec = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration()).getCodec(at)
-    stream = files.open(at) if codec is None else codec.createInputStream(files.open(at))
-    reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8"))
-    try:
-        line = reader.readLine()
-    finally:
-        reader.close()
-    if line is None:
-        return None
-    names = [name.strip().strip('"') for name in line.lstrip("﻿").split(",")]
+def _headers(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """``file, header``: each part's first line, NULL where a column of the schema is not in it.
+
+    One job for all parts.  Lines are aggregated as they are read: a part hands on the hash of its
+    first line and the lines that name every column, of which one has that hash.
+    """
+    value = F.col("value")
+    named = reduce(Column.__and__, [F.contains(value, F.lit(name)) for name in schema.fieldNames()])
+    first = lines.where(F.col("block") == 0).groupBy("file").agg(
+        F.min_by(F.xxhash64("value"), "place").alias("first"), F.collect_set(F.when(named, value)).alias("named")
+    )
+    header = F.get(F.filter("named", lambda line: F.xxhash64(line) == F.col("first")), F.lit(0))
+    bare = F.split(F.regexp_replace("header", "^\ufeff", ""), ",")
+    names = F.transform(bare, lambda name: F.btrim(F.btrim(name), F.lit('"')))
+    fits = F.size(F.array_except(F.array(*map(F.lit, schema.fieldNames())), names)) == 0
+    return first.select("file", header.alias("header")).withColumn("header", F.when(fits, F.col("header")))
+
+
+# A line that ends inside a quoted field, if it does not begin in one: whole fields, then an open one.
+_OPEN = r'^(?:(?:"(?:[^"]++|"")*+"[^,]*+|[^",][^,]*+|),)*+"(?:[^"]++|"")*+$'
+
+
+def _scanned(rows: DataFrame, within: Sequence[str], order: str) -> DataFrame:
+    """Rows with what those before them in their group do to the quote state.
+
+    Every row maps the state before it (inside a quoted field or not) to the one after it: ``out`` is
+    what becomes of outside, ``in`` of inside.  Of the rows before, the last that maps both to one
+    state gives ``known``, turned round by the turning rows behind it; NULL if there is none, and then
+    the group's first state, turned round if ``turned``, stands before the row.
+    """
+    before = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    turns = (F.col("out") & ~F.col("in")).cast("int")
+    fixed = F.when(F.col("out") == F.col("in"), F.col("out").cast("int"))
+    count = F.coalesce(F.sum(turns).over(before), F.lit(0))
+    rows = rows.withColumn("count ", count).withColumn("fixed ", (fixed + F.col("count ") + turns) % 2)
+    known = (F.last("fixed ", ignorenulls=True).over(before) + F.col("count ")) % 2 == 1
+    return rows.withColumns({"known": known, "turned": F.col("count ") % 2 == 1}).drop("count ", "fixed ")
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """``file, value``: the records below the headers of all parts, whole where quoted fields hold line breaks.
+
+    Each split of a part is scanned for both quote states that it may begin in; a window over one row a
+    split finds which it is.  So the tasks follow the splits, not the parts.  Lines that are records
+    stay as they are; only those of broken records are brought together, by their record.
+    """
+    ends = {"out": F.rlike("value", F.lit(_OPEN)), "in": F.rlike(F.concat(F.lit('"'), F.col("value")), F.lit(_OPEN))}
+    split = ["file", "block"]
+    scanned = stage(_scanned(lines.withColumns(ends), split, "place"), "csv-lines")
+
+    def after(end: str, first: bool) -> Column:
+        state = F.coalesce(F.col("known"), F.col("turned") != F.lit(first))
+        return F.max_by(F.when(state, F.col("in")).otherwise(F.col("out")), "place").alias(end)
+
+    splits = scanned.groupBy(*split).agg(after("out", False), after("in", True))
+    start = F.coalesce(F.col("known"), F.col("turned"))
+    splits = _scanned(splits, ["file"], "block").select(*split, start.alias("start"))
+    firsts = scanned.where(F.col("block") == 0).groupBy("file").agg(F.min("place").alias("first"))
+    inside = F.coalesce(F.col("known"), F.col("turned") != F.col("start"))
+    told = scanned.join(splits, split).join(firsts, "file").where((F.col("block") != 0) | (F.col("place") != F.col("first")))
+    told = told.withColumn("inside", inside).select(*split, "place", "value", "inside", "out")
+    whole = told.where(~F.col("inside") & ~F.col("out") & (F.trim("value") != "")).select("file", "value")
+    # Lines of broken records: each belongs to the last line before it that begins one, in this split or an earlier one.
+    broken = stage(told.where(F.col("inside") | F.col("out")), "csv-lines")
+    begins = F.when(~F.col("inside"), F.struct("block", "place"))
+    own = Window.partitionBy(*split).orderBy("place")
+    broken = broken.withColumn("head", F.last(begins, ignorenulls=True).over(own))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    heads = broken.groupBy(*split).agg(F.max_by("head", "place").alias("head"))
+    heads = heads.select(*split, F.last("head", ignorenulls=True).over(earlier).alias("earlier"))
+    broken = broken.join(heads, split).withColumn("head", F.coalesce("head", "earlier"))
+    pieces = F.sort_array(F.collect_list(F.struct("block", "place", "value")))
+    joined = broken.groupBy("file", "head").agg(F.array_join(F.transform(pieces, lambda p: p["value"]), "\n").alias("value"))
+    return whole.unionByName(joined.select("file", "value"))
+
+
+def _first_line(spark: SparkSession, file: str) -> str:
+    return spark.read.text(file).first()[0]
+
+
+def _names(header: str) -> tuple[str, ...]:
+    """Column names of a header line."""
+    names = [name.strip().strip('"') for name in header.lstrip("﻿").split(",")]
     # A name that comes twice, or none at all, is given one that no schema has.
     return tuple(n if n and names.index(n) == i else f"_column_{i}" for i, n in enumerate(names))
 

@@ -48,6 +48,68 @@ def test_line_breaks_and_other_date_forms(spark, tmp_path):
     assert row["Description"] == "two\nlines" and row["InvoiceDate"] == datetime(2010, 12, 1, 8, 26)
 
 
+def test_broken_records_over_split_borders(spark, tmp_path):
+    import csv
+    import gzip
+    import io
+    import random
+
+    draw = random.Random(7)
+    bits = ["a", "mug, red", 'say "hi"', "two\nlines", "\n", '"', ",", "x" * 40, '\n"\n', "ends\n"]
+    expected = []
+    for part in range(4):
+        names = list(LINE_COLUMNS)
+        if part == 1:
+            names = [*reversed(names), "Extra"]
+        text = io.StringIO()
+        writer = csv.writer(text, lineterminator="\r\n" if part == 2 else "\n")
+        writer.writerow(names)
+        for i in range(60):
+            words = "t" + "".join(draw.choice(bits) for _ in range(draw.randrange(1, 9))) + "t"
+            if part == 3 and i % 10 == 0:
+                words = "t" + "long\n" * 90 + "t"
+            row = dict(zip(LINE_COLUMNS, [f"{part}-{i}", "A", words, "6", "2010-12-01 08:26:00", "2.5", "1", "France"]))
+            writer.writerow([row.get(n, "more") for n in names])
+            expected.append((f"{part}-{i}", words))
+        data = text.getvalue()
+        if part == 0:
+            # A quote inside a field that is not quoted stands for itself, blank lines for nothing.
+            data += '0-x,A,5" pipe,1,2010-12-01 08:26:00,2.5,1,France\n\n0-y,A,6" "pipe",1,2010-12-01 08:26:00,2.5,1,France\n'
+            expected += [("0-x", '5" pipe'), ("0-y", '6" "pipe"')]
+        if part == 3:
+            (tmp_path / f"{part}.csv.gz").write_bytes(gzip.compress(data.encode()))
+        else:
+            (tmp_path / f"{part}.csv").write_bytes(data.encode())
+    (tmp_path / "empty.csv").write_text("")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for split in ("150b", "1k", "1m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            lines = read_lines_csv(spark, str(tmp_path), multi_line=True)
+            found = [(r["InvoiceNo"], r["Description"]) for r in lines.select("InvoiceNo", "Description", "Quantity").collect()]
+            blocks = spark.read.text(str(tmp_path)).select("_metadata.file_block_start").distinct().count()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        assert sorted(found) == sorted(expected)
+        assert blocks > 20 or split != "150b"
+    assert malformed_fields(spark, str(tmp_path), multi_line=True).agg(F.sum("fields")).first()[0] == 0
+    (tmp_path / "cut.csv").write_text(HEADER + '\n1,A,"never\nclosed,6\n')
+    with pytest.raises(Exception, match="not a line of the table"):
+        read_lines_csv(spark, str(tmp_path / "cut.csv"), multi_line=True).collect()
+
+
+def test_headers_come_in_one_job(spark, tmp_path, monkeypatch):
+    from patronlens.sources import csv_lines
+
+    monkeypatch.setattr(csv_lines, "_first_line", None)
+    for i in range(40):
+        names = LINE_COLUMNS[i % 3:] + LINE_COLUMNS[:i % 3]
+        row = dict(zip(LINE_COLUMNS, [str(i), HEADER.replace(",", " "), "x", "6", "2010-12-01 08:26:00", "2.5", "1", "France"]))
+        (tmp_path / f"{i}.csv").write_text(("\ufeff" if i % 2 else "") + ",".join(f'"{n}"' for n in names) + "\n" + ",".join(row[n] for n in names) + "\n")
+    lines = read_lines_csv(spark, str(tmp_path))
+    assert sorted(int(r["InvoiceNo"]) for r in lines.collect()) == list(range(40))
+
+
 def test_missing_parts_are_an_error(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="no line files match"):
         read_lines_csv(spark, str(tmp_path / "lines_part*.csv"))
