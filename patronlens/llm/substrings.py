@@ -9,8 +9,9 @@ The hashes travel packed.  A task sorts the windows of a chunk of documents and
 entry per different hash, that of the chunk's smallest document; what other documents of
 the chunk repeat is settled there.  So a window that a third of all documents share
 sends one entry per chunk.  Entries are dealt by the top bits of their hash, as
-compressed differences of sorted hashes.  Answers go back by chunk, as the entries'
-places in it, and reach the documents as word intervals.
+compressed differences of sorted hashes, each with its document and its place in it; what
+else a chunk knows of its documents goes along once.  Answers go back by chunk and reach
+the documents as word intervals.
 """
 
 from __future__ import annotations
@@ -73,35 +74,45 @@ class _Chunk:
         self.size += len(hashes)
 
     def rows(self, number: int, bits: int) -> Iterator[tuple]:
-        """(bucket, chunk, entries, packed entries, documents, packed documents, packed settled windows)."""
+        """(bucket, chunk, entries, packed entries, smallest document) and, with the first bucket alone, what the
+        chunk's answers need: (documents, packed documents, packed keys, packed settled windows)."""
         hashes, docs, keys = np.concatenate(self.hashes), np.concatenate(self.docs), np.concatenate(self.keys)
         counts = np.concatenate(self.counts).astype(np.uint32)
         self.__init__()
         if not len(hashes):
             return
+        by_doc = np.argsort(docs, kind="stable")
+        begins = np.cumsum(counts, dtype=np.int64) - counts
+        docs, keys, counts, begins = docs[by_doc], keys[by_doc], counts[by_doc], begins[by_doc]
+        ends = np.cumsum(counts, dtype=np.int64)
+        hashes = hashes[np.repeat(begins - (ends - counts), counts) + np.arange(len(hashes))]
         doc_of = np.repeat(docs, counts)
         order = np.argsort(hashes)
         hashes = hashes[order]
         first = _groups(hashes)
         sizes = np.diff(np.append(first, len(hashes)))
         doc_of = doc_of[order]
-        least = np.repeat(np.minimum.reduceat(doc_of, first), sizes)
+        least = np.minimum.reduceat(doc_of, first)
+        spread = np.repeat(least, sizes)
         settled = np.zeros(len(order), bool)
-        settled[order[doc_of > least]] = True
-        places = np.minimum.reduceat(np.where(doc_of == least, order, len(order)), first).astype(np.uint32)
+        settled[order[doc_of > spread]] = True
+        places = np.minimum.reduceat(np.where(doc_of == spread, order, len(order)), first)
+        # Places count from the first row of the document's id.
+        places = (places - (ends - counts)[np.searchsorted(docs, least)]).astype(np.uint32)
+        offsets = least.view(np.uint64) - docs[:1].view(np.uint64)
         hashes = hashes[first]
-        own = _pack(docs, counts)
+        own = (len(docs), _pack(docs, counts), _pack(keys), zstandard.ZstdCompressor(level=1).compress(np.packbits(settled).tobytes()))
         cuts = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange(2**bits + 1, dtype=np.uint64)) if bits else [0, len(hashes)]
         for bucket in range(2**bits):
             part = slice(cuts[bucket], cuts[bucket + 1])
             count = int(cuts[bucket + 1] - cuts[bucket])
-            extra = (_pack(keys), zstandard.ZstdCompressor(level=1).compress(np.packbits(settled).tobytes())) if bucket == 0 else (None, None)
             if count or bucket == 0:
                 steps = np.diff(hashes[part], prepend=np.uint64(0))
-                yield bucket, number, count, _pack(steps, places[part]), len(docs), own, *extra
+                packed = _pack(steps, offsets[part], places[part])
+                yield bucket, number, count, packed, int(docs[0]), *(own if bucket == 0 else (0, None, None, None))
 
 
-_ENTRIES = "bucket long, chunk long, entries long, packed binary, documents long, owners binary, keys binary, settled binary"
+_ENTRIES = "bucket long, chunk long, entries long, packed binary, base long, documents long, owners binary, keys binary, settled binary"
 _ANSWERS = "chunk long, repeats long, packed binary, documents long, owners binary, keys binary, settled binary"
 _SPANS = "doc_id long, text_hash long, spans binary"
 
@@ -114,11 +125,9 @@ def _meet(frame: pd.DataFrame) -> pd.DataFrame:
     """Entries of one bucket, from all chunks: which of them have an equal hash in a smaller document."""
     hashes, docs, places, chunks = [], [], [], []
     for i, row in enumerate(frame.itertuples()):
-        steps, place = _unpack(row.packed, row.entries, np.uint64, np.uint32)
-        owner, counts = _unpack(row.owners, row.documents, np.int64, np.uint32)
-        ends = np.cumsum(counts, dtype=np.int64)
+        steps, offsets, place = _unpack(row.packed, row.entries, np.uint64, np.uint64, np.uint32)
         hashes.append(np.cumsum(steps, dtype=np.uint64))
-        docs.append(owner[np.searchsorted(ends, place, "right")])
+        docs.append((offsets + np.array([row.base], np.int64).view(np.uint64)).view(np.int64))
         places.append(place)
         chunks.append(np.full(len(place), i, np.int32))
     hashes, docs = np.concatenate(hashes), np.concatenate(docs)
@@ -130,12 +139,15 @@ def _meet(frame: pd.DataFrame) -> pd.DataFrame:
         own = docs[order]
         least = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(own))))
         repeated[order[own > least]] = True
+    found = np.flatnonzero(repeated)
+    found = found[np.lexsort((places[found], docs[found], chunks[found]))]
+    cuts = np.searchsorted(chunks[found], np.arange(len(frame) + 1))
     out = []
     for i, row in enumerate(frame.itertuples()):
-        place = np.sort(places[repeated & (chunks == i)])
-        if len(place) or row.keys is not None:
+        part = found[cuts[i]: cuts[i + 1]]
+        if len(part) or row.keys is not None:
             told = (row.documents, row.owners, row.keys, row.settled) if row.keys is not None else (0, None, None, None)
-            out.append((row.chunk, len(place), _pack(np.diff(place, prepend=np.uint32(0))), *told))
+            out.append((row.chunk, len(part), _pack(np.diff(docs[part], prepend=np.int64(0)), places[part]), *told))
     return pd.DataFrame(out, columns=_names(_ANSWERS))
 
 
@@ -148,8 +160,8 @@ def _by_document(frame: pd.DataFrame) -> pd.DataFrame:
     bits = np.frombuffer(zstandard.ZstdDecompressor().decompress(own.settled), np.uint8)
     marked = np.unpackbits(bits, count=int(ends[-1])).astype(bool)
     for row in frame.itertuples():
-        (steps,) = _unpack(row.packed, row.repeats, np.uint32)
-        marked[np.cumsum(steps, dtype=np.int64)] = True
+        steps, places = _unpack(row.packed, row.repeats, np.int64, np.uint32)
+        marked[(ends - counts)[np.searchsorted(owner, np.cumsum(steps))] + places] = True
     at = np.flatnonzero(marked)
     if not len(at):
         return pd.DataFrame([], columns=_names(_SPANS))
@@ -204,7 +216,7 @@ def remove_repeats(
 
         def packed() -> Iterator[pa.RecordBatch]:
             for row in chunk.rows(part << 24 | number, bits):
-                arrays = [pa.array([v], pa.binary() if i in (3, 5, 6, 7) else pa.int64()) for i, v in enumerate(row)]
+                arrays = [pa.array([v], pa.binary() if i in (3, 6, 7, 8) else pa.int64()) for i, v in enumerate(row)]
                 yield pa.RecordBatch.from_arrays(arrays, _names(_ENTRIES))
 
         for batch, texts in row_ranges(batches):

@@ -13,7 +13,7 @@ from patronlens.llm.decontamination import contamination, decontaminate
 from patronlens.llm.near_duplicates import near_duplicates
 from patronlens.llm.quality import text_counts
 from patronlens.llm.queries import ORACLES, QUERIES
-from patronlens.llm.substrings import remove_repeats
+from patronlens.llm.substrings import _Chunk, remove_repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -141,6 +141,19 @@ def test_near_duplicates_query(spark, sample_texts):
     assert got == groups_by_brute_force(sample_texts)
 
 
+def test_sent_windows_grow_with_the_text_alone():
+    rng = random.Random(5)
+    texts = [prose(rng, 250, 10**6).encode() for _ in range(800)]
+
+    def sent(bits):
+        chunk = _Chunk()
+        chunk.add(np.arange(800) * 3, np.arange(800), texts, 13)
+        return sum(len(v) for row in chunk.rows(1, bits) for v in row if isinstance(v, bytes))
+
+    # Ranges grow in number with the whole input; no more than their share of a chunk's windows may go to each.
+    assert sent(10) < 1.2 * sent(4)
+
+
 # Benchmark passages
 
 
