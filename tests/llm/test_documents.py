@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from patronlens.llm import secret_scan
 from patronlens.llm.decontamination import contamination, decontaminate
@@ -244,9 +245,63 @@ def test_guess_costs():
         assert cost(weak) < secret_scan.MIN_GUESSES_LOG10, weak
     for strong in ("X7#kQ!9zLw", "Zk3vQ9pLx2", "correcthorsebattery", "f81d4fae7dec11d0"):
         assert cost(strong) >= secret_scan.MIN_GUESSES_LOG10, strong
-    # The dynamic program finds the cheapest of all cuts.
-    rank = {"abc": 1, "abcd": 5, "cd": 2}
-    assert cost("abcd", rank) == pytest.approx(min(np.log10(5) + np.log10(5), cost("abcd", {})))
+
+
+def cost_by_brute_force(value, costs, repeats=True):
+    """The least cost over all cuts of a value, each segment costed by itself."""
+    def walk(part):
+        keys = [secret_scan._PLACE.get(c) for c in part.translate(secret_scan._SHIFTED)]
+        if len(part) < 3 or None in keys:
+            return np.inf
+        steps = [(b[0] - a[0], b[1] - a[1]) for a, b in zip(keys, keys[1:])]
+        if any(max(abs(x), abs(y)) > 1 for x, y in steps):
+            return np.inf
+        turns = 1 + sum(a != b for a, b in zip(steps, steps[1:]))
+        return np.log10(47) + turns * np.log10(6) + np.log10(len(part))
+
+    def segment(part):
+        options = [sum(np.log10(10 if c.isdigit() else 26 if c.isalpha() else 33) for c in part), walk(part)]
+        options.append(costs.get(part, np.inf))
+        if len(part) >= 3:
+            options.append(costs.get(part.translate(str.maketrans("4@8310!|57$2", "aabeloiistsz")), np.inf) + np.log10(4))
+        if re.fullmatch("(19|20)[0-9]{2}", part):
+            options.append(np.log10(max(abs(int(part) - 2000), 20)))
+        for size in range(1, len(part) // 2 + 1):
+            if repeats and len(part) >= 3 and len(part) % size == 0 and part[:size] * (len(part) // size) == part:
+                options.append(cost_by_brute_force(part[:size], costs, False) + np.log10(len(part) // size))
+        return min(options) + np.log10(5)
+
+    best = np.inf if value else 0.0
+    for cut in range(1 << max(len(value) - 1, 0)):
+        ends = [i + 1 for i in range(len(value) - 1) if cut >> i & 1] + [len(value)]
+        if value:
+            best = min(best, sum(segment(value[a:b]) for a, b in zip([0, *ends], ends)))
+    return best
+
+
+def test_cheapest_of_all_cuts():
+    rng = random.Random(12)
+    costs = {"abc": 0.0, "abcd": 0.7, "bcda": 0.2, "sda": 1.5, "aba": 0.4}
+    for value in ["", "a", "aaaaaaaa", "abcabcab", "qweabcd", "2012abc", "5daqwert"] + ["".join(rng.choice("abcd5qwe#") for _ in range(rng.randrange(2, 10))) for _ in range(60)]:
+        assert secret_scan.guesses_log10(value, costs) == pytest.approx(cost_by_brute_force(value, costs)), value
+    # Long repeats do not take the time of all their cuts.
+    assert secret_scan.guesses_log10("a" * 20_000 + "Zk3vQ9") < 20
+
+
+def test_costs_follow_the_words_of_the_corpus(make_docs):
+    texts = ["the zebrafish swims by the zebrafish tank " * 30] * 40
+    texts += ["password = zebrafishtank", "token: qzkvwpxjtu", "token: qzkvwpxjtu again", "pwd: zebrafish", "api_key=Zk3vQ9pLx2Tt", None, ""]
+    docs = make_docs(list(enumerate(texts))).withColumn("values", F.lit(1)).withColumn("row", F.lit("x"))
+    got = {r["doc_id"]: r for r in secret_scan.scan_secrets(docs).collect()}
+    assert len(got) == len(texts)
+    # Two words of the corpus are cheap, a base span or not; letters that stand in values alone are no word.
+    assert got[40]["spans"] == "assign:0:24" and got[43]["spans"] == ""
+    assert got[41]["spans"] == "assign:0:17,guess:7:17" and got[42]["spans"] == got[41]["spans"]
+    assert got[44]["spans"] == "assign:0:20,guess:8:20" and got[44]["n_guess"] == 1 and got[44]["value_costs"].startswith("8:20:")
+    assert got[45]["spans"] == got[46]["spans"] == got[45]["value_costs"] == ""
+    strict = {r["doc_id"]: r["spans"] for r in secret_scan.scan_secrets(docs, least=2.0).collect()}
+    assert strict[40] == "assign:0:24,guess:11:24" and strict[43] == "guess:5:14"
+    assert secret_scan.scan_secrets(make_docs([])).collect() == []
 
 
 # Quality counts
