@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator, Mapping, Sequence
-from math import inf, log10
+from math import expm1, inf, log, log10
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +45,10 @@ _CONTEXT_HINTS = (b"pass", b"pwd", b"pin", b"secret", b"token", b"cred", b"login
 _HEX_BYTE = np.zeros(256, bool)
 _HEX_BYTE[list(b"0123456789abcdef")] = True
 
-# Letters of a word.
-LEAST_WORD, LONGEST_WORD = 3, 24
-# Blocks of repeats have at most so many characters.
+# Letters of the shortest word; words of more than _START letters are found by their first ones.
+LEAST_WORD, _START = 3, 24
+# What a repeat is: a block of at most so many characters, twice or more in a row.
 _BLOCK = 16
-# Of longer walks and repeats, cuts are tried within _EDGE characters of their ends only.
-_LONG, _EDGE = 256, 64
 
 #: Words by falling use in passwords.
 COMMON_WORDS = (
@@ -64,11 +62,12 @@ COMMON_WORDS = (
     "and for you my your this that with is are january february march april may june july august september october "
     "november december monday tuesday friday sunday london paris berlin madrid boston dallas chicago texas"
 ).split()
-_LOOKALIKE = str.maketrans("4@8310!|57$2", "aabeloiistsz")
+_LOOKALIKES, _MEANT = "4@8310!|57$2", "aabeloiistsz"
+_LOOKALIKE = str.maketrans(_LOOKALIKES, _MEANT)
 _ROWS = ("`1234567890-=", " qwertyuiop[]", " asdfghjkl;'", " zxcvbnm,./")
 _PLACE = {key: (row, column) for row, keys in enumerate(_ROWS) for column, key in enumerate(keys) if key != " "}
 _SHIFTED = str.maketrans('~!@#$%^&*()_+{}:"<>?', "`1234567890-=[];',./")
-_KINDS_COST = log10(5)
+_KINDS_COST, _LN10 = log10(5), log(10)
 
 
 def _dates(text: str) -> Iterator[tuple[int, int, float]]:
@@ -91,42 +90,78 @@ def _dates(text: str) -> Iterator[tuple[int, int, float]]:
                 yield found.start(), found.start() + len(found[1]), log10(days * (4 if found[3] else 1))
 
 
-def _cuts(begin: int, end: int, least: int) -> Iterator[tuple[int, int]]:
-    """Parts of a run, of at least ``least`` characters."""
-    if end - begin <= _LONG:
-        starts, ends = range(begin, end), range(begin, end + 1)
-    else:
-        starts, ends = [*range(begin, begin + _EDGE)], [*range(end - _EDGE, end + 1)]
-    for a in starts:
-        for b in ends:
-            if b - a >= least:
-                yield a, b
-
-
-def _walks(text: str) -> Iterator[tuple[int, int, float]]:
-    """Runs of three or more keys next to each other on the keyboard, and their parts."""
-    places = [_PLACE.get(c) for c in text.lower().translate(_SHIFTED)]
-    steps: list[tuple[int, int] | None] = [None]
-    for last, place in zip(places, places[1:]):
-        step = (place[0] - last[0], place[1] - last[1]) if place and last else None
-        steps.append(step if step and max(map(abs, step)) <= 1 else None)
-    # turned[i]: changes of direction up to the step that ends at i.
-    turned = [0] * len(text)
-    for i in range(1, len(text)):
-        turned[i] = turned[i - 1] + (steps[i] != steps[i - 1])
-    begin = 0
-    for i in range(1, len(text) + 1):
-        if i == len(text) or steps[i] is None:
-            for a, b in _cuts(begin, i, 3):
-                yield a, b, log10(47) + (1 + turned[b - 1] - turned[a + 1]) * log10(6) + log10(b - a)
-            begin = i
+class _Cheapest:
+    """The least of base + log10(end - begin) over begins added so far, for ends that only grow.
+
+    Logarithms rise ever more slowly, so of two begins the earlier one, if it has the smaller base, wins
+    from some end on for good; if it has not, it never wins.  What can still win stays on a stack,
+    so all begins and ends of a run take time in proportion to its length.
+    """
+
+    def __init__(self) -> None:
+        # Begin, base, and the end from which the entry below wins.
+        self._stack: list[tuple[int, float, float]] = []
+
+    def add(self, begin: int, base: float) -> None:
+        stack = self._stack
+        while stack and stack[-1][1] >= base:
+            # An earlier begin with no smaller base.
+            stack.pop()
+        until = inf
+        while stack:
+            gap = (base - stack[-1][1]) * _LN10
+            until = begin + (begin - stack[-1][0]) / expm1(gap) if gap < 700 else float(begin)
+            if stack[-1][2] > until:
+                break
+            stack.pop()
+            until = inf
+        stack.append((begin, base, until))
+
+    def at(self, end: int) -> float:
+        stack = self._stack
+        while stack[-1][2] <= end:
+            stack.pop()
+        return stack[-1][1] + log10(end - stack[-1][0])
+
+
+class _Walks:
+    """Runs of three or more keys next to each other on the keyboard: the cheapest that ends at each place."""
+
+    def __init__(self, text: str) -> None:
+        places = [_PLACE.get(c.lower().translate(_SHIFTED)) for c in text]
+        self._steps: list[tuple[int, int] | None] = [None]
+        for last, place in zip(places, places[1:]):
+            step = (place[0] - last[0], place[1] - last[1]) if place and last else None
+            self._steps.append(step if step and max(map(abs, step)) <= 1 else None)
+        # turned[i]: changes of direction up to the step that ends at i.
+        self._turned = [0] * len(text)
+        for i in range(1, len(text)):
+            self._turned[i] = self._turned[i - 1] + (self._steps[i] != self._steps[i - 1])
+        self._begin, self._begins = 0, _Cheapest()
+
+    def ending(self, end: int, best: Sequence[float]) -> float:
+        """Cost up to ``end`` with such a run as the last segment; ``best`` holds the costs up to all places before."""
+        if self._steps[end - 1] is None:
+            self._begin, self._begins = end - 1, _Cheapest()
+        if end - self._begin < 3:
+            return inf
+        self._begins.add(end - 3, best[end - 3] - self._turned[end - 2] * log10(6))
+        return self._begins.at(end) + log10(47) + (1 + self._turned[end - 1]) * log10(6)
 
 
 def _words(text: str, costs: Mapping[str, float]) -> Iterator[tuple[int, int, float]]:
     lower = _lowered(text)
     plain = lower.translate(_LOOKALIKE)
+    longer: dict[str, list[str]] = {}
+    if len(text) > _START:
+        for word in costs:
+            if len(word) > _START:
+                longer.setdefault(word[:_START], []).append(word)
     for i in range(len(text)):
-        for j in range(i + LEAST_WORD, min(i + LONGEST_WORD, len(text)) + 1):
+        ends = {*range(i + LEAST_WORD, min(i + _START, len(text)) + 1)}
+        for form in (lower, plain) if longer else ():
+            ends.update(i + len(word) for word in longer.get(form[i: i + _START], ()) if form.startswith(word, i))
+        for j in ends:
             cost = min(costs.get(lower[i:j], inf), costs.get(plain[i:j], inf) + log10(4))
             if cost < inf:
                 written = text[i:j]
@@ -134,39 +169,49 @@ def _words(text: str, costs: Mapping[str, float]) -> Iterator[tuple[int, int, fl
                 yield i, j, cost + capitals
 
 
-def _repeats(text: str, costs: Mapping[str, float]) -> Iterator[tuple[int, int, float]]:
-    """Blocks of up to 16 characters that stand twice or more in a row, three characters in all at least."""
-    known: dict[str, float] = {}
-    for size in range(1, min(_BLOCK, len(text) // 2) + 1):
-        begin = None
-        for i in range(len(text) - size + 1):
-            if i + size < len(text) and text[i] == text[i + size]:
-                begin = i if begin is None else begin
-            elif begin is not None:
-                if i - begin >= size:
-                    for a, b in _cuts(begin, i + size, max(2 * size, 3)):
-                        if (b - a) % size == 0:
-                            block = text[a: a + size]
-                            if block not in known:
-                                known[block] = guesses_log10(block, costs, repeats=False)
-                            yield a, b, known[block] + log10((b - a) // size)
-                begin = None
+class _Repeats:
+    """Blocks of up to 16 characters, twice or more in a row, three characters in all at least: the cheapest that ends at each place."""
+
+    def __init__(self, text: str, costs: Mapping[str, float]) -> None:
+        self._text, self._costs = text, costs
+        self._known: dict[str, float] = {}
+        # For each size: where the text began to repeat itself at that distance, and the begins by their remainder.
+        self._runs: dict[int, tuple[int, list[_Cheapest]]] = {size: (0, []) for size in range(1, min(_BLOCK, len(text) // 2) + 1)}
+
+    def ending(self, end: int, best: Sequence[float]) -> float:
+        """As that of walks."""
+        text, least = self._text, inf
+        for size, (begin, begins) in self._runs.items():
+            if end > size and text[end - 1] != text[end - 1 - size]:
+                self._runs[size] = end - size, []
+                continue
+            start = end - max(2 * size, 3)
+            if start < begin:
+                continue
+            if not begins:
+                begins.extend(_Cheapest() for _ in range(size))
+            block = text[start: start + size]
+            if block not in self._known:
+                self._known[block] = guesses_log10(block, self._costs, repeats=False)
+            own = begins[start % size]
+            own.add(start // size, best[start] + self._known[block])
+            least = min(least, own.at(end // size))
+        return least
 
 
 def guesses_log10(value: str, costs: Mapping[str, float] | None = None, repeats: bool = True) -> float:
     """Decimal logarithm of the guesses that the cheapest segmentation of ``value`` needs; ``costs`` are those of words."""
     costs = COMMON_COSTS if costs is None else costs
     segments: dict[int, list[tuple[int, float]]] = {}
-    found = [*_words(value, costs), *_dates(value), *_walks(value)]
-    if repeats:
-        found += _repeats(value, costs)
-    for begin, end, cost in found:
-        segments.setdefault(end, []).append((begin, cost + _KINDS_COST))
+    for begin, end, cost in (*_words(value, costs), *_dates(value)):
+        segments.setdefault(end, []).append((begin, cost))
+    runs = [_Walks(value), _Repeats(value, costs)] if repeats else [_Walks(value)]
     # best[i]: cheapest cut of value[:i]; tried: the same where a brute-force span ends at i.
     best, tried = [0.0], inf
     for end in range(1, len(value) + 1):
         tried = min(tried, best[end - 1] + _KINDS_COST) + log10(_keys(value[end - 1]))
-        best.append(min([tried, *(best[begin] + cost for begin, cost in segments.get(end, ()))]))
+        known = [*(best[begin] + cost for begin, cost in segments.get(end, ())), *(run.ending(end, best) for run in runs)]
+        best.append(min(tried, min(known) + _KINDS_COST))
     return best[-1]
 
 
@@ -214,10 +259,10 @@ def _own_words(text: str, values: Sequence[tuple[int, int]]) -> list[str]:
 
 
 def _word_candidates(value: str) -> set[str]:
-    """What of a value may be a word."""
+    """What of a value may be a word, or the first letters of a longer one."""
     lower = _lowered(value)
     runs = {m[0] for form in (lower, lower.translate(_LOOKALIKE)) for m in _RUN.finditer(form)}
-    return {run[i:j] for run in runs for i in range(len(run)) for j in range(i + LEAST_WORD, min(i + LONGEST_WORD, len(run)) + 1)}
+    return {run[i:j] for run in runs for i in range(len(run)) for j in range(i + LEAST_WORD, min(i + _START, len(run)) + 1)}
 
 
 def _joined(spans: Sequence[tuple[int, int, int]]) -> str:
@@ -241,7 +286,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = list(_word_candidates(value))
             for at in range(0, len(words), 50_000):
                 part = words[at: at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([value_id] * len(part)), pa.array(part)], ["value_id", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array([value_id] * len(part)), pa.array(part)], ["value_id", "start"])
 
 
 def _costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +304,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     """``word, n``: runs of letters A to Z of all texts, lower-cased."""
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = docs.select(F.explode(F.split(lower, "[^a-z]+")).alias("word"))
-    return words.where(F.length("word").between(LEAST_WORD, LONGEST_WORD)).groupBy("word").agg(F.count("*").alias("n"))
+    return words.where(F.length("word") >= LEAST_WORD).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def scan_secrets(docs: DataFrame, *, key: str = "doc_id", least: float = MIN_GUESSES_LOG10) -> DataFrame:
@@ -314,7 +359,13 @@ def scan_secrets(docs: DataFrame, *, key: str = "doc_id", least: float = MIN_GUE
         own = found.select(F.explode("own").alias("word")).groupBy("word").agg(F.count("*").alias("own"))
         outside = F.col("n") - F.coalesce("own", F.lit(0))
         known = counts.join(own, "word", "left").where(outside > 0).select("word", F.log10(F.lit(total) / outside).alias("cost"))
-        words = distinct.mapInArrow(_candidates, "value_id string, word string").join(known, "word")
+        candidates = distinct.mapInArrow(_candidates, "value_id string, start string")
+        words = candidates.join(known.withColumn("start", F.substring("word", 1, _START)), "start").drop("start")
+        # Of longer words only the beginning has been compared.
+        lower = F.translate("value", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        plain = F.translate(lower, _LOOKALIKES, _MEANT)
+        held = F.contains(lower, F.col("word")) | F.contains(plain, F.col("word"))
+        words = words.join(distinct, "value_id").where((F.length("word") <= _START) | held)
         words = words.groupBy("value_id").agg(F.collect_list(F.struct("word", "cost")).alias("words"))
         costs = distinct.join(words, "value_id", "left").mapInArrow(_costs, "value_id string, cost double")
         scored = values.join(costs, "value_id").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "cost"))).alias("scored"))

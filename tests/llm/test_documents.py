@@ -288,6 +288,35 @@ def test_cheapest_of_all_cuts():
     assert secret_scan.guesses_log10("a" * 20_000 + "Zk3vQ9") < 20
 
 
+def test_long_walks_are_cut_anywhere():
+    rng, keys = random.Random(5), list(secret_scan._PLACE)
+
+    def walk(length):
+        path = ["g"]
+        while len(path) < length:
+            row, column = secret_scan._PLACE[path[-1]]
+            near = [k for k in keys if max(abs(secret_scan._PLACE[k][0] - row), abs(secret_scan._PLACE[k][1] - column)) == 1]
+            path.append(rng.choice(near))
+        return "".join(path)
+
+    whole = walk(420)
+    middle = whole[200:220]
+    costs, cost = {middle: 0.3}, secret_scan.guesses_log10
+    # A cut of three parts is a cut of the whole.
+    assert cost(whole, costs) <= cost(whole[:200], costs) + cost(middle, costs) + cost(whole[220:], costs) + 1e-9
+    assert cost("qwertyuiop" * 3_000 + "Zk3vQ9", costs) < 20
+
+
+def test_words_of_any_length_are_known(make_docs):
+    word = "donaudampfschifffahrtsgesellschaftskapitaen"
+    texts = [f"the {word} and the {word[:26]} sail " * 40] * 5 + [f"pwd: {word}", f"pwd: {word[:26]}", f"pwd: {word[:30]}"]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.scan_secrets(make_docs(list(enumerate(texts)))).collect()}
+    assert got[5] == got[6] == "" and got[7] == ""
+    texts = [f"the {word} sails " * 40] * 5 + [f"pwd: {word}", f"pwd: {word[:26]}"]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.scan_secrets(make_docs(list(enumerate(texts)))).collect()}
+    assert got[5] == "" and got[6] == "guess:5:31"
+
+
 def test_costs_follow_the_words_of_the_corpus(make_docs):
     texts = ["the zebrafish swims by the zebrafish tank " * 30] * 40
     texts += ["password = zebrafishtank", "token: qzkvwpxjtu", "token: qzkvwpxjtu again", "pwd: zebrafish", "api_key=Zk3vQ9pLx2Tt", None, ""]
