@@ -15,7 +15,7 @@ from patronlens.operators.clustering import Centers, best_k, business_k, by_mean
 from patronlens.operators.features import FEATURES, fit_robust, fit_standard, scaling_check
 from patronlens.operators.projection import fit_components
 from patronlens.operators.quality import quality_checks
-from patronlens.operators.silhouette import plain_silhouette, silhouette
+from patronlens.operators.silhouette import _cells, plain_silhouette, silhouette
 from patronlens.plans.pipelines import VARIANTS, segment_customers
 from patronlens.operators.scoring import score_customers
 
@@ -107,6 +107,17 @@ def test_plain_silhouette_lies_in_its_bounds(spark):
     assert plain_silhouette(df, tolerance=0.0, bins=(4, 8)).bins == 8
 
 
+def test_plain_silhouette_takes_points_by_cells(spark):
+    points, clusters = blobs(sizes=(30, 20, 10))
+    df = points_frame(spark, points * 40, clusters * 40).withColumnRenamed("Cluster", "cluster")
+    grids = [{c: [0.0, 1.0, 5.0] for c in "RFM"}, {c: [x / 50 for x in range(-200, 700)] for c in "RFM"}]
+    # Copies of a point are compared with the cells once.
+    assert _cells(df, list("RFM"), grids).count() <= 60
+    found = plain_silhouette(df, cluster="cluster", bins=(16,))
+    exact = brute_silhouette(points * 40, clusters * 40, 0.5)
+    assert found.low - 1e-9 <= exact <= found.high + 1e-9
+
+
 def test_plain_silhouette_of_few_points_is_exact(spark):
     points, clusters = [(0, 0, 0), (1, 0, 0), (9, 0, 0), (9, 1, 0)], [0, 0, 1, 1]
     found = plain_silhouette(points_frame(spark, points, clusters))
