@@ -112,7 +112,7 @@ def test_plain_silhouette_takes_points_by_cells(spark):
     df = points_frame(spark, points * 40, clusters * 40).withColumnRenamed("Cluster", "cluster")
     grids = [{c: [0.0, 1.0, 5.0] for c in "RFM"}, {c: [x / 50 for x in range(-200, 700)] for c in "RFM"}]
     # Copies of a point are compared with the cells once.
-    assert _cells(df, list("RFM"), grids).count() <= 60
+    assert _cells(df.select("cluster", *"RFM"), list("RFM"), grids).count() <= 60
     found = plain_silhouette(df, cluster="cluster", bins=(16,))
     exact = brute_silhouette(points * 40, clusters * 40, 0.5)
     assert found.low - 1e-9 <= exact <= found.high + 1e-9
