@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
-from operator import add, or_
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -80,7 +80,8 @@ def fit_kmeans(
     up its rows for every center of every open fit and hands on these sums only.  A fit leaves
     when the squared moves of its centers sum to at most ``relative_tol`` times the mean variance
     of the features; what a sum differs by when tasks end in another order counts as no move.
-    The features are kept in memory (on disk where memory is short); a lost block is read again
+    Equal rows are counted first and read as one from then on, so an iteration costs what the different
+    ones cost.  These are kept in memory (on disk where memory is short); a lost block is counted again
     from the stage table below.
 
     First centers are drawn with chances proportional to squared distances from those drawn before,
@@ -88,9 +89,10 @@ def fit_kmeans(
     Only they reach the driver.
     """
     ks = sorted(set(ks))
-    rows = features.select(*[F.col(c).cast("double").alias(c) for c in FEATURES]).persist(StorageLevel.MEMORY_AND_DISK)
+    all_rows = features.select(*[F.col(c).cast("double").alias(c) for c in FEATURES])
+    rows = all_rows.groupBy(*FEATURES).agg(F.count(F.lit(1)).cast("double").alias("copies")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        row = rows.agg(reduce(add, [F.var_pop(c) for c in FEATURES]).alias("variance"), F.count(F.lit(1)).alias("rows")).first()
+        row = all_rows.agg(reduce(add, [F.var_pop(c) for c in FEATURES]).alias("variance"), F.count(F.lit(1)).alias("rows")).first()
         if not row["rows"]:
             raise ValueError("no rows to fit centers to")
         bound = max(relative_tol, 1e-20) * row["variance"] / len(FEATURES)
@@ -123,8 +125,8 @@ def fit_kmeans(
 
 
 def _seeding_sample(rows: DataFrame, size: int) -> np.ndarray:
-    """Different rows with the smallest hashes, at most ``size``: the same ones for any partitioning."""
-    smallest = rows.withColumn("draw", F.xxhash64(*FEATURES)).distinct().orderBy("draw", *FEATURES).limit(size)
+    """Of different rows those with the smallest hashes, at most ``size``: the same ones for any partitioning."""
+    smallest = rows.withColumn("draw", F.xxhash64(*FEATURES)).orderBy("draw", *FEATURES).limit(size)
     return np.array([[r[c] for c in FEATURES] for r in smallest.collect()], float)
 
 
@@ -157,7 +159,10 @@ def _settled(sample: np.ndarray, points: np.ndarray, rounds: int = 100) -> np.nd
 
 
 def _lloyd_sums(rows: DataFrame, fits: Sequence[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """For each fit: rows and sums of its centers' members, and its cost.  One row a center leaves a task."""
+    """For each fit: rows and sums of its centers' members, and its cost.  One row a center leaves a task.
+
+    ``rows`` are different ones with their number of ``copies``.
+    """
     starts = np.cumsum([0, *map(len, fits)])
     points = np.concatenate(fits)
     width = len(FEATURES)
@@ -167,16 +172,18 @@ def _lloyd_sums(rows: DataFrame, fits: Sequence[np.ndarray]) -> list[tuple[np.nd
         totals = np.zeros((len(points), width + 2))
         for batch in batches:
             whole = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(width)], 1)
+            copies = batch.column(width).to_numpy(zero_copy_only=False)
             for at in range(0, len(whole), 4096):
-                part = whole[at: at + 4096]
+                part, times = whole[at: at + 4096], copies[at: at + 4096]
+                weighted = part * times[:, None]
                 distances = sum((part[:, c, None] - points[None, :, c]) ** 2 for c in range(width))
                 for begin, end in zip(starts[:-1], starts[1:]):
                     own = distances[:, begin:end].argmin(1)
                     least = distances[np.arange(len(part)), begin + own]
-                    totals[begin:end, 0] += np.bincount(own, minlength=end - begin)
+                    totals[begin:end, 0] += np.bincount(own, times, minlength=end - begin)
                     for c in range(width):
-                        totals[begin:end, 1 + c] += np.bincount(own, part[:, c], minlength=end - begin)
-                    totals[begin:end, -1] += np.bincount(own, least, minlength=end - begin)
+                        totals[begin:end, 1 + c] += np.bincount(own, weighted[:, c], minlength=end - begin)
+                    totals[begin:end, -1] += np.bincount(own, least * times, minlength=end - begin)
         held = np.flatnonzero(totals[:, 0])
         columns = [pa.array(held, pa.int32()), *(pa.array(totals[held, i]) for i in range(width + 2))]
         yield pa.RecordBatch.from_arrays(columns, names)
@@ -263,7 +270,7 @@ def fit_checks(features: DataFrame, fits: Mapping[int, Centers], rivals: Mapping
         clustered = centers.assign(features, cost="own_cost")
         facts = cluster_facts(clustered)
         distances = [centers._squared_distance(i) for i in range(k)]
-        nearer = reduce(or_, [F.expr(d) < F.col("own_cost") * (1 - 1e-12) for d in distances])
+        nearer = F.array_min(F.array(*map(F.expr, distances))) < F.col("own_cost") * (1 - 1e-12)
         offsets = [
             max(abs(fact[f"mean_{c}"] - x) for c, x in zip(FEATURES, centers.points[fact["cluster"]])) for fact in facts
         ]

@@ -11,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from patronlens.operators import distributions, reports, segments
-from patronlens.operators.clustering import Centers, best_k, business_k, by_mean_monetary, fit_checks, fit_kmeans, measure
+from patronlens.operators.clustering import _lloyd_sums, Centers, best_k, business_k, by_mean_monetary, fit_checks, fit_kmeans, measure
 from patronlens.operators.features import FEATURES, fit_robust, fit_standard, scaling_check
 from patronlens.operators.projection import fit_components
 from patronlens.operators.quality import quality_checks
@@ -109,12 +109,12 @@ def test_plain_silhouette_lies_in_its_bounds(spark):
 
 def test_plain_silhouette_takes_points_by_cells(spark):
     points, clusters = blobs(sizes=(30, 20, 10))
-    df = points_frame(spark, points * 40, clusters * 40).withColumnRenamed("Cluster", "cluster")
+    df = points_frame(spark, points * 9, clusters * 9).withColumnRenamed("Cluster", "cluster")
     grids = [{c: [0.0, 1.0, 5.0] for c in "RFM"}, {c: [x / 50 for x in range(-200, 700)] for c in "RFM"}]
     # Copies of a point are compared with the cells once.
     assert _cells(df.select("cluster", *"RFM"), list("RFM"), grids).count() <= 60
     found = plain_silhouette(df, cluster="cluster", bins=(16,))
-    exact = brute_silhouette(points * 40, clusters * 40, 0.5)
+    exact = brute_silhouette(points * 9, clusters * 9, 0.5)
     assert found.low - 1e-9 <= exact <= found.high + 1e-9
 
 
@@ -159,6 +159,16 @@ def test_kmeans_finds_blobs_and_repeats(spark):
     assert best_k(measure(df, fits)).first()["k"] == 3
 
 
+def test_copies_count_in_fits_but_are_read_once(spark):
+    points, _ = blobs()
+    once = fit_kmeans(points_frame(spark, points), [3], restarts=2, relative_tol=0.0)[3]
+    many = fit_kmeans(points_frame(spark, points * 7), [3], restarts=2, relative_tol=0.0)[3]
+    assert np.allclose(once.points, many.points) and many.cost == pytest.approx(7 * once.cost)
+    rows = points_frame(spark, points[:50]).groupBy(*"RFM").agg(F.lit(3.0).alias("copies"))
+    [(counts, sums, cost)] = _lloyd_sums(rows, [np.zeros((1, 3))])
+    assert counts.tolist() == [150.0] and np.allclose(sums, 3 * np.sum(points[:50], 0)) and cost == pytest.approx(3 * np.sum(np.square(points[:50])))
+
+
 def test_checks_of_a_fit_and_of_a_bad_one(spark):
     points, _ = blobs()
     df = points_frame(spark, points)
