@@ -101,7 +101,7 @@ def _text_parts(spark: SparkSession, paths: str | Sequence[str], schema: T.Struc
     """The schema's columns as text, and the lines that do not fit their header."""
     try:
         texts = spark.read.text([paths] if isinstance(paths, str) else list(paths))
-        found = bool(texts.inputFiles())
+        found = len(texts._jdf.inputFiles()) > 0
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -117,16 +117,16 @@ def _text_parts(spark: SparkSession, paths: str | Sequence[str], schema: T.Struc
     )
     if multi_line:
         lines = stage(lines, "csv-lines")
-    headers = _headers(lines, schema)
+    headers = stage(_headers(lines, schema), "headers")
     for row in headers.where(F.col("header").isNull()).limit(1).collect():
         names = _names(_first_line(spark, unquote(row["file"])))
         missing = [c for c in schema.fieldNames() if c not in names]
         raise ValueError(f"{row['file']} has no column {', '.join(missing)}")
-    by_header = headers.groupBy("header").agg(F.collect_list("file").alias("files")).collect()
+    by_header = [row["header"] for row in headers.select("header").distinct().collect()]
     wanted = [*schema.fieldNames(), _CORRUPT, _SOURCE]
     records = _records(lines) if multi_line else None
     parts = []
-    for header, own in by_header:
+    for header in by_header:
         shape = T.StructType([T.StructField(n, T.StringType()) for n in [*_names(header), _CORRUPT]])
         options = {"escape": '"', "columnNameOfCorruptRecord": _CORRUPT}
         if multi_line:
@@ -135,7 +135,11 @@ def _text_parts(spark: SparkSession, paths: str | Sequence[str], schema: T.Struc
             part = ours.select(row.alias("row"), F.col("file").alias(_SOURCE)).select("row.*", _SOURCE)
         else:
             reader = spark.read.schema(shape).options(header=True, enforceSchema=True, **options)
-            part = reader.csv([unquote(f) for f in own]).withColumn(_SOURCE, F.col("_metadata.file_path"))
+            # Names of files reach the driver only where headers differ.
+            own = [paths] if isinstance(paths, str) else list(paths)
+            if len(by_header) > 1:
+                own = [unquote(row["file"]) for row in headers.where(F.col("header") == header).select("file").collect()]
+            part = reader.csv(own).withColumn(_SOURCE, F.col("_metadata.file_path"))
         parts.append(part.select(*wanted))
     if not parts:
         return spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in wanted]))

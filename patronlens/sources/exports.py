@@ -73,7 +73,9 @@ def write_ordered_chunks(
     dense = running_totals(numbers, ["chunk"], F.lit(1), "number ")
     placed = placed.join(dense, "chunk").withColumn("chunk", F.format_string("%08d", "number ")).drop("number ")
     writer = placed.repartition("chunk").sortWithinPartitions("chunk", *order).write
-    writer.mode("overwrite").partitionBy("chunk").option("header", True).option("escape", '"').csv(path)
+    # Tasks put their own files in place: one folder a chunk is too many for the driver to move in turn.
+    moved = writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    moved.mode("overwrite").partitionBy("chunk").option("header", True).option("escape", '"').csv(path)
     return numbers.count()
 
 

@@ -2,13 +2,14 @@ from __future__ import annotations
 
 from datetime import datetime
 from pathlib import Path
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
 
 from patronlens.operators.cleaning import clean_lines
 from patronlens.schemas import LINE_COLUMNS
-from patronlens.sources import stages
+from patronlens.sources import csv_lines, stages
 from patronlens.sources.csv_lines import malformed_fields, read_lines_csv, union_sources
 from patronlens.plans.pipelines import followed_rfm
 from patronlens.functions.running import running_totals
@@ -315,3 +316,17 @@ def test_no_forbidden_shortcuts_in_the_sources():
     text = "\n".join(p.read_text() for p in root.rglob("*.py"))
     for word in ("localCheckpoint", "crossJoin", "toPandas", "pandas_udf", ".rdd", ".sample("):
         assert word not in text
+
+
+def test_file_names_of_one_header_stay_off_the_driver(spark, tmp_path, make_lines, monkeypatch):
+    names = []
+    monkeypatch.setattr(csv_lines, "unquote", lambda name: names.append(name) or unquote(name))
+    lines = make_lines([{"InvoiceNo": str(i), "Description": "x" * 40} for i in range(60)])
+    assert write_ordered_chunks(lines, f"{tmp_path}/a", ["InvoiceNo"], chunk_bytes=1500) > 3
+    back = csv_lines.read_lines_csv(spark, f"{tmp_path}/a")
+    assert back.count() == back.distinct().count() == 60 and not names
+    (tmp_path / "a" / "chunk=odd").mkdir()
+    header = ",".join(reversed(back.columns))
+    (tmp_path / "a" / "chunk=odd" / "part.csv").write_text(f"{header}\nSpain,1,2.0,2011-01-01 00:00:00,1,thing,A,z\n")
+    assert csv_lines.read_lines_csv(spark, f"{tmp_path}/a").where("InvoiceNo = 'z' AND Country = 'Spain'").count() == 1
+    assert len(names) > 3
