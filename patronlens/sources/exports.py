@@ -12,6 +12,8 @@ from patronlens.sources.stages import stage
 _BYTE_ORDER_MARK = "﻿"
 # Files are planned for this share of the bound, because rows differ in length.
 _FILLED = 0.85
+# A file is written by one task, so it holds no more than a usual split of input.
+TASK_BYTES = 128 * 1024 * 1024
 
 
 def write_report_csv(report: DataFrame, path: str, *, byte_order_mark: bool = True) -> None:
@@ -38,11 +40,12 @@ def csv_bytes(lines: DataFrame) -> int:
 def write_csv_chunks(lines: DataFrame, path: str, *, chunk_bytes: int = 20 * 1024 * 1024) -> int:
     """Write every row as CSV files of at most about ``chunk_bytes`` each; returns the number of files.
 
-    The lines are staged once, measured as a whole and dealt out in turn, so long rows
-    spread over all files wherever they stood.
+    One task writes a file, so files are planned for ``TASK_BYTES`` where ``chunk_bytes`` allows
+    more: tasks grow in number with the lines, not in size.  The lines are staged once, measured
+    as a whole and dealt out in turn, so long rows spread over all files wherever they stood.
     """
     staged = stage(_with_text_times(lines), "csv-lines")
-    files = max(-int(-csv_bytes(staged) // (chunk_bytes * _FILLED)), 1)
+    files = max(-int(-csv_bytes(staged) // (min(chunk_bytes, TASK_BYTES) * _FILLED)), 1)
     staged.repartition(files).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return files
 

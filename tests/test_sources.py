@@ -135,6 +135,17 @@ def test_chunks_hold_every_row_within_the_size(spark, make_lines, tmp_path):
     assert back.exceptAll(lines).isEmpty() and lines.exceptAll(back).isEmpty()
 
 
+def test_large_chunks_are_written_by_several_tasks(spark, tmp_path):
+    # 150 MB of text; a file of 1 GB would be one task's work.
+    lines = spark.range(1_500).select("id", F.repeat(F.lit("x"), 100_000).alias("text"))
+    count = write_csv_chunks(lines, str(tmp_path / "chunks"), chunk_bytes=1 << 30)
+    files = list((tmp_path / "chunks").glob("*.csv"))
+    assert len(files) == count == 2
+    assert all(f.stat().st_size < 128 * 1024 * 1024 for f in files)
+    back = spark.read.schema("id bigint, text string").csv(str(tmp_path / "chunks"), header=True)
+    assert back.agg(F.count_distinct("id"), F.sum(F.length("text"))).first()[:] == (1_500, 150_000_000)
+
+
 def test_ordered_chunks_are_contiguous_and_bounded(spark, make_lines, tmp_path):
     rows = [
         {"InvoiceNo": f"{i:05d}", "Description": "long text, quoted" * (30 if i % 97 == 0 else i % 5)} for i in range(1500)
