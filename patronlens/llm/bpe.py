@@ -33,8 +33,9 @@ from patronlens.sources.stages import stage
 
 LEAF = 96
 PART_CHARS = 1 << 20
-# Pieces, and words, that a Python worker remembers between chunks (about 200 bytes each).
+# Pieces that a Python worker remembers between chunks (about 200 bytes each), and words (about 60 bytes each).
 REMEMBERED_PIECES = 180_000
+REMEMBERED_WORDS = 500_000
 _END = np.uint32(2**32 - 1)
 
 # Latin letters and signs on which this module's own splitting is safe; all else goes
@@ -70,6 +71,57 @@ class Part:
     pieces: int
 
 
+def _slices(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``flat[start: start + size]`` for every place, one after another."""
+    ends = np.cumsum(size, dtype=np.int64)
+    return flat[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _starts(size: np.ndarray, begin: int = 0) -> np.ndarray:
+    """Where slices of these sizes begin if they stand one after another."""
+    return np.cumsum(size, dtype=np.int64) - size + begin
+
+
+class _KnownWords:
+    """Words and their ids in flat arrays, looked up many at a time: by hash, then by their bytes."""
+
+    def __init__(self):
+        self._hashes, self._number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self._text, self._start, self._size = np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids, self.begin, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def __len__(self) -> int:
+        return len(self._hashes)
+
+    def find(self, hashes: np.ndarray, text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers of the words ``text[start: start + size]``, -1 for unknown ones."""
+        out = np.full(len(hashes), -1, np.int64)
+        if not len(self):
+            return out
+        at = np.minimum(np.searchsorted(self._hashes, hashes), len(self) - 1)
+        like = np.flatnonzero(self._hashes[at] == hashes)
+        number = self._number[at[like]]
+        fits = self._size[number] == size[like]
+        like, number = like[fits], number[fits]
+        if len(like):
+            own = size[like]
+            same = _slices(self._text, self._start[number], own) == _slices(text, start[like], own)
+            equal = np.logical_and.reduceat(same, _starts(own))
+            out[like[equal]] = number[equal]
+        return out
+
+    def add(self, hashes: np.ndarray, text: np.ndarray, size: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+        """Words (none empty) in the order of their hashes; ``text`` and ``ids`` hold theirs one after another."""
+        number = np.arange(len(self), len(self) + len(hashes), dtype=np.int32)
+        at = np.searchsorted(self._hashes, hashes)
+        self._hashes, self._number = np.insert(self._hashes, at, hashes), np.insert(self._number, at, number)
+        self._start = np.concatenate([self._start, _starts(size, len(self._text)).astype(np.int32)])
+        self.begin = np.concatenate([self.begin, _starts(length, len(self.ids)).astype(np.int32)])
+        self._size = np.concatenate([self._size, size.astype(np.int32)])
+        self.length = np.concatenate([self.length, length.astype(np.int32)])
+        self._text, self.ids = np.concatenate([self._text, text]), np.concatenate([self.ids, ids])
+
+
 class Codec:
     """A tokenizer file of the kind "BPE with word ends over byte letters"."""
 
@@ -87,8 +139,7 @@ class Codec:
         # Ids of pieces and of words, kept between chunks; a line feed stands between words.
         self._known: dict[str, bytes] = {"\n": _END.tobytes()}
         self._older = self._known
-        self._words: dict[bytes, bytes] = {}
-        self._older_words: dict[bytes, bytes] = {}
+        self._words = self._older_words = _KnownWords()
         added = {t["content"]: t["id"] for t in described["added_tokens"]}
         self._added = added
         self._added_split = re.compile("|".join(map(re.escape, added)) or r"(?!)")
@@ -154,9 +205,9 @@ class Codec:
             letters = " ".join(group).encode().decode("latin-1").translate(_LETTERS)
             ids = np.array(self._spaced.encode_batch_fast([letters], add_special_tokens=False)[0].ids, np.uint32)
             # Only the last token of a piece carries the word end.
-            begin = 0
-            for piece, end in zip(group, (np.flatnonzero(self._word_end[ids]) + 1).tolist()):
-                self._known[piece] = ids[begin:end].tobytes()
+            data, begin = ids.tobytes(), 0
+            for piece, end in zip(group, (4 * np.flatnonzero(self._word_end[ids]) + 4).tolist()):
+                self._known[piece] = data[begin:end]
                 begin = end
         for piece in pieces:
             if len(piece) > LEAF // 2:
@@ -215,29 +266,31 @@ class Codec:
         new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
         kind = np.empty(len(words), np.int64)
         kind[order] = np.cumsum(new) - 1
-        first, data = order[new], words.data.tobytes()
-        distinct = [data[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist())]
-        if len(self._words) > REMEMBERED_PIECES // 2:
-            self._older_words, self._words = self._words, {}
-        encoded = list(map(self._words.get, distinct))
-        unseen = []
-        for i in (i for i, ids in enumerate(encoded) if ids is None):
-            encoded[i] = self._older_words.get(distinct[i])
-            if encoded[i] is None:
-                unseen.append(i)
-            else:
-                self._words[distinct[i]] = encoded[i]
-        for i, ids in zip(unseen, self.encode_words([distinct[i] for i in unseen])):
-            encoded[i] = ids
-            if len(ids) <= 4 * LEAF:
-                self._words[distinct[i]] = ids
-        flat = np.frombuffer(b"".join(encoded), np.uint32)
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
-        begins = np.cumsum(sizes) - sizes
-        lengths = sizes[kind]
-        ends = np.cumsum(lengths)
-        shift = begins[kind] - (ends - lengths)
-        ids = flat[np.repeat(shift, lengths) + np.arange(int(ends[-1]))]
+        first, distinct = order[new], ordered[new]
+        start, size = words.start[first], words.end[first] - words.start[first]
+        if len(self._words) > REMEMBERED_WORDS // 2:
+            self._older_words, self._words = self._words, _KnownWords()
+        known, older = self._words, self._older_words
+        number = known.find(distinct, words.data, start, size)
+        rest = np.flatnonzero(number < 0)
+        again = older.find(distinct[rest], words.data, start[rest], size[rest])
+        seen, unseen = rest[again >= 0], rest[again < 0]
+        again = again[again >= 0]
+        data = words.data.tobytes()
+        made = self.encode_words([data[a: a + n] for a, n in zip(start[unseen].tolist(), size[unseen].tolist())])
+        # Where in all ids at hand those of each distinct word are.
+        pool = np.concatenate([known.ids, older.ids, np.frombuffer(b"".join(made), np.uint32)])
+        begin, length = np.empty(len(first), np.int64), np.empty(len(first), np.int64)
+        held = number >= 0
+        begin[held], length[held] = known.begin[number[held]], known.length[number[held]]
+        begin[seen], length[seen] = older.begin[again] + len(known.ids), older.length[again]
+        length[unseen] = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        begin[unseen] = _starts(length[unseen], len(known.ids) + len(older.ids))
+        short = rest[size[rest] <= LEAF]
+        text = _slices(words.data, start[short], size[short])
+        known.add(distinct[short], text, size[short], _slices(pool, begin[short], length[short]), length[short])
+        ids = _slices(pool, begin[kind], length[kind])
+        ends = np.cumsum(length[kind])
         cuts = np.concatenate([[0], ends])[words.first]
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 

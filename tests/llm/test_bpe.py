@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from patronlens.llm.bpe import codec, encode_documents
+from patronlens.llm.bpe import Codec, _KnownWords, codec, encode_documents
 from patronlens.llm.queries import QUERIES
 from patronlens.llm.records import frame, read_frame, read_records, token_file_digest, write_index, write_records
 
@@ -41,6 +41,40 @@ def test_tree_concatenation_of_unsplit_text(library, leaf):
         assert own.encode_piece(letters, True, leaf) == library.encode(letters, add_special_tokens=False).ids
 
 
+def test_words_are_encoded_once_for_many_chunks(library, monkeypatch):
+    own, made = Codec(PATH), []
+    encode = own.encode_words
+    monkeypatch.setattr(own, "encode_words", lambda words: (made.append(len(words)), encode(words))[1])
+    chunks = [" ".join(f"w{i:x}." for i in range(at, at + 60_000)) for at in range(0, 240_000, 60_000)]
+    first = [own.encode_texts([chunk.encode()])[0] for chunk in chunks]
+    assert made == [60_000] * 4
+    again = [own.encode_texts([chunk.encode()])[0] for chunk in chunks]
+    assert made[4:] == [0] * 4
+    for chunk, ids, same in zip(chunks, first, again):
+        expected = library.encode(chunk, add_special_tokens=False).ids
+        assert ids.tolist() == expected and same.tolist() == expected
+
+
+def test_words_left_behind_are_encoded_again(library, monkeypatch):
+    from patronlens.llm import bpe
+
+    monkeypatch.setattr(bpe, "REMEMBERED_WORDS", 40)
+    own, rng = Codec(PATH), random.Random(5)
+    for _ in range(60):
+        text = " ".join(rng.choice(["a", "Ab", "é", "x" * 120, "漢字"]) + str(rng.randint(0, 60)) for _ in range(rng.randint(0, 30)))
+        assert own.encode_texts([text.encode(), b"", b" \n"])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_known_words_of_one_hash_are_told_apart():
+    known, text = _KnownWords(), np.frombuffer(b"oneowntwoseven", np.uint8)
+    hashes, start, size = np.array([5, 5, 5, 9], np.uint64), np.array([0, 3, 6, 9]), np.array([3, 3, 3, 5])
+    assert known.find(hashes, text, start, size).tolist() == [-1] * 4
+    known.add(hashes[[0, 3]], np.frombuffer(b"oneseven", np.uint8), size[[0, 3]], np.arange(5, dtype=np.uint32), np.array([2, 3]))
+    assert known.find(hashes, text, start, size).tolist() == [0, -1, -1, 1]
+    assert known.find(np.array([5], np.uint64), text, np.array([0]), np.array([2])).tolist() == [-1]
+    assert (known.begin.tolist(), known.length.tolist()) == ([0, 2], [2, 3])
+
+
 def test_documents_and_parts(spark, make_docs, library):
     rows = [*enumerate(ODD), (3, "a"), (None, "null id")]
     for size in (1 << 20, 64):
