@@ -307,6 +307,27 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     return words.where(F.length("word") >= LEAST_WORD).groupBy("word").agg(F.count("*").alias("n"))
 
 
+def _shuffled(side: DataFrame) -> DataFrame:
+    """``side`` for a join that broadcasts neither side.
+
+    What values unfold to is many times what their file is; by the file's size Spark would
+    broadcast it all through the driver, and does not take that back once it knows the size.
+    """
+    return side.hint("merge")
+
+
+def _words_held(distinct: DataFrame, known: DataFrame) -> DataFrame:
+    """``value_id, words``: the known words, with their costs, that each of the ``value_id, value`` holds."""
+    candidates = distinct.mapInArrow(_candidates, "value_id string, start string")
+    words = candidates.join(_shuffled(known.withColumn("start", F.substring("word", 1, _START))), "start").drop("start")
+    # Of longer words only the beginning has been compared.
+    lower = F.translate("value", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    plain = F.translate(lower, _LOOKALIKES, _MEANT)
+    held = F.contains(lower, F.col("word")) | F.contains(plain, F.col("word"))
+    words = words.join(_shuffled(distinct), "value_id").where((F.length("word") <= _START) | held)
+    return words.groupBy("value_id").agg(F.collect_list(F.struct("word", "cost")).alias("words"))
+
+
 def scan_secrets(docs: DataFrame, *, key: str = "doc_id", least: float = MIN_GUESSES_LOG10) -> DataFrame:
     """One row per row of ``docs``: counts of the base kinds, digest of their spans, all spans, costs of all values.
 
@@ -358,17 +379,10 @@ def scan_secrets(docs: DataFrame, *, key: str = "doc_id", least: float = MIN_GUE
         distinct = values.select("value_id", "value").distinct()
         own = found.select(F.explode("own").alias("word")).groupBy("word").agg(F.count("*").alias("own"))
         outside = F.col("n") - F.coalesce("own", F.lit(0))
-        known = counts.join(own, "word", "left").where(outside > 0).select("word", F.log10(F.lit(total) / outside).alias("cost"))
-        candidates = distinct.mapInArrow(_candidates, "value_id string, start string")
-        words = candidates.join(known.withColumn("start", F.substring("word", 1, _START)), "start").drop("start")
-        # Of longer words only the beginning has been compared.
-        lower = F.translate("value", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-        plain = F.translate(lower, _LOOKALIKES, _MEANT)
-        held = F.contains(lower, F.col("word")) | F.contains(plain, F.col("word"))
-        words = words.join(distinct, "value_id").where((F.length("word") <= _START) | held)
-        words = words.groupBy("value_id").agg(F.collect_list(F.struct("word", "cost")).alias("words"))
-        costs = distinct.join(words, "value_id", "left").mapInArrow(_costs, "value_id string, cost double")
-        scored = values.join(costs, "value_id").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "cost"))).alias("scored"))
+        known = counts.join(_shuffled(own), "word", "left").where(outside > 0).select("word", F.log10(F.lit(total) / outside).alias("cost"))
+        words = _words_held(distinct, known)
+        costs = distinct.join(_shuffled(words), "value_id", "left").mapInArrow(_costs, "value_id string, cost double")
+        scored = values.join(_shuffled(costs), "value_id").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "cost"))).alias("scored"))
         result = found.join(scored, "row", "left").withColumn("scored", F.coalesce("scored", F.expr("cast(array() as array<struct<start:long,end:long,cost:double>>)")))
         guesses = F.filter("scored", lambda v: v["cost"] >= least)
         guessed = F.transform(guesses, lambda v: F.struct(v["start"].alias("start"), F.lit(3).alias("kind"), v["end"].alias("end")))

@@ -333,6 +333,14 @@ def test_costs_follow_the_words_of_the_corpus(make_docs):
     assert secret_scan.scan_secrets(make_docs([])).collect() == []
 
 
+def test_candidates_of_values_do_not_pass_the_driver(spark, tmp_path):
+    spark.createDataFrame([("a" * 32, "correcthorsebattery")], "value_id string, value string").write.parquet(f"{tmp_path}/values")
+    spark.createDataFrame([("correct", 1.0), ("horse", 2.0), ("stable", 3.0)], "word string, cost double").write.parquet(f"{tmp_path}/known")
+    words = secret_scan._words_held(spark.read.parquet(f"{tmp_path}/values"), spark.read.parquet(f"{tmp_path}/known"))
+    assert [(r["value_id"], sorted(w["word"] for w in r["words"])) for r in words.collect()] == [("a" * 32, ["correct", "horse"])]
+    assert "Broadcast" not in words._jdf.queryExecution().executedPlan().toString()
+
+
 # Quality counts
 
 
