@@ -23,6 +23,10 @@ RESTARTS = 10
 #: Rows among which first centers are drawn.
 SEEDING_ROWS = 4000
 K_RANGE = range(2, 11)
+#: Rows near a border between clusters, over all fits, that a reading hands to the driver.
+NEAR_ROWS = 1 << 20
+# Different rows a task reads at most; rows whose distances are computed at a time.
+_TASK_ROWS, _BLOCK = 1_000_000, 5000
 
 
 @dataclass(frozen=True)
@@ -76,44 +80,47 @@ def fit_kmeans(
 ) -> dict[int, Centers]:
     """The cheapest of ``restarts`` fits for every k.
 
-    All fits advance together: an iteration is one aggregate over the rows, in which a task adds
-    up its rows for every center of every open fit and hands on these sums only.  A fit leaves
+    All fits share each reading of the rows, in which a task adds up its rows for every center of every open
+    fit.  A reading serves many iterations: a row whose second nearest center is farther than its nearest by more
+    than any two centers have moved since keeps its center, so only the sums of such rows are handed on, and the
+    rows nearest to a border, at most ``NEAR_ROWS`` over all fits, reach the driver and are assigned there in every
+    iteration.  When centers have moved too far for that, the rows are read again.  Assignments are those of plain
+    iterations over all rows.  A fit leaves
     when the squared moves of its centers sum to at most ``relative_tol`` times the mean variance
     of the features; what a sum differs by when tasks end in another order counts as no move.
-    Equal rows are counted first and read as one from then on, so an iteration costs what the different
+    Equal rows are counted first and read as one from then on, so a reading costs what the different
     ones cost.  These are kept in memory (on disk where memory is short); a lost block is counted again
     from the stage table below.
 
     First centers are drawn with chances proportional to squared distances from those drawn before,
     among the ``seeding_rows`` different rows with the smallest hashes, and moved to rest among these.
-    Only they reach the driver.
     """
     ks = sorted(set(ks))
     all_rows = features.select(*[F.col(c).cast("double").alias(c) for c in FEATURES])
-    rows = all_rows.groupBy(*FEATURES).agg(F.count(F.lit(1)).cast("double").alias("copies")).persist(StorageLevel.MEMORY_AND_DISK)
+    row = all_rows.agg(reduce(add, [F.var_pop(c) for c in FEATURES]).alias("variance"), F.count(F.lit(1)).alias("rows")).first()
+    if not row["rows"]:
+        raise ValueError("no rows to fit centers to")
+    bound = max(relative_tol, 1e-20) * row["variance"] / len(FEATURES)
+    tasks = max(features.sparkSession.sparkContext.defaultParallelism, -(-row["rows"] // _TASK_ROWS))
+    rows = all_rows.groupBy(*FEATURES).agg(F.count(F.lit(1)).cast("double").alias("copies")).repartition(tasks, *FEATURES)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        row = all_rows.agg(reduce(add, [F.var_pop(c) for c in FEATURES]).alias("variance"), F.count(F.lit(1)).alias("rows")).first()
-        if not row["rows"]:
-            raise ValueError("no rows to fit centers to")
-        bound = max(relative_tol, 1e-20) * row["variance"] / len(FEATURES)
+        different = rows.count()
         sample = _seeding_sample(rows, seeding_rows)
         fits = {(k, seed + i): _first_centers(sample, k, seed + i) for k in ks for i in range(restarts)}
-        costs = {}
+        costs, left = {}, dict.fromkeys(fits, max_iter)
         open_fits = list(fits)
-        for _ in range(max_iter):
-            found = _lloyd_sums(rows, [fits[f] for f in open_fits])
+        while open_fits:
+            share = NEAR_ROWS / len(open_fits) / different
+            limits = [_gap_limit(sample, fits[f], share) for f in open_fits]
+            readings = _read(rows, [fits[f] for f in open_fits], limits, 2 * NEAR_ROWS // (len(open_fits) * tasks))
             still = []
-            for number, name in enumerate(open_fits):
-                counts, sums, costs[name] = found[number]
-                held = counts > 0
-                moved = fits[name].copy()
-                moved[held] = sums[held] / counts[held, None]
-                if float(((moved - fits[name]) ** 2).sum()) > bound:
+            for name, reading in zip(open_fits, readings):
+                fits[name], costs[name], steps, settled = _advanced(reading, bound, left[name])
+                left[name] -= steps
+                if left[name] and not settled:
                     still.append(name)
-                fits[name] = moved
             open_fits = still
-            if not open_fits:
-                break
     finally:
         rows.unpersist()
     best: dict[int, Centers] = {}
@@ -158,42 +165,159 @@ def _settled(sample: np.ndarray, points: np.ndarray, rounds: int = 100) -> np.nd
     return points
 
 
+def _nearest(values: Sequence[np.ndarray], points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows given by columns: the nearest center, the squared distance to it, and that to the second nearest."""
+    own = np.zeros(len(values[0]), np.intp)
+    least, second = _squared(values, points[0]), np.full(len(values[0]), np.inf)
+    for number, point in enumerate(points[1:], 1):
+        distance = _squared(values, point)
+        np.minimum(second, np.maximum(distance, least), out=second)
+        own[distance < least] = number
+        np.minimum(least, distance, out=least)
+    return own, least, second
+
+
+def _squared(values: Sequence[np.ndarray], point: np.ndarray) -> np.ndarray:
+    return sum((value - x) ** 2 for value, x in zip(values, point))
+
+
+def _gaps(least: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return np.sqrt(second) - np.sqrt(least)
+
+
+def _gap_limit(sample: np.ndarray, points: np.ndarray, share: float) -> float:
+    """About this share of the rows is nearer to a border: has a smaller gap between its two nearest centers."""
+    if share >= 1:
+        return math.inf
+    _, least, second = _nearest(list(sample.T), points)
+    return float(np.quantile(_gaps(least, second), share, method="higher"))
+
+
+@dataclass(frozen=True)
+class _Reading:
+    """What a reading of all rows tells of a fit.
+
+    ``totals``: for each center, rows, sums and cost of its members but the ``near`` rows, which come one by one with
+    their number of copies.  The members' second nearest center is farther by ``reach`` at least.
+    """
+
+    points: np.ndarray
+    totals: np.ndarray
+    near: np.ndarray
+    reach: float
+
+    def holds(self, points: np.ndarray) -> bool:
+        """Whether all members but the near rows certainly keep their center when the centers are ``points``."""
+        moves = np.sort(np.sqrt(((points - self.points) ** 2).sum(1)))
+        return float(moves[-2:].sum()) * (1 + 1e-9) < self.reach
+
+    def sums(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Rows and sums of the members of the centers ``points``, and their cost."""
+        totals, moved = self.totals.copy(), points - self.points
+        around = totals[:, 1:-1] - totals[:, :1] * self.points
+        totals[:, -1] += totals[:, 0] * (moved**2).sum(1) - 2 * (moved * around).sum(1)
+        *values, times = self.near.T
+        if len(times):
+            own, least, _ = _nearest(values, points)
+            _add_up(totals, own, times, [*(value * times for value in values), least * times])
+        return totals[:, 0], totals[:, 1:-1], float(totals[:, -1].sum())
+
+
+def _add_up(totals: np.ndarray, own: np.ndarray, times: np.ndarray, weighted: Sequence[np.ndarray]) -> None:
+    for column, value in enumerate([times, *weighted]):
+        totals[:, column] += np.bincount(own, value, minlength=len(totals))
+
+
+def _advanced(reading: _Reading, bound: float, most: int) -> tuple[np.ndarray, float, int, bool]:
+    """Iterations of a fit as far as its reading holds, at most ``most``: centers, cost before the last move, iterations, whether it has settled."""
+    points, steps = reading.points, 0
+    while True:
+        counts, sums, cost = reading.sums(points)
+        held = counts > 0
+        moved = points.copy()
+        moved[held] = sums[held] / counts[held, None]
+        settled = not float(((moved - points) ** 2).sum()) > bound
+        points, steps = moved, steps + 1
+        if settled or steps >= most or not reading.holds(points):
+            return points, cost, steps, settled
+
+
 def _lloyd_sums(rows: DataFrame, fits: Sequence[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """For each fit: rows and sums of its centers' members, and its cost.  One row a center leaves a task.
+    """For each fit: rows and sums of its centers' members, and its cost."""
+    return [r.sums(r.points) for r in _read(rows, fits, [-1.0] * len(fits), 0)]
+
+
+def _read(rows: DataFrame, fits: Sequence[np.ndarray], limits: Sequence[float], most: int) -> list[_Reading]:
+    """One reading for all fits.  One row a center leaves a task, with ``most`` near rows a fit at most.
 
-    ``rows`` are different ones with their number of ``copies``.
+    ``rows`` are different ones with their number of ``copies``.  Rows count as near if the gap between
+    their two nearest centers is at most the fit's limit; where a task has too many it keeps those with the smallest gaps.
     """
     starts = np.cumsum([0, *map(len, fits)])
     points = np.concatenate(fits)
     width = len(FEATURES)
-    names = ["place", "n", *FEATURES, "cost"]
+    names = ["place", "n", *FEATURES, "cost", "reach", "near"]
 
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((len(points), width + 2))
+        reach = list(limits)
+        # Of each fit's near rows: gap, features, copies, center, squared distance.
+        near = [np.zeros((0, width + 4)) for _ in fits]
+
+        def trim(number: int) -> None:
+            kept = near[number]
+            if len(kept) > most:
+                order = np.argsort(kept[:, 0], kind="stable")
+                near[number], rest = kept[order[:most]], kept[order[most:]]
+                reach[number] = float(rest[0, 0])
+                times = rest[:, width + 1]
+                weighted = [*(rest[:, 1 + c] * times for c in range(width)), rest[:, -1] * times]
+                _add_up(totals[starts[number]: starts[number + 1]], rest[:, -2].astype(np.intp), times, weighted)
+
         for batch in batches:
-            whole = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(width)], 1)
-            copies = batch.column(width).to_numpy(zero_copy_only=False)
-            for at in range(0, len(whole), 4096):
-                part, times = whole[at: at + 4096], copies[at: at + 4096]
-                weighted = part * times[:, None]
-                distances = sum((part[:, c, None] - points[None, :, c]) ** 2 for c in range(width))
-                for begin, end in zip(starts[:-1], starts[1:]):
-                    own = distances[:, begin:end].argmin(1)
-                    least = distances[np.arange(len(part)), begin + own]
-                    totals[begin:end, 0] += np.bincount(own, times, minlength=end - begin)
-                    for c in range(width):
-                        totals[begin:end, 1 + c] += np.bincount(own, weighted[:, c], minlength=end - begin)
-                    totals[begin:end, -1] += np.bincount(own, least * times, minlength=end - begin)
-        held = np.flatnonzero(totals[:, 0])
-        columns = [pa.array(held, pa.int32()), *(pa.array(totals[held, i]) for i in range(width + 2))]
-        yield pa.RecordBatch.from_arrays(columns, names)
-
-    shape = "place int, " + ", ".join(f"`{name}` double" for name in names[1:])
-    summed = rows.mapInArrow(add_up, shape).groupBy("place").agg(*[F.sum(name).alias(name) for name in names[1:]])
-    totals = np.zeros((len(points), width + 2))
+            whole = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(width + 1)]
+            for at in range(0, len(batch), _BLOCK):
+                *values, copies = (column[at: at + _BLOCK] for column in whole)
+                for number, (begin, end) in enumerate(zip(starts[:-1], starts[1:])):
+                    own, least, second = _nearest(values, points[begin:end])
+                    times = copies
+                    if reach[number] >= 0:
+                        gaps = _gaps(least, second)
+                        close = np.flatnonzero(gaps <= reach[number])
+                        if len(close):
+                            more = np.stack([x[close] for x in (gaps, *values, copies, own, least)], 1)
+                            near[number] = np.concatenate([near[number], more])
+                            if len(near[number]) > 4 * most + _BLOCK:
+                                trim(number)
+                            times = copies.copy()
+                            times[close] = 0
+                    _add_up(totals[begin:end], own, times, [*(value * times for value in values), least * times])
+        for number in range(len(fits)):
+            trim(number)
+        sent = np.zeros(len(points), bool)
+        sent[starts[:-1]] = True
+        sent = np.flatnonzero(sent | (totals[:, 0] != 0))
+        first = {place: number for number, place in enumerate(starts[:-1].tolist())}
+        held = [near[first[place]][:, 1: width + 2].tobytes() if place in first else None for place in sent.tolist()]
+        least = [reach[first[place]] if place in first else None for place in sent.tolist()]
+        columns = [pa.array(sent, pa.int32()), *(pa.array(totals[sent, i]) for i in range(width + 2))]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(least, pa.float64()), pa.array(held, pa.binary())], names)
+
+    shape = "place int, " + ", ".join(f"`{name}` double" for name in names[1:-1]) + ", near binary"
+    summed = rows.mapInArrow(read, shape).groupBy("place").agg(
+        *[F.sum(name).alias(name) for name in names[1:-2]], F.min("reach").alias("reach"), F.collect_list("near").alias("near")
+    )
+    totals, told = np.zeros((len(points), width + 2)), {}
     for row in summed.collect():
-        totals[row["place"]] = [row[name] for name in names[1:]]
-    return [(totals[a:b, 0], totals[a:b, 1: 1 + width], float(totals[a:b, -1].sum())) for a, b in zip(starts[:-1], starts[1:])]
+        totals[row["place"]] = [row[name] for name in names[1:-2]]
+        told[row["place"]] = row["reach"], row["near"]
+    readings = []
+    for begin, end in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        reach, parts = told[begin]
+        near = np.frombuffer(b"".join(map(bytes, parts))).reshape(-1, width + 1)
+        # In an order of their own, whatever task they come from.
+        readings.append(_Reading(points[begin:end], totals[begin:end], np.asfortranarray(near[np.lexsort(near.T)]), reach))
+    return readings
 
 
 def measure(
@@ -256,16 +380,18 @@ def by_mean_monetary(features: DataFrame, centers: Centers) -> Centers:
     return centers.reordered(order + unused)
 
 
-def fit_checks(features: DataFrame, fits: Mapping[int, Centers], rivals: Mapping[int, Centers]) -> DataFrame:
+def fit_checks(
+    features: DataFrame, fits: Mapping[int, Centers], rivals: Mapping[int, Centers], *, parallelism: int = 8
+) -> DataFrame:
     """What any good fit satisfies, one row per k: all numbers but ``customers`` are 0 if it does.
 
     ``empty_clusters``: centers without customers; ``not_nearest``: customers nearer to
     another center than their own; ``off_mean``: centers away from their members' mean;
     ``dearer_than_rival``: whether the rival centers cost less; ``rising``: whether a
-    smaller k costs less.
+    smaller k costs less.  Several k are checked side by side.
     """
-    rows, cost_before = [], math.inf
-    for k in sorted(fits):
+
+    def one(k: int) -> tuple[tuple[int, ...], float]:
         centers = fits[k]
         clustered = centers.assign(features, cost="own_cost")
         facts = cluster_facts(clustered)
@@ -276,13 +402,15 @@ def fit_checks(features: DataFrame, fits: Mapping[int, Centers], rivals: Mapping
         ]
         cost = _inertia(facts, centers)
         rival = _inertia(cluster_facts(rivals[k].assign(features)), rivals[k])
-        rows.append(
-            (
-                k, sum(f["rows"] for f in facts), k - len(facts), clustered.where(nearer).count(),
-                sum(o > 1e-3 for o in offsets), int(cost > rival), int(cost > cost_before),
-            )
-        )
-        cost_before = cost
+        # Counted by an aggregate: a filter would be pushed below the assignment and repeat all its distances.
+        not_nearest = clustered.agg(F.count_if(nearer)).first()[0]
+        customers = sum(f["rows"] for f in facts)
+        return (k, customers, k - len(facts), not_nearest, sum(o > 1e-3 for o in offsets), int(cost > rival)), cost
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        found = list(pool.map(inheritable_thread_target(features.sparkSession)(one), sorted(fits)))
+    costs = [math.inf, *(cost for _, cost in found)]
+    rows = [(*row, int(cost > before)) for (row, cost), before in zip(found, costs)]
     names = ["k", "customers", "empty_clusters", "not_nearest", "off_mean", "dearer_than_rival", "rising"]
     table = dimension(features.sparkSession, **{n: list(v) for n, v in zip(names, zip(*rows))})
     return table.withColumn("k", F.col("k").cast("int"))

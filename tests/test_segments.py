@@ -10,7 +10,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from patronlens.operators import distributions, reports, segments
+from patronlens.operators import clustering, distributions, reports, segments
 from patronlens.operators.clustering import _lloyd_sums, Centers, best_k, business_k, by_mean_monetary, fit_checks, fit_kmeans, measure
 from patronlens.operators.features import FEATURES, fit_robust, fit_standard, scaling_check
 from patronlens.operators.projection import fit_components
@@ -169,6 +169,25 @@ def test_copies_count_in_fits_but_are_read_once(spark):
     assert counts.tolist() == [150.0] and np.allclose(sums, 3 * np.sum(points[:50], 0)) and cost == pytest.approx(3 * np.sum(np.square(points[:50])))
 
 
+@pytest.mark.parametrize("near_rows", [0, 300, 1 << 20])
+def test_one_reading_serves_many_iterations_of_a_fit(spark, monkeypatch, near_rows):
+    points = np.random.default_rng(3).normal(size=(3000, 3))
+    read, readings = clustering._read, []
+    monkeypatch.setattr(clustering, "NEAR_ROWS", near_rows)
+    monkeypatch.setattr(clustering, "_read", lambda *given: readings.append(read(*given)) or readings[-1])
+    fit = fit_kmeans(points_frame(spark, points), [4], restarts=1, relative_tol=0.0, seeding_rows=300)[4]
+    # Plain iterations from the same first centers.
+    centers, steps, moved = readings[0][0].points, 0, None
+    while moved is None or ((moved - centers) ** 2).sum() > 0:
+        centers, steps = centers if moved is None else moved, steps + 1
+        own = ((points[:, None] - centers) ** 2).sum(2).argmin(1)
+        moved = np.array([points[own == c].mean(0) for c in range(4)])
+    assert np.allclose(fit.points, centers, rtol=0, atol=1e-9)
+    assert fit.cost == pytest.approx(((points - centers[own]) ** 2).sum(), rel=1e-9)
+    assert len(readings) == 1 if near_rows > 3000 else len(readings) < steps / 2 if near_rows else len(readings) >= steps - 1
+    assert all(sum(len(r.near) for r in reading) <= 2 * near_rows for reading in readings)
+
+
 def test_checks_of_a_fit_and_of_a_bad_one(spark):
     points, _ = blobs()
     df = points_frame(spark, points)
