@@ -23,7 +23,7 @@ RESTARTS = 10
 #: Rows among which first centers are drawn.
 SEEDING_ROWS = 4000
 K_RANGE = range(2, 11)
-#: Rows near a border between clusters, over all fits, that a reading hands to the driver.
+#: Rows near a border between clusters, over all fits, that a reading is to hand to the driver; it never hands on twice as many.
 NEAR_ROWS = 1 << 20
 # Different rows a task reads at most; rows whose distances are computed at a time.
 _TASK_ROWS, _BLOCK = 1_000_000, 5000
@@ -83,17 +83,18 @@ def fit_kmeans(
     All fits share each reading of the rows, in which a task adds up its rows for every center of every open
     fit.  A reading serves many iterations: a row whose second nearest center is farther than its nearest by more
     than any two centers have moved since keeps its center, so only the sums of such rows are handed on, and the
-    rows nearest to a border, at most ``NEAR_ROWS`` over all fits, reach the driver and are assigned there in every
+    rows nearest to a border, about ``NEAR_ROWS`` over all fits, reach the driver and are assigned there in every
     iteration.  When centers have moved too far for that, the rows are read again.  Assignments are those of plain
     iterations over all rows.  A fit leaves
     when the squared moves of its centers sum to at most ``relative_tol`` times the mean variance
     of the features; what a sum differs by when tasks end in another order counts as no move.
     Equal rows are counted first and read as one from then on, so a reading costs what the different
-    ones cost.  These are kept in memory (on disk where memory is short); a lost block is counted again
+    ones cost.  These are kept packed in memory (on disk where memory is short); a lost block is counted again
     from the stage table below.
 
     First centers are drawn with chances proportional to squared distances from those drawn before,
     among the ``seeding_rows`` different rows with the smallest hashes, and moved to rest among these.
+    Restarts that come to rest at the same centers go on as one.
     """
     ks = sorted(set(ks))
     all_rows = features.select(*[F.col(c).cast("double").alias(c) for c in FEATURES])
@@ -104,16 +105,21 @@ def fit_kmeans(
     tasks = max(features.sparkSession.sparkContext.defaultParallelism, -(-row["rows"] // _TASK_ROWS))
     rows = all_rows.groupBy(*FEATURES).agg(F.count(F.lit(1)).cast("double").alias("copies")).repartition(tasks, *FEATURES)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    packed = _packed(rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         different = rows.count()
         sample = _seeding_sample(rows, seeding_rows)
-        fits = {(k, seed + i): _first_centers(sample, k, seed + i) for k in ks for i in range(restarts)}
+        packed.count()
+        rows.unpersist()
+        drawn = {(k, seed + i): _first_centers(sample, k, seed + i) for k in ks for i in range(restarts)}
+        first = {_in_order(points): name for name, points in reversed(drawn.items())}
+        fits = {name: points for name, points in drawn.items() if first[_in_order(points)] == name}
         costs, left = {}, dict.fromkeys(fits, max_iter)
         open_fits = list(fits)
         while open_fits:
             share = NEAR_ROWS / len(open_fits) / different
             limits = [_gap_limit(sample, fits[f], share) for f in open_fits]
-            readings = _read(rows, [fits[f] for f in open_fits], limits, 2 * NEAR_ROWS // (len(open_fits) * tasks))
+            readings = _read(packed, [fits[f] for f in open_fits], limits, 2 * NEAR_ROWS // (len(open_fits) * tasks))
             still = []
             for name, reading in zip(open_fits, readings):
                 fits[name], costs[name], steps, settled = _advanced(reading, bound, left[name])
@@ -123,6 +129,7 @@ def fit_kmeans(
             open_fits = still
     finally:
         rows.unpersist()
+        packed.unpersist()
     best: dict[int, Centers] = {}
     for (k, start), points in fits.items():
         cost = costs[k, start]
@@ -165,20 +172,30 @@ def _settled(sample: np.ndarray, points: np.ndarray, rounds: int = 100) -> np.nd
     return points
 
 
+def _in_order(points: np.ndarray) -> bytes:
+    """The same for the same centers in any order."""
+    return points[np.lexsort(points.T)].tobytes()
+
+
 def _nearest(values: Sequence[np.ndarray], points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For rows given by columns: the nearest center, the squared distance to it, and that to the second nearest."""
     own = np.zeros(len(values[0]), np.intp)
     least, second = _squared(values, points[0]), np.full(len(values[0]), np.inf)
     for number, point in enumerate(points[1:], 1):
         distance = _squared(values, point)
+        np.copyto(own, number, where=distance < least)
         np.minimum(second, np.maximum(distance, least), out=second)
-        own[distance < least] = number
         np.minimum(least, distance, out=least)
     return own, least, second
 
 
 def _squared(values: Sequence[np.ndarray], point: np.ndarray) -> np.ndarray:
-    return sum((value - x) ** 2 for value, x in zip(values, point))
+    total = None
+    for value, x in zip(values, point):
+        offset = value - x
+        offset *= offset
+        total = offset if total is None else np.add(total, offset, out=total)
+    return total
 
 
 def _gaps(least: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -244,13 +261,26 @@ def _advanced(reading: _Reading, bound: float, most: int) -> tuple[np.ndarray, f
 
 def _lloyd_sums(rows: DataFrame, fits: Sequence[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
     """For each fit: rows and sums of its centers' members, and its cost."""
-    return [r.sums(r.points) for r in _read(rows, fits, [-1.0] * len(fits), 0)]
+    return [r.sums(r.points) for r in _read(_packed(rows), fits, [-1.0] * len(fits), 0)]
+
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """Different rows with their number of ``copies`` as blocks of numbers, column after column, which a task need not convert."""
 
-def _read(rows: DataFrame, fits: Sequence[np.ndarray], limits: Sequence[float], most: int) -> list[_Reading]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = np.stack([column.to_numpy(zero_copy_only=False) for column in batch.columns])
+            for at in range(0, len(batch), _BLOCK):
+                block = whole[:, at: at + _BLOCK].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], ["block"])
+
+    return rows.select(*FEATURES, "copies").mapInArrow(pack, "block binary")
+
+
+def _read(packed: DataFrame, fits: Sequence[np.ndarray], limits: Sequence[float], most: int) -> list[_Reading]:
     """One reading for all fits.  One row a center leaves a task, with ``most`` near rows a fit at most.
 
-    ``rows`` are different ones with their number of ``copies``.  Rows count as near if the gap between
+    Rows count as near if the gap between
     their two nearest centers is at most the fit's limit; where a task has too many it keeps those with the smallest gaps.
     """
     starts = np.cumsum([0, *map(len, fits)])
@@ -275,9 +305,8 @@ def _read(rows: DataFrame, fits: Sequence[np.ndarray], limits: Sequence[float],
                 _add_up(totals[starts[number]: starts[number + 1]], rest[:, -2].astype(np.intp), times, weighted)
 
         for batch in batches:
-            whole = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(width + 1)]
-            for at in range(0, len(batch), _BLOCK):
-                *values, copies = (column[at: at + _BLOCK] for column in whole)
+            for block in batch.column(0):
+                *values, copies = np.frombuffer(block.as_buffer()).reshape(width + 1, -1)
                 for number, (begin, end) in enumerate(zip(starts[:-1], starts[1:])):
                     own, least, second = _nearest(values, points[begin:end])
                     times = copies
@@ -304,7 +333,7 @@ def _read(rows: DataFrame, fits: Sequence[np.ndarray], limits: Sequence[float],
         yield pa.RecordBatch.from_arrays([*columns, pa.array(least, pa.float64()), pa.array(held, pa.binary())], names)
 
     shape = "place int, " + ", ".join(f"`{name}` double" for name in names[1:-1]) + ", near binary"
-    summed = rows.mapInArrow(read, shape).groupBy("place").agg(
+    summed = packed.mapInArrow(read, shape).groupBy("place").agg(
         *[F.sum(name).alias(name) for name in names[1:-2]], F.min("reach").alias("reach"), F.collect_list("near").alias("near")
     )
     totals, told = np.zeros((len(points), width + 2)), {}

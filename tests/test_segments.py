@@ -188,6 +188,24 @@ def test_one_reading_serves_many_iterations_of_a_fit(spark, monkeypatch, near_ro
     assert all(sum(len(r.near) for r in reading) <= 2 * near_rows for reading in readings)
 
 
+def test_restarts_at_the_same_centers_go_on_as_one(spark, monkeypatch):
+    points, _ = blobs()
+    read, sizes = clustering._read, []
+    monkeypatch.setattr(clustering, "_read", lambda packed, fits, *given: sizes.append(len(fits)) or read(packed, fits, *given))
+    one = fit_kmeans(points_frame(spark, points), [3], restarts=1, relative_tol=0.0)[3]
+    fit = fit_kmeans(points_frame(spark, points), [3], restarts=10, relative_tol=0.0)[3]
+    assert max(sizes) < 10 and fit.cost <= one.cost * (1 + 1e-12)
+
+
+def test_members_nearest_elsewhere_are_counted_without_repeating_distances(spark):
+    df = points_frame(spark, [(0, 0, 0), (1, 0, 0), (9, 0, 0)])
+    centers = Centers([(float(i), 0.0, 0.0) for i in range(10)])
+    with pytest.MonkeyPatch.context() as patched:
+        patched.setattr(type(df), "count", lambda self: pytest.fail("counted behind a filter"))
+        row = fit_checks(df, {10: centers}, {10: centers}).first()
+    assert (row["not_nearest"], row["empty_clusters"]) == (0, 7)
+
+
 def test_checks_of_a_fit_and_of_a_bad_one(spark):
     points, _ = blobs()
     df = points_frame(spark, points)
