@@ -25,8 +25,9 @@ SEEDING_ROWS = 4000
 K_RANGE = range(2, 11)
 #: Rows near a border between clusters, over all fits, that a reading is to hand to the driver; it never hands on twice as many.
 NEAR_ROWS = 1 << 20
-# Different rows a task reads at most; rows whose distances are computed at a time.
-_TASK_ROWS, _BLOCK = 1_000_000, 5000
+# Different rows a task is to read at most; rows packed together, taken together if one center is the nearest
+# to all of them, and whose distances are computed at a time.
+_TASK_ROWS, _BLOCK, _GROUP, _PART = 1_000_000, 1 << 16, 64, 8192
 
 
 @dataclass(frozen=True)
@@ -265,18 +266,57 @@ def _lloyd_sums(rows: DataFrame, fits: Sequence[np.ndarray]) -> list[tuple[np.nd
 
 
 def _packed(rows: DataFrame) -> DataFrame:
-    """Different rows with their number of ``copies`` as blocks of numbers, column after column, which a task need not convert."""
+    """Different rows with their number of ``copies`` as blocks of numbers, column after column, neighbours of a task's rows together."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            whole = np.stack([column.to_numpy(zero_copy_only=False) for column in batch.columns])
-            for at in range(0, len(batch), _BLOCK):
-                block = whole[:, at: at + _BLOCK].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], ["block"])
+        parts = [np.stack([column.to_numpy(zero_copy_only=False) for column in batch.columns]) for batch in batches]
+        whole = np.concatenate([np.zeros((len(FEATURES) + 1, 0)), *parts], 1)
+        del parts
+        whole = whole[:, _along_curve(whole[:-1])]
+        for at in range(0, whole.shape[1], _BLOCK):
+            block = whole[:, at: at + _BLOCK].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], ["block"])
 
     return rows.select(*FEATURES, "copies").mapInArrow(pack, "block binary")
 
 
+def _along_curve(values: np.ndarray, bits: int = 10) -> np.ndarray:
+    """An order of rows in which neighbours are close: along a Z curve through the ranks of their features."""
+    code = np.zeros(values.shape[1], np.int64)
+    for c, value in enumerate(values):
+        rank = np.searchsorted(np.sort(value), value) * (1 << bits) // max(len(value), 1)
+        for bit in range(bits):
+            code |= (rank >> bit & 1) << (bit * len(values) + c)
+    return np.argsort(code, kind="stable")
+
+
+class _Groups:
+    """Rows of a block by groups of neighbours: a group's middle and radius, copies, weighted sums, and squared offsets from the middle."""
+
+    def __init__(self, values: Sequence[np.ndarray], copies: np.ndarray) -> None:
+        starts = np.arange(0, len(copies), _GROUP)
+        sides = [(np.minimum.reduceat(v, starts), np.maximum.reduceat(v, starts)) for v in values]
+        self.middle = [(low + high) / 2 for low, high in sides]
+        self.radius = np.sqrt(sum(((high - low) / 2) ** 2 for low, high in sides))
+        self.times = np.add.reduceat(copies, starts)
+        self.sums = [np.add.reduceat(v * copies, starts) for v in values]
+        around = sum((v - np.repeat(m, _GROUP)[: len(v)]) ** 2 for v, m in zip(values, self.middle))
+        self.squares = np.add.reduceat(around * copies, starts)
+
+    def add_up(self, totals: np.ndarray, points: np.ndarray, limit: float) -> np.ndarray:
+        """Adds the groups all of whose rows have the same nearest center, with a gap above ``limit``; the places of the other rows."""
+        own, least, second = _nearest(self.middle, points)
+        slack = 1e-9 * (1 + np.sqrt(least))
+        whole = _gaps(least, second) - 2 * self.radius > max(limit, 0.0) + slack
+        at, times = own[whole], self.times[whole]
+        cost, sums = self.squares[whole] + times * least[whole], []
+        for c, middle in enumerate(self.middle):
+            sums.append(self.sums[c][whole])
+            cost += 2 * (middle[whole] - points[at, c]) * (sums[c] - times * middle[whole])
+        _add_up(totals, at, times, [*sums, cost])
+        return np.flatnonzero(np.repeat(~whole, _GROUP))
+
+
 def _read(packed: DataFrame, fits: Sequence[np.ndarray], limits: Sequence[float], most: int) -> list[_Reading]:
     """One reading for all fits.  One row a center leaves a task, with ``most`` near rows a fit at most.
 
@@ -306,21 +346,25 @@ def _read(packed: DataFrame, fits: Sequence[np.ndarray], limits: Sequence[float]
 
         for batch in batches:
             for block in batch.column(0):
-                *values, copies = np.frombuffer(block.as_buffer()).reshape(width + 1, -1)
+                *columns, copies = np.frombuffer(block.as_buffer()).reshape(width + 1, -1)
+                groups = _Groups(columns, copies)
                 for number, (begin, end) in enumerate(zip(starts[:-1], starts[1:])):
-                    own, least, second = _nearest(values, points[begin:end])
-                    times = copies
-                    if reach[number] >= 0:
-                        gaps = _gaps(least, second)
-                        close = np.flatnonzero(gaps <= reach[number])
-                        if len(close):
-                            more = np.stack([x[close] for x in (gaps, *values, copies, own, least)], 1)
-                            near[number] = np.concatenate([near[number], more])
-                            if len(near[number]) > 4 * most + _BLOCK:
-                                trim(number)
-                            times = copies.copy()
-                            times[close] = 0
-                    _add_up(totals[begin:end], own, times, [*(value * times for value in values), least * times])
+                    places = groups.add_up(totals[begin:end], points[begin:end], reach[number])
+                    places = places[: np.searchsorted(places, len(copies))]
+                    for at in range(0, len(places), _PART):
+                        part = places[at: at + _PART]
+                        values, times = [column[part] for column in columns], copies[part]
+                        own, least, second = _nearest(values, points[begin:end])
+                        if reach[number] >= 0:
+                            gaps = _gaps(least, second)
+                            close = np.flatnonzero(gaps <= reach[number])
+                            if len(close):
+                                more = np.stack([x[close] for x in (gaps, *values, times, own, least)], 1)
+                                near[number] = np.concatenate([near[number], more])
+                                if len(near[number]) > 4 * most + _PART:
+                                    trim(number)
+                                times[close] = 0
+                        _add_up(totals[begin:end], own, times, [*(value * times for value in values), least * times])
         for number in range(len(fits)):
             trim(number)
         sent = np.zeros(len(points), bool)
